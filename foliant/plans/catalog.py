@@ -1,0 +1,6 @@
+"""All queries on the reference tables, with their SQL counterparts."""
+
+from __future__ import annotations
+
+QUERIES: dict = {}
+ORACLE_SQL: dict = {}
