@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
-from foliant.llm import decontamination, packing
+from foliant.llm import decontamination, language_id, packing, quality_rules, url_filters
 
 QUERIES = {
+    "op1_url_filters": url_filters.op1_url_filters,
+    "op4_language_id": language_id.op4_language_id,
     "op6_decontamination": decontamination.op6_decontamination,
+    "op7_quality_rules": quality_rules.op7_quality_rules,
     "op10_packing": packing.op10_packing,
 }
 
-ORACLE_SQL = {"op6_decontamination": decontamination.ORACLE}
+ORACLE_SQL = {"op1_url_filters": url_filters.ORACLE, "op6_decontamination": decontamination.ORACLE}
