@@ -24,27 +24,32 @@ empty table gives no rows; equal lengths are interchangeable, ties go by salt an
 
 from __future__ import annotations
 
+import os
 import re
 import zlib
+from array import array
 from bisect import bisect_right
 from collections import defaultdict
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from foliant.llm.common import fresh, stash, table
 
 CAPACITY = 2048
-SMALL = 256
-GROUPS = 24
+SMALL = 512
+GROUPS = 128
 SALTS = 64
 END_ID = 0
-#: Cached encodings of a Python worker.
-CACHE = 400_000
+#: Remembered words of a Python worker, in each of two generations.
+CACHE = 600_000
 
-BESIDE_SPACE = re.compile(r"\s | \s")
+#: White space other than the space and the line feed; texts that have any are encoded whole.
+RARE_SPACE = re.compile(r"[^\S \n]")
+ENDED = re.compile(r"([^\W\d_]+)([^\w\s]+)\Z")
 _ENCODERS: dict[str, "Encoder"] = {}
 
 
@@ -54,45 +59,86 @@ def default_tokenizer() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
+def beside_space(text: str) -> bool:
+    """Whether a space touches other white space or an end of the text, so that it may not start a token."""
+    return "  " in text or " \n" in text or "\n " in text or text[0] == " " or text[-1] == " " or RARE_SPACE.search(text) is not None
+
+
 class Encoder:
-    """Token ids as little-endian bytes. A word after a single space is always a token boundary of this
-    vocabulary's splitter, so words are encoded once and remembered."""
+    """Token ids as little-endian bytes.
 
-    def __init__(self, path: str):
-        import os
+    A word after a single space always starts a token of this vocabulary's splitter, so words are
+    encoded once and remembered. Of the two generations of remembered words the older goes when the
+    younger is full; words still in use move to the younger one.
+    """
 
+    def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
-        self.known: dict[str, bytes] = {}
+        self.young: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
+        self.marks: dict[str, bytes] = {}
 
     def raw(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-
-    def encode(self, texts: list[str | None]) -> list[bytes]:
+        return [array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def letters(self, words: list[str]) -> list[bytes]:
+        """Encodings of words of letters only, each after a space: the splitter makes each one unit, so many go in one text."""
+        encoded = self.tokenizer.encode("".join([" " + w for w in words]), add_special_tokens=False)
+        ids = array("I", encoded.ids).tobytes()
+        ends = np.cumsum(np.bincount(encoded.word_ids, minlength=len(words)) * 4).tolist()
+        return [ids[i:j] for i, j in zip([0, *ends], ends)]
+
+    def learn(self, words: list[str]) -> None:
+        """Take ``words``, each after a space, into the younger generation."""
+        if len(self.young) > CACHE:
+            self.young, self.old = {}, self.young
+        young, old = self.young, self.old
+        young.update((w, old[w]) for w in words if w not in young and w in old)
+        new = [w for w in words if w not in young]
+        # letters and closing punctuation are separate units of the splitter
+        ended = {w: m.groups() for w in new if not w.isalpha() and (m := ENDED.match(w)) and m[1].isalpha()}
+        plain = list({*(w for w in new if w.isalpha()), *(x for x, _ in ended.values() if x not in young)})
+        for at in range(0, len(plain), 500):
+            young.update(zip(plain[at : at + 500], self.letters(plain[at : at + 500])))
+        for mark in {m for _, m in ended.values()} - self.marks.keys():
+            self.marks[mark] = self.raw([mark])[0]
+        young.update((w, young[x] + self.marks[m]) for w, (x, m) in ended.items())
+        mixed = [w for w in new if w not in young]
+        young.update(zip(mixed, self.raw([" " + w for w in mixed])))
+
+    def encode(self, texts: pa.Array) -> list[bytes]:
         """The ids of every text, each followed by the end id."""
-        if len(self.known) > CACHE:
-            self.known.clear()
-        end, known, parts, whole = np.array([END_ID], "<u4").tobytes(), self.known, [], []
-        missing: dict[str, None] = {}
-        for i, text in enumerate(texts):
-            if not text:
-                parts.append(())
-            elif BESIDE_SPACE.search(text) or text[0] == " " or text[-1] == " ":
-                parts.append(None)
-                whole.append(i)
-            else:
-                first, *rest = text.split(" ")
-                pieces = [first, *[" " + x for x in rest]]
-                parts.append(pieces)
-                missing.update(dict.fromkeys(x for x in pieces if x not in known))
-        if missing:
-            known.update(zip(missing, self.raw(list(missing))))
-        out = [b"" if p is None else b"".join([known[x] for x in p]) + end for p in parts]
-        for i, ids in zip(whole, self.raw([texts[i] for i in whole])):
+        end, values = array("I", [END_ID]).tobytes(), texts.to_pylist()
+        out = [end] * len(values)
+        whole = [i for i, t in enumerate(values) if t and beside_space(t)]
+        for i, ids in zip(whole, self.raw([values[i] for i in whole])):
             out[i] = ids + end
+        odd = set(whole)
+        plain = [i for i, t in enumerate(values) if t and i not in odd]
+        if not plain:
+            return out
+        split = pc.split_pattern(texts.take(pa.array(plain, pa.int64())), " ")
+        offsets = split.offsets.to_numpy()
+        coded = split.values.dictionary_encode()
+        words, which = coded.dictionary.to_pylist(), coded.indices.to_numpy()
+        firsts = [words[k] for k in which[offsets[:-1]]]
+        self.learn(words)
+        parts = [*map(self.young.__getitem__, words), *self.raw(firsts)]
+        which = which.astype(np.int64)
+        which[offsets[:-1]] = np.arange(len(words), len(parts))  # first words have no space before them
+        tokens = np.frombuffer(b"".join(parts), "<u4")
+        lengths = np.fromiter(map(len, parts), np.int64, len(parts)) // 4
+        starts = np.cumsum(lengths) - lengths
+        each = lengths[which]
+        ends = np.cumsum(each)
+        flat = tokens[np.arange(ends[-1]) + np.repeat(starts[which] - (ends - each), each)]
+        bounds = np.concatenate([[0], ends])[offsets]
+        for i, a, b in zip(plain, bounds.tolist(), bounds[1:].tolist()):
+            out[i] = flat[a:b].tobytes() + end
         return out
 
 
@@ -111,9 +157,9 @@ def pieces_udf(path: str, capacity: int):
     def pieces(texts: pa.Array) -> pa.Array:
         if path not in _ENCODERS:
             _ENCODERS[path] = Encoder(path)
-        out, values = [], texts.to_pylist()
-        for at in range(0, len(values), 200):
-            out += [[dict(zip(("piece", "start", "length", "ids_crc32"), p)) for p in cut(ids, capacity)] for ids in _ENCODERS[path].encode(values[at : at + 200])]
+        out = []
+        for at in range(0, len(texts), 1000):
+            out += [[dict(zip(("piece", "start", "length", "ids_crc32"), p)) for p in cut(ids, capacity)] for ids in _ENCODERS[path].encode(texts[at : at + 1000])]
         return pa.array(out, kind)
 
     return pieces
