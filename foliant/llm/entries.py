@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
-from foliant.llm import decontamination, language_id, packing, quality_rules, url_filters
+from foliant.llm import decontamination, language_id, near_dedup, packing, pii, quality_classifier, quality_rules, url_filters
 
 QUERIES = {
     "op1_url_filters": url_filters.op1_url_filters,
+    "op3_pii": pii.op3_pii,
     "op4_language_id": language_id.op4_language_id,
+    "op5_near_dedup": near_dedup.op5_near_dedup,
     "op6_decontamination": decontamination.op6_decontamination,
     "op7_quality_rules": quality_rules.op7_quality_rules,
+    "op9_quality_classifier": quality_classifier.op9_quality_classifier,
     "op10_packing": packing.op10_packing,
 }
 

@@ -114,7 +114,8 @@ def judge(pages: DataFrame, rules: DataFrame, *, page_id: str = "page_id", url:
     hashes = F.transform("keys", lambda k: F.xxhash64(k))
     bits = lambda h: F.transform(F.sequence(F.lit(0), F.lit(PROBES - 1)), lambda i: F.shiftrightunsigned(F.xxhash64(h, i), 56))
     hits = probe_udf(spark, words)(F.col("keys"), F.transform(hashes, lambda h: block_of(h, blocks)), F.transform(hashes, bits))
-    maybe = split.withColumn("hits", hits).select("page_id", "url", "host", "path", "copies", F.explode_outer("hits").alias("key"))
+    probed = stash(split.select("page_id", "url", "host", "path", "copies", hits.alias("hits")))
+    maybe = probed.select("page_id", "url", "host", "path", "copies", F.explode_outer("hits").alias("key"))
     if n <= MAX_BROADCAST_ROWS:
         joined = maybe.join(F.broadcast(listed), "key", "left")
     else:
