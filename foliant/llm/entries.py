@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from foliant.llm import decontamination, language_id, near_dedup, packing, pii, quality_classifier, quality_rules, url_filters
+from foliant.llm import decontamination, language_id, line_dedup, near_dedup, packing, pii, quality_classifier, quality_rules, url_filters
 
 QUERIES = {
     "op1_url_filters": url_filters.op1_url_filters,
@@ -11,6 +11,7 @@ QUERIES = {
     "op5_near_dedup": near_dedup.op5_near_dedup,
     "op6_decontamination": decontamination.op6_decontamination,
     "op7_quality_rules": quality_rules.op7_quality_rules,
+    "op8_line_dedup": line_dedup.op8_line_dedup,
     "op9_quality_classifier": quality_classifier.op9_quality_classifier,
     "op10_packing": packing.op10_packing,
 }
