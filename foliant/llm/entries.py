@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from foliant.llm import decontamination, language_id, line_dedup, near_dedup, packing, pii, quality_classifier, quality_rules, url_filters
+from foliant.llm import decontamination, language_id, line_dedup, near_dedup, packing, pii, quality_classifier, quality_rules, substring_dedup, url_filters
 
 QUERIES = {
     "op1_url_filters": url_filters.op1_url_filters,
+    "op2_substring_dedup": substring_dedup.op2_substring_dedup,
     "op3_pii": pii.op3_pii,
     "op4_language_id": language_id.op4_language_id,
     "op5_near_dedup": near_dedup.op5_near_dedup,
@@ -16,4 +17,4 @@ QUERIES = {
     "op10_packing": packing.op10_packing,
 }
 
-ORACLE_SQL = {"op1_url_filters": url_filters.ORACLE, "op6_decontamination": decontamination.ORACLE}
+ORACLE_SQL = {"op1_url_filters": url_filters.ORACLE, "op2_substring_dedup": substring_dedup.ORACLE, "op6_decontamination": decontamination.ORACLE}
