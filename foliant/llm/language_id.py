@@ -35,6 +35,8 @@ UNDETERMINED = "und"
 #: Words whose scores a Python worker remembers.
 CACHE = 400_000
 
+#: Folds A-Z and turns ASCII other than letters into spaces.
+LETTERS = bytes(b + 32 if 65 <= b <= 90 else b if 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
 WORD = re.compile(r"[^\W\d_]+")
 
 
@@ -71,33 +73,40 @@ class Model:
         return sum(parts) / len(parts) if parts else np.zeros(len(self.langs))
 
 
-class Predictor:
-    """Scores whole texts; word vectors are rows of one growing matrix."""
+class Rows(dict):
+    """Runs of letter bytes -> rows of a growing matrix; row 0 is for runs without a letter."""
 
     def __init__(self, model: Model):
+        super().__init__()
         self.model = model
-        self.reset()
-
-    def reset(self) -> None:
-        self.rows: dict[str, int] = {}
-        self.matrix = np.zeros((1024, max(1, len(self.model.langs))))
-
-    def row(self, w: str) -> int:
-        i = self.rows[w] = len(self.rows)
-        if i == len(self.matrix):
-            self.matrix = np.concatenate([self.matrix, np.zeros_like(self.matrix)])
-        self.matrix[i] = self.model.word(w)
-        return i
-
-    def predict(self, text: str | None) -> tuple[str, float]:
-        words = WORD.findall(text.lower()) if text else []
-        if not words or not self.model.langs:
-            return UNDETERMINED, 0.0
+        self.matrix = np.zeros((1024, max(1, len(model.langs))))
+        self.used = 1
+
+    def __missing__(self, run: bytes) -> int:
+        words = WORD.findall(run.decode().lower())
+        at = self.used if words else 0
+        if words:
+            if at == len(self.matrix):
+                self.matrix = np.concatenate([self.matrix, np.zeros_like(self.matrix)])
+            self.matrix[at] = sum(self.model.word(w) for w in words)
+            self.used += 1
+        self[run] = at
+        return at
+
+
+class Predictor:
+    """Scores whole texts: ASCII other than letters splits runs, what else a run holds is told apart when it is new."""
+
+    def __init__(self, model: Model):
+        self.model, self.rows = model, Rows(model)
+
+    def predict(self, text: bytes | None) -> tuple[str, float]:
         if len(self.rows) > CACHE:
-            self.reset()
-        get = self.rows.get
-        ids = [i if (i := get(w)) is not None else self.row(w) for w in words]
-        total = self.matrix[ids].sum(axis=0)
+            self.rows = Rows(self.model)
+        ids = np.array([*map(self.rows.__getitem__, text.translate(LETTERS).split())] if text else [], np.int64)
+        if not ids.any() or not self.model.langs:
+            return UNDETERMINED, 0.0
+        total = sum(self.rows.matrix[ids[at : at + 65536]].sum(axis=0) for at in range(0, len(ids), 65536))
         best = int(total.argmax())
         return self.model.langs[best], float(1 / np.exp(total - total[best]).sum())
 
@@ -107,7 +116,8 @@ def sample(docs: DataFrame, doc_id: str, text: str, lang: str, max_docs: int) ->
     known = docs.where(F.col(lang).isNotNull() & F.col(text).isNotNull()).select(F.col(doc_id).alias("id"), F.col(text).alias("text"), F.col(lang).alias("lang"))
     share = known.groupBy("lang").agg(F.least(F.lit(1.0), max_docs / F.count("*")).alias("share"))
     hashed = F.pmod(F.xxhash64("id", "text"), F.lit(1_000_000))
-    return known.join(share, "lang").where(hashed < F.col("share") * 1_000_000).select("lang", "text")
+    # one row a language
+    return known.join(F.broadcast(share), "lang").where(hashed < F.col("share") * 1_000_000).select("lang", "text")
 
 
 def fit(labelled: DataFrame, *, doc_id: str = "doc_id", text: str = "text", lang: str = "lang", max_docs: int = MAX_DOCS, max_words: int = MAX_WORDS, max_grams: int = MAX_GRAMS) -> Model:
@@ -144,7 +154,7 @@ def predict_udf(spark: SparkSession, model: Model):
         if key not in _PREDICTORS:
             _PREDICTORS.clear()
             _PREDICTORS[key] = Predictor(sent.value)
-        found = [_PREDICTORS[key].predict(x.as_py()) for x in texts]
+        found = [_PREDICTORS[key].predict(x) for x in texts.cast(pa.binary()).to_pylist()]
         return pa.StructArray.from_arrays([pa.array([x[0] for x in found], pa.string()), pa.array([x[1] for x in found], pa.float64())], names=["lang", "score"])
 
     return predict
