@@ -8,12 +8,14 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from foliant.session import importable
+
 #: Stands for a null id where rows must be ordered: before every other id.
 LOWEST_ID = -(2**63)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return importable(spark).read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def fresh(df: DataFrame, name: str) -> str:
@@ -35,7 +37,7 @@ def shared_dir(spark: SparkSession) -> str:
 
 def stash(df: DataFrame) -> DataFrame:
     """Write ``df`` to the shared folder and read it again: cuts lineage and survives lost executors."""
-    path = shared_dir(df.sparkSession)
+    path = shared_dir(importable(df.sparkSession))
     schema = df.schema
     df.write.parquet(path)
     return df.sparkSession.read.schema(schema).parquet(path)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import corpus_pipeline
 from foliant.llm import decontamination, language_id, line_dedup, near_dedup, packing, pii, quality_classifier, quality_rules, substring_dedup, url_filters
 
 QUERIES = {
@@ -15,6 +16,7 @@ QUERIES = {
     "op8_line_dedup": line_dedup.op8_line_dedup,
     "op9_quality_classifier": quality_classifier.op9_quality_classifier,
     "op10_packing": packing.op10_packing,
+    "pipeline": corpus_pipeline.run,
 }
 
 ORACLE_SQL = {"op1_url_filters": url_filters.ORACLE, "op2_substring_dedup": substring_dedup.ORACLE, "op6_decontamination": decontamination.ORACLE}

@@ -12,10 +12,11 @@ at least ``THRESHOLD`` percent, confirmed on the full sets. Steps:
    any two matching documents must overlap in (prefix filter).
 3. Star round: in each posting list everyone meets the smallest id. Candidates whose signatures
    collide in ``MATCHES`` coordinates are confirmed, links merge into components.
-4. Skip round: posting lists that now lie in one component are skipped. In the others, members of
-   different components are compared in blocks of signatures, and only collisions of enough
-   coordinates across components are confirmed. Lists are dealt out in pairs of blocks, so none is
-   gathered in one task.
+4. Skip round: posting lists that now lie in one component are skipped. In the others, collisions are
+   counted between members of different components, part against part. They tell which blocks of
+   which families must meet; a task gets two such blocks with their sets, skips pairs that are already
+   connected, confirms the others and returns the links that join components. Lists and families are
+   dealt out in blocks of bounded size, and no task returns more links than it has members.
 5. Components come from label propagation with pointer jumping over the confirmed links.
 
 Defined cases: a null text or one without words has an empty set and is linked with nothing; with
@@ -31,14 +32,15 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from foliant.llm.common import LOWEST_ID, id_order, stash, table
+from foliant.llm.common import LOWEST_ID, fresh, id_order, stash, table
 
 SHINGLE = 5
 THRESHOLD = 85
 COORDINATES = 64
 MATCHES = 42
-#: Members of a posting list that are compared at once.
+#: Members of a posting list or a family that are compared at once, and shingles of such a block.
 BLOCK = 512
+BLOCK_SHINGLES = 100_000
 #: Words whose hashes a Python worker remembers.
 CACHE = 400_000
 
@@ -98,8 +100,8 @@ def sketch_udf():
     @F.arrow_udf("struct<n:bigint,sum1:bigint,sum2:bigint,signature:array<int>>")
     def sketch(texts: pa.Array) -> pa.Array:
         n, sums, sigs = [], [], []
-        for at in range(0, len(texts), 1000):
-            sets = [shingle_set(x) for x in texts[at : at + 1000].cast(pa.binary()).to_pylist()]
+        for at in range(0, len(texts), 250):
+            sets = [shingle_set(x) for x in texts[at : at + 250].cast(pa.binary()).to_pylist()]
             full = [s for s in sets if len(s)]
             pair, values = signatures(full) if full else (np.zeros((0, 2), np.int64), np.zeros((0, COORDINATES), np.uint32))
             rows = iter(zip(pair.tolist(), values))
@@ -126,13 +128,7 @@ def set_udf():
 def linked_udf(threshold: int):
     @F.arrow_udf("boolean")
     def linked(left: pa.Array, right: pa.Array) -> pa.Array:
-        out = []
-        for a, b in zip(left, right):
-            x, y = np.frombuffer(a.as_buffer(), "<u8"), np.frombuffer(b.as_buffer(), "<u8")
-            at = np.searchsorted(x, y)
-            both = int((x[np.minimum(at, len(x) - 1)] == y).sum())
-            out.append(100 * both >= threshold * (len(x) + len(y) - both))
-        return pa.array(out, pa.bool_())
+        return pa.array([similar(np.frombuffer(a.as_buffer(), "<u8"), np.frombuffer(b.as_buffer(), "<u8"), threshold) for a, b in zip(left, right)], pa.bool_())
 
     return linked
 
@@ -149,26 +145,68 @@ def collide_udf(matches: int):
 
 
 def across_udf(matches: int):
-    """Members of two blocks of a posting list -> pairs across components whose signatures collide enough."""
+    """Members of two parts of a posting list -> pairs of family blocks with signatures that collide enough across components."""
 
     @F.arrow_udf("array<struct<a:bigint,b:bigint>>")
-    def across(ids: pa.Array, comps: pa.Array, sigs: pa.Array, first: pa.Array) -> pa.Array:
+    def across(ids: pa.Array, comps: pa.Array, blocks: pa.Array, sigs: pa.Array, sides: pa.Array) -> pa.Array:
         out = []
-        for i, c, s, f in zip(ids, comps, sigs, first):
-            i, c, f = (x.values.to_numpy(zero_copy_only=False) for x in (i, c, f))
+        for i, c, k, s, f in zip(ids, comps, blocks, sigs, sides):
+            i, c, k, f = (x.values.to_numpy(zero_copy_only=False) for x in (i, c, k, f))
             v = s.values.flatten().to_numpy(zero_copy_only=False).reshape(-1, COORDINATES)
-            left, right = np.flatnonzero(f & 1), np.flatnonzero(f & 2)
-            pairs = []
-            for x in left:
-                y = right[(c[right] != c[x]) & (i[right] != i[x])]
+            right = np.flatnonzero(f & 2)
+            found = set()
+            for x in np.flatnonzero(f & 1):
+                y = right[c[right] != c[x]]
                 y = y[(v[y] == v[x]).sum(axis=1) >= matches]
-                pairs += [{"a": min(int(i[x]), int(j)), "b": max(int(i[x]), int(j))} for j in i[y]]
-            out.append(pairs)
+                found.update((min(k[x], j), max(k[x], j)) for j in set(k[y].tolist()))
+            out.append([{"a": int(x), "b": int(y)} for x, y in found])
         return pa.array(out, pa.list_(pa.struct([("a", pa.int64()), ("b", pa.int64())])))
 
     return across
 
 
+def similar(x: np.ndarray, y: np.ndarray, threshold: int) -> bool:
+    """Whether two sorted sets are linked."""
+    if 100 * min(len(x), len(y)) < threshold * max(len(x), len(y)):
+        return False
+    at = np.searchsorted(x, y)
+    both = int((x[np.minimum(at, len(x) - 1)] == y).sum())
+    return 100 * both >= threshold * (len(x) + len(y) - both)
+
+
+def merge_udf(matches: int, threshold: int):
+    """Members of two family blocks -> the links between them that join components, confirmed on the full sets."""
+
+    @F.arrow_udf("array<struct<a:bigint,b:bigint>>")
+    def merge(lefts: pa.Array, rights: pa.Array) -> pa.Array:
+        out = []
+        for left, right in zip(lefts, rights):
+            members = {r["rep"]: r for r in [*left.as_py(), *right.as_py()]}
+            ids = list(members)
+            v = np.array([members[i]["signature"] for i in ids], np.int32)
+            sets = [np.frombuffer(members[i]["set"], "<u8") for i in ids]
+            root = {members[i]["comp"]: members[i]["comp"] for i in ids}
+
+            def find(c: int) -> int:
+                while root[c] != c:
+                    root[c] = c = root[root[c]]
+                return c
+
+            links = []
+            for x in range(1, len(ids)):
+                agree = (v[:x] == v[x]).sum(axis=1)
+                near = np.flatnonzero(agree >= matches)
+                for y in near[np.argsort(-agree[near], kind="stable")].tolist():
+                    a, b = find(members[ids[x]]["comp"]), find(members[ids[y]]["comp"])
+                    if a != b and similar(sets[x], sets[y], threshold):
+                        root[max(a, b)] = min(a, b)
+                        links.append({"a": min(ids[x], ids[y]), "b": max(ids[x], ids[y])})
+            out.append(links)
+        return pa.array(out, pa.list_(pa.struct([("a", pa.int64()), ("b", pa.int64())])))
+
+    return merge
+
+
 def postings(reps: DataFrame, matches: int) -> DataFrame:
     """(token, rep, size of the token's list): the prefix of each representative that can have a partner."""
     each = reps.select("rep", F.posexplode("signature").alias("coordinate", "value"))
@@ -180,14 +218,27 @@ def postings(reps: DataFrame, matches: int) -> DataFrame:
     return own.where(F.size("own") >= matches).select("rep", F.explode(prefix).alias("p")).select("rep", "p.token", "p.size")
 
 
-def confirm(pairs: DataFrame, docs: DataFrame, threshold: int) -> DataFrame:
-    """The pairs (a, b) of representatives that are linked on their full sets. ``docs``: rep, text."""
-    asked = stash(pairs.select(F.explode(F.array("a", "b")).alias("rep")).distinct())
-    sets = stash(docs.join(asked, "rep", "left_semi").dropDuplicates(["rep"]).select("rep", set_udf()("text").alias("set")))
+def sets_of(asked: DataFrame, reps: DataFrame, docs: DataFrame) -> DataFrame:
+    """(rep, set) of the classes ``asked`` for. ``docs``: d, h, text."""
+    where = stash(reps.join(asked, "rep", "left_semi").select("rep", "d", "h"))
+    return stash(docs.join(where, ["d", "h"]).dropDuplicates(["rep"]).select("rep", set_udf()("text").alias("set")))
+
+
+def confirm(pairs: DataFrame, reps: DataFrame, docs: DataFrame, threshold: int) -> DataFrame:
+    """The pairs (a, b) of classes that are linked on their full sets."""
+    sets = sets_of(pairs.select(F.explode(F.array("a", "b")).alias("rep")).distinct(), reps, docs)
     both = pairs.join(sets.withColumnsRenamed({"rep": "a", "set": "x"}), "a").join(sets.withColumnsRenamed({"rep": "b", "set": "y"}), "b")
     return stash(both.where(linked_udf(threshold)("x", "y")).select("a", "b"))
 
 
+def family_blocks(lists: DataFrame, star: DataFrame, reps: DataFrame) -> DataFrame:
+    """(rep, block): families meet the same smallest id in their lists; large ones are split into blocks of bounded size."""
+    centres = star.groupBy(F.col("b").alias("rep")).agg(F.min("a").alias("family"))
+    member = lists.select("rep").distinct().join(centres, "rep", "left").withColumn("family", F.coalesce("family", "rep")).join(reps.select("rep", "n"), "rep")
+    sizes = member.groupBy("family").agg(F.ceil(F.greatest(F.count("*") / BLOCK, F.sum("n") / BLOCK_SHINGLES)).cast("int").alias("blocks"))
+    return stash(member.join(sizes, "family").select("rep", F.xxhash64("family", F.pmod(F.xxhash64("rep"), F.col("blocks"))).alias("block")))
+
+
 def components(links: DataFrame) -> DataFrame:
     """(rep, comp) for every end of a link: the smallest id that is reachable."""
     both = stash(links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
@@ -202,45 +253,68 @@ def components(links: DataFrame) -> DataFrame:
             return labels
 
 
-def near_duplicates(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", threshold: int = THRESHOLD, matches: int = MATCHES) -> DataFrame:
-    """doc_id, n_shingles, component_id and kept for every row of ``docs``."""
-    named = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
-    sketched = stash(named.select("doc_id", id_order("doc_id").alias("_id"), sketch_udf()("text").alias("k")).select("doc_id", "_id", "k.*"))
+def classified(docs: DataFrame, doc_id: str, text: str, threshold: int, matches: int) -> DataFrame:
+    """Per row: doc_id, d (id as number), h (hash of the text), n (size of the set), comp (smallest id of the component)."""
+    named = docs.select(F.col(doc_id).alias("doc_id"), id_order(doc_id).alias("d"), F.xxhash64(text).alias("h"), F.col(text).alias("text"))
+    sketched = stash(named.select("doc_id", "d", "h", sketch_udf()("text").alias("k")).select("doc_id", "d", "h", "k.*"))
+    # a class is known by its first checksum, its representative by id and text
     reps = stash(
-        sketched.where("n > 0").groupBy("n", "sum1", "sum2").agg(F.min("_id").alias("rep"), F.first("signature").alias("signature"))
+        sketched.where("n > 0").groupBy("n", "sum1", "sum2").agg(F.min(F.struct("d", "h")).alias("r"), F.first("signature").alias("signature")).select(F.col("sum1").alias("rep"), "n", "sum1", "sum2", "r.*", "signature")
     )
     lists = stash(postings(reps, matches))
-    sigs, texts = reps.select("rep", "signature"), named.select(id_order("doc_id").alias("rep"), "text")
+    sigs, texts = reps.select("rep", "signature"), named.select("d", "h", "text")
 
     centre = lists.groupBy("token").agg(F.min("rep").alias("a"))
-    star = lists.join(centre, "token").where("a <> rep").select("a", F.col("rep").alias("b")).distinct()
+    star = stash(lists.join(centre, "token").where("a <> rep").select("a", F.col("rep").alias("b")).distinct())
     met = star.join(sigs.withColumnsRenamed({"rep": "a", "signature": "x"}), "a").join(sigs.withColumnsRenamed({"rep": "b", "signature": "y"}), "b")
-    links = confirm(stash(met.where(collide_udf(matches)("x", "y")).select("a", "b")), texts, threshold)
+    links = confirm(stash(met.where(collide_udf(matches)("x", "y")).select("a", "b")), reps, texts, threshold)
 
-    labels = components(links)
-    member = stash(lists.join(labels, "rep", "left").withColumn("comp", F.coalesce("comp", "rep")))
+    blocks = family_blocks(lists, star, reps)
+    standing = stash(blocks.join(components(links), "rep", "left").withColumn("comp", F.coalesce("comp", "rep")).join(sigs, "rep"))
+    member = stash(lists.join(standing.select("rep", "comp"), "rep"))
     open_lists = member.groupBy("token").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), F.count("*").alias("members")).where("low < high").select("token", "members")
-    blocks = F.ceil(F.col("members") / BLOCK).cast("int")
-    own = F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int")
+    own = F.pmod(F.xxhash64("rep"), F.col("parts")).cast("int")
     dealt = (
-        member.join(open_lists, "token")
-        .join(sigs, "rep")
-        .withColumn("blocks", blocks)
+        member.drop("comp")
+        .join(open_lists, "token")
+        .join(standing, "rep")
+        .withColumn("parts", F.ceil(F.col("members") / BLOCK).cast("int"))
         .withColumn("own", own)
-        .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-        .select("token", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "rep", "comp", "signature", F.when(F.col("own") == F.col("other"), 3).when(F.col("own") < F.col("other"), 1).otherwise(2).alias("side"))
+        .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+        .select("token", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "rep", "comp", "block", "signature", F.when(F.col("own") == F.col("other"), 3).when(F.col("own") < F.col("other"), 1).otherwise(2).alias("side"))
     )
-    met_again = dealt.groupBy("token", "i", "j").agg(F.collect_list(F.struct("rep", "comp", "signature", "side")).alias("m")).where(F.size("m") > 1)
-    across = stash(met_again.select(across_udf(matches)("m.rep", "m.comp", "m.signature", "m.side").alias("pairs")))
-    pairs = across.select(F.explode("pairs").alias("p")).select("p.a", "p.b").distinct()
-    tested = stash(pairs.join(stash(star), ["a", "b"], "left_anti"))
-    links = links.unionByName(confirm(tested, texts, threshold))
-
-    labels = components(links)
-    classes = reps.join(labels, "rep", "left").select("n", "sum1", "sum2", F.coalesce("comp", "rep").alias("comp"))
-    found = sketched.join(classes, ["n", "sum1", "sum2"], "left").withColumn("comp", F.coalesce("comp", "_id"))
+    met_again = dealt.groupBy("token", "i", "j").agg(F.collect_list(F.struct("rep", "comp", "block", "signature", "side")).alias("m")).where(F.size("m") > 1)
+    across = stash(met_again.select(across_udf(matches)("m.rep", "m.comp", "m.block", "m.signature", "m.side").alias("pairs")))
+    asked = stash(across.select(F.explode("pairs").alias("p")).select("p.a", "p.b").distinct())
+    wanted = standing.join(asked.select(F.explode(F.array("a", "b")).alias("block")).distinct(), "block", "left_semi")
+    full = wanted.join(sets_of(wanted.select("rep"), reps, texts), "rep")
+    filled = stash(full.groupBy("block").agg(F.collect_list(F.struct("rep", "comp", "signature", "set")).alias("m")))
+    tasks = asked.join(filled.withColumnsRenamed({"block": "a", "m": "x"}), "a").join(filled.withColumnsRenamed({"block": "b", "m": "y"}), "b")
+    merged = stash(tasks.repartition(F.col("a"), F.col("b")).select(merge_udf(matches, threshold)("x", "y").alias("links")))
+    links = links.unionByName(merged.select(F.explode("links").alias("p")).select("p.a", "p.b"))
+
+    labelled = stash(reps.join(components(links), "rep", "left").select("n", "sum1", "sum2", "d", F.coalesce("comp", "rep").alias("comp")))
+    smallest = labelled.groupBy("comp").agg(F.min("d").alias("least"))
+    classes = labelled.join(smallest, "comp").select("n", "sum1", "sum2", "least")
+    return sketched.drop("signature").join(classes, ["n", "sum1", "sum2"], "left").select("doc_id", "d", "h", "n", F.coalesce("least", "d").alias("comp"))
+
+
+def near_duplicates(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", threshold: int = THRESHOLD, matches: int = MATCHES) -> DataFrame:
+    """doc_id, n_shingles, component_id and kept for every row of ``docs``."""
     back = F.when(F.col("comp") != LOWEST_ID, F.col("comp"))
-    return found.select("doc_id", F.col("n").alias("n_shingles"), back.alias("component_id"), (F.col("_id") == F.col("comp")).alias("kept"))
+    return classified(docs, doc_id, text, threshold, matches).select("doc_id", F.col("n").alias("n_shingles"), back.alias("component_id"), (F.col("d") == F.col("comp")).alias("kept"))
+
+
+def keep_first(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", threshold: int = THRESHOLD, matches: int = MATCHES) -> DataFrame:
+    """One document of each component, the one with the smallest id, with its own columns (of rows with equal id and text, one)."""
+    found = classified(docs, doc_id, text, threshold, matches).where("d = comp")
+    d, h = fresh(docs, "_d"), fresh(docs, "_h")
+    chosen = found.groupBy("d", "h").count().withColumnsRenamed({"d": d, "h": h})
+    keyed = docs.withColumn(d, id_order(doc_id)).withColumn(h, F.xxhash64(text))
+    kept = keyed.join(chosen.drop("count"), [d, h], "left_semi")
+    if not chosen.where("count > 1").isEmpty():
+        kept = kept.dropDuplicates([d, h])
+    return kept.select(*docs.columns)
 
 
 def op5_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
