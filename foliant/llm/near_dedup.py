@@ -38,9 +38,11 @@ SHINGLE = 5
 THRESHOLD = 85
 COORDINATES = 64
 MATCHES = 42
-#: Members of a posting list or a family that are compared at once, and shingles of such a block.
+#: Members of a posting list that are compared at once.
 BLOCK = 512
-BLOCK_SHINGLES = 100_000
+#: Members of a block of a family, and shingles of their sets.
+FAMILY_BLOCK = 4_096
+FAMILY_SHINGLES = 800_000
 #: Words whose hashes a Python worker remembers.
 CACHE = 400_000
 
@@ -175,13 +177,13 @@ def similar(x: np.ndarray, y: np.ndarray, threshold: int) -> bool:
 
 
 def merge_udf(matches: int, threshold: int):
-    """Members of two family blocks -> the links between them that join components, confirmed on the full sets."""
+    """Members of family blocks that meet -> the links between them that join components, confirmed on the full sets."""
 
     @F.arrow_udf("array<struct<a:bigint,b:bigint>>")
-    def merge(lefts: pa.Array, rights: pa.Array) -> pa.Array:
+    def merge(tasks: pa.Array) -> pa.Array:
         out = []
-        for left, right in zip(lefts, rights):
-            members = {r["rep"]: r for r in [*left.as_py(), *right.as_py()]}
+        for task in tasks:
+            members = {r["rep"]: r for r in sorted(task.as_py(), key=lambda r: r["rep"])}
             ids = list(members)
             v = np.array([members[i]["signature"] for i in ids], np.int32)
             sets = [np.frombuffer(members[i]["set"], "<u8") for i in ids]
@@ -235,7 +237,7 @@ def family_blocks(lists: DataFrame, star: DataFrame, reps: DataFrame) -> DataFra
     """(rep, block): families meet the same smallest id in their lists; large ones are split into blocks of bounded size."""
     centres = star.groupBy(F.col("b").alias("rep")).agg(F.min("a").alias("family"))
     member = lists.select("rep").distinct().join(centres, "rep", "left").withColumn("family", F.coalesce("family", "rep")).join(reps.select("rep", "n"), "rep")
-    sizes = member.groupBy("family").agg(F.ceil(F.greatest(F.count("*") / BLOCK, F.sum("n") / BLOCK_SHINGLES)).cast("int").alias("blocks"))
+    sizes = member.groupBy("family").agg(F.ceil(F.greatest(F.count("*") / FAMILY_BLOCK, F.sum("n") / FAMILY_SHINGLES)).cast("int").alias("blocks"))
     return stash(member.join(sizes, "family").select("rep", F.xxhash64("family", F.pmod(F.xxhash64("rep"), F.col("blocks"))).alias("block")))
 
 
@@ -288,9 +290,9 @@ def classified(docs: DataFrame, doc_id: str, text: str, threshold: int, matches:
     asked = stash(across.select(F.explode("pairs").alias("p")).select("p.a", "p.b").distinct())
     wanted = standing.join(asked.select(F.explode(F.array("a", "b")).alias("block")).distinct(), "block", "left_semi")
     full = wanted.join(sets_of(wanted.select("rep"), reps, texts), "rep")
-    filled = stash(full.groupBy("block").agg(F.collect_list(F.struct("rep", "comp", "signature", "set")).alias("m")))
-    tasks = asked.join(filled.withColumnsRenamed({"block": "a", "m": "x"}), "a").join(filled.withColumnsRenamed({"block": "b", "m": "y"}), "b")
-    merged = stash(tasks.repartition(F.col("a"), F.col("b")).select(merge_udf(matches, threshold)("x", "y").alias("links")))
+    tasks = asked.select(F.struct("a", "b").alias("task"), F.explode(F.array_distinct(F.array("a", "b"))).alias("block"))
+    gathered = full.join(tasks, "block").groupBy("task").agg(F.collect_list(F.struct("rep", "comp", "signature", "set")).alias("m")).where(F.size("m") > 1)
+    merged = stash(gathered.select(merge_udf(matches, threshold)("m").alias("links")))
     links = links.unionByName(merged.select(F.explode("links").alias("p")).select("p.a", "p.b"))
 
     labelled = stash(reps.join(components(links), "rep", "left").select("n", "sum1", "sum2", "d", F.coalesce("comp", "rep").alias("comp")))
