@@ -109,7 +109,7 @@ def judge(pages: DataFrame, rules: DataFrame, *, page_id: str = "page_id", url:
     words = bloom(listed, blocks)
 
     host, path = split_url(F.col(url))
-    urls = pages.groupBy(F.col(page_id).alias("page_id"), F.col(url).alias("url")).agg(F.count("*").alias("copies"))
+    urls = stash(pages.groupBy(F.col(page_id).alias("page_id"), F.col(url).alias("url")).agg(F.count("*").alias("copies")))
     split = urls.withColumn("host", host).withColumn("path", path).withColumn("keys", keys_of(F.col("host"), F.col("path"), lengths))
     hashes = F.transform("keys", lambda k: F.xxhash64(k))
     bits = lambda h: F.transform(F.sequence(F.lit(0), F.lit(PROBES - 1)), lambda i: F.shiftrightunsigned(F.xxhash64(h, i), 56))
