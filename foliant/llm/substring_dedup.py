@@ -34,61 +34,38 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from foliant.llm.common import fresh, id_order, stash, table
+from foliant.llm.word_hash import Powers, U, hash_words, mix
 
 WINDOW = 20
 ROUNDS = 2
-#: Words that are parsed at once (a longer document is parsed alone).
-BATCH = 400_000
-#: Words whose hashes a Python worker remembers.
-CACHE = 400_000
+#: Bytes of text that are parsed at once (a longer document is parsed alone).
+BATCH = 2 << 20
 #: Bits of a symbol's place within a batch.
 PLACE_BITS = 26
 
-U = np.uint64
 BASES = (U(0x9E3779B97F4A7C15), U(0xD1B54A32D192ED03))
-INVERSES = tuple(U(pow(int(b), -1, 2**64)) for b in BASES)
-
-
-def mix(h: np.ndarray) -> np.ndarray:
-    h = (h ^ (h >> U(30))) * U(0xBF58476D1CE4E5B9)
-    h = (h ^ (h >> U(27))) * U(0x94D049BB133111EB)
-    return h ^ (h >> U(31))
-
-
-class WordHashes(dict):
-    def __missing__(self, word: bytes) -> int:
-        if len(self) > CACHE:
-            self.clear()
-        h = self[word] = xxhash.xxh3_64_intdigest(word)
-        return h
-
-
-_HASHES = WordHashes()
+POWERS = [Powers(b, U(pow(int(b), -1, 2**64))) for b in BASES]
 
 
 class Batch:
     """Word hashes of several documents in one array."""
 
-    def __init__(self, texts: list[list[bytes]]):
-        sizes = [len(w) for w in texts]
-        self.n = sum(sizes)
-        self.starts = np.cumsum([0, *sizes])
-        self.hashes = np.fromiter((h for w in texts for h in map(_HASHES.__getitem__, w)), U, self.n)
-        self.weights = np.fromiter((k for w in texts for k in map(len, w)), np.int64, self.n)
-        self.doc = np.repeat(np.arange(len(texts)), sizes)
-        self.sums = [np.concatenate([[U(0)], np.cumsum(mix(self.hashes + U(i)) * np.cumprod(np.full(self.n, b)))]) for i, b in enumerate(BASES)]
-        self.back = [np.cumprod(np.concatenate([[U(1)], np.full(self.n, b)])) for b in INVERSES]
+    def __init__(self, texts: list[bytes | None]):
+        self.hashes, self.weights, self.starts = hash_words(texts)
+        self.n = len(self.hashes)
+        self.doc = np.repeat(np.arange(len(texts)), np.diff(self.starts))
+        self.powers = [p.to(self.n + 1) for p in POWERS]
+        self.sums = [np.concatenate([[U(0)], np.cumsum(mix(self.hashes + U(i)) * self.powers[i][0][:-1])]) for i in range(2)]
         at = np.arange(self.n)
         self.windows = at[at + WINDOW <= self.starts[1:][self.doc]] if self.n else at
 
     def checksum(self, start: np.ndarray, end: np.ndarray, which: int = 0) -> np.ndarray:
         """Of the words from start to end, wherever they stand."""
-        return mix((self.sums[which][end] - self.sums[which][start]) * self.back[which][start] + (end - start).astype(U))
+        return mix((self.sums[which][end] - self.sums[which][start]) * self.powers[which][1][start] + (end - start).astype(U))
 
     def symbols(self) -> tuple[np.ndarray, ...]:
         """Names, weights and dependency spans after all rounds."""
@@ -147,28 +124,36 @@ class Batch:
         return np.where(own >= 0, name[np.maximum(own, 0)], check), check, start, count
 
 
-def batches(rows: Iterator[pa.RecordBatch]) -> Iterator[tuple[list[dict], Batch]]:
-    """Rows without their text, and their words, in batches of bounded size."""
-    kept, texts, size = [], [], 0
+def portions(texts: list[bytes | None]) -> Iterator[tuple[int, int]]:
+    """Ranges of texts of bounded size."""
+    start = size = 0
+    for i, text in enumerate(texts):
+        size += len(text or b"")
+        if size > BATCH and i > start:
+            yield start, i
+            start, size = i, len(text or b"")
+    if start < len(texts):
+        yield start, len(texts)
+
+
+def batches(rows: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, Batch]]:
+    """Rows and their words, in batches of bounded size."""
     for record in rows:
-        words = [x.split() if x else [] for x in record["text"].cast(pa.binary()).to_pylist()]
-        for row, w in zip(record.drop_columns(["text"]).to_pylist(), words):
-            if kept and size + len(w) > BATCH:
-                yield kept, Batch(texts)
-                kept, texts, size = [], [], 0
-            kept.append(row)
-            texts.append(w)
-            size += len(w)
-    if kept:
-        yield kept, Batch(texts)
+        texts = record["text"].cast(pa.binary()).to_pylist()
+        for i, j in portions(texts):
+            yield record.slice(i, j - i), Batch(texts[i:j])
+
+
+def keys(record: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
+    return record["d"].to_numpy(zero_copy_only=False), record["h"].to_numpy(zero_copy_only=False).astype(np.int32)
 
 
 def segment_rows(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """d, h, text -> a row for every segment."""
-    for kept, batch in batches(rows):
+    for record, batch in batches(rows):
         anchor, check, start, count = batch.segments()
         doc = batch.doc[start] if len(start) else np.zeros(0, np.int64)
-        d, h = np.array([r["d"] for r in kept], np.int64), np.array([r["h"] for r in kept], np.int32)
+        d, h = keys(record)
         yield pa.RecordBatch.from_arrays(
             [pa.array(anchor.view(np.int64)), pa.array(check.view(np.int64)), pa.array(d[doc]), pa.array(h[doc]), pa.array((start - batch.starts[doc]).astype(np.int32)), pa.array(count.astype(np.int32))],
             names=["anchor", "check", "d", "h", "start", "n"],
@@ -177,48 +162,55 @@ def segment_rows(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def window_rows(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """d, h, open segments, text -> a row for every window of these segments."""
-    for kept, batch in batches(rows):
-        at = [np.arange(x["start"], x["start"] + x["n"]) + batch.starts[i] for i, r in enumerate(kept) for x in r["open"]]
+    for record, batch in batches(rows):
+        at = [np.arange(x["start"], x["start"] + x["n"]) + batch.starts[i] for i, spans in enumerate(record["open"].to_pylist()) for x in spans]
         at = np.concatenate(at) if at else np.zeros(0, np.int64)
         doc = batch.doc[at]
-        d, h = np.array([r["d"] for r in kept], np.int64), np.array([r["h"] for r in kept], np.int32)
+        d, h = keys(record)
         sums = [pa.array(batch.checksum(at, at + WINDOW, i).view(np.int64)) for i in (0, 1)]
         yield pa.RecordBatch.from_arrays([*sums, pa.array(d[doc]), pa.array(h[doc]), pa.array((at - batch.starts[doc]).astype(np.int32))], names=["w1", "w2", "d", "h", "start"])
 
 
+def repeats(batch: Batch) -> np.ndarray:
+    """Windows whose words also start earlier in the same document."""
+    one, two = (batch.checksum(batch.windows, batch.windows + WINDOW, i) for i in (0, 1))
+    doc = batch.doc[batch.windows]
+    order = np.argsort(one + mix(doc.astype(U)), kind="stable")
+    a, b = order[:-1], order[1:]
+    # equal windows of a document stand together, in order
+    return batch.windows[b[(one[a] == one[b]) & (two[a] == two[b]) & (doc[a] == doc[b])]]
+
+
 def cut_udf():
     @F.arrow_udf("struct<n_words:bigint,n_removed:bigint,kept:string>")
     def cut(texts: pa.Array, segments: pa.Array, windows: pa.Array) -> pa.Array:
+        raw, segs, starts = texts.cast(pa.binary()).to_pylist(), segments.to_pylist(), windows.to_pylist()
         n, removed, kept = [], [], []
-        for text, segs, starts in zip(texts.cast(pa.binary()).to_pylist(), segments.to_pylist(), windows.to_pylist()):
-            words = text.split() if text else []
-            n.append(len(words))
-            if len(words) < WINDOW:
-                removed.append(0)
-                kept.append(b" ".join(words))
-                continue
-            batch = Batch([words])
-            sums = np.stack([batch.checksum(batch.windows, batch.windows + WINDOW, i) for i in (0, 1)], 1)
-            order = np.lexsort((batch.windows, sums[:, 1], sums[:, 0]))
-            again = (sums[order][1:] == sums[order][:-1]).all(axis=1)
-            hit = np.zeros(len(words) + 1, np.int64)  # changes of the number of repeated windows that cover a word
-            for start in (order[1:][again], np.array(starts or [], np.int64)):
-                np.add.at(hit, start, 1)
-                np.add.at(hit, start + WINDOW, -1)
-            for s in segs or ():
-                hit[s["start"]] += 1
-                hit[s["start"] + s["n"] - 1 + WINDOW] -= 1
+        for i, j in portions(raw):
+            batch = Batch(raw[i:j])
+            first = batch.starts[:-1].tolist()
+            ranges = [(a + s["start"], a + s["start"] + s["n"] - 1 + WINDOW) for a, some in zip(first, segs[i:j]) for s in some or ()]
+            single = np.concatenate([repeats(batch), np.array([a + s for a, some in zip(first, starts[i:j]) for s in some or ()], np.int64)])
+            hit = np.zeros(batch.n + 1, np.int64)  # changes of the number of repeated windows that cover a word
+            np.add.at(hit, single, 1)
+            np.add.at(hit, single + WINDOW, -1)
+            if ranges:
+                begin, end = np.array(ranges).T
+                np.add.at(hit, begin, 1)
+                np.add.at(hit, end, -1)
             stays = hit.cumsum()[:-1] == 0
-            removed.append(len(words) - int(stays.sum()))
-            kept.append(b" ".join([words[i] for i in np.flatnonzero(stays).tolist()]))
+            for text, a, b in zip(raw[i:j], first, batch.starts[1:].tolist()):
+                words = text.split() if text else []
+                own = stays[a:b]
+                lost = b - a - int(own.sum())
+                n.append(b - a)
+                removed.append(lost)
+                kept.append(b" ".join([words[k] for k in np.flatnonzero(own).tolist()] if lost else words))
         return pa.StructArray.from_arrays([pa.array(n, pa.int64()), pa.array(removed, pa.int64()), pa.array(kept, pa.binary()).cast(pa.string())], names=["n_words", "n_removed", "kept"])
 
     return cut
 
 
-SEGMENTS = "array<struct<start:int,n:int>>"
-
-
 def dedup_passages(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", carry: list[str] | None = None, out: str = "passages") -> tuple[DataFrame, str]:
     """The ``carry`` columns (default: all) with a struct (n_words, n_removed, kept text) in a new column; returns its name too."""
     out = fresh(docs, out)
