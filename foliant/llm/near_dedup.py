@@ -28,11 +28,11 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from foliant.llm.common import LOWEST_ID, fresh, id_order, stash, table
+from foliant.llm.word_hash import hash_words, mix
 
 SHINGLE = 5
 THRESHOLD = 85
@@ -43,54 +43,34 @@ BLOCK = 512
 #: Members of a block of a family, and shingles of their sets.
 FAMILY_BLOCK = 4_096
 FAMILY_SHINGLES = 800_000
-#: Words whose hashes a Python worker remembers.
-CACHE = 400_000
 
-LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 _random = np.random.default_rng(20)
 PLACES = _random.integers(0, 2**64, SHINGLE, np.uint64) | np.uint64(1)
 FACTORS = _random.integers(0, 2**32, COORDINATES, np.uint32) | np.uint32(1)
 SHIFTS = _random.integers(0, 2**32, COORDINATES, np.uint32)
 
 
-def mix(h: np.ndarray, seed: int = 0) -> np.ndarray:
-    """A bijection of 64-bit numbers that scatters them."""
-    h = h + np.uint64(0x9E3779B97F4A7C15 * (seed + 1) % 2**64)
-    h = (h ^ (h >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-    h = (h ^ (h >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    return h ^ (h >> np.uint64(31))
-
-
-class WordHashes(dict):
-    def __missing__(self, word: bytes) -> int:
-        if len(self) > CACHE:
-            self.clear()
-        h = self[word] = xxhash.xxh3_64_intdigest(word)
-        return h
-
-
-_HASHES = WordHashes()
-
-
-def shingle_set(text: bytes | None) -> np.ndarray:
-    """Sorted 64-bit hashes of the distinct shingles."""
-    words = text.translate(LOWER).split() if text else []
-    n = len(words)
-    if not n:
-        return np.zeros(0, np.uint64)
-    hashes = np.fromiter(map(_HASHES.__getitem__, words), np.uint64, n)
-    width = min(n, SHINGLE)
-    total = np.full(n - width + 1, width, np.uint64)
-    for i in range(width):
-        total += hashes[i : n - width + 1 + i] * PLACES[i]
-    return np.unique(mix(total))
+def shingle_sets(texts: list[bytes | None]) -> list[np.ndarray]:
+    """Sorted 64-bit hashes of the distinct shingles of each text."""
+    hashes, _, starts = hash_words(texts, fold=True)
+    total = np.zeros(len(hashes), np.uint64)
+    for i in range(SHINGLE):
+        total[: len(hashes) - i] += hashes[i:] * PLACES[i]
+    out = []
+    for a, b in zip(starts.tolist(), starts[1:].tolist()):
+        if b - a >= SHINGLE:
+            own = total[a : b - SHINGLE + 1] + np.uint64(SHINGLE)
+        else:  # the whole sequence
+            own = (hashes[a:b] * PLACES[: b - a]).sum(keepdims=True) + np.uint64(b - a) if b > a else hashes[a:a]
+        out.append(np.unique(mix(own)))
+    return out
 
 
 def signatures(sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     """Two checksums and the MinHash values of non-empty sets."""
     flat = np.concatenate(sets)
     starts = np.cumsum([0, *[len(s) for s in sets[:-1]]])
-    sums = np.stack([np.add.reduceat(mix(flat, seed), starts) for seed in (1, 2)], 1)
+    sums = np.stack([np.add.reduceat(mix(flat + np.uint64(seed)), starts) for seed in (1, 2)], 1)
     short = (flat >> np.uint64(32)).astype(np.uint32)
     values = np.stack([np.minimum.reduceat(short * a + b, starts) for a, b in zip(FACTORS, SHIFTS)], 1)
     return sums.view(np.int64), values
@@ -103,7 +83,7 @@ def sketch_udf():
     def sketch(texts: pa.Array) -> pa.Array:
         n, sums, sigs = [], [], []
         for at in range(0, len(texts), 250):
-            sets = [shingle_set(x) for x in texts[at : at + 250].cast(pa.binary()).to_pylist()]
+            sets = shingle_sets(texts[at : at + 250].cast(pa.binary()).to_pylist())
             full = [s for s in sets if len(s)]
             pair, values = signatures(full) if full else (np.zeros((0, 2), np.int64), np.zeros((0, COORDINATES), np.uint32))
             rows = iter(zip(pair.tolist(), values))
@@ -122,7 +102,8 @@ def sketch_udf():
 def set_udf():
     @F.arrow_udf("binary")
     def sets(texts: pa.Array) -> pa.Array:
-        return pa.array([shingle_set(x).tobytes() for x in texts.cast(pa.binary()).to_pylist()], pa.binary())
+        raw = texts.cast(pa.binary()).to_pylist()
+        return pa.array([s.tobytes() for at in range(0, len(raw), 250) for s in shingle_sets(raw[at : at + 250])], pa.binary())
 
     return sets
 
