@@ -109,12 +109,13 @@ def judge(pages: DataFrame, rules: DataFrame, *, page_id: str = "page_id", url:
     words = bloom(listed, blocks)
 
     host, path = split_url(F.col(url))
-    urls = stash(pages.groupBy(F.col(page_id).alias("page_id"), F.col(url).alias("url")).agg(F.count("*").alias("copies")))
+    urls = pages.groupBy(F.col(page_id).alias("page_id"), F.col(url).alias("url")).agg(F.count("*").alias("copies"))
     split = urls.withColumn("host", host).withColumn("path", path).withColumn("keys", keys_of(F.col("host"), F.col("path"), lengths))
     hashes = F.transform("keys", lambda k: F.xxhash64(k))
     bits = lambda h: F.transform(F.sequence(F.lit(0), F.lit(PROBES - 1)), lambda i: F.shiftrightunsigned(F.xxhash64(h, i), 56))
-    hits = probe_udf(spark, words)(F.col("keys"), F.transform(hashes, lambda h: block_of(h, blocks)), F.transform(hashes, bits))
-    probed = stash(split.select("page_id", "url", "host", "path", "copies", hits.alias("hits")))
+    # written, because Spark does not extract a Python function whose arguments hold lambdas
+    hashed = stash(split.select("*", F.transform(hashes, lambda h: block_of(h, blocks)).alias("blocks"), F.transform(hashes, bits).alias("bits")))
+    probed = hashed.select("page_id", "url", "host", "path", "copies", probe_udf(spark, words)("keys", "blocks", "bits").alias("hits"))
     maybe = probed.select("page_id", "url", "host", "path", "copies", F.explode_outer("hits").alias("key"))
     if n <= MAX_BROADCAST_ROWS:
         joined = maybe.join(F.broadcast(listed), "key", "left")
