@@ -9,8 +9,9 @@ input. Steps, all DataFrame functions:
 2. Equal sets are one class, represented by their earliest line, in one partial aggregation: a line
    with any number of copies goes on as one row.
 3. Representatives are posted under their rarest words, as many as two similar sets must share one of
-   (prefix filter), and meet in a join on the word. Candidates must pass the length filter and the
-   positional filter, which bounds the words they can still share by their places in both orders.
+   (prefix filter), and meet in a join on the word. Candidates must pass the length filter, the
+   positional filter, which bounds the words they can still share by their places in both orders, and
+   a filter on 128 parity bits, which bounds the words in which they differ.
 4. The candidates' lines are read again and their Jaccard similarity is verified exactly.
 5. Documents keep the representatives without an earlier match, and blank lines.
 
@@ -32,8 +33,10 @@ from pyspark.sql import functions as F
 
 from foliant.llm.common import fresh, id_order, stash, table
 
-THRESHOLD = 0.8
+THRESHOLD = 0.9
 BUCKETS = 1 << 16
+#: Candidate lines whose places are broadcast; more of them meet their documents in a shuffle.
+MAX_BROADCAST_LINES = 1_000_000
 
 
 def words(text: Column) -> Column:
@@ -73,22 +76,38 @@ def least_overlap(n: Column, m: Column, threshold: float) -> Column:
     return F.ceil(threshold / (1 + threshold) * (n + m) - 1e-9)
 
 
+def parity(codes: Column, half: int) -> Column:
+    """64 bits, each the parity of the number of words that hash to it. Two sets differ in no fewer words than bits."""
+    single = F.lit([1 << i for i in range(63)] + [-(1 << 63)])
+    own = lambda c: F.when(F.shiftright(c, 6) % 2 == half, single[(c % 64).cast("int")]).otherwise(F.lit(0).cast("long"))
+    return F.aggregate(codes, F.lit(0).cast("long"), lambda acc, c: acc.bitwiseXOR(own(c)))
+
+
 def representatives(docs: DataFrame, ranks: Column, threshold: float) -> DataFrame:
-    """One row per distinct set: k1, k2, its earliest line (d, h, ln), size and prefix."""
+    """One row per distinct set: k1, k2, its earliest line (d, h, ln), size, prefix and parity bits."""
     coded = lines_of(docs).select("d", "h", "ln", codes(F.col("line"), ranks).alias("codes"))
     n = F.size("codes")
     prefix = F.slice("codes", F.lit(1), (n - F.ceil(threshold * n - 1e-9) + 1).cast("int"))
-    keyed = coded.where(n > 0).select(F.xxhash64("codes").alias("k1"), F.xxhash64(F.lit(1), "codes").alias("k2"), F.struct("d", "h", "ln", n.alias("n"), prefix.alias("prefix")).alias("r"))
+    r = F.struct("d", "h", "ln", n.alias("n"), prefix.alias("prefix"), *[parity(F.col("codes"), i).alias(f"bits{i}") for i in (0, 1)])
+    keyed = coded.where(n > 0).select(F.xxhash64("codes").alias("k1"), F.xxhash64(F.lit(1), "codes").alias("k2"), r.alias("r"))
     return keyed.groupBy("k1", "k2").agg(F.min("r").alias("r")).select("k1", "k2", "r.*")
 
 
 def candidates(reps: DataFrame, threshold: float) -> DataFrame:
-    """Pairs of representatives (a before b) that pass the prefix, length and positional filters."""
-    posted = reps.where("n > 3").select(F.posexplode("prefix").alias("i", "code"), "k1", "n")  # smaller sets are similar only when equal
-    left, right = (posted.select("code", *[F.col(c).alias(f"{c}{side}") for c in ("k1", "n", "i")]) for side in "ab")
-    n, m = F.col("na"), F.col("nb")
-    reachable = 1 + F.least(n - F.col("ia"), m - F.col("ib")) - 1
-    met = left.join(right, "code").where((F.col("k1a") < F.col("k1b")) & (F.least(n, m) >= threshold * F.greatest(n, m) - 1e-9) & (reachable >= least_overlap(n, m, threshold)))
+    """Pairs of representatives that pass the prefix, length, positional and parity filters.
+
+    Of a pair the smaller set needs a shorter prefix only, because it must share more of its words.
+    """
+    n = F.col("n")
+    short = F.slice("prefix", F.lit(1), (n - F.ceil(2 * threshold / (1 + threshold) * n - 1e-9) + 1).cast("int"))
+    posted = lambda prefix, side: reps.where(n > 3).select(*[F.col(c).alias(c + side) for c in ("k1", "n", "bits0", "bits1")], F.posexplode(prefix).alias("i" + side, "code"))
+    left, right = posted(short, "a"), posted(F.col("prefix"), "b")  # smaller sets than these are similar only when equal
+    na, nb = F.col("na"), F.col("nb")
+    least = least_overlap(na, nb, threshold)
+    reachable = F.least(na - F.col("ia"), nb - F.col("ib"))
+    differ = sum(F.bit_count(F.col(f"bits{i}a").bitwiseXOR(F.col(f"bits{i}b"))) for i in (0, 1))
+    sizes = (na >= threshold * nb - 1e-9) & ((na < nb) | ((na == nb) & (F.col("k1a") < F.col("k1b"))))
+    met = left.join(right, "code").where(sizes & (reachable >= least) & (differ <= na + nb - 2 * least))
     return met.select("k1a", "k1b").distinct()
 
 
@@ -98,6 +117,8 @@ def matched(docs: DataFrame, reps: DataFrame, ranks: Column, threshold: float) -
     asked = pairs.select(F.explode(F.array("k1a", "k1b")).alias("k1")).distinct()
     where = stash(reps.join(asked, "k1", "left_semi").select("k1", "d", "h", "ln"))
     by_doc = where.groupBy("d", "h").agg(F.collect_list(F.struct("ln", "k1")).alias("asked"))
+    if where.count() <= MAX_BROADCAST_LINES:
+        by_doc = F.broadcast(by_doc)
     lines = docs.join(by_doc, ["d", "h"]).select("d", "h", F.split("text", "\n").alias("lines"), F.explode("asked").alias("a"))
     sets = stash(lines.select(F.struct("d", "h", "a.ln").alias("at"), "a.k1", codes(F.col("lines")[F.col("a.ln")], ranks).alias("codes")).dropDuplicates(["at"]))
     both = pairs.join(sets.select(F.col("k1").alias("k1a"), F.col("at").alias("ata"), F.col("codes").alias("x")), "k1a").join(
