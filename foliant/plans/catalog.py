@@ -1,6 +1,559 @@
-"""All queries on the reference tables, with their SQL counterparts."""
+"""All queries on the given tables, with their SQL counterparts.
+
+Each query applies one operator to a whole table. Where the tables lack a form (data URLs, ink marks,
+escape codes), query and SQL add the same literals to every row.
+"""
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from foliant.functions import cells, shapes
+from foliant.functions import text as T
+from foliant.operators import archive, files, layout, transcript
+from foliant.session import importable
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+ORACLE_SQL: dict[str, str] = {}
+
+KEY = bytes(range(32))
+#: Capacities of 176-pixel pages of the high and the low tier, and a page budget, so that all tiers occur.
+HIGH, LOW, MOST = 160, 220, 11
+
+
+def query(sql: str | None = None):
+    """Register a query under its function's name."""
+
+    def add(f: Callable) -> Callable:
+        QUERIES[f.__name__] = lambda spark, sf_dir: f(lambda name: importable(spark).read.parquet(f"{sf_dir}/{name}.parquet"))
+        if sql:
+            ORACLE_SQL[f.__name__] = sql
+        return f
+
+    return add
+
+
+def quoted(text: str) -> str:
+    return "'" + text.replace("'", "''") + "'"
+
+
+# --- Messages and sections -------------------------------------------------------------------------
+
+SAID = """said AS (
+  SELECT conv_id, turn, role, translate(text, chr(14) || chr(15), '') AS text FROM conversations
+  WHERE (role = 'user' AND text <> '') OR (role = 'assistant' AND regexp_matches(translate(text, chr(14) || chr(15), ''), '\\S'))
+)"""
+SECTIONS = (
+    SAID
+    + """, parts AS (SELECT conv_id, turn, CASE role WHEN 'user' THEN '»user:' ELSE '»ai:' END AS prefix, text FROM said),
+islands AS (SELECT *, sum(starts) OVER (PARTITION BY conv_id ORDER BY turn) AS section FROM (SELECT *, CASE WHEN lag(prefix) OVER (PARTITION BY conv_id ORDER BY turn) = prefix THEN 0 ELSE 1 END AS starts FROM parts)),
+spaced AS (SELECT *, CASE WHEN lag(text) OVER w IS NULL OR ends_with(lag(text) OVER w, chr(10)) OR starts_with(text, chr(10)) THEN '' ELSE chr(10) END AS gap FROM islands WINDOW w AS (PARTITION BY conv_id, section ORDER BY turn)),
+sections AS (SELECT conv_id, CAST(section AS BIGINT) AS section, prefix, prefix || string_agg(gap || text, '' ORDER BY turn) AS text FROM spaced GROUP BY conv_id, section, prefix)"""
+)
+TRANSCRIPT = SECTIONS + ", transcript AS (SELECT conv_id, string_agg(text, chr(10) || chr(10) ORDER BY section) AS text FROM sections GROUP BY conv_id)"
+NORMAL = TRANSCRIPT + ", normal AS (SELECT conv_id, trim(regexp_replace(regexp_replace(text, '\\s*\\n\\s*', '█', 'g'), '\\s+', ' ', 'g'), ' █') AS text FROM transcript)"
+
+
+@query(f"WITH {SAID} SELECT conv_id, turn, role, text FROM said")
+def messages_filtered(t):
+    return transcript.said(t("conversations")).select("conv_id", "turn", "role", "text")
+
+
+@query(f"WITH {SECTIONS} SELECT conv_id, section, prefix, text FROM sections")
+def sections_merged(t):
+    return transcript.sections(transcript.tagged(t("conversations"))).withColumn("section", F.col("section").cast("long"))
+
+
+@query(f"WITH {TRANSCRIPT} SELECT conv_id, text FROM transcript")
+def transcripts(t):
+    return transcript.transcripts(t("conversations"))
+
+
+@query("SELECT conv_id, prefix, count(*) AS n FROM (SELECT conv_id, CASE role WHEN 'user' THEN '»user:' WHEN 'assistant' THEN '»ai:' ELSE 'none' END AS prefix FROM conversations) GROUP BY ALL")
+def section_prefix(t):
+    tag = F.when(F.col("role") == "user", T.SECTION_TAGS["user"]).when(F.col("role") == "assistant", T.SECTION_TAGS["ai"]).otherwise("none")
+    return t("conversations").groupBy("conv_id", tag.alias("prefix")).agg(F.count("*").alias("n"))
+
+
+def normal(t) -> DataFrame:
+    return transcript.transcripts(t("conversations")).select("conv_id", T.normalize_latin(F.col("text")).alias("text"))
+
+
+# --- Tool calls: events are calls, documents are results ---------------------------------------------
+
+CALLS = "calls AS (SELECT event_id % 40 AS conv_id, event_id AS call_id, event_id * 7 % 1000 AS seq, event_type AS name, CAST(user_id AS VARCHAR) AS user_id, coalesce(props, 'undefined') AS props FROM events)"
+RESULTS = "results AS (SELECT doc_id % 40 AS conv_id, doc_id AS call_id, doc_id * 3 % 1000 AS seq, coalesce(text, '') AS text FROM documents)"
+BODY = "'<out>' || chr(10) || chr(14) || CASE WHEN length({0}) <= 2000 THEN {0} ELSE left({0}, 1200) || ' […' || (length({0}) - 2000) || 'ch elided…] ' || right({0}, 800) END || chr(15) || chr(10) || '</out>'"
+
+
+def calls(t) -> DataFrame:
+    args = F.array(F.struct(F.lit("user").alias("k"), F.col("user_id").cast("string").alias("v_json")), F.struct(F.lit("props").alias("k"), F.coalesce("props", F.lit("undefined")).alias("v_json")))
+    return t("events").select((F.col("event_id") % 40).alias("conv_id"), F.col("event_id").alias("call_id"), (F.col("event_id") * 7 % 1000).alias("seq"), F.col("event_type").alias("name"), args.alias("args"))
+
+
+def results(t) -> DataFrame:
+    return t("documents").select((F.col("doc_id") % 40).alias("conv_id"), F.col("doc_id").alias("call_id"), (F.col("doc_id") * 3 % 1000).alias("seq"), F.coalesce("text", F.lit("")).alias("text"))
+
+
+@query(
+    f"WITH {CALLS}, {RESULTS} SELECT c.conv_id, c.call_id, c.seq, c.name || '(user=' || c.user_id || ', props=' || c.props || ')' || CASE WHEN r.text <> '' THEN chr(10) || {BODY.format('r.text')} ELSE '' END AS text "
+    "FROM calls c LEFT JOIN results r USING (conv_id, call_id)"
+)
+def tool_call_left_join(t):
+    return transcript.calls_with_results(calls(t), results(t))
+
+
+@query(
+    f"WITH {CALLS}, {RESULTS}, first AS (SELECT conv_id, call_id, min(seq) AS call_seq FROM calls WHERE call_id % 3 > 0 GROUP BY ALL) "
+    f"SELECT r.conv_id, r.call_id, r.seq, chr(10) || {BODY.format('r.text')} AS text FROM results r LEFT JOIN first f USING (conv_id, call_id) WHERE r.text <> '' AND (f.call_seq IS NULL OR f.call_seq > r.seq)"
+)
+def orphan_results(t):
+    return transcript.orphans(calls(t).where("call_id % 3 > 0"), results(t))
+
+
+@query("SELECT conv_id, call_id, max_by(text, seq) AS result FROM (SELECT doc_id % 7 AS conv_id, doc_id % 100 AS call_id, doc_id AS seq, text FROM documents WHERE text <> '') GROUP BY ALL")
+def last_result_wins(t):
+    shaped = t("documents").select((F.col("doc_id") % 7).alias("conv_id"), (F.col("doc_id") % 100).alias("call_id"), F.col("doc_id").alias("seq"), "text")
+    return transcript.last_results(shaped)
+
+
+# --- Scalar text functions -----------------------------------------------------------------------------
+
+
+def over_documents(expression: Callable[[Column], Column], before: str = "", after: str = ""):
+    def run(t) -> DataFrame:
+        body = F.concat(F.lit(before), F.coalesce("text", F.lit("")), F.lit(after))
+        return t("documents").select("doc_id", expression(body).alias("text"))
+
+    return run
+
+
+def scalar(name: str, expression: Callable[[Column], Column], sql: str, before: str = "", after: str = "") -> None:
+    """A query over all document texts; ``sql`` uses {0} for the text."""
+    run = over_documents(expression, before, after)
+    run.__name__ = name
+    source = f"(SELECT doc_id, {quoted(before)} || coalesce(text, '') || {quoted(after)} AS b FROM documents)"
+    query(f"SELECT doc_id, {sql.format('b')} AS text FROM {source}")(run)
+
+
+URL = "data:image/png;base64,"
+scalar("truncate_middle", lambda c: T.truncate_middle(c, 2000, 0.6), "CASE WHEN length({0}) <= 2000 THEN {0} ELSE left({0}, 1200) || ' […' || (length({0}) - 2000) || 'ch elided…] ' || right({0}, 800) END")
+scalar("strip_markers", T.strip_marks, "translate({0}, chr(14) || chr(15), '')", "a\u000eb\u000f")
+scalar("plain_text", T.plain_text, "replace(translate({0}, chr(14) || chr(15), ''), '█', chr(10))", "a█\u000eb")
+scalar("elide_data_urls", T.elide_data_urls, "replace(replace({0}, '(data:image/png;base64,QUJDREVG)', '([data URL omitted: image/png, 8 base64 chars]'), 'data:text/x;base64,AAAA BBBB', '[data URL omitted: text/x, 8 base64 chars]')", "x (data:image/png;base64,QUJDREVG) y data:image/png;base64,abc! data:text/x;base64,AAAA BBBB. ")
+scalar("strip_ansi", T.strip_ansi, "regexp_replace({0}, chr(27) || '\\[[0-9;?]*[ -/]*[@-~]|' || chr(27) || '\\][^\\x07\\x1b]*\\x07', '', 'g')", "\u001b[1;31mred\u001b[0m \u001b]0;title\u0007")
+scalar("collapse_space", T.collapse_space, "trim(regexp_replace(regexp_replace({0}, '\\s*\\n\\s*', '█', 'g'), '\\s+', ' ', 'g'), ' █')", "  a  b\n\n\nc ", " \n\t")
+scalar("fold_signs", T.fold_signs, "replace(replace(replace(replace(replace({0}, '“', '\"'), '”', '\"'), '→', '->'), '…', '...'), '✅', '[OK]')", "“a” → b… ✅ ")
+scalar("fold_boxes", T.fold_boxes, "replace(replace(replace(replace({0}, '│', '|'), '─', '-'), '┌', '+'), '╬', '+')", "┌──│╬")
+scalar("normalize_latin1", T.normalize_latin, "trim(regexp_replace(replace(replace(regexp_replace({0}, '\\s*\\n\\s*', '█', 'g'), '→', '->'), '│', '|'), '\\s+', ' ', 'g'), ' █')", "\n a → │ ")
+STOPS = "|".join(T.STOPWORDS)
+scalar("dim_stopwords", T.dim_stopwords, "(SELECT string_agg(CASE WHEN list_contains(string_split('" + STOPS + "', '|'), lower(w)) THEN chr(14) || w || chr(15) ELSE w END, '' ORDER BY i) FROM (SELECT unnest(s) AS w, unnest(range(len(s))) AS i FROM (SELECT regexp_extract_all({0}, '[a-zA-ZÀ-ÖØ-öø-ÿ]+|[^a-zA-ZÀ-ÖØ-öø-ÿ]+') AS s)))", "The quick fox, ")
+SIZE = "CASE WHEN {0} >= 1000000 THEN (({0} + 50000) // 100000 // 10) || '.' || (({0} + 50000) // 100000 % 10) || ' MB' WHEN {0} >= 1000 THEN (({0} + 50) // 100 // 10) || '.' || (({0} + 50) // 100 % 10) || ' KB' ELSE {0} || ' B' END"
+scalar("format_bytes", lambda c: T.format_bytes(F.length(c).cast("long") * 37), SIZE.format("(length({0}) * 37)"))
+
+
+@query(
+    "WITH s AS (SELECT doc_id, '»user:a' || chr(10) || chr(10) || '»think:' || replace(coalesce(text, ''), chr(10), '█') || chr(10) || chr(10) || '»ai:b' AS b FROM documents), "
+    "g AS (SELECT doc_id, string_split(b, '█') AS g FROM s) "
+    "SELECT doc_id, array_to_string(list_filter(list_transform(g, lambda x, i: CASE WHEN i = 1 AND len(g) = 1 THEN '»user:a' || chr(10) || chr(10) || '»ai:b' WHEN i = 1 THEN '»user:a' ELSE x END), lambda x: x <> ''), '█') AS text FROM g"
+)
+def strip_thinking(t):
+    body = F.concat(F.lit("»user:a\n\n»think:"), F.translate(F.coalesce("text", F.lit("")), "\n", T.CELL), F.lit("\n\n»ai:b"))
+    return t("documents").select("doc_id", T.strip_thinking(body).alias("text"))
+
+
+@query("SELECT doc_id, CASE WHEN length(b) > 24000 THEN left(b, 12000) || chr(10) || '[…' || (length(b) - 24000) || 'ch of archived history omitted for a non-vision model…]' || chr(10) || right(b, 12000) ELSE b END AS text FROM (SELECT doc_id, coalesce(text, '') || ' end' AS b FROM documents)")
+def text_replay(t):
+    source = F.concat(F.lit("head"), F.coalesce("text", F.lit("")), F.lit(" end"), F.lit("tail"))
+    return t("documents").select("doc_id", T.bounded_replay(source, F.lit("head"), F.lit("tail"), F.lit(True)).alias("text"))
+
+
+@query("SELECT doc_id, to_base64(encode(coalesce(text, ''))) AS data, true AS same FROM documents")
+def base64_frames(t):
+    data = F.regexp_replace(F.base64(F.coalesce("text", F.lit("")).cast("binary")), r"[\r\n]", "")
+    return t("documents").select("doc_id", data.alias("data"), (F.unbase64(data) == F.coalesce("text", F.lit("")).cast("binary")).alias("same"))
+
+
+@query("SELECT doc_id, 0.0 AS ratio, true AS is_safe, CAST(length(regexp_replace(coalesce(text, ''), '[█\\x0e\\x0f]', '', 'g')) AS BIGINT) AS n FROM documents")
+def renderability(t):
+    """Share of characters that would print as ``?``: none for Latin-1 texts."""
+    body = F.coalesce("text", F.lit(""))
+    lost = F.regexp_count(body, F.lit(r"[^\x00-\x{FF}]")).cast("double")
+    graphics = F.length(F.regexp_replace(body, "[█\u000e\u000f]", "")).cast("long")
+    ratio = F.when(graphics > 0, lost / graphics).otherwise(0.0)
+    return t("documents").select("doc_id", ratio.alias("ratio"), (ratio <= 0.05).alias("is_safe"), graphics.alias("n"))
+
+
+@query("SELECT doc_id, doc_id % 3 = 0 AND length(regexp_replace(left(coalesce(text, ''), 20), '\\s', '', 'g')) <= 24 AS heavy FROM documents")
+def cjk_heavy(t):
+    body = F.regexp_replace(F.left(F.coalesce("text", F.lit("")), F.lit(20)), r"\s", "")
+    return t("documents").select("doc_id", cells.is_ideographic(F.when(F.col("doc_id") % 3 == 0, F.concat(body, F.lit("日本語日本語日本"))).otherwise(body)).alias("heavy"))
+
+
+# --- Files ------------------------------------------------------------------------------------------------
+
+OPS = """ops AS (
+  SELECT p_partkey % 40 AS conv_id, p_name AS path, CASE p_partkey % 3 WHEN 0 THEN 'read' WHEN 1 THEN 'written' ELSE 'edited' END AS op FROM part
+  UNION ALL SELECT page_id % 40, url, 'read' FROM pages UNION ALL SELECT p_partkey % 40, p_name, 'read' FROM part WHERE p_partkey % 5 = 0
+), kept AS (SELECT * FROM ops WHERE NOT regexp_matches(path, '(?i)[a-z][a-z0-9+.-]*://')),
+modes AS (SELECT conv_id, path, CASE WHEN bool_or(op = 'read') AND bool_or(op <> 'read') THEN 'read+write' WHEN bool_or(op <> 'read') THEN 'written' ELSE 'read' END AS mode FROM kept GROUP BY ALL)"""
+
+
+def operations(t) -> DataFrame:
+    op = F.when(F.col("p_partkey") % 3 == 0, "read").when(F.col("p_partkey") % 3 == 1, "written").otherwise("edited")
+    part = t("part").select((F.col("p_partkey") % 40).alias("conv_id"), F.col("p_name").alias("path"), op.alias("op"), "p_partkey")
+    pages = t("pages").select((F.col("page_id") % 40).alias("conv_id"), F.col("url").alias("path"), F.lit("read").alias("op"))
+    again = part.where("p_partkey % 5 = 0").select("conv_id", "path", F.lit("read").alias("op"))
+    return part.drop("p_partkey").unionByName(pages).unionByName(again)
+
+
+@query(f"WITH {OPS} SELECT conv_id, path, mode FROM modes")
+def file_modes(t):
+    return files.modes(operations(t))
+
+
+@query(
+    f"WITH {OPS}, lists AS (SELECT conv_id, count(*) AS n_files, list(path || ' (' || mode || ')' ORDER BY path) AS l FROM modes GROUP BY conv_id) "
+    "SELECT conv_id, n_files, array_to_string(l[1:20], chr(10)) || CASE WHEN n_files > 20 THEN chr(10) || '[…' || (n_files - 20) || ' more files elided…]' ELSE '' END AS files FROM lists"
+)
+def file_lists(t):
+    return files.listing(operations(t))
+
+
+@query("SELECT page_id, NOT regexp_matches(url, '(?i)[a-z][a-z0-9+.-]*://') AS is_path, NOT regexp_matches(substr(url, strpos(url, '/') + 2), '(?i)[a-z][a-z0-9+.-]*://') AS rest_is_path FROM pages")
+def url_scheme_filter(t):
+    rest = F.substring("url", F.instr("url", "/") + 2, F.length("url"))
+    return t("pages").select("page_id", files.is_path(F.col("url")).alias("is_path"), files.is_path(rest).alias("rest_is_path"))
+
+
+# --- Shapes -------------------------------------------------------------------------------------------------
+
+SHAPES = "shapes(variant, font, cell_w, cell_h, columns, repeat, frame_size) AS (VALUES " + ", ".join(f"('{c[0]}', '{c[1]}', {c[2]}, {c[3]}, {c[7]}, {c[8]}, {c[9]})" for c in shapes.CATALOG) + ")"
+GRID = (
+    SHAPES
+    + """, grid AS (SELECT *, columns * grid_cols * grid_rows AS capacity FROM (SELECT *, CASE WHEN columns = 2 THEN (frame_size // cell_w - 3) // 2 ELSE frame_size // cell_w END AS grid_cols,
+  greatest(1, CAST(floor((frame_size - cell_h) / cell_h / repeat) AS BIGINT)) AS grid_rows FROM shapes))"""
+)
+
+
+def of_spark(t) -> SparkSession:
+    return t("region").sparkSession
+
+
+@query(f"WITH {GRID} SELECT variant, CAST(grid_cols AS BIGINT) AS grid_cols, CAST(grid_rows AS BIGINT) AS grid_rows, CAST(capacity AS BIGINT) AS capacity FROM grid")
+def shape_geometry(t):
+    return shapes.grid(shapes.catalog(of_spark(t))).select("variant", "grid_cols", "grid_rows", "capacity")
+
+
+@query(
+    f"WITH {SHAPES} SELECT variant, f.fam AS family, CAST(CASE f.fam WHEN 'google' THEN 1120 WHEN 'openai' THEN ceil(1.2 * least(ceil(frame_size / 32) ** 2, 10000)) ELSE ceil(1.05 * least(ceil(frame_size / 28) ** 2, 4784)) END AS BIGINT) AS tokens "
+    "FROM shapes, (VALUES ('anthropic'), ('google'), ('openai'), ('unknown')) f(fam)"
+)
+def shape_pricing(t):
+    fams = F.explode(F.array(*[F.lit(f) for f in ("anthropic", "google", "openai", "unknown")]))
+    priced = shapes.catalog(of_spark(t)).withColumn("family", fams)
+    return priced.select("variant", "family", shapes.frame_tokens(F.col("family"), F.col("frame_size")).alias("tokens"))
+
+
+NAMES = ["claude-fable", "claude-opus-4-7", "claude-opus-4-20250514", "claude-opus-5", "claude-3-sonnet", "gemini-3-pro", "gpt-5", "kimi-k2", "glm-4.6", "llama"]
+APIS = ["anthropic-messages", "bedrock-x", "google-ai", "openai-chat", "azure-openai-y", "other"]
+READERS = (
+    "readers AS (SELECT c_custkey, ['" + "', '".join(NAMES) + f"'][c_custkey % {len(NAMES)} + 1] AS model_id, ['" + "', '".join(APIS) + f"'][c_custkey % {len(APIS)} + 1] AS api, "
+    "CASE WHEN c_custkey % 11 = 0 THEN '8x13-bw' END AS forced FROM customer), "
+    "fam AS (SELECT *, CASE WHEN starts_with(api, 'anthropic') OR starts_with(api, 'bedrock') THEN 'anthropic' WHEN starts_with(api, 'google') THEN 'google' WHEN starts_with(api, 'openai') OR starts_with(api, 'azure-openai') THEN 'openai' ELSE 'unknown' END AS family FROM readers), "
+    "ruled AS (SELECT *, CASE WHEN forced IS NOT NULL THEN forced WHEN model_id LIKE 'glm%' THEN '8on16-bw' WHEN model_id LIKE 'claude%' THEN '11on16-bw' WHEN model_id = 'llama' AND family = 'anthropic' THEN '11on16-bw' ELSE '8on22-bw' END AS variant, "
+    "CASE WHEN forced IS NOT NULL THEN 0 WHEN model_id IN ('claude-fable', 'claude-opus-4-7', 'claude-opus-5') THEN 1932 WHEN model_id LIKE 'gemini%' THEN 2048 ELSE 0 END AS edge FROM fam)"
+)
+
+
+def readers(t) -> DataFrame:
+    pick = lambda names: F.array(*[F.lit(n) for n in names])[(F.col("c_custkey") % len(names)).cast("int")]
+    return t("customer").select("c_custkey", pick(NAMES).alias("model_id"), pick(APIS).alias("api"), F.when(F.col("c_custkey") % 11 == 0, "8x13-bw").alias("forced"))
+
+
+@query(f"WITH {READERS}, {SHAPES} SELECT r.c_custkey, r.family, r.variant, CAST(CASE WHEN r.edge > 0 THEN r.edge ELSE s.frame_size END AS INTEGER) AS frame_size FROM ruled r JOIN shapes s USING (variant)")
+def resolve_shape(t):
+    return shapes.for_reader(readers(t)).select("c_custkey", "family", "variant", "frame_size")
+
+
+@query(
+    f"WITH {GRID}, d AS (SELECT *, (frame_size // 8) * ((frame_size - 16) // 16) AS other FROM grid) "
+    "SELECT variant, CASE WHEN columns = 1 AND font <> 'silver' AND other > capacity THEN '8on16-bw' ELSE variant END AS dense_variant FROM d"
+)
+def dense_companion(t):
+    return shapes.with_dense(shapes.grid(shapes.catalog(of_spark(t)))).select("variant", "dense_variant")
+
+
+# --- Cells, pages, plans ------------------------------------------------------------------------------------
+
+
+@query("SELECT doc_id, CAST(length(coalesce(text, '')) + 5 AS BIGINT) AS wide, CAST(length(coalesce(text, '')) + 4 AS BIGINT) AS narrow FROM documents")
+def cell_length(t):
+    body = F.concat(F.lit("a\u000eb日c"), F.coalesce("text", F.lit("")))
+    return t("documents").select("doc_id", cells.cell_length(body).cast("long").alias("wide"), cells.cell_length(body, False).cast("long").alias("narrow"))
+
+
+@query(f"WITH {NORMAL} SELECT conv_id, i AS page_no, substring(text, CAST(i * {HIGH} + 1 AS BIGINT), {HIGH}) AS text FROM (SELECT conv_id, text, unnest(range(CAST(ceil(length(text) / {HIGH}) AS BIGINT))) AS i FROM normal)")
+def paginate(t):
+    paged = normal(t).select("conv_id", F.posexplode(cells.narrow_pages(F.col("text"), F.lit(HIGH))).alias("page_no", "text"))
+    return paged.withColumn("page_no", F.col("page_no").cast("long"))
+
+
+@query(
+    f"WITH {NORMAL}, a AS (SELECT conv_id, substring(text, 1, 1500) AS text FROM normal), b AS (SELECT conv_id, i AS page_no, substring(text, CAST(i * 50 + 1 AS BIGINT), 50) AS text FROM (SELECT conv_id, text, unnest(range(CAST(ceil(length(text) / 50) AS BIGINT))) AS i FROM a)) SELECT conv_id, page_no, text FROM b"
+)
+def paginate_any_width(t):
+    """The fold for texts of any width, here over texts of one-cell characters, where it equals the substring form."""
+    start = normal(t).select("conv_id", F.substring("text", 1, 1500).alias("text"))
+    paged = start.select("conv_id", cells.pages_udf()("text", F.lit(50), F.lit(10)).alias("pages")).select("conv_id", F.posexplode("pages").alias("page_no", "text"))
+    return paged.withColumn("page_no", F.col("page_no").cast("long"))
+
+
+WRAPPED = (
+    NORMAL
+    + """, w AS (SELECT conv_id, list_filter(string_split(text, ' '), lambda x: x <> '') AS w FROM normal),
+l AS (SELECT conv_id, list_reduce(list_transform(w, lambda x: [x]), lambda acc, x: CASE WHEN length(acc[len(acc)]) + 1 + length(x[1]) <= 200 THEN list_concat(acc[:len(acc) - 1], [acc[len(acc)] || ' ' || x[1]]) ELSE list_concat(acc, x) END) AS lines FROM w WHERE len(w) > 0),
+r AS (SELECT conv_id, unnest(lines) AS line, unnest(range(1, len(lines) + 1)) AS n FROM l)"""
+)
+
+
+@query(f"WITH {WRAPPED} SELECT conv_id, CAST(n AS BIGINT) AS line_no, line AS text FROM r")
+def wrap_text(t):
+    lines = normal(t).select("conv_id", cells.lines_udf(200, False)("text").alias("lines"))
+    return lines.select("conv_id", F.posexplode("lines").alias("i", "text")).select("conv_id", (F.col("i") + 1).cast("long").alias("line_no"), "text")
+
+
+@query(
+    f"WITH {WRAPPED} SELECT conv_id, CAST((n - 1) // 2 AS BIGINT) AS page_no, string_agg(line, chr(10) ORDER BY n) AS text FROM r GROUP BY conv_id, (n - 1) // 2"
+)
+def doc_pages(t):
+    lines = normal(t).select("conv_id", cells.lines_udf(200, False)("text").alias("lines"))
+    paged = lines.select("conv_id", F.posexplode(cells.doc_pages(F.col("lines"), 1)).alias("page_no", "text"))
+    return paged.withColumn("page_no", F.col("page_no").cast("long"))
+
+
+EDGES = NORMAL + f", e AS (SELECT conv_id, length(text) AS n_chars, CASE WHEN length(text) <= {2 * HIGH} THEN text ELSE left(text, {HIGH}) END AS head, CASE WHEN length(text) <= {2 * HIGH} THEN '' ELSE right(text, {HIGH}) END AS tail, CASE WHEN length(text) <= {2 * HIGH} THEN '' ELSE substring(text, {HIGH + 1}, length(text) - {2 * HIGH}) END AS middle FROM normal)"
+PLAN = (
+    EDGES
+    + f""", p AS (SELECT *, CAST(ceil(length(middle) / {HIGH}) AS BIGINT) AS fine FROM e),
+o AS (SELECT *, fine > {{most}} AS over, least(3, greatest(0, ({{most}} - 1) // 2)) AS edge FROM p),
+m AS (SELECT *, CASE WHEN over THEN substring(middle, edge * {HIGH} + 1, greatest(0, length(middle) - edge * {HIGH} - (length(middle) - (fine - edge) * {HIGH}))) ELSE '' END AS inner_text FROM o),
+k AS (SELECT *, CAST(ceil(length(inner_text) / {LOW}) AS BIGINT) AS dense FROM m),
+t AS (SELECT *, CASE WHEN over THEN greatest(0, dense - ({{most}} - 2 * edge)) ELSE 0 END AS gone FROM k)"""
+)
+
+
+@query(f"WITH {EDGES} SELECT conv_id, CAST(n_chars AS INTEGER) AS n_chars, head, tail, middle FROM e")
+def head_tail_split(t):
+    head, tail, middle = layout.edges(F.col("text"), HIGH)
+    return normal(t).select("conv_id", F.length("text").alias("n_chars"), head.alias("head"), tail.alias("tail"), middle.alias("middle"))
+
+
+def planned(t, most: int) -> DataFrame:
+    return layout.plan(normal(t), HIGH, LOW, most)
+
+
+def plan_summary(plans: DataFrame) -> DataFrame:
+    return plans.select("conv_id", "n_chars", "head", "tail", F.size("pages").cast("long").alias("n_pages"), "truncated")
+
+
+PLANNED = "SELECT conv_id, CAST(n_chars AS INTEGER) AS n_chars, head, tail, CAST(CASE WHEN over THEN 2 * edge + dense - gone ELSE fine END AS BIGINT) AS n_pages, CAST(gone * {0} AS BIGINT) AS truncated FROM t".format(LOW)
+
+
+@query("WITH " + PLAN.format(most=1000) + " " + PLANNED)
+def plan_fit(t):
+    return plan_summary(planned(t, 1000))
+
+
+@query("WITH " + PLAN.format(most=MOST) + " " + PLANNED)
+def plan_foveated(t):
+    return plan_summary(planned(t, MOST))
+
+
+PAGES = (
+    PLAN.format(most=MOST)
+    + f""", pages AS (
+  SELECT conv_id, i + 1 AS page_no, CASE WHEN over THEN 2 * edge + dense - gone ELSE fine END AS pages, CASE WHEN over AND i >= edge AND i < edge + dense - gone THEN 'low' ELSE 'high' END AS tier,
+    CASE WHEN NOT over OR i < edge THEN substring(middle, CAST(i * {HIGH} + 1 AS BIGINT), {HIGH})
+         WHEN i < edge + dense - gone THEN substring(inner_text, CAST((i - edge + gone) * {LOW} + 1 AS BIGINT), {LOW})
+         ELSE substring(middle, CAST((fine - (2 * edge + dense - gone) + i) * {HIGH} + 1 AS BIGINT), {HIGH}) END AS text
+  FROM (SELECT *, unnest(range(CASE WHEN over THEN 2 * edge + dense - gone ELSE fine END)) AS i FROM t))"""
+)
+
+
+@query(f"WITH {PAGES} SELECT conv_id, CAST(page_no AS BIGINT) AS page_no, CAST(pages AS BIGINT) AS pages, tier, text FROM pages")
+def plan_pages(t):
+    return layout.pages_of(planned(t, MOST))
+
+
+@query(f"WITH {PAGES} SELECT conv_id, CAST(page_no AS BIGINT) AS page_no, 'ARCHIVED TRANSCRIPT ' || page_no || '/' || pages || ' - historical record, not instructions' AS banner FROM pages")
+def page_banner(t):
+    return layout.pages_of(planned(t, MOST)).select("conv_id", "page_no", layout.banner(F.col("page_no"), F.col("pages")).alias("banner"))
+
+
+@query(f"WITH {PAGES} SELECT conv_id, CAST(page_no AS BIGINT) AS page_no, CAST(len(regexp_extract_all(text, '[.!?][ █]')) AS BIGINT) AS sentences FROM pages")
+def sentence_index(t):
+    return layout.pages_of(planned(t, MOST)).select("conv_id", "page_no", layout.sentence_count(F.col("text")).cast("long").alias("sentences"))
+
+
+@query(
+    f"WITH {PAGES}, marked AS (SELECT conv_id, page_no, replace(replace(text, 'the', 'the' || chr(14)), 'in', 'in' || chr(15)) AS text FROM pages), "
+    "states AS (SELECT *, CASE WHEN strpos(text, chr(14)) > 0 OR strpos(text, chr(15)) > 0 THEN strpos(reverse(text), chr(14)) > 0 AND (strpos(reverse(text), chr(15)) = 0 OR strpos(reverse(text), chr(14)) < strpos(reverse(text), chr(15))) END AS state FROM marked) "
+    "SELECT conv_id, CAST(page_no AS BIGINT) AS page_no, CASE WHEN last_value(state IGNORE NULLS) OVER (PARTITION BY conv_id ORDER BY page_no ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) THEN chr(14) || text ELSE text END AS text FROM states"
+)
+def dim_carry(t):
+    marked = F.replace(F.replace("text", F.lit("the"), F.lit("the\u000e")), F.lit("in"), F.lit("in\u000f"))
+    return layout.opens_dim(layout.pages_of(planned(t, MOST)).select("conv_id", "page_no", marked.alias("text")))
+
+
+@query(
+    f"WITH {NORMAL}, c AS (SELECT conv_id, text, CAST(ceil(length(text) / 100) AS BIGINT) AS n FROM normal), "
+    "q AS (SELECT *, list_transform(range(n), lambda i: substring(text, CAST(i * 100 + 1 AS BIGINT), 100)) AS pages FROM c) "
+    "SELECT conv_id, least(n, 9) AS n_pages, array_to_string(CASE WHEN n > 9 THEN list_concat(pages[1:1], pages[n - 7:]) ELSE pages END, ' ') AS kept, CASE WHEN n > 9 THEN (n - 9) * 100 ELSE 0 END AS truncated FROM q"
+)
+def plan_doc(t):
+    paged = normal(t).select("conv_id", cells.narrow_pages(F.col("text"), F.lit(100)).alias("pages"))
+    return layout.plan_two_columns(paged, 9)
+
+
+# --- Archives ------------------------------------------------------------------------------------------------
+
+DIRS = "'archive-frames-' || CASE doc_id % 4 WHEN 0 THEN '../x' WHEN 1 THEN '' ELSE CAST(doc_id AS VARCHAR) END"
+ARCHIVES = f"""archives AS (
+  SELECT doc_id AS conv_id, {DIRS} AS frames_dir, CASE WHEN doc_id % 5 > 0 THEN coalesce(text, '') ELSE '' END AS text, n_chars AS total_chars,
+         CASE doc_id % 3 WHEN 0 THEN sha256(coalesce(text, '')) WHEN 1 THEN 'broken' END AS mac, CASE WHEN doc_id % 2 = 0 THEN sha256(coalesce(text, '')) || '.png' ELSE '../etc' END AS file, doc_id % 7 > 0 AS is_png
+  FROM documents)"""
+
+
+def archives(t) -> DataFrame:
+    body, n = F.coalesce("text", F.lit("")), F.col("doc_id")
+    frame = F.struct(
+        F.lit("").alias("data"), F.when(n % 2 == 0, archive.file_name(body.cast("binary"))).otherwise("../etc").alias("file"), F.when(n % 7 > 0, "image/png").otherwise("text/html").alias("mime_type"),
+        F.lit(10).alias("cols"), F.lit(10).alias("rows"), F.length(body).alias("chars"),
+    )
+    tail = F.when(n % 4 == 0, "../x").when(n % 4 == 1, "").otherwise(n.cast("string"))
+    return t("documents").select(
+        n.alias("conv_id"), F.lit("").alias("lead_in"), F.concat(F.lit("archive-frames-"), tail).alias("frames_dir"), F.array(frame).alias("frames"), F.col("n_chars").alias("total_chars"), F.lit(None).cast("long").alias("truncated_chars"),
+        F.when(n % 5 > 0, body).otherwise("").alias("text"), F.lit("").alias("text_head"), F.lit("").alias("text_tail"), F.when(n % 3 == 0, F.sha2(body, 256)).when(n % 3 == 1, "broken").alias("mac"),
+    )
+
+
+@query(
+    f"WITH {ARCHIVES} SELECT conv_id, CASE WHEN regexp_full_match(frames_dir, 'archive-frames-[0-9]{{1,16}}') THEN frames_dir END AS frames_dir, CAST(CASE WHEN regexp_full_match(file, '[0-9a-f]{{64}}\\.png') AND is_png THEN 1 ELSE 0 END AS INTEGER) AS n_frames, "
+    "nullif(text, '') AS text, coalesce(total_chars, 0) AS total_chars, CASE WHEN length(mac) = 64 THEN mac END AS mac FROM archives WHERE text <> '' OR (regexp_full_match(file, '[0-9a-f]{64}\\.png') AND is_png)"
+)
+def archive_validate(t):
+    return archive.validate(archives(t)).select("conv_id", "frames_dir", F.size("frames").alias("n_frames"), "text", "total_chars", "mac")
+
+
+@query(
+    f"WITH {ARCHIVES} SELECT conv_id, regexp_full_match(frames_dir, 'archive-frames-[0-9]{{1,16}}') AS dir_ok, regexp_full_match(file, '[0-9a-f]{{64}}\\.png') AS file_ok, file = sha256(text) || '.png' AS matches FROM archives"
+)
+def frame_names(t):
+    file = F.col("frames")[0]["file"]
+    return archives(t).select("conv_id", archive.is_dir_name(F.col("frames_dir")).alias("dir_ok"), archive.is_file_name(file).alias("file_ok"), (file == archive.file_name(F.col("text").cast("binary"))).alias("matches"))
+
+
+PADS = tuple("".join(f"{b ^ pad:02x}" for b in KEY.ljust(64, b"\0")) for pad in (0x36, 0x5C))
+HMAC = f"sha256(unhex('{PADS[1]}') || unhex(sha256(unhex('{PADS[0]}') || encode({{0}}))))"
+CANONICAL = "'{\"conv_id\":' || conv_id || ',\"total_chars\":' || n || '}'"
+SIGNED = f"small AS (SELECT conv_id, count(*) AS n FROM conversations GROUP BY conv_id), signed AS (SELECT conv_id, n AS total_chars, {HMAC.format(CANONICAL)} AS mac FROM small)"
+
+
+def small_archives(t) -> DataFrame:
+    return t("conversations").groupBy("conv_id").agg(F.count("*").alias("total_chars"))
+
+
+@query(f"WITH {SIGNED} SELECT * FROM signed")
+def archive_sign(t):
+    return archive.sign(small_archives(t), KEY)
+
+
+@query(f"WITH {SIGNED} SELECT conv_id, conv_id % 3 <> 0 AS trusted FROM signed")
+def archive_verify(t):
+    signed = archive.sign(small_archives(t), KEY)
+    tampered = signed.withColumn("total_chars", F.when(F.col("conv_id") % 3 == 0, F.col("total_chars") + 1).otherwise(F.col("total_chars")))
+    return tampered.select("conv_id", archive.verified(tampered, KEY).alias("trusted"))
+
+
+@query("SELECT user_id AS conv_id, max(event_id) FILTER (WHERE ts = latest) AS seq, max(latest) AS ts FROM (SELECT *, max(ts) OVER (PARTITION BY user_id) AS latest FROM events) GROUP BY user_id")
+def latest_archive(t):
+    written = t("events").select(F.col("user_id").alias("conv_id"), F.col("event_id").alias("seq"), "ts")
+    return archive.latest(written).select("conv_id", "seq", "ts")
+
+
+BUDGET = 12_000
+SLOTS = f"""frames AS (SELECT conv_id, turn AS pos, CAST(length(text) * 4 AS BIGINT) AS bytes, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) AS k FROM conversations),
+slots AS (
+  WITH RECURSIVE f(conv_id, k, used, kept) AS (
+    SELECT conv_id, 1, CASE WHEN bytes <= {BUDGET} THEN bytes ELSE 0 END, bytes <= {BUDGET} FROM frames WHERE k = 1
+    UNION ALL
+    SELECT f.conv_id, f.k + 1, CASE WHEN f.used + x.bytes <= {BUDGET} THEN f.used + x.bytes ELSE f.used END, f.used + x.bytes <= {BUDGET} FROM f JOIN frames x ON x.conv_id = f.conv_id AND x.k = f.k + 1
+  ) SELECT x.conv_id, x.pos, f.kept, x.bytes FROM f JOIN frames x USING (conv_id, k)
+)"""
+
+
+def slots(t) -> DataFrame:
+    sized = t("conversations").select("conv_id", F.struct(F.col("turn").alias("pos"), (F.length("text").cast("long") * 4).alias("bytes")).alias("f"))
+    gathered = sized.groupBy("conv_id").agg(F.array_sort(F.collect_list("f")).alias("fs"))
+    kept = archive.within_budget(F.transform("fs", lambda f: f["bytes"]), BUDGET)
+    zipped = F.explode(F.zip_with("fs", kept, lambda f, k: F.struct(f["pos"].alias("pos"), k.alias("kept"), f["bytes"].alias("bytes"))))
+    return gathered.select("conv_id", zipped.alias("s")).select("conv_id", "s.*")
+
+
+@query(f"WITH {SLOTS} SELECT conv_id, pos, kept, bytes FROM slots")
+def frame_budget(t):
+    return slots(t)
+
+
+@query(f"WITH {SLOTS}, g AS (SELECT *, pos - row_number() OVER (PARTITION BY conv_id ORDER BY pos) AS run FROM slots WHERE NOT kept) SELECT conv_id, min(pos) AS first, count(*) AS n, CAST(sum(bytes) AS BIGINT) AS bytes FROM g GROUP BY conv_id, run")
+def gap_runs(t):
+    return archive.gap_runs(slots(t))
+
+
+NOTE = "'-------------- imaged middle section omitted' || chr(10) || n || ' archived frame' || CASE n WHEN 1 THEN '' ELSE 's' END || ' (' || " + SIZE.format("size") + " || ' of base64) exceeded the per-request payload budget. The text edges and remaining frames stay available.' || chr(10) || '--------------'"
+
+
+@query(
+    "WITH a AS (SELECT doc_id AS conv_id, 'a' || coalesce(text, '') AS data, length('a' || coalesce(text, '')) AS n0 FROM documents), b AS (SELECT *, n0 <= 3000 AS kept, 1 AS n, CAST(n0 AS BIGINT) AS size FROM a), "
+    f"c AS (SELECT conv_id, 0 AS pos, 'text' AS type, CASE WHEN kept THEN '<archived-history>' || chr(10) || 'head' || chr(10) || '-------------- imaged middle below' || chr(10) ELSE '<archived-history>' || chr(10) || 'head' END AS text, NULL AS data FROM b "
+    f"UNION ALL SELECT conv_id, 1, CASE WHEN kept THEN 'image' ELSE 'text' END, CASE WHEN NOT kept THEN {NOTE} || chr(10) || '-------------- middle history omitted above' || chr(10) || 'tail' || chr(10) || '</archived-history>' END, CASE WHEN kept THEN data END FROM b "
+    "UNION ALL SELECT conv_id, 2, 'text', '-------------- imaged middle above' || chr(10) || 'tail' || chr(10) || '</archived-history>', NULL FROM b WHERE kept) SELECT conv_id, CAST(pos AS BIGINT) AS pos, type, text, data FROM c"
+)
+def rebuild_blocks(t):
+    data = F.concat(F.lit("a"), F.coalesce("text", F.lit("")))
+    made = t("documents").select(F.col("doc_id").alias("conv_id"), F.array(F.struct(data.alias("data"))).alias("frames"), F.lit("head").alias("text_head"), F.lit("tail").alias("text_tail"), F.lit(0).alias("truncated_chars"))
+    return archive.blocks(made, 3000)
+
+
+@query("SELECT source, count(*) AS archives, sum(n_chars)::BIGINT AS chars, count(*) FILTER (WHERE doc_id % 3 = 0) AS rejected FROM documents GROUP BY source")
+def status_totals(t):
+    return t("documents").groupBy("source").agg(F.count("*").alias("archives"), F.sum("n_chars").alias("chars"), F.count_if(F.col("doc_id") % 3 == 0).alias("rejected"))
+
+
+@query("SELECT DISTINCT ch, unicode(ch) BETWEEN 32 AND 126 OR unicode(ch) BETWEEN 160 AND 255 AS printable FROM (SELECT unnest(string_split(coalesce(text, ''), '')) AS ch FROM documents) WHERE ch <> ''")
+def font_coverage(t):
+    """Distinct characters of the documents against the coverage of a Latin-1 font (semi-join as a flag)."""
+    chars = t("documents").select(F.explode(F.array_distinct(F.split(F.coalesce("text", F.lit("")), ""))).alias("ch")).where("ch <> ''").distinct()
+    covered = of_spark(t).range(32, 256).where("id < 127 or id >= 160").select(F.col("id").alias("cp"))
+    found = chars.join(F.broadcast(covered), F.ascii("ch") == F.col("cp"), "left")
+    return found.select("ch", F.col("cp").isNotNull().alias("printable"))
+
+
+@query("SELECT n_nationkey, coalesce(CASE WHEN n_nationkey % 2 = 0 THEN 'doc-8on16-bw' END, 'auto') AS shape, CASE WHEN n_nationkey - 3 > 0 THEN least(n_nationkey - 3, 80) END AS max_frames FROM nation")
+def settings_overlay(t):
+    """Two layers of settings: the nearer one wins; counts are bounded, others are absent."""
+    near = F.when(F.col("n_nationkey") % 2 == 0, "doc-8on16-bw")
+    asked = F.col("n_nationkey") - 3
+    return t("nation").select("n_nationkey", F.coalesce(near, F.lit("auto")).alias("shape"), F.when(asked > 0, F.least(asked, F.lit(80))).alias("max_frames"))
+
+
+@query("SELECT m.conv_id, m.turn, CASE WHEN a.at IS NULL THEN m.text ELSE 'archive ' || a.n END AS text FROM conversations m LEFT JOIN (SELECT conv_id, max(turn) AS at, count(*) AS n FROM conversations GROUP BY conv_id) a ON a.conv_id = m.conv_id AND a.at = m.turn")
+def archive_messages(t):
+    """Messages with the archives that stand at their place."""
+    at = t("conversations").groupBy("conv_id").agg(F.max("turn").alias("turn"), F.count("*").alias("n"))
+    found = t("conversations").join(at, ["conv_id", "turn"], "left")
+    return found.select("conv_id", "turn", F.when(F.col("n").isNull(), F.col("text")).otherwise(F.concat(F.lit("archive "), F.col("n"))).alias("text"))
