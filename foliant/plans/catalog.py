@@ -557,3 +557,27 @@ def archive_messages(t):
     at = t("conversations").groupBy("conv_id").agg(F.max("turn").alias("turn"), F.count("*").alias("n"))
     found = t("conversations").join(at, ["conv_id", "turn"], "left")
     return found.select("conv_id", "turn", F.when(F.col("n").isNull(), F.col("text")).otherwise(F.concat(F.lit("archive "), F.col("n"))).alias("text"))
+
+
+# --- Without SQL: folds, images ---------------------------------------------------------------------------------
+
+
+@query()
+def recompact_fold(t):
+    """Three rounds of archiving a conversation, each the turns of one third."""
+    from foliant.streaming import refold
+
+    rounds = transcript.said(t("conversations")).groupBy("conv_id", (F.col("turn") % 3).alias("round")).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("turn", "text"))), lambda x: x["text"]), " ").alias("text"))
+    return refold.refold(rounds, HIGH, LOW, MOST)
+
+
+@query()
+def raster_pages(t):
+    """All planned pages as images in a made-up font, with the hash that names their files."""
+    from foliant.operators import raster
+
+    pages = layout.pages_of(planned(t, MOST))
+    spark = pages.sparkSession
+    shown = pages.select("conv_id", "page_no", layout.banner(F.col("page_no"), F.col("pages")).alias("banner"), "text")
+    painted = shown.select("conv_id", "page_no", raster.page_udf(spark, raster.test_glyphs(), 11, 16, 176)("text", "banner").alias("p"))
+    return painted.select("conv_id", "page_no", "p.height", "p.chars", archive.file_name(F.col("p.png")).alias("file"))
