@@ -13,9 +13,9 @@ at least ``THRESHOLD`` percent, confirmed on the full sets. Steps:
 3. Star round: in each posting list everyone meets the smallest id. Candidates whose signatures
    collide in ``MATCHES`` coordinates are confirmed, links merge into components.
 4. Skip round: posting lists that now lie in one component are skipped. In the others, collisions are
-   counted between members of different components, part against part. They tell which blocks of
-   which families must meet; a task gets two such blocks with their sets, skips pairs that are already
-   connected, confirms the others and returns the links that join components. Lists and families are
+   counted between members of different components, part against part. They tell which members of
+   which blocks of families must meet; a task gets those of two blocks with their sets, skips pairs that
+   are already connected, confirms the others and returns the links that join components. Lists and families are
    dealt out in blocks of bounded size, and no task returns more links than it has members.
 5. Components come from label propagation with pointer jumping over the confirmed links.
 
@@ -54,7 +54,7 @@ def shingle_sets(texts: list[bytes | None]) -> list[np.ndarray]:
     """Sorted 64-bit hashes of the distinct shingles of each text."""
     hashes, _, starts = hash_words(texts, fold=True)
     total = np.zeros(len(hashes), np.uint64)
-    for i in range(SHINGLE):
+    for i in range(min(SHINGLE, len(hashes))):
         total[: len(hashes) - i] += hashes[i:] * PLACES[i]
     out = []
     for a, b in zip(starts.tolist(), starts[1:].tolist()):
@@ -128,22 +128,26 @@ def collide_udf(matches: int):
 
 
 def across_udf(matches: int):
-    """Members of two parts of a posting list -> pairs of family blocks with signatures that collide enough across components."""
+    """Members of two parts of a posting list -> pairs of family blocks, with the members whose signatures collide enough across components."""
 
-    @F.arrow_udf("array<struct<a:bigint,b:bigint>>")
+    @F.arrow_udf("array<struct<a:bigint,b:bigint,reps:array<bigint>>>")
     def across(ids: pa.Array, comps: pa.Array, blocks: pa.Array, sigs: pa.Array, sides: pa.Array) -> pa.Array:
         out = []
         for i, c, k, s, f in zip(ids, comps, blocks, sigs, sides):
             i, c, k, f = (x.values.to_numpy(zero_copy_only=False) for x in (i, c, k, f))
             v = s.values.flatten().to_numpy(zero_copy_only=False).reshape(-1, COORDINATES)
             right = np.flatnonzero(f & 2)
-            found = set()
+            found: dict[tuple[int, int], set[int]] = {}
             for x in np.flatnonzero(f & 1):
                 y = right[c[right] != c[x]]
                 y = y[(v[y] == v[x]).sum(axis=1) >= matches]
-                found.update((min(k[x], j), max(k[x], j)) for j in set(k[y].tolist()))
-            out.append([{"a": int(x), "b": int(y)} for x, y in found])
-        return pa.array(out, pa.list_(pa.struct([("a", pa.int64()), ("b", pa.int64())])))
+                own = int(k[x])
+                for block in set(k[y].tolist()):
+                    met = found.setdefault((min(own, block), max(own, block)), set())
+                    met.add(int(i[x]))
+                    met.update(i[y[k[y] == block]].tolist())
+            out.append([{"a": a, "b": b, "reps": sorted(met)} for (a, b), met in found.items()])
+        return pa.array(out, pa.list_(pa.struct([("a", pa.int64()), ("b", pa.int64()), ("reps", pa.list_(pa.int64()))])))
 
     return across
 
@@ -268,11 +272,10 @@ def classified(docs: DataFrame, doc_id: str, text: str, threshold: int, matches:
     )
     met_again = dealt.groupBy("token", "i", "j").agg(F.collect_list(F.struct("rep", "comp", "block", "signature", "side")).alias("m")).where(F.size("m") > 1)
     across = stash(met_again.select(across_udf(matches)("m.rep", "m.comp", "m.block", "m.signature", "m.side").alias("pairs")))
-    asked = stash(across.select(F.explode("pairs").alias("p")).select("p.a", "p.b").distinct())
-    wanted = standing.join(asked.select(F.explode(F.array("a", "b")).alias("block")).distinct(), "block", "left_semi")
-    full = wanted.join(sets_of(wanted.select("rep"), reps, texts), "rep")
-    tasks = asked.select(F.struct("a", "b").alias("task"), F.explode(F.array_distinct(F.array("a", "b"))).alias("block"))
-    gathered = full.join(tasks, "block").groupBy("task").agg(F.collect_list(F.struct("rep", "comp", "signature", "set")).alias("m")).where(F.size("m") > 1)
+    met = across.select(F.explode("pairs").alias("p")).select(F.struct("p.a", "p.b").alias("task"), F.explode("p.reps").alias("rep")).distinct()
+    tasks = stash(met)
+    full = standing.join(sets_of(tasks.select("rep").distinct(), reps, texts), "rep")
+    gathered = tasks.join(full, "rep").groupBy("task").agg(F.collect_list(F.struct("rep", "comp", "signature", "set")).alias("m"))
     merged = stash(gathered.select(merge_udf(matches, threshold)("m").alias("links")))
     links = links.unionByName(merged.select(F.explode("links").alias("p")).select("p.a", "p.b"))
 
