@@ -32,6 +32,8 @@ MAX_GRAMS = 60_000
 LONGEST = 4
 FOLDS, HELD_OUT = 4, 2
 UNDETERMINED = "und"
+#: Words of the pooled distribution that each language's counts are smoothed with.
+PRIOR = 100.0
 #: Words whose scores a Python worker remembers.
 CACHE = 400_000
 
@@ -54,8 +56,9 @@ class Model:
     def logs(counted: list[tuple[str, list[int]]]) -> dict[str, np.ndarray]:
         if not counted:
             return {}
-        counts = np.array([c for _, c in counted], float) + 0.1
-        return dict(zip([k for k, _ in counted], np.log(counts / counts.sum(axis=0))))
+        counts = np.array([c for _, c in counted], float)
+        pooled = counts.sum(axis=1, keepdims=True) / counts.sum()  # what a language with few words is smoothed towards
+        return dict(zip([k for k, _ in counted], np.log((counts + PRIOR * pooled) / (counts.sum(axis=0) + PRIOR))))
 
     def gram(self, g: str) -> np.ndarray | None:
         """Score of an n-gram: its own or the mean of its two shorter parts."""

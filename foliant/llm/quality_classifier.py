@@ -93,8 +93,10 @@ class Model:
         rows *= idf
         values, left = np.linalg.eigh((rows @ rows.T).astype(np.float64)) if len(rows) else (np.zeros(0), np.zeros((0, 0)))
         keep = [i for i in np.argsort(-values)[:rank] if values[i] > 1e-6]
+        keep = np.array(keep, np.int64)
         self.projection = idf[:, None] * (rows.T @ (left[:, keep] / np.sqrt(values[keep])).astype(np.float32))
-        self.vectors = unit(np.array([self.projection[i].T @ w for i, w in ((np.array(i, np.int64), np.array(w, np.float32)) for i, w, _ in samples)], np.float32).reshape(len(samples), -1))
+        latent = [self.projection[np.array(i, np.int64)].T @ np.array(w, np.float32) for i, w, _ in samples]
+        self.vectors = unit(np.array(latent, np.float32).reshape(len(samples), len(keep)))
 
     def scores(self, found: list[tuple[np.ndarray, np.ndarray]], neighbours: int) -> np.ndarray:
         out = np.full(len(found), self.base)
