@@ -104,10 +104,12 @@ class Predictor:
         self.model, self.rows = model, Rows(model)
 
     def predict(self, text: bytes | None) -> tuple[str, float]:
+        if not self.model.langs:
+            return UNDETERMINED, 0.0
         if len(self.rows) > CACHE:
             self.rows = Rows(self.model)
         ids = np.array([*map(self.rows.__getitem__, text.translate(LETTERS).split())] if text else [], np.int64)
-        if not ids.any() or not self.model.langs:
+        if not ids.any():
             return UNDETERMINED, 0.0
         total = sum(self.rows.matrix[ids[at : at + 65536]].sum(axis=0) for at in range(0, len(ids), 65536))
         best = int(total.argmax())
