@@ -177,7 +177,7 @@ def base64_frames(t):
     return t("documents").select("doc_id", data.alias("data"), (F.unbase64(data) == F.coalesce("text", F.lit("")).cast("binary")).alias("same"))
 
 
-@query("SELECT doc_id, 0.0 AS ratio, true AS is_safe, CAST(length(regexp_replace(coalesce(text, ''), '[█\\x0e\\x0f]', '', 'g')) AS BIGINT) AS n FROM documents")
+@query("SELECT doc_id, CAST(0 AS DOUBLE) AS ratio, true AS is_safe, CAST(length(regexp_replace(coalesce(text, ''), '[█\\x0e\\x0f]', '', 'g')) AS BIGINT) AS n FROM documents")
 def renderability(t):
     """Share of characters that would print as ``?``: none for Latin-1 texts."""
     body = F.coalesce("text", F.lit(""))
