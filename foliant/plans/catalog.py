@@ -581,3 +581,15 @@ def raster_pages(t):
     shown = pages.select("conv_id", "page_no", layout.banner(F.col("page_no"), F.col("pages")).alias("banner"), "text")
     painted = shown.select("conv_id", "page_no", raster.page_udf(spark, raster.test_glyphs(), 11, 16, 176)("text", "banner").alias("p"))
     return painted.select("conv_id", "page_no", "p.height", "p.chars", archive.file_name(F.col("p.png")).alias("file"))
+
+
+@query(
+    "SELECT doc_id, n.text, CAST(length(replace(n.text, '█', '')) AS BIGINT) AS visible, CAST(1 AS BIGINT) AS lost, length(replace(n.text, '█', '')) >= 20 AS safe FROM (SELECT doc_id, {'text': 'cafe ? ' || trim(regexp_replace(regexp_replace(coalesce(text, '') || ' end', '\\s*\\n\\s*', '█', 'g'), '\\s+', ' ', 'g'), ' █')} AS n FROM documents)"
+)
+def normalize_any(t):
+    """The function for any script, over texts behind a ligature, a lost ideograph and a dropped pictograph."""
+    from foliant.functions import unicode
+
+    body = F.concat(F.lit("cafe 日🎉 "), F.ltrim(F.regexp_replace(F.coalesce("text", F.lit("")), r"\A\s+", "")), F.lit(" end"))
+    found = t("documents").select("doc_id", unicode.normalize_udf()(body).alias("n"))
+    return found.select("doc_id", "n.text", "n.visible", "n.lost", unicode.renders_safely(F.col("n")).alias("safe"))

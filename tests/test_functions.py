@@ -135,3 +135,20 @@ def test_fold_by_batch_and_stream_agree(spark, tmp_path):
     query.processAllAvailable()
     query.stop()
     assert {r["conv_id"]: (r["text"], r["truncated"]) for r in spark.table("folded").collect()} == batch
+
+
+def test_normalize_any_script(spark):
+    from foliant.functions import unicode
+
+    cases = {"tests ✅ done 🎉": "tests [OK] done", "café ①": "café 1", "日本": "??", "ﬁńe": "fine", "┌─│": "+-|", "a​b": "ab"}
+    rows = spark.createDataFrame([(k,) for k in cases], "t string").select("t", unicode.normalize_udf()("t").alias("n")).collect()
+    assert {r["t"]: r["n"]["text"] for r in rows} == cases
+    assert unicode.normalize("日", frozenset("日"), {}) == ("日", 1, 0)
+
+
+def test_white_space_of_all_kinds(spark):
+    from foliant.functions import unicode
+
+    given_text = "a  b c　​d\u0085e﻿f"
+    assert unicode.normalize(given_text, frozenset(), {})[0] == "a b█c def"
+    assert value(spark, T.collapse_space(F.lit(given_text))) == "a b█c d\u0085ef"
