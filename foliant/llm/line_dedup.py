@@ -133,7 +133,8 @@ def dedup_lines(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text",
     """``docs`` with repeated lines removed from the text; all columns stay."""
     d, h, kept_lines = fresh(docs, "_d"), fresh(docs, "_h"), fresh(docs, "_kept")
     named = docs.select(id_order(doc_id).alias("d"), F.xxhash64(text).alias("h"), F.col(text).alias("text")).where(F.col("text").isNotNull())
-    ranks = F.lit(rarity(named, "text"))
+    # one literal that folds to an array; an array of literals would make every plan as long as the table
+    ranks = F.split(F.lit(",".join(map(str, rarity(named, "text")))), ",").cast("array<int>")
     reps = stash(representatives(named, ranks, threshold))
     gone = matched(named, reps, ranks, threshold)
     kept = reps.select("d", "h", "ln").join(gone, ["d", "h", "ln"], "left_anti").groupBy("d", "h").agg(F.collect_list("ln").alias(kept_lines))
