@@ -38,6 +38,8 @@ SHINGLE = 5
 THRESHOLD = 85
 COORDINATES = 64
 MATCHES = 42
+#: Places of asked-for documents that are broadcast; more of them meet the documents in a shuffle.
+MAX_BROADCAST = 1_000_000
 #: Members of a posting list that are compared at once.
 BLOCK = 512
 #: Members of a block of a family, and shingles of their sets.
@@ -208,7 +210,8 @@ def postings(reps: DataFrame, matches: int) -> DataFrame:
 def sets_of(asked: DataFrame, reps: DataFrame, docs: DataFrame) -> DataFrame:
     """(rep, set) of the classes ``asked`` for. ``docs``: d, h, text."""
     where = stash(reps.join(asked, "rep", "left_semi").select("rep", "d", "h"))
-    return stash(docs.join(where, ["d", "h"]).dropDuplicates(["rep"]).select("rep", set_udf()("text").alias("set")))
+    places = F.broadcast(where) if where.count() <= MAX_BROADCAST else where  # so that texts need not be shuffled
+    return stash(docs.join(places, ["d", "h"]).dropDuplicates(["rep"]).select("rep", set_udf()("text").alias("set")))
 
 
 def confirm(pairs: DataFrame, reps: DataFrame, docs: DataFrame, threshold: int) -> DataFrame:
