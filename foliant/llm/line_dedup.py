@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 
 from foliant.llm.common import fresh, id_order, stash, table
 
-THRESHOLD = 0.9
+THRESHOLD = 0.8
 BUCKETS = 1 << 16
 #: Candidate lines whose places are broadcast; more of them meet their documents in a shuffle.
 MAX_BROADCAST_LINES = 1_000_000
