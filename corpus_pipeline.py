@@ -16,6 +16,9 @@ from pyspark.sql import functions as F
 from foliant.llm import decontamination, line_dedup, near_dedup, packing, quality_classifier
 from foliant.llm.common import stash, table
 
+#: Similarity of near duplicates in percent; the query op5_near_dedup has its own.
+NEAR_THRESHOLD = 80
+
 
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the neighbours' vote does not reject."""
@@ -28,8 +31,8 @@ def remove_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def keep_one_of_near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates."""
-    return near_dedup.keep_first(docs)
+    """One document of each group of near duplicates, which share 80 percent of their shingles or more."""
+    return near_dedup.keep_first(docs, threshold=NEAR_THRESHOLD)
 
 
 def remove_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -1,17 +1,17 @@
 """Near-duplicate documents by an inverted join over MinHash signature coordinates.
 
 Texts become sets of word 5-shingles; two documents are linked when their sets' Jaccard similarity is
-at least ``THRESHOLD`` percent, confirmed on the full sets. Steps:
+at least ``THRESHOLD`` percent (or as asked for), confirmed on the full sets. Steps:
 
 1. Equal sets are one class: everything below works on one representative (the smallest id) a class,
    so exact copies, however many, meet in one partial aggregation and nowhere else.
 2. A representative is posted under its (coordinate, value) pairs. Linked sets agree in at least
-   ``MATCHES`` of ``COORDINATES`` values (at the threshold all but about one link in 30,000 do, more
-   similar ones practically always), so pairs that nobody else has count against a document, and one
+   ``matches_for`` of ``COORDINATES`` values (at the threshold all but about one link in 30,000 do, more
+   similar ones practically always; 42 at 85 percent), so pairs that nobody else has count against a document, and one
    with too few shared pairs is out. The others are posted under their rarest pairs only, as many as
    any two matching documents must overlap in (prefix filter).
 3. Star round: in each posting list everyone meets the smallest id. Candidates whose signatures
-   collide in ``MATCHES`` coordinates are confirmed, links merge into components.
+   collide in that many coordinates are confirmed, links merge into components.
 4. Skip round: posting lists that now lie in one component are skipped. In the others, collisions are
    counted between members of different components, part against part. They tell which members of
    which blocks of families must meet; a task gets those of two blocks with their sets, skips pairs that
@@ -26,6 +26,8 @@ sorts before all others; other columns are not used.
 
 from __future__ import annotations
 
+from math import comb
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -37,7 +39,8 @@ from foliant.llm.word_hash import hash_words, mix
 SHINGLE = 5
 THRESHOLD = 85
 COORDINATES = 64
-MATCHES = 42
+#: Share of the links at exactly the threshold that may agree in too few coordinates.
+MISSED = 1 / 30_000
 #: Places of asked-for documents that are broadcast; more of them meet the documents in a shuffle.
 MAX_BROADCAST = 1_000_000
 #: Members of a posting list that are compared at once.
@@ -52,6 +55,16 @@ FACTORS = _random.integers(0, 2**32, COORDINATES, np.uint32) | np.uint32(1)
 SHIFTS = _random.integers(0, 2**32, COORDINATES, np.uint32)
 
 
+def matches_for(threshold: int) -> int:
+    """The most equal coordinates that all but ``MISSED`` of the links at a similarity of ``threshold`` percent have."""
+    p, matches = threshold / 100, 0
+    below = (1 - p) ** COORDINATES
+    while matches < COORDINATES and below <= MISSED:
+        matches += 1
+        below += comb(COORDINATES, matches) * p**matches * (1 - p) ** (COORDINATES - matches)
+    return max(1, matches)
+
+
 def shingle_sets(texts: list[bytes | None]) -> list[np.ndarray]:
     """Sorted 64-bit hashes of the distinct shingles of each text."""
     hashes, _, starts = hash_words(texts, fold=True)
@@ -288,15 +301,15 @@ def classified(docs: DataFrame, doc_id: str, text: str, threshold: int, matches:
     return sketched.drop("signature").join(classes, ["n", "sum1", "sum2"], "left").select("doc_id", "d", "h", "n", F.coalesce("least", "d").alias("comp"))
 
 
-def near_duplicates(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", threshold: int = THRESHOLD, matches: int = MATCHES) -> DataFrame:
+def near_duplicates(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", threshold: int = THRESHOLD) -> DataFrame:
     """doc_id, n_shingles, component_id and kept for every row of ``docs``."""
     back = F.when(F.col("comp") != LOWEST_ID, F.col("comp"))
-    return classified(docs, doc_id, text, threshold, matches).select("doc_id", F.col("n").alias("n_shingles"), back.alias("component_id"), (F.col("d") == F.col("comp")).alias("kept"))
+    return classified(docs, doc_id, text, threshold, matches_for(threshold)).select("doc_id", F.col("n").alias("n_shingles"), back.alias("component_id"), (F.col("d") == F.col("comp")).alias("kept"))
 
 
-def keep_first(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", threshold: int = THRESHOLD, matches: int = MATCHES) -> DataFrame:
+def keep_first(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", threshold: int = THRESHOLD) -> DataFrame:
     """One document of each component, the one with the smallest id, with its own columns (of rows with equal id and text, one)."""
-    found = classified(docs, doc_id, text, threshold, matches).where("d = comp")
+    found = classified(docs, doc_id, text, threshold, matches_for(threshold)).where("d = comp")
     d, h = fresh(docs, "_d"), fresh(docs, "_h")
     chosen = found.groupBy("d", "h").count().withColumnsRenamed({"d": d, "h": h})
     keyed = docs.withColumn(d, id_order(doc_id)).withColumn(h, F.xxhash64(text))
