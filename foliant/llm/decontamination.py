@@ -13,7 +13,7 @@ hits so far written to the shared folder in between.
 
 Defined cases: a null or empty text has no words and no hits; an item that is null or has no words
 holds no test string; repeated items and repeated documents are judged one by one; an empty benchmark
-leaves every document clean; a null item id is skipped.
+leaves every document clean; an item whose id is null counts like any other and has no name in lists of ids.
 """
 
 from __future__ import annotations
@@ -47,9 +47,9 @@ class Scanner:
         self.length, self.block = length, min(2, length)
         self.default = length - self.block + 1
         self.shift: dict[tuple, int] = {}
-        self.buckets: dict[tuple, dict[tuple, list[tuple[list[bytes], set[str]]]]] = {}
+        self.buckets: dict[tuple, dict[tuple, list[tuple[list[bytes], set[str | None]]]]] = {}
 
-    def add(self, pattern: list[bytes], item: str) -> None:
+    def add(self, pattern: list[bytes], item: str | None) -> None:
         for end in range(self.block, self.length + 1):
             key = tuple(pattern[end - self.block : end])
             self.shift[key] = min(self.shift.get(key, self.default), self.length - end)
@@ -61,7 +61,7 @@ class Scanner:
                 return
         same.append((pattern, {item}))
 
-    def scan(self, text: list[bytes]) -> Iterator[tuple[int, set[str]]]:
+    def scan(self, text: list[bytes]) -> Iterator[tuple[int, set[str | None]]]:
         """Start of each occurrence, with the items of its test string."""
         length, block, shift, default = self.length, self.block, self.shift, self.default
         end, n = length, len(text)
@@ -77,7 +77,7 @@ class Scanner:
             end += 1
 
 
-def build(items: list[tuple[str, bytes]], window: int) -> list[Scanner]:
+def build(items: list[tuple[str | None, bytes]], window: int) -> list[Scanner]:
     by_length: dict[int, Scanner] = {}
     for item, text in items:
         all_words = words(text)
@@ -90,10 +90,10 @@ def build(items: list[tuple[str, bytes]], window: int) -> list[Scanner]:
     return [by_length[k] for k in sorted(by_length)]
 
 
-def item_blocks(items: DataFrame, item_id: str, item_text: str, block_bytes: int) -> Iterator[list[tuple[str, bytes]]]:
+def item_blocks(items: DataFrame, item_id: str, item_text: str, block_bytes: int) -> Iterator[list[tuple[str | None, bytes]]]:
     """The items in blocks of bounded size; one block is on the driver at a time."""
     block, size = [], 0
-    rows = items.select(F.col(item_id).cast("string"), F.col(item_text)).where(F.col(item_id).isNotNull() & F.col(item_text).isNotNull())
+    rows = items.select(F.col(item_id).cast("string"), F.col(item_text)).where(F.col(item_text).isNotNull())
     for item, text in rows.toLocalIterator():
         raw = text.encode()
         if block and size + len(raw) > block_bytes:
@@ -107,7 +107,7 @@ def item_blocks(items: DataFrame, item_id: str, item_text: str, block_bytes: int
 _TABLES: dict[str, list[Scanner]] = {}
 
 
-def scanner_udf(spark: SparkSession, block: list[tuple[str, bytes]], window: int):
+def scanner_udf(spark: SparkSession, block: list[tuple[str | None, bytes]], window: int):
     """text, hit positions so far, items so far -> n_words, hit positions, items."""
     sent, key = spark.sparkContext.broadcast(block), uuid.uuid4().hex
 
@@ -127,7 +127,7 @@ def scanner_udf(spark: SparkSession, block: list[tuple[str, bytes]], window: int
                     found |= ids
             out_n.append(len(doc))
             out_hits.append(np.array(sorted(positions), "<u4").tobytes())
-            out_items.append(sorted(found))
+            out_items.append(sorted(found, key=lambda x: (x is None, x or "")))
         return pa.StructArray.from_arrays(
             [pa.array(out_n, pa.int64()), pa.array(out_hits, pa.binary()), pa.array(out_items, pa.list_(pa.string()))],
             names=["n_words", "hits", "items"],
