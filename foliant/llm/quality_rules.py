@@ -8,9 +8,11 @@ Mahalanobis distance exceeds the cutoff is rejected.
 The MCD runs as Spark aggregations over all rows. From two starts (medians with absolute deviations,
 and plain means with covariances) concentration steps keep the ``CORE`` share of a group's rows that
 are closest and re-estimate mean and covariance from them; the start with the smaller determinant
-wins. Groups of fewer than ``MIN_GROUP`` rows use the estimates of all rows. Group sums combine before
-the shuffle, and rows meet the small table of estimates in a join that adaptive execution broadcasts
-or splits, so a hot source is no bottleneck.
+wins. Every group with a core of more rows than dimensions has its own MCD. Its covariance is drawn towards
+that of its language, and a language's towards that of all rows, the more the fewer rows it has
+(``n / (n + SHRINK)`` is its own); smaller groups use their language's estimates, smaller languages those of
+all rows. Group sums combine before the shuffle, and rows meet the small tables of estimates in joins that
+adaptive execution broadcasts or splits, so a hot source is no bottleneck.
 
 Defined cases: a null text has no words and fails the fixed limits; null languages and sources are
 groups of their own; a group without spread gets a floor on its variances; repeated rows are judged
@@ -27,7 +29,8 @@ from pyspark.sql import functions as F
 from foliant.llm.common import fresh, stash, table
 
 MIN_WORDS = 50
-MIN_GROUP = 200
+#: Rows at which a covariance is half the group's own and half that of the level above.
+SHRINK = 50
 CORE = 0.75
 STEPS = 3
 #: Least standard deviation of each transformed statistic, in the order of DIMS.
@@ -39,7 +42,7 @@ CHI2_MEDIAN = 4.351
 DIMS = ["x_length", "x_upper", "x_symbols", "x_lines", "x_repeat"]
 COUNTS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
 
-#: Key of the estimates of all rows; own groups hold a separator and so differ.
+#: Key of the estimates of all rows; keys of languages start with "l", those of own groups with a separator or "=".
 ALL = ""
 WHITE = b" \t\n\r\x0b\x0c"
 SYMBOLS = b"#*$%&|<>"
@@ -124,11 +127,11 @@ def moments() -> list[Column]:
 
 
 def inverted(estimates: DataFrame) -> DataFrame:
-    return stash(estimates.withColumn("_i", inverse_udf()("cov")).select("g", "start", "mean", F.col("_i")["inverse"].alias("inverse"), F.col("_i")["log_det"].alias("log_det")))
+    return stash(estimates.withColumn("_i", inverse_udf()("cov")).select("g", "start", "mean", "cov", F.col("_i")["inverse"].alias("inverse"), F.col("_i")["log_det"].alias("log_det")))
 
 
-def mcd(rows: DataFrame) -> DataFrame:
-    """g, mean, inverse, scale for every value of ``g`` in ``rows``."""
+def mcd(rows: DataFrame, above: DataFrame | None = None) -> DataFrame:
+    """g, mean, cov, inverse, scale for every value of ``g`` in ``rows``. ``above``: g, n and cov of the level above."""
     halves = rows.groupBy("g").agg(*[F.percentile_approx(x, 0.5, 1000).alias(f"m_{x}") for x in DIMS])
     spread = rows.join(halves, "g").groupBy("g").agg(
         *[F.first(f"m_{x}").alias(f"m_{x}") for x in DIMS], *[F.percentile_approx(F.abs(F.col(x) - F.col(f"m_{x}")), 0.5, 1000).alias(f"d_{x}") for x in DIMS]
@@ -141,12 +144,15 @@ def mcd(rows: DataFrame) -> DataFrame:
         far = rows.join(estimates, "g").withColumn("d", distance())
         core = far.groupBy("g", "start").agg(F.percentile_approx("d", CORE, 1000).alias("most"))
         estimates = inverted(far.join(core, ["g", "start"]).where("d <= most").groupBy("g", "start").agg(*moments()))
-    scaled = rows.join(estimates, "g").groupBy("g", "start").agg(
-        F.first("mean").alias("mean"), F.first("inverse").alias("inverse"), F.first("log_det").alias("log_det"), F.percentile_approx(distance(), 0.5, 1000).alias("half")
-    )
-    best = scaled.groupBy("g").agg(F.min_by(F.struct("mean", "inverse", "half"), F.struct("log_det", "start")).alias("e"))
+    best = estimates.groupBy("g").agg(F.min_by(F.struct("mean", "cov"), F.struct("log_det", "start")).alias("e")).select("g", F.lit(0).alias("start"), "e.mean", "e.cov")
+    if above is not None:
+        own = F.col("n") / (F.col("n") + SHRINK)
+        cov = F.zip_with("cov", "cov_above", lambda x, y: own * F.coalesce(x, F.lit(0.0)) + (1 - own) * F.coalesce(y, F.lit(0.0)))
+        best = best.join(above.withColumnRenamed("cov", "cov_above"), "g").select("g", "start", "mean", cov.alias("cov"))
+    best = inverted(best)
+    scaled = rows.join(best, "g").groupBy("g").agg(F.first("mean").alias("mean"), F.first("cov").alias("cov"), F.first("inverse").alias("inverse"), F.percentile_approx(distance(), 0.5, 1000).alias("half"))
     # a core of near-constant rows must not shrink the scale of the others
-    return stash(best.select("g", "e.mean", "e.inverse", (CHI2_MEDIAN / F.greatest(F.col("e.half"), F.lit(CHI2_MEDIAN))).alias("scale")))
+    return stash(scaled.select("g", "mean", "cov", "inverse", (CHI2_MEDIAN / F.greatest(F.col("half"), F.lit(CHI2_MEDIAN))).alias("scale")))
 
 
 def judge(docs: DataFrame, *, text: str = "text", lang: str = "lang", source: str = "source", carry: list[str] | None = None, out: str = "rules") -> tuple[DataFrame, str]:
@@ -155,10 +161,12 @@ def judge(docs: DataFrame, *, text: str = "text", lang: str = "lang", source: st
     n, chars = F.col("c")["n_words"], F.greatest(F.col("c")["word_chars"], F.lit(1))
     share = lambda part, whole: F.col("c")[part] / F.greatest(whole, F.lit(1))
     group = F.concat_ws("\x1f", F.coalesce(F.concat(F.lit("="), F.col(lang)), F.lit("")), F.coalesce(F.concat(F.lit("="), F.col(source)), F.lit("")))
+    of_lang = F.concat(F.lit("l"), F.coalesce(F.concat(F.lit("="), F.col(lang)), F.lit("")))
     held = stash(
-        docs.select(F.struct(*(carry or docs.columns)).alias("row"), group.alias("own"), counts_udf()(text).alias("c")).select(
+        docs.select(F.struct(*(carry or docs.columns)).alias("row"), group.alias("own"), of_lang.alias("of_lang"), counts_udf()(text).alias("c")).select(
             "row",
             "own",
+            "of_lang",
             "c",
             ((n < MIN_WORDS) | (100 * F.col("c")["n_repeat_words"] > 50 * n)).alias("base_failed"),
             F.log(chars / F.greatest(n, F.lit(1))).alias("x_length"),
@@ -168,10 +176,19 @@ def judge(docs: DataFrame, *, text: str = "text", lang: str = "lang", source: st
             share("n_repeat_words", n).alias("x_repeat"),
         )
     )
-    fit = held.where("not base_failed").select(F.col("own").alias("g"), *DIMS)
-    large = stash(fit.groupBy("g").count().where(F.col("count") >= MIN_GROUP).select(F.col("g").alias("own"), "g"))
-    estimates = mcd(fit.withColumn("g", F.lit(ALL))).unionByName(mcd(fit.join(large.select("g"), "g", "left_semi")))
-    judged = held.join(large, "own", "left").withColumn("g", F.coalesce("g", F.lit(ALL))).join(estimates, "g", "left")
+    fit = held.where("not base_failed").select("own", "of_lang", *DIMS)
+    sizes = stash(fit.groupBy("own", "of_lang").count())
+    defined = CORE * F.col("n") > len(DIMS)
+    langs = stash(sizes.groupBy("of_lang").agg(F.sum("count").alias("n")).where(defined))
+    owns = stash(sizes.withColumnRenamed("count", "n").where(defined))
+    whole = mcd(fit.withColumn("g", F.lit(ALL)))
+    by_lang = mcd(fit.join(langs.select("of_lang"), "of_lang", "left_semi").withColumn("g", F.col("of_lang")), langs.select(F.col("of_lang").alias("g"), "n").crossJoin(whole.select("cov")))
+    above = owns.select(F.col("own").alias("g"), "n", "of_lang").join(by_lang.select(F.col("g").alias("of_lang"), "cov"), "of_lang").drop("of_lang")
+    by_own = mcd(fit.join(owns.select("own"), "own", "left_semi").withColumn("g", F.col("own")), above)
+    estimates = whole.unionByName(by_lang).unionByName(by_own)
+    level = F.when(F.col("own_g").isNotNull(), F.col("own_g")).when(F.col("lang_g").isNotNull(), F.col("lang_g")).otherwise(F.lit(ALL))
+    placed = held.join(owns.select("own", F.col("own").alias("own_g")), "own", "left").join(langs.select("of_lang", F.col("of_lang").alias("lang_g")), "of_lang", "left")
+    judged = placed.withColumn("g", level).join(estimates, "g", "left")
     far = distance() * F.col("scale")
     kept = ~F.col("base_failed") & ~F.coalesce(far > CUTOFF, F.lit(False))
     return judged.select("row.*", F.struct(*[F.col("c")[x].alias(x) for x in COUNTS], "base_failed", far.alias("distance"), kept.alias("kept")).alias(out)), out
