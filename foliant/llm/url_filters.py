@@ -1,11 +1,12 @@
 """URL filters: a blocked Bloom filter in front of an exact hash join.
 
-The list holds canonical URL prefixes, ``host/path`` without scheme, each with a verdict. An entry
-fits its host and all subdomains when the path starts with the entry's path. Each URL yields its
-possible keys (its host and parent domains, each with its path cut to the lengths that the list
-has), longest first. A blocked Bloom filter of the listed keys drops keys that are certainly not
-listed: one 256-bit block a key, eight bits set in it. The rest, hits and false positives, meet the
-list in an exact hash join, which removes the false positives; the longest entry decides.
+Two tables hold canonical URL prefixes, ``host/path`` without scheme, each with a verdict: rules, and
+a list that is asked only where no rule fits. An entry fits its host and all subdomains when the path
+starts with the entry's path. Each URL yields its possible keys (its host and parent domains, each
+with its path cut to the lengths that the entries have). A blocked Bloom filter of all entries drops
+keys that are certainly in neither table: one 256-bit block a key, eight bits set in it. The rest,
+hits and false positives, meet the entries in an exact hash join, which removes the false positives;
+the longest rule that fits decides, else the longest listed entry.
 
 The filter takes ``BITS`` bits a key up to ``MAX_FILTER_BYTES``; beyond that it only lets more false
 positives through to the join. Its blocks are built by a Spark aggregation (bits combine before the
@@ -14,8 +15,9 @@ so a very frequent URL is one row; the join broadcasts the list only up to ``MAX
 entries and otherwise salts its keys.
 
 Defined cases: a null URL or one without ``://`` has an empty host and path and no rule, and is
-allowed; repeated rows each get their row; an empty list allows everything; repeated entries count
-once, a block before an allow; other columns of the pages are not used.
+allowed; repeated rows each get their row; with no entry at all everything is allowed; repeated
+entries count once, a rule before a listed entry, then a block before an allow; entries with a null
+key do not count; other columns of the pages are not used.
 """
 
 from __future__ import annotations
@@ -29,8 +31,9 @@ from foliant.llm.common import stash, table
 
 #: The rules that every URL is judged by.
 RULES = [("net/", "block"), ("example.net/en/", "allow"), ("example.com/de/", "block"), ("org/fr/", "allow")]
-#: Listed sites beside the rules.
-LISTED = ["cheap-pills.example.com/", "spam-farm.example.org/"]
+#: Sites that the query lists under each of these domains.
+SITES = ["ads-track", "adult-x", "casino-win", "cheap-pills", "free-bets", "spam-farm"]
+DOMAINS = ["example.com", "example.net", "example.org"]
 BITS = 16
 MAX_FILTER_BYTES = 64 << 20
 MAX_BROADCAST_ROWS = 100_000
@@ -48,9 +51,12 @@ def split_url(url: Column) -> tuple[Column, Column]:
     return F.when(has, lower).otherwise(""), F.when(has, path).otherwise("")
 
 
-def canonical(rules: DataFrame) -> DataFrame:
-    """(key, verdict) with one row a key."""
-    return rules.groupBy("key").agg(F.max("verdict").alias("verdict"))
+def canonical(rules: DataFrame, listed: DataFrame | None) -> DataFrame:
+    """(key, fixed, verdict) with one row a key; ``fixed``: it is a rule."""
+    entries = rules.select("key", F.lit(True).alias("fixed"), "verdict")
+    if listed is not None:
+        entries = entries.unionByName(listed.select("key", F.lit(False).alias("fixed"), "verdict"))
+    return entries.where(F.col("key").isNotNull()).groupBy("key").agg(F.max(F.struct("fixed", "verdict")).alias("e")).select("key", "e.*")
 
 
 def keys_of(host: Column, path: Column, lengths: list[int]) -> Column:
@@ -98,10 +104,10 @@ def probe_udf(spark: SparkSession, words: np.ndarray):
     return probe
 
 
-def judge(pages: DataFrame, rules: DataFrame, *, page_id: str = "page_id", url: str = "url") -> DataFrame:
-    """page_id, url, host, path, rule, verdict for every page. ``rules``: columns key (``host/path``) and verdict."""
+def judge(pages: DataFrame, rules: DataFrame, listed: DataFrame | None = None, *, page_id: str = "page_id", url: str = "url") -> DataFrame:
+    """page_id, url, host, path, rule, verdict, listed for every page. ``rules``, ``listed``: columns key (``host/path``) and verdict."""
     spark = pages.sparkSession
-    listed = stash(canonical(rules.where(F.col("key").isNotNull())))
+    listed = stash(canonical(rules, listed))
     n = listed.count()
     path_length = F.length("key") - F.instr("key", "/") + 1
     lengths = sorted(r[0] for r in listed.select(path_length).distinct().collect())  # path lengths, not entries
@@ -122,18 +128,17 @@ def judge(pages: DataFrame, rules: DataFrame, *, page_id: str = "page_id", url:
     else:
         salted = listed.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
         joined = maybe.withColumn("salt", F.pmod(F.xxhash64("page_id", "url"), F.lit(SALTS)).cast("int")).join(salted, ["key", "salt"], "left")
-    found = F.when(F.col("verdict").isNotNull(), F.struct(F.length("key").alias("n"), F.col("key").alias("key"), F.col("verdict").alias("verdict")))
+    found = F.when(F.col("verdict").isNotNull(), F.struct("fixed", F.length("key").alias("n"), "key", "verdict"))
     best = joined.groupBy("page_id", "url", "host", "path", "copies").agg(F.max(found).alias("best"))
     return best.withColumn("_", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies")))).select(
-        "page_id", "url", "host", "path", F.col("best.key").alias("rule"), F.coalesce("best.verdict", F.lit("allow")).alias("verdict")
+        "page_id", "url", "host", "path", F.when(F.col("best.fixed"), F.col("best.key")).alias("rule"), F.coalesce("best.verdict", F.lit("allow")).alias("verdict"), F.when(~F.col("best.fixed"), F.col("best.key")).alias("listed")
     )
 
 
 def op1_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
-    entries = [(k, v) for k, v in RULES] + [(k, "block") for k in LISTED]
-    judged = judge(table(spark, sf_dir, "pages").select("page_id", "url"), spark.createDataFrame(entries, "key string, verdict string"))
-    fixed = F.col("rule").isin([k for k, _ in RULES])
-    return judged.select("page_id", "host", "path", F.when(fixed, F.col("rule")).alias("rule"), "verdict", F.when(~fixed, F.col("rule")).alias("listed"))
+    rules = spark.createDataFrame(RULES, "key string, verdict string")
+    listed = spark.createDataFrame([(f"{site}.{domain}/", "block") for site in SITES for domain in DOMAINS], "key string, verdict string")
+    return judge(table(spark, sf_dir, "pages").select("page_id", "url"), rules, listed).drop("url")
 
 
 ORACLE = """
@@ -145,11 +150,13 @@ WITH u AS (
          row_number() OVER () AS n
   FROM u
 ), r(entry, fixed, verdict) AS (
-  VALUES ('net/', true, 'block'), ('example.net/en/', true, 'allow'), ('example.com/de/', true, 'block'), ('org/fr/', true, 'allow'),
-         ('cheap-pills.example.com/', false, 'block'), ('spam-farm.example.org/', false, 'block')
+  VALUES ('net/', true, 'block'), ('example.net/en/', true, 'allow'), ('example.com/de/', true, 'block'), ('org/fr/', true, 'allow')
+  UNION ALL
+  SELECT site || '.' || domain || '/', false, 'block'
+  FROM (VALUES ('ads-track'), ('adult-x'), ('casino-win'), ('cheap-pills'), ('free-bets'), ('spam-farm')) x(site), (VALUES ('example.com'), ('example.net'), ('example.org')) y(domain)
 ), e AS (SELECT entry, fixed, verdict, split_part(entry, '/', 1) AS h, entry[strpos(entry, '/'):] AS p FROM r),
 m AS (
-  SELECT s.n, e.entry, e.fixed, e.verdict, row_number() OVER (PARTITION BY s.n ORDER BY length(e.entry) DESC) AS k
+  SELECT s.n, e.entry, e.fixed, e.verdict, row_number() OVER (PARTITION BY s.n ORDER BY e.fixed DESC, length(e.entry) DESC) AS k
   FROM s JOIN e ON (s.host = e.h OR ends_with(s.host, '.' || e.h)) AND starts_with(s.path, e.p)
 )
 SELECT s.page_id, s.host, s.path, CASE WHEN m.fixed THEN m.entry END AS rule, coalesce(m.verdict, 'allow') AS verdict, CASE WHEN NOT m.fixed THEN m.entry END AS listed
