@@ -12,6 +12,10 @@ from foliant.session import importable
 
 #: Stands for a null id where rows must be ordered: before every other id.
 LOWEST_ID = -(2**63)
+#: Whether Spark removes the shuffle files of a query at its end.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+#: The folder of each application that has no shared one.
+_LOCAL: dict[str, str] = {}
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -27,20 +31,31 @@ def fresh(df: DataFrame, name: str) -> str:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """A new folder below the cluster's shared folder (own temp folder only where none is set)."""
+    """A new folder below the cluster's shared folder, or in local mode, where none is set, below a temporary one."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
-        base = "file://" + tempfile.mkdtemp(prefix="foliant-")
-        spark.conf.set("spark.checkpoint.dir", base)
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+        app = spark.sparkContext.applicationId
+        if app not in _LOCAL:
+            _LOCAL[app] = "file://" + tempfile.mkdtemp(prefix="foliant-")
+        base = _LOCAL[app]
     return f"{base.rstrip('/')}/foliant-{uuid.uuid4().hex}"
 
 
 def stash(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the shared folder and read it again: cuts lineage and survives lost executors."""
-    path = shared_dir(importable(df.sparkSession))
-    schema = df.schema
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(schema).parquet(path)
+    """Write ``df`` to the shared folder and read it again: cuts lineage and survives lost executors.
+
+    The shuffle files of the write go when it is done.
+    """
+    spark = importable(df.sparkSession)
+    path, schema, before = shared_dir(spark), df.schema, spark.conf.get(CLEANUP)
+    spark.conf.set(CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(CLEANUP, before)
+    return spark.read.schema(schema).parquet(path)
 
 
 def id_order(col: str | Column) -> Column:

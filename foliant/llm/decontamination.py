@@ -7,9 +7,10 @@ buckets of the blocks that end a test string, split by its first block, select t
 a direct comparison of the words confirms each occurrence.
 
 The scan is one narrow pass over the documents, whatever their sizes or copies: no shuffle, so no
-skew. The benchmark is read in blocks of at most ``block_bytes`` of text, so the tables that an
-executor holds have a fixed size; beyond one block the documents are scanned block by block, with the
-hits so far written to the shared folder in between.
+skew. The benchmark goes through the driver to the executors in blocks of at most ``block_bytes`` of
+text (a longer item is a block of its own), so the tables that a Python worker holds have a bounded
+size; beyond one block the documents are scanned block by block, with the hits so far written to the
+shared folder in between.
 
 Defined cases: a null or empty text has no words and no hits; an item that is null or has no words
 holds no test string; repeated items and repeated documents are judged one by one; an empty benchmark
@@ -18,6 +19,7 @@ leaves every document clean; an item whose id is null counts like any other and
 
 from __future__ import annotations
 
+import hashlib
 import uuid
 from collections.abc import Iterator
 
@@ -29,7 +31,8 @@ from pyspark.sql import functions as F
 from foliant.llm.common import fresh, stash, table
 
 WINDOW = 13
-BLOCK_BYTES = 16 << 20
+#: Text of the items whose tables a Python worker holds at once; they take about 80 times as much memory.
+BLOCK_BYTES = 2 << 20
 SHARE = 20
 
 #: Folds A-Z and turns every byte outside 0-9, a-z and non-ASCII into a space.
@@ -41,53 +44,81 @@ def words(text: bytes | None) -> list[bytes]:
 
 
 class Scanner:
-    """Wu-Manber tables of the test strings of one length."""
+    """Wu-Manber tables of the test strings of one length. Test strings are places in ``words``, the words of all items."""
 
-    def __init__(self, length: int):
-        self.length, self.block = length, min(2, length)
+    def __init__(self, length: int, words: list[bytes]):
+        self.length, self.block, self.words = length, min(2, length), words
         self.default = length - self.block + 1
-        self.shift: dict[tuple, int] = {}
-        self.buckets: dict[tuple, dict[tuple, list[tuple[list[bytes], set[str | None]]]]] = {}
-
-    def add(self, pattern: list[bytes], item: str | None) -> None:
+        #: Block of words -> how far the next possible end is, or the places of the test strings that end with the block.
+        self.table: dict[tuple, int | list[int]] = {}
+        self.known: set[tuple] = set()
+
+    def add(self, start: int) -> None:
+        """Take the test string at ``start``, but for one that is known."""
+        pattern = tuple(self.words[start : start + self.length])
+        if pattern in self.known:
+            return
+        self.known.add(pattern)
         for end in range(self.block, self.length + 1):
-            key = tuple(pattern[end - self.block : end])
-            self.shift[key] = min(self.shift.get(key, self.default), self.length - end)
-        suffix, prefix = tuple(pattern[-self.block :]), tuple(pattern[: self.block])
-        same = self.buckets.setdefault(suffix, {}).setdefault(prefix, [])
-        for known, items in same:
-            if known == pattern:
-                items.add(item)
-                return
-        same.append((pattern, {item}))
-
-    def scan(self, text: list[bytes]) -> Iterator[tuple[int, set[str | None]]]:
-        """Start of each occurrence, with the items of its test string."""
-        length, block, shift, default = self.length, self.block, self.shift, self.default
+            key, step = pattern[end - self.block : end], self.length - end
+            old = self.table.get(key, self.default)
+            if not step:
+                self.table[key] = [*old, start] if isinstance(old, list) else [start]
+            elif not isinstance(old, list):
+                self.table[key] = min(old, step)
+
+    def scan(self, text: list[bytes]) -> Iterator[int]:
+        """Start of each occurrence."""
+        length, block, table, default, words = self.length, self.block, self.table, self.default, self.words
         end, n = length, len(text)
         while end <= n:
-            step = shift.get(tuple(text[end - block : end]), default)
-            if step:
-                end += step
+            found = table.get(tuple(text[end - block : end]), default)
+            if isinstance(found, int):
+                end += found
                 continue
             start = end - length
-            for pattern, items in self.buckets[tuple(text[end - block : end])].get(tuple(text[start : start + block]), ()):
-                if text[start:end] == pattern:
-                    yield start, items
+            first = text[start]
+            if any(words[at] == first and words[at : at + length] == text[start:end] for at in found):
+                yield start
             end += 1
 
 
-def build(items: list[tuple[str | None, bytes]], window: int) -> list[Scanner]:
-    by_length: dict[int, Scanner] = {}
-    for item, text in items:
-        all_words = words(text)
-        if not all_words:
-            continue
-        length = min(window, len(all_words))
-        scanner = by_length.setdefault(length, Scanner(length))
-        for i in range(len(all_words) - length + 1):
-            scanner.add(all_words[i : i + length], item)
-    return [by_length[k] for k in sorted(by_length)]
+class Tables:
+    """Scanners of a block of items, and the items by test string."""
+
+    def __init__(self, items: list[tuple[str | None, bytes]], window: int):
+        same: dict[bytes, bytes] = {}  # one object for equal words
+        all_words: list[bytes] = []
+        self.scanners: dict[int, Scanner] = {}
+        self.items: dict[bytes, list[int]] = {}
+        self.names = [item for item, _ in items]
+        for number, (_, text) in enumerate(items):
+            own = [same.setdefault(w, w) for w in words(text)]
+            if not own:
+                continue
+            base, length = len(all_words), min(window, len(own))
+            all_words += own
+            scanner = self.scanners.setdefault(length, Scanner(length, all_words))
+            for i in range(len(own) - length + 1):
+                scanner.add(base + i)
+                holders = self.items.setdefault(digest(own[i : i + length]), [])
+                if not holders or holders[-1] != number:
+                    holders.append(number)
+        for scanner in self.scanners.values():
+            scanner.known = set()
+
+    def scan(self, text: list[bytes]) -> tuple[set[int], set[str | None]]:
+        """Hit places and names of the items whose test strings occur."""
+        places, names = set(), set()
+        for length, scanner in self.scanners.items():
+            for start in scanner.scan(text):
+                places.update(range(start, start + length))
+                names.update(self.names[i] for i in self.items[digest(text[start : start + length])])
+        return places, names
+
+
+def digest(test_string: list[bytes]) -> bytes:
+    return hashlib.blake2b(b" ".join(test_string), digest_size=16).digest()
 
 
 def item_blocks(items: DataFrame, item_id: str, item_text: str, block_bytes: int) -> Iterator[list[tuple[str | None, bytes]]]:
@@ -104,7 +135,7 @@ def item_blocks(items: DataFrame, item_id: str, item_text: str, block_bytes: int
     yield block
 
 
-_TABLES: dict[str, list[Scanner]] = {}
+_TABLES: dict[str, Tables] = {}
 
 
 def scanner_udf(spark: SparkSession, block: list[tuple[str | None, bytes]], window: int):
@@ -115,16 +146,15 @@ def scanner_udf(spark: SparkSession, block: list[tuple[str | None, bytes]], wind
     def scan(texts: pa.Array, hits: pa.Array, items: pa.Array) -> pa.Array:
         if key not in _TABLES:
             _TABLES.clear()
-            _TABLES[key] = build(sent.value, window)
+            _TABLES[key] = Tables(sent.value, window)
         out_n, out_hits, out_items = [], [], []
         for text, old, seen in zip(texts.cast(pa.binary()).to_pylist(), hits.to_pylist(), items.to_pylist()):
             doc = words(text)
             positions = set(np.frombuffer(old, "<u4").tolist()) if old else set()
             found = set(seen or ())
-            for scanner in _TABLES[key]:
-                for start, ids in scanner.scan(doc):
-                    positions.update(range(start, start + scanner.length))
-                    found |= ids
+            places, names = _TABLES[key].scan(doc)
+            positions |= places
+            found |= names
             out_n.append(len(doc))
             out_hits.append(np.array(sorted(positions), "<u4").tobytes())
             out_items.append(sorted(found, key=lambda x: (x is None, x or "")))

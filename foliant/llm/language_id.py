@@ -5,9 +5,9 @@ n-grams, longest first, and every n-gram that is unknown falls back to its two s
 language with the largest total wins.
 
 Learning counts words by language in Spark over a sample of at most ``max_docs`` labelled documents
-a language (chosen by a hash of the id and text, whole texts), and keeps the most frequent
-``max_words`` words and ``max_grams`` n-grams: that bounds the model which is broadcast. Prediction is
-one narrow pass over all whole texts.
+a language (chosen by a hash of the id and text, whole texts); the model, which is broadcast, knows all
+words and n-grams of the sample and so is bounded by it. Prediction is one narrow pass over all whole
+texts. Words are runs of letters (Unicode category L) in both.
 
 Defined cases: a null text or one without a letter is ``und`` with score 0; documents with a null
 language are not learned from; a null id is not held out; with nothing to learn from every document
@@ -16,19 +16,17 @@ is ``und``; equal totals go to the first language in order; repeated rows are ju
 
 from __future__ import annotations
 
-import re
 import uuid
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from foliant.llm.common import doc_bucket, table
 
-MAX_DOCS = 5_000
-MAX_WORDS = 60_000
-MAX_GRAMS = 60_000
+MAX_DOCS = 2_000
 LONGEST = 4
 FOLDS, HELD_OUT = 4, 2
 UNDETERMINED = "und"
@@ -39,30 +37,34 @@ CACHE = 400_000
 
 #: Folds A-Z and turns ASCII other than letters into spaces.
 LETTERS = bytes(b + 32 if 65 <= b <= 90 else b if 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
-WORD = re.compile(r"[^\W\d_]+")
+WORD = regex.compile(r"\p{L}+")
+
+
+class Counts:
+    """Log frequencies by string and language."""
+
+    def __init__(self, keys: list[str], counts: np.ndarray):
+        self.row = {k: i for i, k in enumerate(keys)}
+        pooled = counts.sum(axis=1, keepdims=True) / max(1.0, counts.sum())  # what a language with few words is smoothed towards
+        self.logs = np.log((counts + PRIOR * pooled) / (counts.sum(axis=0) + PRIOR)) if keys else counts
+
+    def get(self, key: str) -> np.ndarray | None:
+        at = self.row.get(key)
+        return None if at is None else self.logs[at]
 
 
 class Model:
-    """Log frequencies by word and by n-gram: tables from string to a vector over the languages."""
-
-    def __init__(self, langs: list[str], words: list[tuple[str, list[int]]], grams: list[tuple[str, list[int]]]):
-        self.langs = langs
-        self.words = self.logs(words)
-        self.grams = {}
-        for n in range(1, LONGEST + 1):
-            self.grams |= self.logs([(g, c) for g, c in grams if len(g) == n])
-
-    @staticmethod
-    def logs(counted: list[tuple[str, list[int]]]) -> dict[str, np.ndarray]:
-        if not counted:
-            return {}
-        counts = np.array([c for _, c in counted], float)
-        pooled = counts.sum(axis=1, keepdims=True) / counts.sum()  # what a language with few words is smoothed towards
-        return dict(zip([k for k, _ in counted], np.log((counts + PRIOR * pooled) / (counts.sum(axis=0) + PRIOR))))
+    """Log frequencies by word, and by n-gram for each length."""
+
+    def __init__(self, langs: list[str], words: tuple[list[str], np.ndarray], grams: tuple[list[str], np.ndarray]):
+        self.langs, self.words = langs, Counts(*words)
+        lengths = np.array([len(g) for g in grams[0]])
+        each = [np.flatnonzero(lengths == n) for n in range(1, LONGEST + 1)]
+        self.grams = [Counts([grams[0][i] for i in at], grams[1][at]) for at in each]
 
     def gram(self, g: str) -> np.ndarray | None:
         """Score of an n-gram: its own or the mean of its two shorter parts."""
-        if (own := self.grams.get(g)) is not None or len(g) == 1:
+        if (own := self.grams[len(g) - 1].get(g)) is not None or len(g) == 1:
             return own
         parts = [x for x in (self.gram(g[:-1]), self.gram(g[1:])) if x is not None]
         return sum(parts) / len(parts) if parts else None
@@ -125,25 +127,25 @@ def sample(docs: DataFrame, doc_id: str, text: str, lang: str, max_docs: int) ->
     return known.join(F.broadcast(share), "lang").where(hashed < F.col("share") * 1_000_000).select("lang", "text")
 
 
-def fit(labelled: DataFrame, *, doc_id: str = "doc_id", text: str = "text", lang: str = "lang", max_docs: int = MAX_DOCS, max_words: int = MAX_WORDS, max_grams: int = MAX_GRAMS) -> Model:
+def fit(labelled: DataFrame, *, doc_id: str = "doc_id", text: str = "text", lang: str = "lang", max_docs: int = MAX_DOCS) -> Model:
     learned = sample(labelled, doc_id, text, lang, max_docs)
     words = learned.select("lang", F.explode(F.split(F.lower("text"), r"[^\p{L}]+")).alias("word")).where("word <> ''").groupBy("lang", "word").count().cache()
     try:
         langs = sorted(r[0] for r in words.select("lang").distinct().collect())
         columns = [F.sum(F.when(F.col("lang") == x, F.col("count")).otherwise(0)).alias(f"c{i}") for i, x in enumerate(langs)]
 
-        def top(counted: DataFrame, key: str, n: int) -> list[tuple[str, list[int]]]:
+        def wide(counted: DataFrame, key: str) -> tuple[list[str], np.ndarray]:
             if not langs:
-                return []
-            wide = counted.groupBy(key).agg(F.sum("count").alias("total"), *columns).orderBy(F.desc("total"), key).limit(n)
-            return [(r[0], list(r[2:])) for r in wide.collect()]  # at most n rows
+                return [], np.zeros((0, 1))
+            found = counted.groupBy(key).agg(*columns).toArrow()  # bounded by the sample
+            return found[key].to_pylist(), np.stack([found[f"c{i}"].to_numpy() for i in range(len(langs))], 1).astype(float)
 
         marked = F.concat(F.lit("^"), F.col("word"), F.lit("$"))
         spans = F.flatten(F.array(*[
             F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.length(marked) - n + 1)), lambda i, n=n: F.substring(marked, i, F.lit(n))) for n in range(1, LONGEST + 1)
         ]))
         grams = words.select("lang", "count", F.explode(spans).alias("gram"))
-        return Model(langs, top(words, "word", max_words), top(grams, "gram", max_grams))
+        return Model(langs, wide(words, "word"), wide(grams, "gram"))
     finally:
         words.unpersist()
 

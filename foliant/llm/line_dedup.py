@@ -7,13 +7,19 @@ input. Steps, all DataFrame functions:
 1. Words get codes that sort by rarity: the corpus count of the word's hash bucket, in quarter powers
    of two, then the word's hash. Counting covers every word; the table has ``BUCKETS`` entries.
 2. Equal sets are one class, represented by their earliest line, in one partial aggregation: a line
-   with any number of copies goes on as one row.
-3. Representatives are posted under their rarest words, as many as two similar sets must share one of
-   (prefix filter), and meet in a join on the word. Candidates must pass the length filter, the
-   positional filter, which bounds the words they can still share by their places in both orders, and
-   a filter on 128 parity bits, which bounds the words in which they differ.
-4. The candidates' lines are read again and their Jaccard similarity is verified exactly.
-5. Documents keep the representatives without an earlier match, and blank lines.
+   with any number of copies goes on as one row. Two sets that are similar but not equal must share a
+   word of their prefixes, their rarest words (prefix filter).
+3. Star join: a line meets the earliest lines that share one of ``STARS`` MinHash values of its prefix,
+   one from each of ``CENTRES`` parts of the corpus, and is compared with the likeliest of them. In a
+   family of many similar lines nearly all are similar to that one, so a family costs as many pairs as it has lines.
+4. Lines that are still without an earlier match are posted under all words of their prefixes and meet
+   all earlier lines there. Candidates must pass the length filter, the positional filter, which bounds
+   the words they can still share by their places in both orders, and a filter on 64 to 256 parity
+   bits, more for longer lines, which bounds the words in which they differ. Lines that step 3 removed are met but meet nobody.
+5. In both joins the Jaccard similarity of the candidates is verified on the whole sets (of 63-bit
+   codes of the words). A Bloom filter of the candidates picks their lines out of the texts, so texts
+   are not shuffled for it.
+6. Documents keep the representatives without an earlier match, and blank lines.
 
 Very frequent words come last in the order and so are hardly posted; a hot posting list meets in a
 join that adaptive execution splits.
@@ -27,6 +33,7 @@ are kept as they are, whatever their names.
 from __future__ import annotations
 
 import math
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -35,114 +42,187 @@ from foliant.llm.common import fresh, id_order, stash, table
 
 THRESHOLD = 0.8
 BUCKETS = 1 << 16
-#: Candidate lines whose places are broadcast; more of them meet their documents in a shuffle.
-MAX_BROADCAST_LINES = 1_000_000
+#: MinHash values of a prefix under which a line meets an earlier one.
+STARS = 3
+CENTRES = 8
+#: Lines of so many words have two, and four, times 64 parity bits.
+LONG, LONGER = 40, 112
+BITS = ["b0", "b1", "b2", "b3"]
+#: Bits of the Bloom filter of candidate lines: so many a line, up to a bound of 8 MB.
+BITS_PER_LINE, MAX_BITS = 16, 1 << 26
+AT = ["d", "h", "ln"]
 
 
-def words(text: Column) -> Column:
-    """Words between spaces, tabs and line ends."""
-    return F.split(F.translate(text, "\t\n\x0b\f\r", "     "), " ")
+def spaced(text: Column) -> Column:
+    """The text with white space other than line feeds as spaces."""
+    other = "\t\x0b\f\r"
+    return F.when(reduce(Column.__or__, [text.contains(c) for c in other]), F.translate(text, other, "    ")).otherwise(text)
 
 
-def rarity(docs: DataFrame, text: str) -> list[int]:
-    """Quarter powers of two of the word count of each hash bucket, from all words."""
-    bucket = F.pmod(F.xxhash64("word"), F.lit(BUCKETS)).cast("int")
-    counted = docs.select(F.explode(words(F.col(text))).alias("word")).where("word <> ''").groupBy(bucket.alias("bucket")).count()
+def bucket(h: Column) -> Column:
+    return h.bitwiseAND(F.lit(BUCKETS - 1)).cast("int")
+
+
+def rarity(docs: DataFrame) -> Column:
+    """By hash bucket: quarter powers of two of the count of its words, in the top bits of a long."""
+    each = docs.select(F.explode(F.split(F.translate("spaced", "\n", " "), " ")).alias("word")).where("word <> ''")
     ranks = [0] * BUCKETS
-    for bucket, n in counted.collect():  # at most BUCKETS rows
-        ranks[bucket] = min(127, int(4 * math.log2(n)))
-    return ranks
+    for b, n in each.groupBy(bucket(F.xxhash64("word")).alias("b")).count().collect():  # at most BUCKETS rows
+        ranks[b] = min(127, int(4 * math.log2(n))) << 56
+    # one literal that folds to an array; an array of literals would make every plan as long as the table
+    return F.split(F.lit(",".join(map(str, ranks))), ",").cast("array<bigint>")
 
 
 def codes(line: Column, ranks: Column) -> Column:
     """The line's distinct words as sorted numbers, rare ones first: 7 bits of rarity, 56 of hash."""
-    empty = F.lit(0).cast("long")
-
-    def code(word: Column) -> Column:
-        h = F.xxhash64(word)
-        rank = F.shiftleft(ranks[F.pmod(h, F.lit(BUCKETS)).cast("int")].cast("long"), 56)
-        return F.when(word == "", empty).otherwise(rank.bitwiseOR(F.shiftrightunsigned(h, 8)))
-
-    return F.array_remove(F.sort_array(F.array_distinct(F.transform(words(line), code))), empty)
+    hashes = F.array_distinct(F.transform(F.array_remove(F.split(line, " "), ""), lambda w: F.xxhash64(w)))
+    return F.sort_array(F.transform(hashes, lambda h: ranks[bucket(h)].bitwiseOR(F.shiftrightunsigned(h, 8))))
 
 
 def lines_of(docs: DataFrame) -> DataFrame:
-    """(d, h, ln, line) of every line; ``docs``: d, h, text."""
-    return docs.select("d", "h", F.posexplode(F.split("text", "\n")).alias("ln", "line"))
+    """(d, h, ln, line) of every line; ``docs``: d, h, spaced."""
+    return docs.select("d", "h", F.posexplode(F.split("spaced", "\n")).alias("ln", "line"))
 
 
-def least_overlap(n: Column, m: Column, threshold: float) -> Column:
-    """Words that sets of sizes n and m share at least when they are similar."""
-    return F.ceil(threshold / (1 + threshold) * (n + m) - 1e-9)
+def one_bit(place: Column) -> Column:
+    return F.call_function("shiftleft", F.lit(1).cast("long"), place.bitwiseAND(F.lit(63)).cast("int"))
 
 
-def parity(codes: Column, half: int) -> Column:
-    """64 bits, each the parity of the number of words that hash to it. Two sets differ in no fewer words than bits."""
-    single = F.lit([1 << i for i in range(63)] + [-(1 << 63)])
-    own = lambda c: F.when(F.shiftright(c, 6) % 2 == half, single[(c % 64).cast("int")]).otherwise(F.lit(0).cast("long"))
-    return F.aggregate(codes, F.lit(0).cast("long"), lambda acc, c: acc.bitwiseXOR(own(c)))
+def parities(codes: Column, n: Column) -> list[Column]:
+    """64 bits, each the parity of the number of words that hash to it; of long lines once for each part of the words.
+
+    Two sets differ in no fewer words than bits.
+    """
+    parts = F.when(n < LONG, 0).when(n < LONGER, 1).otherwise(3)
+    zero = F.lit(0).cast("long")
+    of = lambda i: F.aggregate(codes, zero, lambda acc, c: acc.bitwiseXOR(F.call_function("shiftleft", (F.shiftright(c, 6).bitwiseAND(parts) == i).cast("long"), c.bitwiseAND(F.lit(63)).cast("int"))))
+    plain = F.aggregate(codes, zero, lambda acc, c: acc.bitwiseXOR(one_bit(c)))
+    return [F.when(parts == 0, plain).otherwise(of(0)), *[F.when(parts >= i, of(i)).otherwise(zero) for i in range(1, len(BITS))]]
 
 
 def representatives(docs: DataFrame, ranks: Column, threshold: float) -> DataFrame:
-    """One row per distinct set: k1, k2, its earliest line (d, h, ln), size, prefix and parity bits."""
-    coded = lines_of(docs).select("d", "h", "ln", codes(F.col("line"), ranks).alias("codes"))
+    """One row per distinct set that can be similar to another: its earliest line (d, h, ln), size, prefix and parity bits.
+
+    The others, too small or without similar sets because the threshold is 1, come along with a null prefix.
+    """
+    coded = lines_of(docs).select(*AT, codes(F.col("line"), ranks).alias("codes"))
     n = F.size("codes")
-    prefix = F.slice("codes", F.lit(1), (n - F.ceil(threshold * n - 1e-9) + 1).cast("int"))
-    r = F.struct("d", "h", "ln", n.alias("n"), prefix.alias("prefix"), *[parity(F.col("codes"), i).alias(f"bits{i}") for i in (0, 1)])
-    keyed = coded.where(n > 0).select(F.xxhash64("codes").alias("k1"), F.xxhash64(F.lit(1), "codes").alias("k2"), r.alias("r"))
-    return keyed.groupBy("k1", "k2").agg(F.min("r").alias("r")).select("k1", "k2", "r.*")
+    # the likest unequal set has one word more
+    joins = n >= math.ceil(threshold / (1 - threshold) - 1e-9) if threshold < 1 else F.lit(False)
+    prefix = F.when(joins, F.slice("codes", F.lit(1), (n - F.ceil(threshold * n - 1e-9) + 1).cast("int")))
+    r = F.struct(*AT, n.alias("n"), prefix.alias("prefix"), *[x.alias(b) for x, b in zip(parities(F.col("codes"), n), BITS)])
+    keyed = coded.select(F.xxhash64("codes").alias("k1"), F.xxhash64(F.lit(1), "codes").alias("k2"), r.alias("r"))
+    # blank lines go only here: a filter before would be computed from the text once more
+    return keyed.groupBy("k1", "k2").agg(F.min("r").alias("r")).select("r.*").where("n > 0")
+
+
+def sided(lines: DataFrame, side: str, *same: str) -> DataFrame:
+    """Columns renamed to one side of a join, but for ``same``."""
+    return lines.select(*[F.col(c) if c in same else F.col(c).alias(c + side) for c in lines.columns])
 
 
-def candidates(reps: DataFrame, threshold: float) -> DataFrame:
-    """Pairs of representatives that pass the prefix, length, positional and parity filters.
+def is_later() -> Column:
+    """Whether x comes after y."""
+    d, h, ln = ((F.col(c + "x"), F.col(c + "y")) for c in AT)
+    return (d[0] > d[1]) | ((d[0] == d[1]) & ((h[0] > h[1]) | ((h[0] == h[1]) & (ln[0] > ln[1]))))
 
-    Of a pair the smaller set needs a shorter prefix only, because it must share more of its words.
+
+def least_overlap(nx: Column, ny: Column, threshold: float) -> Column:
+    """Words that sets of sizes nx and ny share at least when they are similar."""
+    return F.ceil(threshold / (1 + threshold) * (nx + ny) - 1e-9)
+
+
+def differ(nx: Column, ny: Column) -> Column:
+    """Words at least in which x and y differ, from the parity bits that both have."""
+    both = {b: F.col(b + "x").bitwiseXOR(F.col(b + "y")) for b in BITS}
+    least = F.least(nx, ny)
+    four = sum((F.bit_count(x) for x in both.values()), F.lit(0))
+    two = F.bit_count(both["b0"].bitwiseXOR(both["b2"])) + F.bit_count(both["b1"].bitwiseXOR(both["b3"]))
+    return F.when(least < LONG, F.bit_count(reduce(Column.bitwiseXOR, both.values()))).when(least < LONGER, two).otherwise(four)
+
+
+def may_be_similar(nx: Column, ny: Column, threshold: float) -> Column:
+    """Length and parity filters of the lines x and y."""
+    return (F.least(nx, ny) >= threshold * F.greatest(nx, ny) - 1e-9) & (differ(nx, ny) <= nx + ny - 2 * least_overlap(nx, ny, threshold))
+
+
+def star_pairs(reps: DataFrame, threshold: float) -> DataFrame:
+    """Lines x, each with the likeliest y of the earliest lines that share a MinHash value of the prefix."""
+    value = lambda i: F.array_min(F.transform("prefix", lambda c: F.xxhash64(c, F.lit(i))))
+    own = reps.select(*AT, "n", *BITS, F.explode(F.array(*[value(i) for i in range(STARS)])).alias("key"))
+    part = F.pmod(F.xxhash64(*AT), F.lit(CENTRES))
+    firsts = [F.min(F.when(part == i, F.struct(*AT, "n", *BITS))).alias(f"y{i}") for i in range(CENTRES)]
+    first = own.groupBy("key").agg(F.count("*").alias("many"), *firsts).where("many > 1").select("key", *[f"y{i}" for i in range(CENTRES)])
+    met = sided(own, "x", "key").join(first, "key").select("*", F.explode(F.array_compact(F.array(*[f"y{i}" for i in range(CENTRES)]))).alias("y"))
+    met = met.select(*[c + "x" for c in (*AT, "n", *BITS)], *[F.col(f"y.{c}").alias(c + "y") for c in (*AT, "n", *BITS)])
+    x, y = ([c + side for c in AT] for side in "xy")
+    nx, ny = F.col("nx"), F.col("ny")
+    likely = met.where(is_later() & may_be_similar(nx, ny, threshold)).groupBy(*x).agg(F.min(F.struct(differ(nx, ny).alias("far"), *y)).alias("y"))
+    return likely.select(*x, *[F.col(f"y.{c}") for c in y])
+
+
+def prefix_pairs(reps: DataFrame, threshold: float) -> DataFrame:
+    """Open lines x (``open`` 1) with all earlier lines y that share a word of their prefixes and pass the filters.
+
+    Of a pair the smaller set needs a shorter prefix only, because it must share more of its words. Both
+    sides of the join are one exchange, so no condition is on one side alone.
     """
-    n = F.col("n")
-    short = F.slice("prefix", F.lit(1), (n - F.ceil(2 * threshold / (1 + threshold) * n - 1e-9) + 1).cast("int"))
-    posted = lambda prefix, side: reps.where(n > 3).select(*[F.col(c).alias(c + side) for c in ("k1", "n", "bits0", "bits1")], F.posexplode(prefix).alias("i" + side, "code"))
-    left, right = posted(short, "a"), posted(F.col("prefix"), "b")  # smaller sets than these are similar only when equal
-    na, nb = F.col("na"), F.col("nb")
-    least = least_overlap(na, nb, threshold)
-    reachable = F.least(na - F.col("ia"), nb - F.col("ib"))
-    differ = sum(F.bit_count(F.col(f"bits{i}a").bitwiseXOR(F.col(f"bits{i}b"))) for i in (0, 1))
-    sizes = (na >= threshold * nb - 1e-9) & ((na < nb) | ((na == nb) & (F.col("k1a") < F.col("k1b"))))
-    met = left.join(right, "code").where(sizes & (reachable >= least) & (differ <= na + nb - 2 * least))
-    return met.select("k1a", "k1b").distinct()
+    posted = reps.select(*AT, "n", "open", *BITS, F.posexplode("prefix").alias("i", "code"))
+    met = sided(posted, "x", "code").join(sided(posted, "y", "code"), "code")
+    nx, ny, ix, iy = (F.col(c) for c in ("nx", "ny", "ix", "iy"))
+    short = lambda n: n - F.ceil(2 * threshold / (1 + threshold) * n - 1e-9) + 1
+    open_x = 2 * F.col("openx") + F.col("openy") > 1
+    within = F.when(nx <= ny, ix < short(nx)).otherwise(iy < short(ny))
+    reachable = F.least(nx - ix, ny - iy) >= least_overlap(nx, ny, threshold)
+    return met.where(is_later() & open_x & within & reachable & may_be_similar(nx, ny, threshold)).select(*[c + s for s in "xy" for c in AT]).distinct()
+
+
+def maybe_among(asked: DataFrame) -> Column:
+    """A condition on (d, h, ln) that holds for all rows of ``asked`` and few others: one bit each in a filter of bounded size."""
+    n = max(64, min(MAX_BITS, 1 << (BITS_PER_LINE * max(1, asked.count())).bit_length()))
+    place = F.xxhash64(*AT).bitwiseAND(F.lit(n - 1))
+    held = asked.select(place.alias("p")).groupBy(F.shiftright("p", 6).alias("i")).agg(F.bit_or(one_bit(F.col("p"))).alias("bits"))
+    dense = asked.sparkSession.range(n >> 6).join(held, F.col("id") == F.col("i"), "left").select("id", F.coalesce("bits", F.lit(0).cast("long")).alias("bits"))
+    words_ = dense.agg(F.transform(F.array_sort(F.collect_list(F.struct("id", "bits"))), lambda x: x["bits"])).scalar()
+    return words_[F.shiftright(place, 6).cast("int")].bitwiseAND(one_bit(place)) != 0
+
+
+def verified(docs: DataFrame, pairs: DataFrame, ranks: Column, threshold: float) -> DataFrame:
+    """(d, h, ln) of the lines x that are similar to their y."""
+    pairs = stash(pairs)
+    sides = [pairs.select(*[F.col(c + s).alias(c) for c in AT]) for s in "xy"]
+    asked = stash(sides[0].unionByName(sides[1]).distinct())
+    sets = stash(lines_of(docs).where(maybe_among(asked)).select(*AT, codes(F.col("line"), ranks).alias("set")).dropDuplicates(AT))
+    both = pairs.join(sided(sets, "x"), [c + "x" for c in AT]).join(sided(sets, "y"), [c + "y" for c in AT])
+    shared = F.size(F.array_intersect("setx", "sety"))
+    similar = shared >= threshold * (F.size("setx") + F.size("sety") - shared) - 1e-9
+    return stash(both.where(similar).select(*[F.col(c + "x").alias(c) for c in AT]).distinct())
 
 
 def matched(docs: DataFrame, reps: DataFrame, ranks: Column, threshold: float) -> DataFrame:
     """(d, h, ln) of representatives with an earlier line that is similar."""
-    pairs = stash(candidates(reps, threshold))
-    asked = pairs.select(F.explode(F.array("k1a", "k1b")).alias("k1")).distinct()
-    where = stash(reps.join(asked, "k1", "left_semi").select("k1", "d", "h", "ln"))
-    by_doc = where.groupBy("d", "h").agg(F.collect_list(F.struct("ln", "k1")).alias("asked"))
-    if where.count() <= MAX_BROADCAST_LINES:
-        by_doc = F.broadcast(by_doc)
-    lines = docs.join(by_doc, ["d", "h"]).select("d", "h", F.split("text", "\n").alias("lines"), F.explode("asked").alias("a"))
-    sets = stash(lines.select(F.struct("d", "h", "a.ln").alias("at"), "a.k1", codes(F.col("lines")[F.col("a.ln")], ranks).alias("codes")).dropDuplicates(["at"]))
-    both = pairs.join(sets.select(F.col("k1").alias("k1a"), F.col("at").alias("ata"), F.col("codes").alias("x")), "k1a").join(
-        sets.select(F.col("k1").alias("k1b"), F.col("at").alias("atb"), F.col("codes").alias("y")), "k1b"
-    )
-    shared = F.size(F.array_intersect("x", "y"))
-    similar = shared >= threshold * (F.size("x") + F.size("y") - shared) - 1e-9
-    return both.where(similar).select(F.greatest("ata", "atb").alias("at")).distinct().select("at.*")
+    joins = reps.where(F.col("prefix").isNotNull())
+    stars = verified(docs, star_pairs(joins, threshold), ranks, threshold)
+    marked = joins.join(stars.withColumn("gone", F.lit(True)), AT, "left").withColumn("open", F.when(F.col("gone").isNull(), 1).otherwise(0)).drop("gone")
+    return stars.unionByName(verified(docs, prefix_pairs(marked, threshold), ranks, threshold))
 
 
 def dedup_lines(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", threshold: float = THRESHOLD) -> DataFrame:
-    """``docs`` with repeated lines removed from the text; all columns stay."""
-    d, h, kept_lines = fresh(docs, "_d"), fresh(docs, "_h"), fresh(docs, "_kept")
-    named = docs.select(id_order(doc_id).alias("d"), F.xxhash64(text).alias("h"), F.col(text).alias("text")).where(F.col("text").isNotNull())
-    # one literal that folds to an array; an array of literals would make every plan as long as the table
-    ranks = F.split(F.lit(",".join(map(str, rarity(named, "text")))), ",").cast("array<int>")
+    """``docs`` with repeated lines removed from the text; all columns stay. ``threshold``: above 0, 1 at most."""
+    d, h, kept_lines, lines = (fresh(docs, c) for c in ("_d", "_h", "_kept", "_lines"))
+    repeated = not docs.groupBy(doc_id).count().where("count > 1").isEmpty()
+    hashed = F.xxhash64(text) if repeated else F.lit(0).cast("long")  # tells texts of one id apart
+    named = docs.select(id_order(doc_id).alias("d"), hashed.alias("h"), spaced(F.col(text)).alias("spaced")).where(F.col(text).isNotNull())
+    ranks = rarity(named)
     reps = stash(representatives(named, ranks, threshold))
     gone = matched(named, reps, ranks, threshold)
-    kept = reps.select("d", "h", "ln").join(gone, ["d", "h", "ln"], "left_anti").groupBy("d", "h").agg(F.collect_list("ln").alias(kept_lines))
-    keyed = docs.withColumn(d, id_order(doc_id)).withColumn(h, F.xxhash64(text))
+    kept = reps.select(*AT).join(gone, AT, "left_anti").groupBy("d", "h").agg(F.collect_list("ln").alias(kept_lines))
+    # lines are split before the join, so that picking one is a step in an array
+    keyed = docs.withColumn(d, id_order(doc_id)).withColumn(h, hashed).withColumn(lines, F.split(text, "\n")).drop(text)
     joined = keyed.join(kept.withColumnsRenamed({"d": d, "h": h}), [d, h], "left")
-    keep = F.coalesce(F.col(kept_lines), F.array().cast("array<int>"))
-    marked = F.transform(F.split(F.col(text), "\n"), lambda line, i: F.when(F.array_contains(keep, i) | ~line.rlike(r"[^ \t-\r]"), line))
-    return joined.withColumn(text, F.array_join(F.array_compact(marked), "\n")).select(*docs.columns)
+    blank = F.transform(lines, lambda line, i: F.when(~line.rlike(r"[^ \t-\r]"), i))
+    keep = F.sort_array(F.concat(F.coalesce(kept_lines, F.array().cast("array<int>")), F.array_compact(blank)))
+    return joined.withColumn(text, F.array_join(F.transform(keep, lambda i: F.col(lines)[i]), "\n")).select(*docs.columns)
 
 
 def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -6,8 +6,8 @@ at least ``THRESHOLD`` percent (or as asked for), confirmed on the full sets. St
 1. Equal sets are one class: everything below works on one representative (the smallest id) a class,
    so exact copies, however many, meet in one partial aggregation and nowhere else.
 2. A representative is posted under its (coordinate, value) pairs. Linked sets agree in at least
-   ``matches_for`` of ``COORDINATES`` values (at the threshold all but about one link in 30,000 do, more
-   similar ones practically always; 42 at 85 percent), so pairs that nobody else has count against a document, and one
+   ``matches_for`` of ``COORDINATES`` values (at the threshold all but about one link in a billion do, more
+   similar ones practically always; 34 at 85 percent), so pairs that nobody else has count against a document, and one
    with too few shared pairs is out. The others are posted under their rarest pairs only, as many as
    any two matching documents must overlap in (prefix filter).
 3. Star round: in each posting list everyone meets the smallest id. Candidates whose signatures
@@ -40,11 +40,11 @@ SHINGLE = 5
 THRESHOLD = 85
 COORDINATES = 64
 #: Share of the links at exactly the threshold that may agree in too few coordinates.
-MISSED = 1 / 30_000
+MISSED = 1e-9
 #: Places of asked-for documents that are broadcast; more of them meet the documents in a shuffle.
 MAX_BROADCAST = 1_000_000
 #: Members of a posting list that are compared at once.
-BLOCK = 512
+BLOCK = 2_048
 #: Members of a block of a family, and shingles of their sets.
 FAMILY_BLOCK = 4_096
 FAMILY_SHINGLES = 800_000

@@ -15,8 +15,10 @@ there are:
    new sequences when none does.
 
 The plan is a list of runs: "documents of length L with ranks a..b go to sequences s, s+1, ... at
-offset o". Ranks of equal lengths are dealt by windows over (length, salt), so a very frequent length
-is spread over many tasks, and each document finds its run by bisection in the plan.
+offset o". Ranks of equal lengths are dealt by windows over (length, salt); the histogram gives a length
+one salt for each ``WINDOW_ROWS`` of its pieces, so a very frequent length is spread over many tasks.
+Each document finds its run by bisection in the plan. Full pieces need no rank: their sequences are
+numbered where they are read.
 
 Defined cases: a null text counts as empty (only the end id); repeated rows are packed one by one; an
 empty table gives no rows; equal lengths are interchangeable, ties go by salt and id.
@@ -42,7 +44,8 @@ from foliant.llm.common import fresh, stash, table
 CAPACITY = 2048
 SMALL = 512
 GROUPS = 128
-SALTS = 64
+#: Pieces of one length that are ranked in one window, about.
+WINDOW_ROWS = 100_000
 END_ID = 0
 #: Remembered words of a Python worker, in each of two generations.
 CACHE = 600_000
@@ -272,11 +275,13 @@ def place_udf(spark: SparkSession, runs: list[tuple[int, int, int, int, int]]):
     return place
 
 
-def ranked(pieces: DataFrame, *keys: str) -> DataFrame:
+def ranked(pieces: DataFrame, hist: dict[int, int], *keys: str) -> DataFrame:
     """``pieces`` with a rank from 0 among those of their length, without bringing a length into one task."""
-    pieces = pieces.withColumn("_salt", F.pmod(F.xxhash64(*keys), F.lit(SALTS)).cast("int"))
+    # one literal that folds to an array: the salts of each length
+    salts = F.split(F.lit(",".join(str(1 + hist.get(n, 0) // WINDOW_ROWS) for n in range(max(hist, default=0) + 1))), ",").cast("array<int>")
+    pieces = pieces.withColumn("_salt", F.pmod(F.xxhash64(*keys), salts[F.col("length").cast("int")]).cast("int"))
     before = Window.partitionBy("length").orderBy("_salt").rowsBetween(Window.unboundedPreceding, -1)
-    # at most capacity x SALTS rows, however many pieces there are
+    # a row for each length and salt: at most one a length, and one more for each WINDOW_ROWS pieces
     base = pieces.groupBy("length", "_salt").agg(F.count("*").alias("_n")).select("length", "_salt", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_base"))
     local = F.row_number().over(Window.partitionBy("length", "_salt").orderBy(*keys)) - 1
     return pieces.withColumn("_local", local).join(F.broadcast(base), ["length", "_salt"]).withColumn("rank", F.col("_local") + F.col("_base"))
@@ -295,9 +300,9 @@ def pack(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", tokeniz
     used = max((first + n for _, _, n, first, _ in runs), default=0)
     at = place_udf(spark, runs)(F.col("length"), F.col("rank"))
     columns = ["doc_id", "piece", "start", "length", "ids_crc32"]
-    placed = ranked(part, "doc_id", "piece", "start", "ids_crc32").withColumn("_at", at).select(*columns, F.col("_at")["sequence_id"].alias("sequence_id"), F.col("_at")["offset"].alias("offset"))
-    full = ranked(pieces.where(F.col("length") == capacity), "doc_id", "piece", "start", "ids_crc32")
-    return placed.unionByName(full.select(*columns, (F.col("rank") + used).alias("sequence_id"), F.lit(0).cast("long").alias("offset")))
+    placed = ranked(part, hist, "doc_id", "piece", "start", "ids_crc32").withColumn("_at", at).select(*columns, F.col("_at")["sequence_id"].alias("sequence_id"), F.col("_at")["offset"].alias("offset"))
+    full = pieces.where(F.col("length") == capacity)
+    return placed.unionByName(full.select(*columns, (F.monotonically_increasing_id() + used).alias("sequence_id"), F.lit(0).cast("long").alias("offset")))
 
 
 def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -12,8 +12,8 @@ located by splitting a text at the same pattern that extracts them. Patterns are
 (possessive or bounded repetition), also for very long runs.
 
 Defined cases: a null text counts as empty and has no spans; repeated rows are judged one by one; a
-candidate that overlaps a fixed span is dropped, of overlapping candidates the best stays (ties: the
-first); other columns are kept as they are.
+candidate that overlaps a fixed span is dropped, of two overlapping candidates the better stays (ties:
+the first), so of a chain of them not all need go; other columns are kept as they are.
 """
 
 from __future__ import annotations
@@ -39,7 +39,7 @@ BASE = {
 GUARD = {"email": "@", "ip": ".", "card": None, "phone": "+"}
 #: Generators of candidates.
 LOOSE = {
-    "email": r"[A-Za-z0-9][A-Za-z0-9._%+-]{1,40} ?(?:\(at\)|\[at\]|(?<= )at(?= )|@) ?[A-Za-z0-9-]{1,40} ?(?:\(dot\)|\[dot\]|(?<= )dot(?= )|\.) ?[A-Za-z]{2,10}",
+    "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9][A-Za-z0-9._%+-]{0,63} ?(?:\((?i:at)\)|\[(?i:at)\]|(?<= )(?i:at)(?= )|@) ?[A-Za-z0-9-]{1,63}(?: ?(?:\((?i:dot)\)|\[(?i:dot)\]|(?<= )(?i:dot)(?= )|\.) ?[A-Za-z0-9-]{1,63}){0,4} ?(?:\((?i:dot)\)|\[(?i:dot)\]|(?<= )(?i:dot)(?= )|\.) ?[A-Za-z]{2,24}(?![A-Za-z])",
     "ip": r"(?<![0-9A-Za-z:])(?:(?:[0-9A-Fa-f]{1,4}:){4,7}[0-9A-Fa-f]{1,4}|[0-9]{1,3}(?: ?(?:\.|\[\.\]|\(\.\)|\[dot\]) ?[0-9]{1,3}){3})(?![0-9A-Za-z:])",
     "card": r"(?<![0-9A-Za-z])[0-9]{4}(?:[ ._/-]{0,2}[0-9]{3,6}){2,3}(?![0-9A-Za-z])",
     "phone": r"(?<![0-9A-Za-z.+/-])\(?[0-9]{2,5}\)?(?:[ ./-]{0,2}[0-9]{2,5}){2,4}(?![0-9A-Za-z])",
@@ -52,8 +52,14 @@ HINTS = {
 }
 AGAINST = r"(?i)\b(?:date|version|order|invoice|id|no|page|isbn|total|price|token|section|build)\b\W*$"
 FEATURES = ["kind", "length", "digits", "groups", "longest", "parens", "marks", "luhn", "hint", "against", "date", "spelled", "digit_share"]
-SPAN = "struct<start:int,end:int,match:string>"
+#: A match with the text before it that its features look at.
+SPAN = "struct<start:int,end:int,match:string,before:string>"
+#: Characters of that text, which begins at the previous match of the same pattern at the earliest.
+BEFORE = 30
 PLACES = f"struct<at:int,some:array<{SPAN}>,full:array<array<{SPAN}>>>"
+CHOICE = "struct<start:int,end:int,p:double,kind:string>"
+#: Stands for the probability of fixed spans, above all others.
+FIXED = 2.0
 TREES, DEPTH, EXAMPLES, PRECISION = 15, 3, 4_000, 0.97
 
 
@@ -61,13 +67,14 @@ def located(text: Column, pattern: str) -> Column:
     """All matches as (start, end, match), in code points."""
     found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     gaps = F.slice(F.split(text, pattern, -1), F.lit(1), F.size(found))
-    pairs = F.zip_with(gaps, found, lambda g, m: F.struct(F.length(g).alias("gap"), m.alias("match")))
+    ends = F.concat(F.array(F.lit("")), F.transform(found, lambda m: F.right(m, F.lit(BEFORE))))
+    pairs = F.transform(F.arrays_zip(gaps.alias("gap"), found.alias("match"), F.slice(ends, F.lit(1), F.size(found)).alias("end")), lambda x: F.struct(F.length(x["gap"]).alias("gap"), x["match"].alias("match"), F.right(F.concat(x["end"], F.right(x["gap"], F.lit(BEFORE))), F.lit(BEFORE)).alias("before")))
     nothing, nested = F.array().cast(f"array<{SPAN}>"), F.array().cast(f"array<array<{SPAN}>>")
 
     def step(acc: Column, x: Column) -> Column:
         start = acc["at"] + x["gap"]
         end = start + F.length(x["match"])
-        one = F.array(F.struct(start.alias("start"), end.alias("end"), x["match"].alias("match")))
+        one = F.array(F.struct(start.alias("start"), end.alias("end"), x["match"].alias("match"), x["before"].alias("before")))
         room = F.size(acc["some"]) < 256  # spans gather in blocks, so that appending stays cheap
         some = F.when(room, F.concat(acc["some"], one)).otherwise(one)
         full = F.when(room, acc["full"]).otherwise(F.concat(acc["full"], F.array(acc["some"])))
@@ -109,10 +116,9 @@ def fixed_spans(text: Column, kind: str) -> Column:
     return F.when(guard, spans).otherwise(F.array().cast(f"array<{SPAN}>"))
 
 
-def features(kind: str, text: Column, span: Column) -> Column:
+def features(kind: str, span: Column) -> Column:
     """The features of a candidate, all doubles."""
-    match = span["match"]
-    before = F.substring(text, F.greatest(F.lit(1), span["start"] - 29), F.least(F.lit(30), span["start"]))
+    match, before = span["match"], span["before"]
     digits = digits_of(match)
     groups = F.filter(F.split(match, "[^0-9]+"), lambda g: g != "")
     flags = {
@@ -134,7 +140,7 @@ def features(kind: str, text: Column, span: Column) -> Column:
 
 
 def candidates(text: Column, kind: str) -> Column:
-    found = F.transform(located(text, LOOSE[kind]), lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), features(kind, text, s).alias("f")))
+    found = F.transform(located(text, LOOSE[kind]), lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), features(kind, s).alias("f")))
     kind_of = "array<struct<start:int,end:int,f:struct<" + ",".join(f"{f}:double" for f in FEATURES) + ">>>"
     return F.when(text.rlike(LOOSE[kind]), found).otherwise(F.array().cast(kind_of)).cast(kind_of)
 
@@ -212,6 +218,40 @@ class Scorer:
         return cls.of[key]
 
 
+def best_of(spans: Column) -> Column:
+    """The added spans among ``spans``, which are in order of start: one sweep, in which the better of two overlapping spans stays.
+
+    Fixed spans have probability ``FIXED``, so they beat all others; they are not returned. A span that
+    lost to one that loses in turn comes back if it ends before the winner starts.
+    """
+    state = f"struct<now:{CHOICE},lost:{CHOICE},some:array<{CHOICE}>,full:array<array<{CHOICE}>>>"
+    nobody, none = F.lit(None).cast(CHOICE), F.array().cast(f"array<{CHOICE}>")
+    whole = lambda now, lost, some, full: F.struct(now.alias("now"), lost.alias("lost"), some.alias("some"), full.alias("full")).cast(state)
+    wins = lambda c: c.isNotNull() & (c["p"] < FIXED)
+
+    def keep(acc: Column, c: Column, out: Column) -> tuple[Column, Column]:
+        """``some`` and ``full`` with ``c`` where ``out``; spans gather in blocks, so that appending stays cheap."""
+        room = F.size(acc["some"]) < 256
+        some = F.when(~out, acc["some"]).when(room, F.concat(acc["some"], F.array(c))).otherwise(F.array(c))
+        return some, F.when(~out | room, acc["full"]).otherwise(F.concat(acc["full"], F.array(acc["some"])))
+
+    def step(acc: Column, c: Column) -> Column:
+        now, lost = acc["now"], acc["lost"]
+        apart = now.isNull() | (now["end"] <= c["start"])
+        both = (now["p"] == FIXED) & (c["p"] == FIXED)
+        further = F.struct(now["start"].alias("start"), F.greatest(now["end"], c["end"]).alias("end"), now["p"].alias("p"), now["kind"].alias("kind")).cast(CHOICE)
+        back = lost.isNotNull() & (lost["end"] <= c["start"])
+        return (
+            F.when(apart, whole(c, nobody, *keep(acc, now, F.coalesce(wins(now), F.lit(False)))))
+            .when(both, whole(further, lost, acc["some"], acc["full"]))
+            .when(c["p"] > now["p"], whole(c, F.when(back, nobody).otherwise(now), *keep(acc, lost, F.coalesce(back, F.lit(False)))))
+            .otherwise(whole(now, lost, acc["some"], acc["full"]))
+        )
+
+    last = lambda acc: F.when(wins(acc["now"]), F.array(acc["now"])).otherwise(none)
+    return F.aggregate(spans, whole(nobody, nobody, none, F.array().cast(f"array<array<{CHOICE}>>")), step, lambda acc: F.concat(F.flatten(acc["full"]), acc["some"], last(acc)))
+
+
 def find(docs: DataFrame, *, text: str = "text", carry: list[str] | None = None, out: str = "pii") -> tuple[DataFrame, str]:
     """The ``carry`` columns (default: all) with a struct of span arrays, ``base`` and ``spans`` by kind, in a new column; returns its name too."""
     scorer, out = Scorer.get(docs.sparkSession), fresh(docs, out)
@@ -223,19 +263,21 @@ def find(docs: DataFrame, *, text: str = "text", carry: list[str] | None = None,
     step = step.select("row", *[f"b_{k}" for k in KINDS], *[f"c_{k}" for k in KINDS], fixed.alias("fixed"))
 
     def chosen(kind: str) -> Column:
-        scored = F.transform(f"c_{kind}", lambda c: F.struct(c["start"].alias("start"), c["end"].alias("end"), scorer.score(c["f"]).alias("p"), F.lit(kind).alias("kind")))
-        return F.filter(scored, lambda c: (c["p"] >= scorer.thresholds[kind]) & ~F.exists("fixed", lambda b: (b["start"] < c["end"]) & (c["start"] < b["end"])))
+        scored = F.transform(f"c_{kind}", lambda c: F.struct(c["start"].alias("start"), c["end"].alias("end"), scorer.score(c["f"]).alias("p"), F.lit(kind).alias("kind")).cast(CHOICE))
+        return F.filter(scored, lambda c: c["p"] >= scorer.thresholds[kind])
 
-    step = step.select("row", *[f"b_{k}" for k in KINDS], F.when(F.size(F.concat(*[f"c_{k}" for k in KINDS])) > 0, F.concat(*[chosen(k) for k in KINDS])).otherwise(F.array()).alias("more"))
-    order = lambda c: F.struct(-c["p"], c["start"], c["end"], c["kind"])
-    beaten = lambda c: F.exists("more", lambda o: (o["start"] < c["end"]) & (c["start"] < o["end"]) & (order(o) < order(c)))
-    step = step.select("row", *[f"b_{k}" for k in KINDS], F.filter("more", lambda c: ~beaten(c)).alias("added"))
+    none = F.array().cast(f"array<{CHOICE}>")
+    more = F.when(F.size(F.concat(*[f"c_{k}" for k in KINDS])) > 0, F.concat(*[chosen(k) for k in KINDS])).otherwise(none)
+    step = step.select("row", *[f"b_{k}" for k in KINDS], "fixed", more.alias("more"))
+    fixed = F.transform("fixed", lambda b: F.struct(b["start"].alias("start"), b["end"].alias("end"), F.lit(FIXED).alias("p"), F.lit("").alias("kind")).cast(CHOICE))
+    step = step.select("row", *[f"b_{k}" for k in KINDS], F.when(F.size("more") > 0, F.array_sort(F.concat("more", fixed))).otherwise(none).alias("all"))
+    step = step.select("row", *[f"b_{k}" for k in KINDS], best_of(F.col("all")).alias("added"))
 
     def line(kind: str, spans: Column) -> Column:
         ordered = F.array_sort(F.transform(spans, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"))))
         return F.transform(ordered, lambda s: F.concat_ws(":", F.lit(kind), s["start"].cast("string"), s["end"].cast("string")))
 
-    added = lambda kind: F.transform(F.filter("added", lambda c: c["kind"] == kind), lambda c: F.struct(c["start"].alias("start"), c["end"].alias("end"), F.lit("").alias("match")).cast(SPAN))
+    added = lambda kind: F.transform(F.filter("added", lambda c: c["kind"] == kind), lambda c: F.struct(c["start"].alias("start"), c["end"].alias("end"), F.lit("").alias("match"), F.lit("").alias("before")).cast(SPAN))
     found = F.struct(
         *[F.size(f"b_{k}").cast("long").alias(f"n_{k}") for k in KINDS],
         F.concat(*[line(k, F.col(f"b_{k}")) for k in KINDS]).alias("base"),

@@ -103,12 +103,15 @@ class Model:
         if not len(self.labels) or not self.vectors.shape[1]:
             return out
         docs = unit(np.array([self.projection[i].T @ w.astype(np.float32) for i, w in found], np.float32))
-        cosine = docs @ self.vectors.T
+        # rounded, so that products of blocks of other shapes tie alike
+        cosine = np.round(docs @ self.vectors.T, 5)
         k = min(neighbours, len(self.labels))
-        near = np.argpartition(-cosine, k - 1, axis=1)[:, :k]
-        weight = np.maximum(np.take_along_axis(cosine, near, axis=1), 0) + 1e-9
+        least = -np.partition(-cosine, k - 1, axis=1)[:, k - 1 : k]
+        near, tied = cosine > least, cosine == least
+        near |= tied & (np.cumsum(tied, axis=1) <= k - near.sum(axis=1, keepdims=True))
+        weight = np.where(near, np.maximum(cosine, 0) + 1e-9, 0).astype(np.float64)
         empty = (docs == 0).all(axis=1)
-        out[~empty] = ((weight * self.labels[near]).sum(axis=1) / weight.sum(axis=1))[~empty]
+        out[~empty] = ((weight @ self.labels) / weight.sum(axis=1))[~empty]
         return np.clip(out, 0.0, 1.0)
 
 

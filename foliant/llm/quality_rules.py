@@ -5,14 +5,19 @@ pass the fixed limits are then judged within their language and source: the mini
 determinant (MCD) estimates centre and spread of their transformed statistics, and a document whose
 Mahalanobis distance exceeds the cutoff is rejected.
 
-The MCD runs as Spark aggregations over all rows. From two starts (medians with absolute deviations,
-and plain means with covariances) concentration steps keep the ``CORE`` share of a group's rows that
-are closest and re-estimate mean and covariance from them; the start with the smaller determinant
-wins. Every group with a core of more rows than dimensions has its own MCD. Its covariance is drawn towards
-that of its language, and a language's towards that of all rows, the more the fewer rows it has
-(``n / (n + SHRINK)`` is its own); smaller groups use their language's estimates, smaller languages those of
-all rows. Group sums combine before the shuffle, and rows meet the small tables of estimates in joins that
-adaptive execution broadcasts or splits, so a hot source is no bottleneck.
+The MCD runs as Spark aggregations over all rows, for all groups at once: own groups (language and
+source), languages, and all rows. From two fixed starts (medians with absolute deviations, and plain
+means with covariances; deterministic MCD) concentration steps keep the ``CORE`` share of a group's
+rows that are closest and re-estimate mean and covariance from them, until no determinant falls any
+more; the start with the smaller determinant wins. Distances are made consistent with the chi-squared
+distribution at the same share. An own group's covariance is drawn towards that of its language, and a
+language's towards that of all rows, the more the fewer rows it has (``n / (n + SHRINK)`` is its own).
+A group whose core has no more rows than dimensions has no MCD; its language's estimates stand in, and
+for such a language those of all rows.
+
+Group sums combine before the shuffle, and rows meet the tables of estimates, one row a group, in
+broadcast joins up to ``MAX_BROADCAST_GROUPS`` groups and beyond it in joins that adaptive execution
+splits, so a hot source is no bottleneck.
 
 Defined cases: a null text has no words and fails the fixed limits; null languages and sources are
 groups of their own; a group without spread gets a floor on its variances; repeated rows are judged
@@ -21,6 +26,8 @@ one by one; an empty table gives no rows.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -32,18 +39,21 @@ MIN_WORDS = 50
 #: Rows at which a covariance is half the group's own and half that of the level above.
 SHRINK = 50
 CORE = 0.75
-STEPS = 3
+#: Concentration steps at most, and the fall of a log determinant that asks for another one.
+MAX_STEPS, FALL = 10, 1e-3
 #: Least standard deviation of each transformed statistic, in the order of DIMS.
 FLOORS = [0.03, 0.03, 0.03, 0.08, 0.08]
-#: Squared distances beyond this are outliers; the 0.99999 quantile of chi-squared with 5 degrees is 30.9, the rest allows for heavy tails.
-CUTOFF = 60.0
-#: Median of chi-squared with 5 degrees of freedom.
-CHI2_MEDIAN = 4.351
+#: The 0.99999 quantile of chi-squared with 5 degrees of freedom: squared distances beyond it are outliers.
+CUTOFF = 30.856
+#: Quantile of chi-squared with 5 degrees of freedom at CORE.
+CHI2_CORE = 6.626
+MAX_BROADCAST_GROUPS = 10_000
 DIMS = ["x_length", "x_upper", "x_symbols", "x_lines", "x_repeat"]
 COUNTS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
 
 #: Key of the estimates of all rows; keys of languages start with "l", those of own groups with a separator or "=".
 ALL = ""
+STARTS = (0, 1)
 WHITE = b" \t\n\r\x0b\x0c"
 SYMBOLS = b"#*$%&|<>"
 CONTINUATION = bytes(range(0x80, 0xC0))
@@ -116,43 +126,64 @@ def inverse_udf():
     return invert
 
 
-def distance() -> Column:
-    """Squared Mahalanobis distance of a row to the estimates beside it."""
-    off = [F.col(x) - F.col("mean")[i] for i, x in enumerate(DIMS)]
-    return sum(off[i] * off[j] * F.col("inverse")[i * len(DIMS) + j] for i in range(len(DIMS)) for j in range(len(DIMS)))
-
-
-def moments() -> list[Column]:
-    return [F.array(*[F.avg(x) for x in DIMS]).alias("mean"), F.array(*[F.covar_pop(x, y) for x in DIMS for y in DIMS]).alias("cov")]
-
-
-def inverted(estimates: DataFrame) -> DataFrame:
-    return stash(estimates.withColumn("_i", inverse_udf()("cov")).select("g", "start", "mean", "cov", F.col("_i")["inverse"].alias("inverse"), F.col("_i")["log_det"].alias("log_det")))
-
-
-def mcd(rows: DataFrame, above: DataFrame | None = None) -> DataFrame:
-    """g, mean, cov, inverse, scale for every value of ``g`` in ``rows``. ``above``: g, n and cov of the level above."""
-    halves = rows.groupBy("g").agg(*[F.percentile_approx(x, 0.5, 1000).alias(f"m_{x}") for x in DIMS])
-    spread = rows.join(halves, "g").groupBy("g").agg(
-        *[F.first(f"m_{x}").alias(f"m_{x}") for x in DIMS], *[F.percentile_approx(F.abs(F.col(x) - F.col(f"m_{x}")), 0.5, 1000).alias(f"d_{x}") for x in DIMS]
-    )
-    diagonal = [(F.pow(1.4826 * F.col(f"d_{x}"), 2) if x == y else F.lit(0.0)) for x in DIMS for y in DIMS]
-    by_median = spread.select("g", F.lit(0).alias("start"), F.array(*[F.col(f"m_{x}") for x in DIMS]).alias("mean"), F.array(*diagonal).alias("cov"))
-    by_mean = rows.groupBy("g").agg(*moments()).select("g", F.lit(1).alias("start"), "mean", "cov")
-    estimates = inverted(by_median.unionByName(by_mean))
-    for _ in range(STEPS):
-        far = rows.join(estimates, "g").withColumn("d", distance())
-        core = far.groupBy("g", "start").agg(F.percentile_approx("d", CORE, 1000).alias("most"))
-        estimates = inverted(far.join(core, ["g", "start"]).where("d <= most").groupBy("g", "start").agg(*moments()))
-    best = estimates.groupBy("g").agg(F.min_by(F.struct("mean", "cov"), F.struct("log_det", "start")).alias("e")).select("g", F.lit(0).alias("start"), "e.mean", "e.cov")
-    if above is not None:
-        own = F.col("n") / (F.col("n") + SHRINK)
-        cov = F.zip_with("cov", "cov_above", lambda x, y: own * F.coalesce(x, F.lit(0.0)) + (1 - own) * F.coalesce(y, F.lit(0.0)))
-        best = best.join(above.withColumnRenamed("cov", "cov_above"), "g").select("g", "start", "mean", cov.alias("cov"))
-    best = inverted(best)
-    scaled = rows.join(best, "g").groupBy("g").agg(F.first("mean").alias("mean"), F.first("cov").alias("cov"), F.first("inverse").alias("inverse"), F.percentile_approx(distance(), 0.5, 1000).alias("half"))
-    # a core of near-constant rows must not shrink the scale of the others
-    return stash(scaled.select("g", "mean", "cov", "inverse", (CHI2_MEDIAN / F.greatest(F.col("half"), F.lit(CHI2_MEDIAN))).alias("scale")))
+def distance(e: str) -> Column:
+    """Squared Mahalanobis distance of a row to the mean and inverse of the struct ``e``."""
+    off = [F.col(x) - F.col(f"{e}.mean")[i] for i, x in enumerate(DIMS)]
+    return sum(off[i] * off[j] * F.col(f"{e}.inverse")[i * len(DIMS) + j] for i in range(len(DIMS)) for j in range(len(DIMS)))
+
+
+def moments(where: Column | None = None) -> Column:
+    """Mean and covariance of the rows, or of those that satisfy ``where``."""
+    only = lambda x: F.col(x) if where is None else F.when(where, F.col(x))
+    return F.struct(F.array(*[F.avg(only(x)) for x in DIMS]).alias("mean"), F.array(*[F.covar_pop(only(x), only(y)) for x in DIMS for y in DIMS]).alias("cov"))
+
+
+def inverted(estimates: DataFrame, columns: list[str]) -> DataFrame:
+    """Each struct (mean, cov) with inverse and log_det."""
+    found = estimates.select("*", *[inverse_udf()(F.col(e)["cov"]).alias(f"{e}_i") for e in columns])
+    return stash(found.select(*[c for c in estimates.columns if c not in columns], *[F.struct(f"{e}.mean", f"{e}.cov", f"{e}_i.inverse", f"{e}_i.log_det").alias(e) for e in columns]))
+
+
+def mcd(rows: DataFrame, small: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """g, n, e (mean, cov, inverse, log_det) for every value of ``g`` in ``rows``; ``small`` marks tables with a row a group."""
+    half = lambda x: F.percentile_approx(x, 0.5, 10_000)
+    halves = rows.groupBy("g").agg(F.count("*").alias("n"), F.array(*[half(F.col(x)) for x in DIMS]).alias("mid"), moments().alias("e1"))
+    halves = stash(halves.where(CORE * F.col("n") > len(DIMS)))
+    away = [half(F.abs(F.col(x) - F.col("mid")[i])) for i, x in enumerate(DIMS)]
+    spread = rows.join(small(halves.select("g", "mid")), "g").groupBy("g").agg(F.array(*away).alias("away"))
+    diagonal = F.array(*[(F.pow(1.4826 * F.col("away")[i], 2) if i == j else F.lit(0.0)) for i in range(len(DIMS)) for j in range(len(DIMS))])
+    by_median = F.struct(F.col("mid").alias("mean"), diagonal.alias("cov"))
+    names = [f"e{i}" for i in STARTS]
+    estimates = inverted(halves.join(small(spread), "g").select("g", "n", by_median.alias("e0"), "e1"), names)
+    for step in range(MAX_STEPS):
+        far = rows.join(small(estimates.select("g", *names)), "g").select("g", *DIMS, *[distance(e).alias(f"d{e}") for e in names])
+        most = far.groupBy("g").agg(*[F.percentile_approx(f"d{e}", CORE, 10_000).alias(f"most{e}") for e in names])
+        closest = far.join(small(stash(most)), "g").groupBy("g").agg(*[moments(F.col(f"d{e}") <= F.col(f"most{e}")).alias(e) for e in names])
+        before = estimates.select("g", "n", *[F.col(e)["log_det"].alias(f"was{e}") for e in names])
+        estimates = inverted(closest.join(small(before), "g"), names)
+        falls = [F.col(f"was{e}") - F.col(e)["log_det"] > FALL for e in names]
+        if step and estimates.where(falls[0] | falls[1]).isEmpty():
+            break
+    best = F.when(F.col("e1.log_det") < F.col("e0.log_det"), F.col("e1")).otherwise(F.col("e0"))
+    return stash(estimates.select("g", "n", best.alias("e")))
+
+
+def drawn(cov: Column, above: Column) -> Column:
+    """A covariance drawn towards that of the level above; without one it stays."""
+    own = F.col("n") / (F.col("n") + SHRINK)
+    return F.when(above.isNull(), cov).otherwise(F.zip_with(cov, above, lambda x, y: own * x + (1 - own) * y))
+
+
+def shrunk(estimates: DataFrame, groups: DataFrame, small: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """g, e with covariances drawn towards those of the level above. ``groups``: own, of_lang."""
+    top = estimates.where(F.col("g") == ALL).select("e.cov").scalar()
+    plain = estimates.select("g", "n", "e.mean", "e.cov")
+    is_lang = F.startswith("g", F.lit("l"))
+    langs = plain.where(is_lang).withColumn("above", top).withColumn("cov", drawn(F.col("cov"), F.col("above"))).drop("above")
+    owns = plain.where(~is_lang & (F.col("g") != ALL)).join(small(groups.select(F.col("own").alias("g"), F.col("of_lang"))), "g")
+    owns = owns.join(small(langs.select(F.col("g").alias("of_lang"), F.col("cov").alias("above"))), "of_lang", "left").withColumn("cov", drawn(F.col("cov"), F.col("above")))
+    levels = plain.where(F.col("g") == ALL).unionByName(langs).unionByName(owns.select("g", "n", "mean", "cov"))
+    return inverted(levels.select("g", F.struct("mean", "cov").alias("e")), ["e"])
 
 
 def judge(docs: DataFrame, *, text: str = "text", lang: str = "lang", source: str = "source", carry: list[str] | None = None, out: str = "rules") -> tuple[DataFrame, str]:
@@ -176,20 +207,20 @@ def judge(docs: DataFrame, *, text: str = "text", lang: str = "lang", source: st
             share("n_repeat_words", n).alias("x_repeat"),
         )
     )
-    fit = held.where("not base_failed").select("own", "of_lang", *DIMS)
-    sizes = stash(fit.groupBy("own", "of_lang").count())
-    defined = CORE * F.col("n") > len(DIMS)
-    langs = stash(sizes.groupBy("of_lang").agg(F.sum("count").alias("n")).where(defined))
-    owns = stash(sizes.withColumnRenamed("count", "n").where(defined))
-    whole = mcd(fit.withColumn("g", F.lit(ALL)))
-    by_lang = mcd(fit.join(langs.select("of_lang"), "of_lang", "left_semi").withColumn("g", F.col("of_lang")), langs.select(F.col("of_lang").alias("g"), "n").crossJoin(whole.select("cov")))
-    above = owns.select(F.col("own").alias("g"), "n", "of_lang").join(by_lang.select(F.col("g").alias("of_lang"), "cov"), "of_lang").drop("of_lang")
-    by_own = mcd(fit.join(owns.select("own"), "own", "left_semi").withColumn("g", F.col("own")), above)
-    estimates = whole.unionByName(by_lang).unionByName(by_own)
-    level = F.when(F.col("own_g").isNotNull(), F.col("own_g")).when(F.col("lang_g").isNotNull(), F.col("lang_g")).otherwise(F.lit(ALL))
-    placed = held.join(owns.select("own", F.col("own").alias("own_g")), "own", "left").join(langs.select("of_lang", F.col("of_lang").alias("lang_g")), "of_lang", "left")
-    judged = placed.withColumn("g", level).join(estimates, "g", "left")
-    far = distance() * F.col("scale")
+    fit = held.where("not base_failed")
+    groups = stash(fit.select("own", "of_lang").distinct())
+    few = 2 * groups.count() < MAX_BROADCAST_GROUPS
+    small = F.broadcast if few else lambda df: df
+    rows = fit.select(F.explode(F.array("own", "of_lang", F.lit(ALL))).alias("g"), *DIMS)
+    estimates = shrunk(mcd(rows, small), groups, small)
+    share = rows.join(small(estimates), "g").groupBy("g").agg(F.percentile_approx(distance("e"), CORE, 10_000).alias("reach"))
+    # a core of near-constant rows must not shrink the scale of the others
+    scaled = stash(estimates.join(small(share), "g").select("g", F.struct("e.mean", "e.inverse", (CHI2_CORE / F.greatest("reach", F.lit(CHI2_CORE))).alias("scale")).alias("e")))
+    each = groups.join(small(scaled.withColumnsRenamed({"g": "own", "e": "e_own"})), "own", "left").join(small(scaled.withColumnsRenamed({"g": "of_lang", "e": "e_lang"})), "of_lang", "left")
+    top = scaled.where(F.col("g") == ALL).select("e").scalar()
+    each = stash(each.select("own", F.coalesce("e_own", "e_lang", top).alias("e")))
+    judged = held.join(small(each), "own", "left")
+    far = distance("e") * F.col("e.scale")
     kept = ~F.col("base_failed") & ~F.coalesce(far > CUTOFF, F.lit(False))
     return judged.select("row.*", F.struct(*[F.col("c")[x].alias(x) for x in COUNTS], "base_failed", far.alias("distance"), kept.alias("kept")).alias(out)), out
 

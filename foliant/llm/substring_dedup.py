@@ -44,8 +44,6 @@ WINDOW = 20
 ROUNDS = 2
 #: Bytes of text that are parsed at once (a longer document is parsed alone).
 BATCH = 2 << 20
-#: Bits of a symbol's place within a batch.
-PLACE_BITS = 26
 
 BASES = (U(0x9E3779B97F4A7C15), U(0xD1B54A32D192ED03))
 POWERS = [Powers(b, U(pow(int(b), -1, 2**64))) for b in BASES]
@@ -103,18 +101,18 @@ class Batch:
         if not len(p):
             return tuple(np.zeros(0, t) for t in (U, U, np.int64, np.int64))
         name, weight, low, high = self.symbols()
-        spread = mix(name)
-        rank = np.minimum(weight, 4095).astype(U) << U(52) | (spread >> U(64 - 52 + PLACE_BITS)) << U(PLACE_BITS) | U(2**PLACE_BITS - 1) - np.arange(len(name)).astype(U)
+        rank = np.minimum(weight, 4095).astype(U) << U(52) | mix(name) >> U(12)
         a, b = np.searchsorted(low, p), np.searchsorted(high, p + WINDOW, "right")
         size = b - a
         level = np.log2(np.maximum(size, 1)).astype(np.int64)
-        best, table_ = np.zeros(len(p), U), rank
+        # sparse table of the place of the heaviest symbol, the first one of equals
+        anchor, table_ = np.full(len(p), -1), np.arange(len(name))
         for k in range(int(level.max()) + 1):
             here = np.flatnonzero((level == k) & (size > 0))
-            best[here] = np.maximum(table_[a[here]], table_[b[here] - (1 << k)])
-            step = 1 << k
-            table_ = np.maximum(table_, np.concatenate([table_[step:], table_[len(table_) - min(step, len(table_)) :]]))
-        anchor = np.where(size > 0, (U(2**PLACE_BITS - 1) - (best & U(2**PLACE_BITS - 1))).astype(np.int64), -1)
+            left, right = table_[a[here]], table_[b[here] - (1 << k)]
+            anchor[here] = np.where(rank[right] > rank[left], right, left)
+            ahead = np.concatenate([table_[1 << k :], table_[len(table_) - min(1 << k, len(table_)) :]])
+            table_ = np.where(rank[ahead] > rank[table_], ahead, table_)
         cut = np.concatenate([[True], (anchor[1:] != anchor[:-1]) | (p[1:] != p[:-1] + 1) | (anchor[1:] < 0)])
         first = np.flatnonzero(cut)
         count = np.diff(np.concatenate([first, [len(p)]]))

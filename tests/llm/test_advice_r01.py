@@ -20,7 +20,7 @@ def test_near_stage_links_from_four_fifths(spark):
     assert comps == {1: 1, 2: 1, 3: 3} and fx.components(rows)[0] == {1: 1, 2: 2, 3: 3}
     assert sorted(r["doc_id"] for r in corpus_pipeline.keep_one_of_near(spark, docs, "").collect()) == [1, 3]
     assert {r["doc_id"]: r["component_id"] for r in near_dedup.near_duplicates(docs).collect()} == fx.components(rows)[0]
-    assert near_dedup.matches_for(85) == 42 and near_dedup.matches_for(80) == 37
+    assert near_dedup.matches_for(85) == 34 and near_dedup.matches_for(80) == 30  # all but one link in a billion
 
 
 def test_decontamination_searches_items_without_id(spark):

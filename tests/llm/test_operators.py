@@ -3,6 +3,7 @@
 import hashlib
 import re
 import zlib
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -103,6 +104,7 @@ def test_pii(spark, docs, empty):
     extra = spark.createDataFrame([(100 + i, t) for i, t in enumerate(odd)], "doc_id long, text string")
     for frame in (docs, extra):
         found, out = pii.find(frame)
+        assert not re.search("Python|Pandas|Arrow", found._jdf.queryExecution().toString())
         for r in found.collect():
             assert list(r[out]["base"]) == fixed(r["text"]), r["doc_id"]
             assert set(r[out]["base"]) <= set(r[out]["spans"])
@@ -121,6 +123,27 @@ def test_language_id(spark, docs, empty):
     assert {r["f"]["lang"] for r in docs.select(language_id.predict_udf(spark, nothing)("text").alias("f")).collect()} == {"und"}
 
 
+def test_language_id_by_plain_lookup(spark):
+    texts = [("en", "the cat and the dog"), ("en", "the house"), ("de", "der hund und die katze"), ("de", "das haus und der hund"), (None, "the the the")]
+    docs = spark.createDataFrame([(i, t, x) for i, (x, t) in enumerate(texts)], "doc_id long, text string, lang string")
+    model = language_id.fit(docs)
+    counts = {x: Counter(w for y, t in texts if y == x for w in t.split()) for x in ("de", "en")}
+    total = sum(sum(c.values()) for c in counts.values())
+
+    def log(w, x):
+        pooled = sum(c[w] for c in counts.values()) / total
+        return np.log((counts[x][w] + language_id.PRIOR * pooled) / (sum(counts[x].values()) + language_id.PRIOR))
+
+    asked = ["the hund", "und the the cat", "½", "²③ Ⅷ 12 --", "HAUS", "", None, "xyzzy"]
+    rows = spark.createDataFrame([(i, t) for i, t in enumerate(asked)], "id long, text string").select("id", language_id.predict_udf(spark, model)("text").alias("f")).collect()
+    found = {r["id"]: (r["f"]["lang"], r["f"]["score"]) for r in rows}
+    for i in (0, 1, 4):
+        score = {x: sum(log(w, x) for w in asked[i].lower().split()) for x in counts}
+        best = max(score, key=score.get)
+        assert found[i][0] == best and abs(found[i][1] - 1 / sum(np.exp(v - score[best]) for v in score.values())) < 1e-9
+    assert [found[i] for i in (2, 3, 5, 6)] == [("und", 0.0)] * 4 and found[7][0] in counts
+
+
 def test_language_id_on_held_out_documents(spark):
     sf = "/root/testdata/sf0.01"
     truth = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "lang")
@@ -153,6 +176,16 @@ def test_near_dedup_of_a_large_family(spark):
     assert found == fx.components(rows)[0]
 
 
+def test_near_dedup_finds_all_links_of_a_table(spark):
+    """Against all pairs of the 1,000 documents of sf0.01, at the query's similarity."""
+    sf = "/root/testdata/sf0.01"
+    rows = [(r["doc_id"], r["text"]) for r in spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text").collect()]
+    comps, sizes = fx.components(rows)
+    found = near_dedup.op5_near_dedup(spark, sf).collect()
+    assert {r["doc_id"]: r["component_id"] for r in found} == comps and {r["doc_id"]: r["n_shingles"] for r in found} == sizes
+    assert len(set(comps.values())) < len(comps) - 20
+
+
 def test_decontamination(docs, benchmark, empty):
     for options in ({}, {"block_bytes": 20}):  # one block of items, and many
         seen, out = decontamination.scan(docs, benchmark, **options)
@@ -174,6 +207,42 @@ def test_quality_rules(docs, empty):
     assert quality_rules.judge(empty)[0].count() == 0
 
 
+def test_quality_rules_against_numpy(spark):
+    """The estimates of one group, which is its language and all rows too, by plain concentration steps."""
+    rng = np.random.default_rng(11)
+    texts = [" ".join(("W" if rng.random() < 0.1 + i % 7 / 50 else "w") + "x" * int(rng.integers(1, 4 + i % 5)) + ("#" if rng.random() < 0.05 else "") + str(rng.integers(400)) for _ in range(80)) for i in range(150)]
+    texts += [" ".join(f"#{'A' * int(rng.integers(5, 9))}{rng.integers(99)}$" for _ in range(80)) for _ in range(12)]
+    rows = [(i, t, "en", "s") for i, t in enumerate(texts)]
+    judged, out = quality_rules.judge(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string"))
+    found = {r["doc_id"]: r[out] for r in judged.collect()}
+    x = []
+    for t in texts:
+        w = t.split()
+        chars = sum(map(len, w))
+        x.append([np.log(chars / len(w)), np.sqrt(sum(c.isupper() for c in t) / chars), np.sqrt(sum(c in "#*$%&|<>" for c in t) / chars), 0.0, fx.repeated(w) / len(w)])
+    x = np.array(x)
+    x = x[[not found[i]["base_failed"] for i in range(len(x))]]
+    core = -(-3 * len(x) // 4)
+    floor, best = np.diag(quality_rules.FLOORS) ** 2, None
+    mid = np.sort(x, axis=0)[-(-len(x) // 2) - 1]
+    away = 1.4826 * np.sort(np.abs(x - mid), axis=0)[-(-len(x) // 2) - 1]
+    for mean, cov in ((mid, np.diag(away**2)), (x.mean(axis=0), np.cov(x.T, bias=True))):
+        for _ in range(30):
+            d = np.einsum("ij,jk,ik->i", x - mean, np.linalg.inv(cov + floor), x - mean)
+            inner = x[d <= np.sort(d)[core - 1]]
+            mean, cov = inner.mean(axis=0), np.cov(inner.T, bias=True)
+        det = np.linalg.slogdet(cov + floor)[1]
+        if best is None or det < best[0] - 1e-9:
+            best = det, mean, cov
+    _, mean, cov = best
+    d = np.einsum("ij,jk,ik->i", x - mean, np.linalg.inv(cov + floor), x - mean)
+    d *= quality_rules.CHI2_CORE / max(quality_rules.CHI2_CORE, np.sort(d)[core - 1])
+    own = [found[i]["distance"] for i in range(len(texts)) if not found[i]["base_failed"]]
+    assert np.allclose(own, d, rtol=0.02, atol=0.05)
+    kept = [found[i]["kept"] for i in range(len(texts)) if not found[i]["base_failed"]]
+    assert kept == (d <= quality_rules.CUTOFF).tolist() and 0 < kept.count(False) < 30
+
+
 def test_quality_rules_reject_outliers(spark):
     clean = [(i, " ".join(f"word{(i * 7 + j * 13) % 900}" for j in range(120)), "en", "s") for i in range(400)]
     junk = [(1000 + i, " ".join(f"#*w{j}$$" for j in range(120)), "en", "s") for i in range(5)]
@@ -198,6 +267,30 @@ def test_line_dedup(docs, empty):
     assert line_dedup.dedup_lines(empty).count() == 0
 
 
+@pytest.mark.parametrize("threshold", [0.6, 0.75, 0.8, 1.0])
+def test_line_dedup_at_thresholds(spark, threshold):
+    rng = np.random.default_rng(5)
+    bases = [rng.choice(60, rng.integers(3, 30)).tolist() for _ in range(20)]
+    rows, seen, expected = [], [], {}
+    for d in range(60):
+        lines = []
+        for _ in range(rng.integers(1, 8)):
+            line = list(bases[rng.integers(20)])
+            for _ in range(rng.choice([0, 0, 1, 1, 2, 3, 5])):
+                line[rng.integers(len(line))] = rng.integers(2000)
+            lines.append(" ".join(f"w{x}" for x in line))
+        rows.append((d, "\n".join(lines)))
+        kept = []
+        for line in lines:
+            own = set(line.split())
+            if not any(len(own & s) >= threshold * len(own | s) - 1e-9 for s in seen):
+                kept.append(line)
+            seen.append(own)
+        expected[d] = "\n".join(kept)
+    found = line_dedup.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string"), threshold=threshold)
+    assert {r["doc_id"]: r["text"] for r in found.collect()} == expected
+
+
 def test_line_dedup_is_native(docs):
     plan = line_dedup.dedup_lines(docs)._jdf.queryExecution().toString()
     assert not re.search("Python|Pandas|Arrow", plan)
@@ -213,6 +306,24 @@ def test_quality_classifier(docs, labels, empty):
     assert quality_classifier.score(empty, model)[0].count() == 0
 
 
+def test_quality_classifier_votes_like_a_plain_sort(spark):
+    rng = np.random.default_rng(2)
+    texts = [" ".join(f"{'good' if i % 2 else 'bad'}{rng.integers(30)}" for _ in range(20)) for i in range(40)]
+    texts += texts[:6] * 2  # ties
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(46)], "doc_id long, quality int")
+    model = quality_classifier.fit(docs, labels)
+    features = quality_classifier.Features()
+    scored, out = quality_classifier.score(docs, model, neighbours=7)
+    for r in scored.collect():
+        ids, weights = features.of(r["text"].encode())
+        own = quality_classifier.unit(np.array([model.projection[ids].T @ weights.astype(np.float32)]))
+        cosine = np.round((own @ model.vectors.T)[0], 5)
+        near = sorted(range(len(cosine)), key=lambda i: (-cosine[i], i))[:7]
+        weight = [max(float(cosine[i]), 0) + 1e-9 for i in near]
+        assert abs(r[out] - sum(w * model.labels[i] for w, i in zip(weight, near)) / sum(weight)) < 1e-3
+
+
 def test_quality_classifier_on_held_out_documents(spark):
     sf = "/root/testdata/sf0.1"
     labels = spark.read.parquet(f"{sf}/labels.parquet").select("doc_id", "quality")
