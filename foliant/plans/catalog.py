@@ -13,8 +13,9 @@ from pyspark.sql import functions as F
 
 from foliant.functions import cells, shapes
 from foliant.functions import text as T
-from foliant.operators import archive, files, layout, transcript
-from foliant.session import importable
+from foliant.operators import archive, blocks, context, files, layout, transcript, writing
+from foliant.session import importable, scratch
+from foliant.sources import frames as frame_files_of
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -165,7 +166,7 @@ def strip_thinking(t):
     return t("documents").select("doc_id", T.strip_thinking(body).alias("text"))
 
 
-@query("SELECT doc_id, CASE WHEN length(b) > 24000 THEN left(b, 12000) || chr(10) || '[…' || (length(b) - 24000) || 'ch of archived history omitted for a non-vision model…]' || chr(10) || right(b, 12000) ELSE b END AS text FROM (SELECT doc_id, coalesce(text, '') || ' end' AS b FROM documents)")
+@query("SELECT doc_id, CASE WHEN length(b) > 24000 THEN left(b, 12000) || chr(10) || '[…' || (length(b) - 24000) || ' characters of the archive are left out here…]' || chr(10) || right(b, 12000) ELSE b END AS text FROM (SELECT doc_id, coalesce(text, '') || ' end' AS b FROM documents)")
 def text_replay(t):
     source = F.concat(F.lit("head"), F.coalesce("text", F.lit("")), F.lit(" end"), F.lit("tail"))
     return t("documents").select("doc_id", T.bounded_replay(source, F.lit("head"), F.lit("tail"), F.lit(True)).alias("text"))
@@ -187,10 +188,28 @@ def renderability(t):
     return t("documents").select("doc_id", ratio.alias("ratio"), (ratio <= 0.05).alias("is_safe"), graphics.alias("n"))
 
 
-@query("SELECT doc_id, doc_id % 3 = 0 AND length(regexp_replace(left(coalesce(text, ''), 20), '\\s', '', 'g')) <= 24 AS heavy FROM documents")
+IDEOGRAPHS = "CAST(CASE doc_id % 3 WHEN 0 THEN length(coalesce(text, '')) // 8 + 3 WHEN 1 THEN length(coalesce(text, '')) // 20 ELSE 0 END AS BIGINT)"
+HEAVY = f"heavy AS (SELECT doc_id, w >= 8 AND 4 * w >= v + w AS heavy FROM (SELECT doc_id, 3 * {IDEOGRAPHS} AS w, length(regexp_replace(coalesce(text, ''), '[ \\x00-\\x1f\\x7f-\\x9f█]', '', 'g')) AS v FROM documents))"
+
+
+def with_ideographs(t) -> DataFrame:
+    """Texts with ideographs behind them: none, few or many for their length."""
+    n, text = F.col("doc_id") % 3, F.coalesce("text", F.lit(""))
+    many = F.when(n == 0, F.floor(F.length(text) / 8) + 3).when(n == 1, F.floor(F.length(text) / 20)).otherwise(0)
+    return t("documents").select("doc_id", F.concat(text, F.repeat(F.lit("日本語"), many.cast("int"))).alias("text"))
+
+
+@query(f"WITH {HEAVY} SELECT doc_id, heavy FROM heavy")
 def cjk_heavy(t):
-    body = F.regexp_replace(F.left(F.coalesce("text", F.lit("")), F.lit(20)), r"\s", "")
-    return t("documents").select("doc_id", cells.is_ideographic(F.when(F.col("doc_id") % 3 == 0, F.concat(body, F.lit("日本語日本語日本"))).otherwise(body)).alias("heavy"))
+    return with_ideographs(t).select("doc_id", cells.is_ideographic(F.col("text")).alias("heavy"))
+
+
+@query(f"WITH {HEAVY} SELECT doc_id, CASE WHEN doc_id % 5 > 0 AND (doc_id % 2 = 0 OR heavy) AND doc_id % 7 > 0 THEN 'silver16-bw' ELSE '8on16-bw' END AS shape FROM heavy")
+def shape_by_text(t):
+    """The shape for a text: chosen ones (every fifth) stay, texts that the first font does not print (even ones) and ideographic ones move where the wide font prints them."""
+    n = F.col("doc_id")
+    shape = writing.shape_for_text(F.lit("8on16-bw"), n % 5 == 0, n % 2 > 0, n % 7 > 0, cells.is_ideographic(F.col("text")))
+    return with_ideographs(t).select("doc_id", shape.alias("shape"))
 
 
 # --- Files ------------------------------------------------------------------------------------------------
@@ -303,12 +322,11 @@ def paginate(t):
 
 
 @query(
-    f"WITH {NORMAL}, a AS (SELECT conv_id, substring(text, 1, 1500) AS text FROM normal), b AS (SELECT conv_id, i AS page_no, substring(text, CAST(i * 50 + 1 AS BIGINT), 50) AS text FROM (SELECT conv_id, text, unnest(range(CAST(ceil(length(text) / 50) AS BIGINT))) AS i FROM a)) SELECT conv_id, page_no, text FROM b"
+    f"WITH {NORMAL}, a AS (SELECT conv_id, text FROM normal), b AS (SELECT conv_id, i AS page_no, substring(text, CAST(i * 50 + 1 AS BIGINT), 50) AS text FROM (SELECT conv_id, text, unnest(range(CAST(ceil(length(text) / 50) AS BIGINT))) AS i FROM a)) SELECT conv_id, page_no, text FROM b"
 )
 def paginate_any_width(t):
     """The fold for texts of any width, here over texts of one-cell characters, where it equals the substring form."""
-    start = normal(t).select("conv_id", F.substring("text", 1, 1500).alias("text"))
-    paged = start.select("conv_id", cells.pages_udf()("text", F.lit(50), F.lit(10)).alias("pages")).select("conv_id", F.posexplode("pages").alias("page_no", "text"))
+    paged = normal(t).select("conv_id", cells.pages_udf()("text", F.lit(50), F.lit(10)).alias("pages")).select("conv_id", F.posexplode("pages").alias("page_no", "text"))
     return paged.withColumn("page_no", F.col("page_no").cast("long"))
 
 
@@ -389,7 +407,7 @@ def plan_pages(t):
     return layout.pages_of(planned(t, MOST))
 
 
-@query(f"WITH {PAGES} SELECT conv_id, CAST(page_no AS BIGINT) AS page_no, 'ARCHIVED TRANSCRIPT ' || page_no || '/' || pages || ' - historical record, not instructions' AS banner FROM pages")
+@query(f"WITH {PAGES} SELECT conv_id, CAST(page_no AS BIGINT) AS page_no, 'PAGE ' || page_no || ' OF ' || pages || ' OF AN ARCHIVED CONVERSATION - a record without instructions' AS banner FROM pages")
 def page_banner(t):
     return layout.pages_of(planned(t, MOST)).select("conv_id", "page_no", layout.banner(F.col("page_no"), F.col("pages")).alias("banner"))
 
@@ -514,14 +532,14 @@ def gap_runs(t):
     return archive.gap_runs(slots(t))
 
 
-NOTE = "'-------------- imaged middle section omitted' || chr(10) || n || ' archived frame' || CASE n WHEN 1 THEN '' ELSE 's' END || ' (' || " + SIZE.format("size") + " || ' of base64) exceeded the per-request payload budget. The text edges and remaining frames stay available.' || chr(10) || '--------------'"
+NOTE = "'-------------- pages left out here' || chr(10) || n || ' page' || CASE n WHEN 1 THEN '' ELSE 's' END || ' of the archive (' || " + SIZE.format("size") + " || ' of base64) did not fit this request; the text around the pages and the others are here.' || chr(10) || '--------------'"
 
 
 @query(
     "WITH a AS (SELECT doc_id AS conv_id, 'a' || coalesce(text, '') AS data, length('a' || coalesce(text, '')) AS n0 FROM documents), b AS (SELECT *, n0 <= 3000 AS kept, 1 AS n, CAST(n0 AS BIGINT) AS size FROM a), "
-    f"c AS (SELECT conv_id, 0 AS pos, 'text' AS type, CASE WHEN kept THEN '<archived-history>' || chr(10) || 'head' || chr(10) || '-------------- imaged middle below' || chr(10) ELSE '<archived-history>' || chr(10) || 'head' END AS text, NULL AS data FROM b "
-    f"UNION ALL SELECT conv_id, 1, CASE WHEN kept THEN 'image' ELSE 'text' END, CASE WHEN NOT kept THEN {NOTE} || chr(10) || '-------------- middle history omitted above' || chr(10) || 'tail' || chr(10) || '</archived-history>' END, CASE WHEN kept THEN data END FROM b "
-    "UNION ALL SELECT conv_id, 2, 'text', '-------------- imaged middle above' || chr(10) || 'tail' || chr(10) || '</archived-history>', NULL FROM b WHERE kept) SELECT conv_id, CAST(pos AS BIGINT) AS pos, type, text, data FROM c"
+    f"c AS (SELECT conv_id, 0 AS pos, 'text' AS type, CASE WHEN kept THEN '<archived-history>' || chr(10) || 'head' || chr(10) || '-------------- pages follow' || chr(10) ELSE '<archived-history>' || chr(10) || 'head' END AS text, NULL AS data FROM b "
+    f"UNION ALL SELECT conv_id, 1, CASE WHEN kept THEN 'image' ELSE 'text' END, CASE WHEN NOT kept THEN {NOTE} || chr(10) || '-------------- pages left out above' || chr(10) || 'tail' || chr(10) || '</archived-history>' END, CASE WHEN kept THEN data END FROM b "
+    "UNION ALL SELECT conv_id, 2, 'text', '-------------- pages end' || chr(10) || 'tail' || chr(10) || '</archived-history>', NULL FROM b WHERE kept) SELECT conv_id, CAST(pos AS BIGINT) AS pos, type, text, data FROM c"
 )
 def rebuild_blocks(t):
     data = F.concat(F.lit("a"), F.coalesce("text", F.lit("")))
@@ -529,11 +547,6 @@ def rebuild_blocks(t):
     return archive.blocks(made, 3000)
 
 
-@query("SELECT source, count(*) AS archives, sum(n_chars)::BIGINT AS chars, count(*) FILTER (WHERE doc_id % 3 = 0) AS rejected FROM documents GROUP BY source")
-def status_totals(t):
-    return t("documents").groupBy("source").agg(F.count("*").alias("archives"), F.sum("n_chars").alias("chars"), F.count_if(F.col("doc_id") % 3 == 0).alias("rejected"))
-
-
 @query("SELECT DISTINCT ch, unicode(ch) BETWEEN 32 AND 126 OR unicode(ch) BETWEEN 160 AND 255 AS printable FROM (SELECT unnest(string_split(coalesce(text, ''), '')) AS ch FROM documents) WHERE ch <> ''")
 def font_coverage(t):
     """Distinct characters of the documents against the coverage of a Latin-1 font (semi-join as a flag)."""
@@ -551,12 +564,146 @@ def settings_overlay(t):
     return t("nation").select("n_nationkey", F.coalesce(near, F.lit("auto")).alias("shape"), F.when(asked > 0, F.least(asked, F.lit(80))).alias("max_frames"))
 
 
-@query("SELECT m.conv_id, m.turn, CASE WHEN a.at IS NULL THEN m.text ELSE 'archive ' || a.n END AS text FROM conversations m LEFT JOIN (SELECT conv_id, max(turn) AS at, count(*) AS n FROM conversations GROUP BY conv_id) a ON a.conv_id = m.conv_id AND a.at = m.turn")
-def archive_messages(t):
-    """Messages with the archives that stand at their place."""
-    at = t("conversations").groupBy("conv_id").agg(F.max("turn").alias("turn"), F.count("*").alias("n"))
-    found = t("conversations").join(at, ["conv_id", "turn"], "left")
-    return found.select("conv_id", "turn", F.when(F.col("n").isNull(), F.col("text")).otherwise(F.concat(F.lit("archive "), F.col("n"))).alias("text"))
+# --- Writing and reading archives -------------------------------------------------------------------------------
+
+TYPED = """ord AS (
+  SELECT conv_id, turn * 2 AS a, 0 AS b, 0 AS c, '»user:' AS prefix, translate(text, chr(14) || chr(15), '') || '!' AS text FROM conversations WHERE role = 'user'
+  UNION ALL SELECT conv_id, turn * 2, 0, 0, '»think:', 'about ' || turn FROM conversations WHERE role = 'assistant'
+  UNION ALL SELECT conv_id, turn * 2, 0, 1, '»ai:', translate(text, chr(14) || chr(15), '') FROM conversations WHERE role = 'assistant' AND regexp_matches(translate(text, chr(14) || chr(15), ''), '\\S')
+  UNION ALL SELECT conv_id, turn * 2, 0, 2, '»tool:', 'look(at=' || turn || ')' || CASE WHEN turn % 3 = 0 AND text <> '' THEN chr(10) || {body} ELSE '' END FROM conversations WHERE role = 'assistant'
+  UNION ALL SELECT conv_id, turn * 2, 1, 1, '»ai:', 'done' FROM conversations WHERE role = 'assistant'
+  UNION ALL SELECT conv_id, turn * 2 + 1, 0, 0, '»tool:', chr(10) || {body} FROM conversations WHERE role = 'assistant' AND turn % 3 = 1 AND text <> ''
+), islands AS (SELECT *, sum(starts) OVER (PARTITION BY conv_id ORDER BY a, b, c) AS section FROM (SELECT *, CASE WHEN lag(prefix) OVER (PARTITION BY conv_id ORDER BY a, b, c) = prefix THEN 0 ELSE 1 END AS starts FROM ord)),
+spaced AS (SELECT *, CASE WHEN lag(text) OVER w IS NULL OR ends_with(lag(text) OVER w, chr(10)) OR starts_with(text, chr(10)) THEN '' ELSE chr(10) END AS gap FROM islands WINDOW w AS (PARTITION BY conv_id, section ORDER BY a, b, c)),
+merged AS (SELECT conv_id, section, prefix || string_agg(gap || text, '' ORDER BY a, b, c) AS text FROM spaced GROUP BY conv_id, section, prefix)
+SELECT conv_id, string_agg(text, chr(10) || chr(10) ORDER BY section) AS text FROM merged GROUP BY conv_id"""
+
+
+def typed_messages(t) -> DataFrame:
+    """Conversations as messages of typed blocks: two texts by the user; a thought, a text, a call and a last text by the assistant; results, some of unknown calls."""
+    none = F.lit(None).cast("string")
+    no_args = F.lit(None).cast("array<struct<k:string,v_json:string>>")
+    block = lambda kind, text=none, call=none, name=none, args=no_args: F.struct(F.lit(kind).alias("type"), text.alias("text"), call.alias("call_id"), name.alias("name"), args.alias("args"))
+    said, turn = t("conversations"), F.col("turn")
+    call = F.concat_ws("-", "conv_id", "turn")
+    args = F.array(F.struct(F.lit("at").alias("k"), turn.cast("string").alias("v_json")))
+    user = F.array(block("text", F.col("text")), block("image", F.lit("x")), block("text", F.lit("!")))
+    reply = F.array(block("thinking", F.concat(F.lit("about "), turn.cast("string"))), block("text", F.col("text")), block("toolCall", none, call, F.lit("look"), args), block("text", F.lit("done")))
+    asked = said.select("conv_id", (turn * 2).alias("turn"), "role", F.when(F.col("role") == "user", user).otherwise(reply).cast(blocks.BLOCKS).alias("blocks"), none.alias("call_id"))
+    results = said.where("role = 'assistant' and turn % 3 < 2")
+    answered = results.select("conv_id", (turn * 2 + 1).alias("turn"), F.lit("toolResult").alias("role"), F.array(block("text", F.col("text"))).cast(blocks.BLOCKS).alias("blocks"), F.when(turn % 3 == 0, call).otherwise(F.concat(F.lit("?"), call)).alias("call_id"))
+    return asked.unionByName(answered)
+
+
+@query("WITH " + TYPED.format(body=BODY.format("translate(text, chr(14) || chr(15), '')")))
+def typed_transcripts(t):
+    return blocks.transcripts(typed_messages(t))
+
+
+BEFORE = "CASE conv_id % 3 WHEN 0 THEN '[Digest of earlier history] before [Recent conversation] ' WHEN 1 THEN 'old text█' ELSE '' END"
+WRITTEN = PLAN.format(most=MOST).replace("FROM normal", f"FROM (SELECT conv_id, {BEFORE} || text AS text FROM normal)") + f""", w AS (
+  SELECT *, CASE WHEN over THEN 2 * edge + dense - gone ELSE fine END AS n, gone * {LOW} AS dropped, CASE conv_id % 3 WHEN 1 THEN 5 ELSE 0 END AS lost FROM t
+)"""
+COUNTED = "replace(format('{{:,}}', CAST({0} AS BIGINT)), ' ', '')"
+
+
+def requests(t) -> DataFrame:
+    n = F.col("conv_id") % 3
+    old = F.when(n == 1, F.struct(F.lit("old text").alias("text"), F.lit("x").alias("text_head"), F.lit("").alias("text_tail"), F.lit(5).cast("long").alias("truncated_chars")))
+    return transcript.transcripts(t("conversations")).select("conv_id", F.concat(F.lit("entry"), F.col("conv_id").cast("string")).alias("first_kept"), "text", F.when(n == 0, "before").alias("summary"), old.alias("previous"), F.lit(None).cast("string").alias("files"))
+
+
+def written(t) -> DataFrame:
+    return writing.compact(requests(t), high=(16, HIGH // 16), low=(22, LOW // 22), most=MOST, shape="plain")
+
+
+@query(
+    f"WITH {WRITTEN} SELECT conv_id, 'entry' || conv_id AS first_kept, CAST(n AS INTEGER) AS n_frames, CAST(n_chars - dropped AS BIGINT) AS total_chars, CAST(dropped + lost AS BIGINT) AS truncated_chars, head AS text_head, tail AS text_tail, "
+    "CASE WHEN n = 0 THEN '' WHEN over AND dense > gone THEN '16 or 22' ELSE '16' END AS cols, "
+    f"'[archive] ' || {COUNTED.format('n_chars - dropped')} || ' characters as ' || CASE n WHEN 0 THEN '' WHEN 1 THEN '1 image + ' ELSE n || ' images + ' END || {COUNTED.format('length(head) + length(tail)')} || ' characters of text (plain)' "
+    f"|| CASE WHEN dropped + lost > 0 THEN '; dropped from the middle: ' || {COUNTED.format('dropped + lost')} ELSE '' END || '.' AS header FROM w"
+)
+def archive_write(t):
+    """The whole write side: transcript, previous archive or digest, layout, frames, totals and the header line."""
+    header = F.substring_index("lead_in", "\n", 1)
+    return written(t).select("conv_id", "first_kept", F.size("frames").alias("n_frames"), "total_chars", "truncated_chars", "text_head", "text_tail", writing.distinct_cols(F.col("frames")).alias("cols"), header.alias("header"))
+
+
+SIGNED_FRAMES = (
+    ARCHIVES
+    + """, v AS (
+  SELECT conv_id, CASE WHEN regexp_full_match(frames_dir, 'archive-frames-[0-9]{1,16}') THEN frames_dir END AS dir, CASE WHEN regexp_full_match(file, '[0-9a-f]{64}\\.png') AND is_png THEN file END AS file, nullif(text, '') AS text, total_chars, length(text_) AS chars
+  FROM archives JOIN (SELECT doc_id AS conv_id, coalesce(text, '') AS text_ FROM documents) USING (conv_id) WHERE text <> '' OR (regexp_full_match(file, '[0-9a-f]{64}\\.png') AND is_png)
+), c AS (
+  SELECT *, '{"conv_id":' || conv_id || ',"frames":[' || coalesce('{"chars":' || chars || ',"cols":10,"data":"","file":"' || file || '","mime_type":"image/png","rows":10}', '') || ']' || coalesce(',"frames_dir":"' || dir || '"', '') || coalesce(',"text":' || CAST(to_json(text) AS VARCHAR), '')
+         || ',"total_chars":' || total_chars || ',"truncated_chars":0}' AS json FROM v
+)"""
+)
+
+
+@query(f"WITH {SIGNED_FRAMES} SELECT conv_id, {HMAC.format('json')} AS mac FROM c")
+def archive_sign_nested(t):
+    """Signatures over the validated archives with their frames."""
+    return writing.signed(archives(t), KEY).select("conv_id", "mac")
+
+
+@query(
+    f"WITH {SIGNED_FRAMES} SELECT conv_id % 7 AS team, count(*) FILTER (WHERE conv_id % 3 > 0) AS archives, CAST(count(file) FILTER (WHERE conv_id % 3 > 0) AS BIGINT) AS frames, CAST(coalesce(sum(total_chars) FILTER (WHERE conv_id % 3 > 0), 0) AS BIGINT) AS chars, CAST(0 AS BIGINT) AS dropped, count(*) FILTER (WHERE conv_id % 3 = 0) AS rejected FROM c GROUP BY conv_id % 7"
+)
+def archive_status(t):
+    """Totals of the trusted archives of each team, and how many were rejected: every third was changed after signing."""
+    signed = writing.signed(archives(t), KEY)
+    changed = signed.withColumn("total_chars", F.when(F.col("conv_id") % 3 == 0, F.col("total_chars") + 1).otherwise(F.col("total_chars")))
+    return context.status(changed.withColumn("team", F.col("conv_id") % 7), KEY, "team")
+
+
+@query(
+    f"WITH {ARCHIVES} SELECT conv_id, CASE WHEN text <> '' THEN text WHEN conv_id % 2 = 0 THEN 'head' || chr(10) || 'tail' ELSE 'head' END AS source FROM archives"
+)
+def archive_source(t):
+    made = archives(t).withColumns({"text_head": F.lit("head"), "text_tail": F.when(F.col("conv_id") % 2 == 0, "tail")})
+    return made.select("conv_id", writing.readable_source(F.col("text"), F.col("text_head"), F.col("text_tail")).alias("source"))
+
+
+@query(
+    "SELECT doc_id AS conv_id, CASE doc_id % 4 WHEN 0 THEN NULL WHEN 1 THEN 'own' ELSE to_base64(encode(coalesce(text, ''))) END AS data FROM documents"
+)
+def frame_files(t):
+    """Frames written as files named by their content, then read again: every fourth refers to a file that is not there, others hold their data themselves."""
+    n, body = F.col("doc_id"), F.coalesce("text", F.lit("")).cast("binary")
+    folder = F.concat(F.lit(archive.DIR_PREFIX), (n % 5).cast("string"))
+    docs = t("documents").select(n.alias("conv_id"), F.lit(0).alias("pos"), folder.alias("frames_dir"), body.alias("png"))
+    root = scratch(docs.sparkSession, "frames")
+    frame_files_of.write(docs.where("conv_id % 4 > 0"), root).write.format("noop").mode("overwrite").save()
+    file = F.when(F.col("conv_id") % 4 == 0, F.concat(F.sha2(F.concat(F.lit(b"gone"), F.col("png")), 256), F.lit(".png"))).otherwise(archive.file_name(F.col("png")))
+    asked = docs.select("conv_id", "pos", "frames_dir", file.alias("file"), F.when(F.col("conv_id") % 4 == 1, "own").alias("data"))
+    return frame_files_of.resolved(asked, frame_files_of.read(docs.sparkSession, root)).select("conv_id", "data")
+
+
+LAST = "last AS (SELECT conv_id, max(turn) AS turn FROM conversations GROUP BY conv_id), m AS (SELECT c.conv_id, c.turn AS ts, c.text, l.turn IS NOT NULL AND c.conv_id % 5 > 0 AS hit, c.conv_id % 2 = 0 AS vision, c.conv_id % 3 AS kind FROM conversations c LEFT JOIN last l USING (conv_id, turn))"
+
+
+@query(
+    f"WITH {LAST} SELECT conv_id, ts, CAST(0 AS BIGINT) AS pos, 'text' AS type, CASE WHEN hit AND vision THEN 'lead' WHEN hit AND kind > 0 THEN text || chr(10) || chr(10) || '<archived-history>' || chr(10) || chr(10) || 'mid' || chr(10) || chr(10) || '</archived-history>' ELSE text END AS text, NULL AS data FROM m "
+    "UNION ALL SELECT conv_id, ts, 1, 'text', '<archived-history>' || chr(10) || 'head' || chr(10) || '-------------- pages follow' || chr(10), NULL FROM m WHERE hit AND vision "
+    "UNION ALL SELECT conv_id, ts, unnest([2, 3]), 'image', NULL, unnest(['aaaa', 'bbbb']) FROM m WHERE hit AND vision "
+    "UNION ALL SELECT conv_id, ts, 4, 'text', '-------------- pages end' || chr(10) || 'tail' || chr(10) || '</archived-history>', NULL FROM m WHERE hit AND vision"
+)
+def context_rewrite(t):
+    """Messages with the archives at their place: as images for half of the readers, as text for the others; some summaries have no archive."""
+    last = t("conversations").groupBy("conv_id").agg(F.max("turn").alias("turn"))
+    said = t("conversations").join(last.withColumn("last", F.lit(True)), ["conv_id", "turn"], "left")
+    messages = said.select("conv_id", F.col("turn").alias("ts"), F.when(F.col("last"), context.SUMMARY).otherwise(F.col("role")).alias("role"), "text", (F.col("conv_id") % 2 == 0).alias("vision"))
+    frame = lambda data: F.struct(F.lit(data).alias("data"))
+    middle = F.when(F.col("conv_id") % 3 > 0, "head█mid█tail").otherwise("headtail")
+    made = last.where("conv_id % 5 > 0").select("conv_id", F.col("turn").alias("ts"), F.lit("lead").alias("lead_in"), F.array(frame("aaaa"), frame("bbbb")).alias("frames"), middle.alias("text"), F.lit("head").alias("text_head"), F.lit("tail").alias("text_tail"), F.lit(0).alias("truncated_chars"))
+    return context.rewrite(messages, made, 3000)
+
+
+@query("SELECT c_custkey, CASE WHEN c_custkey % 4 = 0 OR c_nationkey % 3 = 0 THEN 'default' WHEN c_custkey % 2 = 1 THEN 'image' ELSE 'text' END AS mode FROM customer")
+def request_mode(t):
+    n = F.col("c_custkey")
+    return t("customer").select("c_custkey", context.mode(n % 4 > 0, F.when(n % 2 == 1, True), F.when(F.col("c_nationkey") % 3 == 0, " short ").otherwise(" ")).alias("mode"))
 
 
 # --- Without SQL: folds, images ---------------------------------------------------------------------------------

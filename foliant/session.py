@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import os
+import tempfile
+import uuid
 from pathlib import Path
 
 from pyspark.sql import SparkSession
@@ -22,3 +24,13 @@ def importable(spark: SparkSession) -> SparkSession:
     if HOME not in paths:
         environment["PYTHONPATH"] = os.pathsep.join([HOME, *filter(None, paths)])
     return spark
+
+
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new folder's path below the cluster's shared folder, in local mode without one below a temporary one."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+        base = tempfile.mkdtemp(prefix="foliant-")
+    return f"{base.removeprefix('file://').rstrip('/')}/{name}-{uuid.uuid4().hex}"
