@@ -71,11 +71,15 @@ def cut_pages(text: str, capacity: int, cols: int, wide_cells: bool) -> list[str
     return ["".join(p) for p in pages]
 
 
+#: Words whose characters take one cell each.
+PLAIN = re.compile(r"[\x20-\x7e\xa0-\xff]+")
+
+
 def wrap_lines(text: str, width: int, wide_cells: bool) -> list[str]:
     """Greedy word wrap; words longer than a line are split hard."""
     lines, line, used = [], "", 0
     for word in (w for w in re.split(r"\s+", text) if w):
-        size = sum(_width(c, wide_cells) for c in word)
+        size = len(word) if PLAIN.fullmatch(word) else sum(_width(c, wide_cells) for c in word)
         if line and used + 1 + size <= width:
             line, used = f"{line} {word}", used + 1 + size
             continue

@@ -60,23 +60,24 @@ def last_results(results: DataFrame) -> DataFrame:
     return results.where(F.col("text") != "").groupBy("conv_id", "call_id").agg(F.max_by("text", "seq").alias("result"))
 
 
-def result_body(text: Column, dim: bool = True) -> Column:
-    """A result as it is shown: cleaned, shortened, dim."""
-    body = truncate_middle(elide_data_urls(strip_marks(text)), RESULT_CHARS, HEAD_SHARE)
-    return F.concat(F.lit("<out>\n" + DIM_ON * dim), body, F.lit(DIM_OFF * dim + "\n</out>"))
+def shown_results(results: DataFrame, dim: bool = True) -> DataFrame:
+    """The last result of each call as it is shown: cleaned, shortened, dim. Each step is a column, so that none is computed twice."""
+    clean = last_results(results).withColumn("result", strip_marks(F.col("result"))).withColumn("result", elide_data_urls(F.col("result")))
+    body = truncate_middle(F.col("result"), RESULT_CHARS, HEAD_SHARE)
+    return clean.withColumn("result", F.concat(F.lit("<out>\n" + DIM_ON * dim), body, F.lit(DIM_OFF * dim + "\n</out>")))
 
 
 def call_line(name: Column, args: Column) -> Column:
     """A call as ``name(key=value, ...)``; ``args``: array of (k, v_json) in order."""
-    shown = F.transform(args, lambda a: F.concat(a["k"], F.lit("="), truncate_middle(elide_data_urls(a["v_json"]), ARG_CHARS, HEAD_SHARE)))
+    clean = F.transform(args, lambda a: F.struct(a["k"].alias("k"), elide_data_urls(a["v_json"]).alias("v")))
+    shown = F.transform(clean, lambda a: F.concat(a["k"], F.lit("="), truncate_middle(a["v"], ARG_CHARS, HEAD_SHARE)))
     return F.concat(name, F.lit("("), truncate_middle(F.array_join(shown, ", "), CALL_CHARS, HEAD_SHARE), F.lit(")"))
 
 
 def calls_with_results(calls: DataFrame, results: DataFrame) -> DataFrame:
     """Calls (conv_id, call_id, seq, name, args) with the result folded into each; calls without a result stay."""
-    found = calls.join(last_results(results), ["conv_id", "call_id"], "left")
-    line = call_line(F.col("name"), F.col("args"))
-    text = F.when(F.col("result").isNotNull(), F.concat(line, F.lit("\n"), result_body(F.col("result")))).otherwise(line)
+    found = calls.join(shown_results(results), ["conv_id", "call_id"], "left").withColumn("line", call_line(F.col("name"), F.col("args")))
+    text = F.when(F.col("result").isNotNull(), F.concat(F.col("line"), F.lit("\n"), F.col("result"))).otherwise(F.col("line"))
     return found.select("conv_id", "call_id", "seq", text.alias("text"))
 
 
@@ -84,5 +85,5 @@ def orphans(calls: DataFrame, results: DataFrame) -> DataFrame:
     """Results without an earlier call, each shown with the last text of its id."""
     first = calls.groupBy("conv_id", "call_id").agg(F.min("seq").alias("call_seq"))
     loose = results.join(first, ["conv_id", "call_id"], "left").where(F.col("call_seq").isNull() | (F.col("call_seq") > F.col("seq")))
-    shown = loose.join(last_results(results), ["conv_id", "call_id"])
-    return shown.select("conv_id", "call_id", "seq", F.concat(F.lit("\n"), result_body(F.col("result"))).alias("text"))
+    shown = loose.join(shown_results(results), ["conv_id", "call_id"])
+    return shown.select("conv_id", "call_id", "seq", F.concat(F.lit("\n"), F.col("result")).alias("text"))

@@ -709,13 +709,55 @@ def request_mode(t):
 # --- Without SQL: folds, images ---------------------------------------------------------------------------------
 
 
-@query()
+ROUNDS = 3
+EDGE = min(layout.EDGE_PAGES, max(0, (MOST - 1) // 2))
+
+
+def refolded() -> str:
+    """SQL of the rounds, each of which lays out what the one before it kept with the round's text behind it."""
+    said = """said AS (SELECT conv_id, turn, turn % {n} AS round, role, translate(text, chr(14) || chr(15), '') AS text FROM conversations WHERE (role = 'user' AND text <> '') OR (role = 'assistant' AND regexp_matches(translate(text, chr(14) || chr(15), ''), '\\S'))),
+texts AS (SELECT conv_id, round, trim(regexp_replace(regexp_replace(string_agg(text, ' ' ORDER BY turn), '\\s*\\n\\s*', '█', 'g'), '\\s+', ' ', 'g'), ' █') AS text FROM said GROUP BY conv_id, round),
+k0 AS (SELECT DISTINCT conv_id, '' AS text, CAST(0 AS BIGINT) AS lost FROM said)""".format(n=ROUNDS)
+    steps = [said]
+    for i in range(ROUNDS):
+        fold = f"""n{i} AS (SELECT k.conv_id, k.lost, k.text || CASE WHEN k.text <> '' AND coalesce(x.text, '') <> '' THEN '█' ELSE '' END || coalesce(x.text, '') AS text FROM k{i} k LEFT JOIN texts x ON x.conv_id = k.conv_id AND x.round = {i}),
+e{i} AS (SELECT *, length(text) AS n, CASE WHEN length(text) <= {2 * HIGH} THEN '' ELSE substring(text, {HIGH + 1}, length(text) - {2 * HIGH}) END AS middle FROM n{i}),
+p{i} AS (SELECT *, CAST(ceil(length(middle) / {HIGH}) AS BIGINT) AS fine FROM e{i}),
+o{i} AS (SELECT *, fine > {MOST} AS over, {EDGE} AS edge FROM p{i}),
+m{i} AS (SELECT *, CASE WHEN over THEN substring(middle, edge * {HIGH} + 1, length(middle) - edge * {HIGH} - (length(middle) - (fine - edge) * {HIGH})) ELSE '' END AS inner_text FROM o{i}),
+g{i} AS (SELECT *, CASE WHEN over THEN greatest(0, CAST(ceil(length(inner_text) / {LOW}) AS BIGINT) - ({MOST} - 2 * edge)) ELSE 0 END AS gone FROM m{i}),
+k{i + 1} AS (SELECT conv_id, lost + CAST(gone * {LOW} AS BIGINT) AS lost, CASE WHEN over THEN left(text, {HIGH} + edge * {HIGH}) || substring(inner_text, gone * {LOW} + 1) || substring(middle, (fine - edge) * {HIGH} + 1) || right(text, {HIGH}) ELSE text END AS text FROM g{i})"""
+        steps.append(fold)
+    return "WITH " + ", ".join(steps) + f" SELECT conv_id, CAST({ROUNDS} AS BIGINT) AS rounds, text, lost AS truncated FROM k{ROUNDS}"
+
+
+def rounds_of(t) -> DataFrame:
+    """The messages of each conversation in three rounds."""
+    gathered = transcript.said(t("conversations")).groupBy("conv_id", (F.col("turn") % ROUNDS).alias("round")).agg(F.array_sort(F.collect_list(F.struct("turn", "text"))).alias("m"))
+    return gathered.select("conv_id", "round", F.array_join(F.transform("m", lambda x: x["text"]), " ").alias("text"))
+
+
+@query(refolded())
 def recompact_fold(t):
-    """Three rounds of archiving a conversation, each the turns of one third."""
+    """Three rounds of archiving, each behind what the one before it kept, by the write side itself."""
+    rounds = rounds_of(t)
+    ids = rounds.select("conv_id").distinct()
+    none = F.lit(None).cast("struct<text:string,text_head:string,text_tail:string,truncated_chars:bigint>")
+    previous = ids.select("conv_id", none.alias("previous"))
+    for i in range(ROUNDS):
+        asked = previous.join(rounds.where(F.col("round") == i).select("conv_id", "text"), "conv_id", "left")
+        request = asked.select("conv_id", F.lit("entry").alias("first_kept"), "text", F.lit(None).cast("string").alias("summary"), "previous", F.lit(None).cast("string").alias("files"))
+        made = writing.compact(request, high=(16, HIGH // 16), low=(22, LOW // 22), most=MOST, shape="plain")
+        previous = made.select("conv_id", F.struct("text", "text_head", "text_tail", "truncated_chars").alias("previous"))
+    return previous.select("conv_id", F.lit(ROUNDS).cast("long").alias("rounds"), "previous.text", F.col("previous.truncated_chars").alias("truncated"))
+
+
+@query()
+def recompact_state(t):
+    """The same rounds as keyed state in Python, the form that the stream uses; texts are folded as they come."""
     from foliant.streaming import refold
 
-    rounds = transcript.said(t("conversations")).groupBy("conv_id", (F.col("turn") % 3).alias("round")).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("turn", "text"))), lambda x: x["text"]), " ").alias("text"))
-    return refold.refold(rounds, HIGH, LOW, MOST)
+    return refold.refold(rounds_of(t), HIGH, LOW, MOST)
 
 
 @query()
