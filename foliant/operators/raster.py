@@ -1,16 +1,22 @@
 """Pages as images: glyphs on a grid, ink by sentence, dim spans, a banner strip.
 
-One Arrow function paints a page at a time; glyphs are a bounded table that is broadcast. A page's
-canvas is a few megabytes, so sessions that raster large pages keep Arrow batches small.
+A page is first placed, which gives each printed character a cell and an ink, and then painted: every
+glyph becomes an array of coverage, at its natural size or resampled to the cell, and is blended into
+the canvas as one array operation. Glyphs are a bounded table that is broadcast; one Arrow function
+paints a page at a time.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from dataclasses import dataclass
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
+from foliant.functions.cells import WIDE
 from foliant.functions.text import CELL, DIM_OFF, DIM_ON
 from foliant.sources import png
 
@@ -18,63 +24,171 @@ from foliant.sources import png
 HUES = [(109, 2, 2), (109, 53, 2), (24, 109, 2), (2, 109, 109), (2, 32, 109), (75, 2, 109)]
 BLACK, DIM, BAND = (0, 0, 0), (128, 128, 128), (255, 247, 194)
 LARGEST = 16_384
+#: Least coverage of a resampled pixel that is painted, and cells between two columns.
+FAINT, GUTTER = 0.02, 2
 
 Glyphs = dict[int, tuple[int, int, int, int, list[int]]]
+Ink = tuple[int, int, int]
 
 
-def paint(text: str, glyphs: Glyphs, cell_w: int, cell_h: int, size: int, repeat: int = 1, ink: str = "bw", banner: str = "") -> tuple[np.ndarray, int]:
-    """Pixels of a page and how many cells it printed; the page is as high as its rows."""
-    if not 0 < size <= LARGEST:
-        raise ValueError("page edge out of range")
-    cols = size // cell_w
-    most = max(1, int((size - cell_h) / cell_h / repeat))
-    printed = [c for c in text if c not in (DIM_ON, DIM_OFF)][: cols * most]
-    rows = max(1, -(-len(printed) // cols))
-    canvas = np.full(((1 + rows * repeat) * cell_h, size, 3), 255, np.uint8)
-
-    def put(ch: str, x: int, y: int, colour: tuple[int, int, int]) -> None:
-        w, h, xoff, _, bits = glyphs.get(ord(ch), (0, 0, 0, 0, []))
-        for dy, row in enumerate(bits[:h]):
-            for dx in range(w):
-                if row >> (7 - dx) & 1 and y + dy < canvas.shape[0] and 0 <= x + xoff + dx < size:
-                    canvas[y + dy, x + xoff + dx] = colour
-
-    for i, ch in enumerate(banner[:cols]):
-        if 32 <= ord(ch) < 127:
-            put(ch, i * cell_w, 0, BLACK)
-    for row in range(rows if repeat > 1 else 0):
-        canvas[(1 + row * repeat) * cell_h + cell_h : (1 + row * repeat + repeat) * cell_h] = BAND
-    at = sentence = 0
-    dim = False
+@dataclass(frozen=True)
+class Sheet:
+    """How pages look: cells, page edge, copies of each line, ink, columns and whether glyphs are resampled to the cell."""
+
+    cell_w: int
+    cell_h: int
+    size: int
+    repeat: int = 1
+    ink: str = "bw"
+    columns: int = 1
+    stretch: bool = False
+    #: Rows of pixels above the base line in the glyphs' own cell; the cell's height where none is given.
+    ascent: int | None = None
+
+    @property
+    def cols(self) -> int:
+        whole = self.size // self.cell_w
+        return (whole - GUTTER) // 2 if self.columns == 2 else whole
+
+    @property
+    def rows(self) -> int:
+        return max(1, int((self.size - self.cell_h) / self.cell_h / self.repeat))
+
+
+def width(ch: str) -> int:
+    return 2 if any(a <= ord(ch) <= b for a, b in WIDE) else 1
+
+
+def inked(text: str, ink: str, ends: str = "") -> Iterator[tuple[str, Ink]]:
+    """Printed characters with their ink; ``ends`` stands for what follows the text."""
+    sentence, dim = 0, False
     for k, ch in enumerate(text):
         if ch in (DIM_ON, DIM_OFF):
             dim = ch == DIM_ON
             continue
-        if at >= cols * most:
-            break
-        if ch in ".!?" and text[k + 1 : k + 2] in (" ", CELL):
+        following = text[k + 1 : k + 2] or ends
+        if ch in ".!?" and following in (" ", CELL, "\n") and following:
             sentence += 1
-        colour = DIM if dim else HUES[sentence % len(HUES)] if ink == "sent" else BLACK
-        x, y = at % cols * cell_w, (1 + at // cols * repeat) * cell_h
-        for copy in range(repeat):
-            top = y + copy * cell_h
-            if ch == CELL:
-                canvas[top : top + cell_h, x : x + cell_w] = colour
+        yield ch, BLACK if ch == CELL else DIM if dim else HUES[sentence % len(HUES)] if ink == "sent" else BLACK
+
+
+def placed(text: str, sheet: Sheet) -> list[tuple[str, int, int, Ink]]:
+    """(character, column, row, ink) of a page. A wide character never straddles a row; lines of a page of two columns are cut at its edge."""
+    out, cols = [], sheet.cols
+    if sheet.columns == 2:
+        row = at = 0
+        for ch, ink in inked(text, sheet.ink, " "):
+            if ch == "\n":
+                row, at = row + 1, 0
+            elif row < 2 * sheet.rows and at >= 0:
+                w = width(ch)
+                if at + w > cols:
+                    at = -1  # the rest of the line is beyond the edge
+                    continue
+                out.append((ch, at + (cols + GUTTER if row >= sheet.rows else 0), row % sheet.rows, ink))
+                at += w
+        return out
+    at = 0
+    for ch, ink in inked(text, sheet.ink):
+        w = width(ch)
+        at += w == 2 and cols >= 2 and at % cols == cols - 1
+        if at + w > cols * sheet.rows:
+            break
+        out.append((ch, at % cols, at // cols, ink))
+        at += w
+    return out
+
+
+def bitmap(glyph: tuple[int, int, int, int, list[int]]) -> np.ndarray:
+    """Coverage of a glyph at its natural size, 0 or 1."""
+    w, h, _, _, rows = glyph
+    bits = np.array(rows[:h], np.int64).reshape(-1, 1) >> (7 - np.arange(w)) & 1 if w <= 8 else np.zeros((0, 0), np.int64)
+    return bits.astype(np.float64)
+
+
+def resampled(bits: np.ndarray, w: int, h: int) -> np.ndarray:
+    """Bilinear resampling to ``h`` by ``w``; pixels outside the glyph are empty, faint ones too."""
+    source_h, source_w = bits.shape
+    edge = np.pad(bits, 1)
+    y, x = (np.arange(h) + 0.5) * source_h / h - 0.5, (np.arange(w) + 0.5) * source_w / w - 0.5
+    y0, x0 = np.floor(y).astype(int), np.floor(x).astype(int)
+    wy, wx = (y - y0)[:, None], (x - x0)[None, :]
+    at = lambda i, j: edge[np.ix_(y0 + 1 + i, x0 + 1 + j)]
+    mixed = (at(0, 0) * (1 - wx) + at(0, 1) * wx) * (1 - wy) + (at(1, 0) * (1 - wx) + at(1, 1) * wx) * wy
+    return np.where(mixed > FAINT, np.floor(mixed * 255 + 0.5) / 255, 0.0)
+
+
+def blend(canvas: np.ndarray, coverage: np.ndarray, x: int, y: int, ink: Ink) -> None:
+    """Mix ``ink`` into the canvas at (x, y) by coverage; what lies outside is clipped."""
+    top, left = max(0, y), max(0, x)
+    bottom, right = min(canvas.shape[0], y + coverage.shape[0]), min(canvas.shape[1], x + coverage.shape[1])
+    if top >= bottom or left >= right:
+        return
+    a = coverage[top - y : bottom - y, left - x : right - x, None]
+    under = canvas[top:bottom, left:right]
+    canvas[top:bottom, left:right] = np.floor(under * (1 - a) + np.array(ink, np.float64) * a + 0.5).astype(np.uint8)
+
+
+class Painter:
+    """Paints pages of one look; remembers the coverage of glyphs."""
+
+    def __init__(self, sheet: Sheet, glyphs: Glyphs):
+        if not 0 < sheet.size <= LARGEST:
+            raise ValueError("page edge out of range")
+        self.sheet, self.glyphs = sheet, glyphs
+        self.known: dict[str, tuple[np.ndarray, int, int] | None] = {}
+
+    def shape(self, ch: str) -> tuple[np.ndarray, int, int] | None:
+        """Coverage of a character and where it goes in its cell; None where the font lacks it."""
+        if ch not in self.known:
+            glyph, sheet = self.glyphs.get(ord(ch)), self.sheet
+            if glyph is None or not glyph[4]:
+                self.known[ch] = None
+            elif sheet.stretch:
+                self.known[ch] = resampled(bitmap(glyph), sheet.cell_w, sheet.cell_h), 0, 0
             else:
-                put(ch, x, top, colour)
-        at += 1
-    return canvas, at
+                _, h, xoff, yoff, _ = glyph
+                drop = 0 if sheet.ascent is None else sheet.ascent - h - yoff
+                self.known[ch] = bitmap(glyph), xoff, drop
+        return self.known[ch]
+
+    def put(self, canvas: np.ndarray, ch: str, x: int, y: int, ink: Ink) -> None:
+        if ch == CELL:
+            canvas[max(0, y) : y + self.sheet.cell_h, max(0, x) : x + self.sheet.cell_w] = ink
+        elif (found := self.shape(ch)) is not None:
+            blend(canvas, found[0], x + found[1], y + found[2], ink)
+
+    def page(self, text: str, banner: str = "") -> tuple[np.ndarray, int]:
+        """Pixels of a page and how many characters it printed; the page is as high as the rows it uses."""
+        sheet = self.sheet
+        cells = placed(text, sheet)
+        used = max((row for _, _, row, _ in cells), default=0) + 1
+        canvas = np.full(((1 + used * sheet.repeat) * sheet.cell_h, sheet.size, 3), 255, np.uint8)
+        for i, ch in enumerate(banner[: sheet.size // sheet.cell_w]):
+            if 32 <= ord(ch) < 127:
+                self.put(canvas, ch, i * sheet.cell_w, 0, BLACK)
+        for row in range(used if sheet.repeat > 1 else 0):
+            canvas[(2 + row * sheet.repeat) * sheet.cell_h : (1 + (row + 1) * sheet.repeat) * sheet.cell_h] = BAND
+        for ch, col, row, ink in cells:
+            for copy in range(sheet.repeat):
+                self.put(canvas, ch, col * sheet.cell_w, (1 + row * sheet.repeat + copy) * sheet.cell_h, ink)
+        return canvas, len(cells)
+
+
+def paint(text: str, glyphs: Glyphs, cell_w: int, cell_h: int, size: int, repeat: int = 1, ink: str = "bw", banner: str = "") -> tuple[np.ndarray, int]:
+    """One page of a grid."""
+    return Painter(Sheet(cell_w, cell_h, size, repeat, ink), glyphs).page(text, banner)
 
 
-def page_udf(spark: SparkSession, glyphs: Glyphs, cell_w: int, cell_h: int, size: int, repeat: int = 1, ink: str = "bw"):
-    """(text, banner) -> png, rows of pixels, printed cells."""
+def page_udf(spark: SparkSession, glyphs: Glyphs, sheet: Sheet):
+    """(text, banner) -> png, rows of pixels, printed characters."""
     sent = spark.sparkContext.broadcast(glyphs)
 
     @F.arrow_udf("struct<png:binary,height:int,chars:bigint>")
     def page(texts: pa.Array, banners: pa.Array) -> pa.Array:
-        images, heights, counts = [], [], []
+        painter, images, heights, counts = Painter(sheet, sent.value), [], [], []
         for text, banner in zip(texts.to_pylist(), banners.to_pylist()):
-            canvas, n = paint(text or "", sent.value, cell_w, cell_h, size, repeat, ink, banner or "")
+            canvas, n = painter.page(text or "", banner or "")
             images.append(png.encode(canvas))
             heights.append(canvas.shape[0])
             counts.append(n)

@@ -768,10 +768,22 @@ def raster_pages(t):
     pages = layout.pages_of(planned(t, MOST))
     spark = pages.sparkSession
     shown = pages.select("conv_id", "page_no", layout.banner(F.col("page_no"), F.col("pages")).alias("banner"), "text")
-    painted = shown.select("conv_id", "page_no", raster.page_udf(spark, raster.test_glyphs(), 11, 16, 176)("text", "banner").alias("p"))
+    painted = shown.select("conv_id", "page_no", raster.page_udf(spark, raster.test_glyphs(), raster.Sheet(11, 16, 176))("text", "banner").alias("p"))
     return painted.select("conv_id", "page_no", "p.height", "p.chars", archive.file_name(F.col("p.png")).alias("file"))
 
 
+@query(f"WITH {WRAPPED} SELECT conv_id, CAST((n - 1) // 20 AS BIGINT) AS page_no, CAST(sum(length(line)) AS BIGINT) AS chars, CAST((1 + count(*)) * 8 AS INTEGER) AS height FROM (SELECT conv_id, n, left(line, 40) AS line FROM r) GROUP BY conv_id, (n - 1) // 20")
+def raster_columns(t):
+    """Pages of two columns with resampled glyphs, ink by sentence; lines are cut at the edge of their column."""
+    from foliant.operators import raster
+
+    sheet = raster.Sheet(4, 8, 328, 1, "sent", 2, True)
+    lines = normal(t).select("conv_id", cells.lines_udf(200, False)("text").alias("lines"))
+    paged = lines.select("conv_id", F.posexplode(cells.doc_pages(F.col("lines"), 10)).alias("page_no", "text"))
+    painted = paged.select("conv_id", F.col("page_no").cast("long").alias("page_no"), raster.page_udf(paged.sparkSession, raster.test_glyphs(), sheet)("text", F.lit("")).alias("p"))
+    return painted.select("conv_id", "page_no", "p.chars", "p.height")
+
+
 @query(
     "SELECT doc_id, n.text, CAST(length(replace(n.text, '█', '')) AS BIGINT) AS visible, CAST(1 AS BIGINT) AS lost, length(replace(n.text, '█', '')) >= 20 AS safe FROM (SELECT doc_id, {'text': 'cafe ? ' || trim(regexp_replace(regexp_replace(coalesce(text, '') || ' end', '\\s*\\n\\s*', '█', 'g'), '\\s+', ' ', 'g'), ' █')} AS n FROM documents)"
 )
