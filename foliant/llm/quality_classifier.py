@@ -23,6 +23,7 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -33,6 +34,8 @@ RANK = 48
 NEIGHBOURS = 25
 DIMS = 1 << 14
 BLOCK = 256
+#: Features of the samples that are a dense matrix at once.
+CHUNK = 1 << 10
 THRESHOLD = 0.3
 FOLDS, HELD_OUT = 5, 0
 #: Words whose features a Python worker remembers.
@@ -80,23 +83,39 @@ class Features(dict):
 
 
 class Model:
-    """Projection to the latent space and the labelled unit vectors in it."""
-
-    def __init__(self, samples: list[tuple[list[int], list[float], int]], rank: int):
-        rows = np.zeros((len(samples), DIMS), np.float32)
-        for row, (ids, weights, _) in zip(rows, samples):
-            row[ids] = weights
-        self.labels = np.array([y for _, _, y in samples], np.float32)
-        self.base = float(self.labels.mean()) if len(samples) else 0.5
-        seen = (rows > 0).sum(axis=0)
-        idf = np.log((1 + len(rows)) / (1 + seen)).astype(np.float32) + 1
-        rows *= idf
-        values, left = np.linalg.eigh((rows @ rows.T).astype(np.float64)) if len(rows) else (np.zeros(0), np.zeros((0, 0)))
-        keep = [i for i in np.argsort(-values)[:rank] if values[i] > 1e-6]
-        keep = np.array(keep, np.int64)
-        self.projection = idf[:, None] * (rows.T @ (left[:, keep] / np.sqrt(values[keep])).astype(np.float32))
-        latent = [self.projection[np.array(i, np.int64)].T @ np.array(w, np.float32) for i, w, _ in samples]
-        self.vectors = unit(np.array(latent, np.float32).reshape(len(samples), len(keep)))
+    """Projection to the latent space and the labelled unit vectors in it.
+
+    ``ids`` and ``weights`` are the features of all samples, one after another, and ``starts`` where each sample's
+    begin (one more than samples). Matrices are dense for ``CHUNK`` features at a time only.
+    """
+
+    def __init__(self, ids: np.ndarray, weights: np.ndarray, starts: np.ndarray, labels: np.ndarray, rank: int):
+        n = len(labels)
+        self.labels = labels.astype(np.float32)
+        self.base = float(self.labels.mean()) if n else 0.5
+        idf = (np.log((1 + n) / (1 + np.bincount(ids, minlength=DIMS))) + 1).astype(np.float32)
+        row, weights = np.repeat(np.arange(n), np.diff(starts)), weights.astype(np.float32)
+        order = np.argsort(ids, kind="stable")
+        row, columns, values = row[order], ids[order], (weights * idf[ids])[order]
+        bounds = np.searchsorted(columns, np.arange(0, DIMS + 1, CHUNK))
+
+        def chunks():
+            for lo, i, j in zip(range(0, DIMS, CHUNK), bounds[:-1], bounds[1:]):
+                dense = np.zeros((n, CHUNK), np.float32)
+                dense[row[i:j], columns[i:j] - lo] = values[i:j]
+                yield lo, dense
+
+        gram = np.zeros((n, n), np.float32)
+        for _, dense in chunks():
+            gram += dense @ dense.T
+        strength, left = np.linalg.eigh(gram.astype(np.float64)) if n else (np.zeros(0), np.zeros((0, 0)))
+        keep = np.array([i for i in np.argsort(-strength)[:rank] if strength[i] > 1e-6], np.int64)
+        basis = (left[:, keep] / np.sqrt(strength[keep])).astype(np.float32)
+        self.projection = np.zeros((DIMS, len(keep)), np.float32)
+        for lo, dense in chunks():
+            self.projection[lo : lo + CHUNK] = idf[lo : lo + CHUNK, None] * (dense.T @ basis)
+        latent = [self.projection[ids[i:j]].T @ weights[i:j] for i, j in zip(starts[:-1], starts[1:])]
+        self.vectors = unit(np.array(latent, np.float32).reshape(n, len(keep)))
 
     def scores(self, found: list[tuple[np.ndarray, np.ndarray]], neighbours: int) -> np.ndarray:
         out = np.full(len(found), self.base)
@@ -140,8 +159,11 @@ def fit(docs: DataFrame, labels: DataFrame, *, doc_id: str = "doc_id", text: str
         share = F.when(F.col("label") == value, F.lit(1e6 * per_label / n)).otherwise(share)
     chosen = known.where(hashed < share).dropDuplicates()  # about 2 x per_label rows
     texts = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).join(F.broadcast(chosen), "doc_id").where(F.col("text").isNotNull())
-    rows = texts.select("doc_id", "label", features_udf()("text").alias("f")).select("doc_id", "label", "f.ids", "f.weights").collect()
-    return Model([(list(r["ids"]), list(r["weights"]), r["label"]) for r in sorted(rows, key=lambda r: (r["doc_id"], r["label"])) if r["ids"]], rank)
+    found = texts.select("doc_id", "label", features_udf()("text").alias("f")).select("doc_id", "label", "f.ids", "f.weights").where(F.size("ids") > 0)
+    found = found.toArrow().sort_by([("doc_id", "ascending"), ("label", "ascending")])
+    flat = lambda c: pc.list_flatten(found[c].combine_chunks()).to_numpy(zero_copy_only=False)
+    starts = np.cumsum([0, *pc.list_value_length(found["ids"]).to_pylist()])
+    return Model(flat("ids").astype(np.int64), flat("weights"), starts, found["label"].to_numpy(), rank)
 
 
 _STATE: dict[str, Features] = {}
