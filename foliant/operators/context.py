@@ -52,7 +52,8 @@ def rewrite(messages: DataFrame, archives: DataFrame, most: int) -> DataFrame:
     named = archives.withColumnsRenamed({c: f"a_{c}" for c in archives.columns if c not in ("conv_id", "ts")}).withColumn("found", F.lit(True))
     met = messages.join(named, ["conv_id", "ts"], "left").withColumn("hit", F.coalesce("found", F.lit(False)) & (F.col("role") == SUMMARY))
     source = F.coalesce(source_text(F.col("a_text"), F.col("a_text_head"), F.col("a_text_tail")), F.lit(""))
-    replay = met.withColumn("replay", F.when(F.col("hit") & ~F.col("vision"), bounded_replay(source, F.col("a_text_head"), F.col("a_text_tail"), F.coalesce("a_lead_in", F.lit("")) != "")))
+    replay = met.withColumn("replay", F.when(F.col("hit") & ~F.col("vision"), source))
+    replay = bounded_replay(replay, "replay", "a_text_head", "a_text_tail", F.coalesce("a_lead_in", F.lit("")) != "")
     wrapped = F.concat(F.col("text"), F.lit(f"\n\n{archive.OPEN}\n"), F.col("replay"), F.lit(f"\n{archive.CLOSE}"))
     as_text = F.when(F.col("replay").isNotNull() & ~transcript.is_blank(F.col("replay")), wrapped).otherwise(F.col("text"))
     plain = replay.where(~(F.col("hit") & F.col("vision"))).select("conv_id", "ts", F.lit(0).cast("long").alias("pos"), F.lit("text").alias("type"), as_text.alias("text"), F.lit(None).cast("string").alias("data"))

@@ -169,7 +169,8 @@ def strip_thinking(t):
 @query("SELECT doc_id, CASE WHEN length(b) > 24000 THEN left(b, 12000) || chr(10) || '[…' || (length(b) - 24000) || ' characters of the archive are left out here…]' || chr(10) || right(b, 12000) ELSE b END AS text FROM (SELECT doc_id, coalesce(text, '') || ' end' AS b FROM documents)")
 def text_replay(t):
     source = F.concat(F.lit("head"), F.coalesce("text", F.lit("")), F.lit(" end"), F.lit("tail"))
-    return t("documents").select("doc_id", T.bounded_replay(source, F.lit("head"), F.lit("tail"), F.lit(True)).alias("text"))
+    made = t("documents").select("doc_id", source.alias("text"), F.lit("head").alias("head"), F.lit("tail").alias("tail"))
+    return T.bounded_replay(made, "text", "head", "tail", F.lit(True)).select("doc_id", "text")
 
 
 @query("SELECT doc_id, to_base64(encode(coalesce(text, ''))) AS data, true AS same FROM documents")
