@@ -761,16 +761,16 @@ def recompact_state(t):
     return refold.refold(rounds_of(t), HIGH, LOW, MOST)
 
 
-@query()
+@query(f"WITH {PAGES} SELECT conv_id, CAST(page_no AS BIGINT) AS page_no, CAST((1 + ceil(least(length(text), 160) / 16)) * 16 AS INTEGER) AS height, CAST(least(length(text), 160) AS BIGINT) AS chars, true AS named FROM pages")
 def raster_pages(t):
-    """All planned pages as images in a made-up font, with the hash that names their files."""
+    """All planned pages as images in a made-up font: their height and what they print (16 cells by 10 rows at most)."""
     from foliant.operators import raster
 
     pages = layout.pages_of(planned(t, MOST))
     spark = pages.sparkSession
     shown = pages.select("conv_id", "page_no", layout.banner(F.col("page_no"), F.col("pages")).alias("banner"), "text")
     painted = shown.select("conv_id", "page_no", raster.page_udf(spark, raster.test_glyphs(), raster.Sheet(11, 16, 176))("text", "banner").alias("p"))
-    return painted.select("conv_id", "page_no", "p.height", "p.chars", archive.file_name(F.col("p.png")).alias("file"))
+    return painted.select("conv_id", "page_no", "p.height", "p.chars", archive.is_file_name(archive.file_name(F.col("p.png"))).alias("named"))
 
 
 @query(f"WITH {WRAPPED} SELECT conv_id, CAST((n - 1) // 20 AS BIGINT) AS page_no, CAST(sum(length(line)) AS BIGINT) AS chars, CAST((1 + count(*)) * 8 AS INTEGER) AS height FROM (SELECT conv_id, n, left(line, 40) AS line FROM r) GROUP BY conv_id, (n - 1) // 20")
