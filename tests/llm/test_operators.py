@@ -114,6 +114,26 @@ def test_pii(spark, docs, empty):
     assert pii.find(empty)[0].count() == 0
 
 
+def test_pii_keeps_the_better_of_overlapping_spans(spark):
+    rng = np.random.default_rng(4)
+    rows = []
+    for i in range(200):
+        spans = [(int(a), int(a + rng.integers(1, 12)), 2.0 if rng.random() < 0.2 else float(rng.random()), "x") for a in rng.integers(0, 60, rng.integers(0, 14))]
+        rows.append((i, sorted(spans)))
+    rows.append((900, [(i * 3, i * 3 + 2, 0.5, "x") for i in range(3000)]))  # more than a block of them
+    frame = spark.createDataFrame(rows, f"id long, spans array<{pii.CHOICE}>")
+    found = {r["id"]: [tuple(s) for s in r["kept"]] for r in frame.select("id", pii.best_of(F.col("spans")).alias("kept")).collect()}
+    meets = lambda a, b: a[0] < b[1] and b[0] < a[1]
+    for i, spans in rows:
+        kept, fixed = found[i], [s for s in spans if s[2] == 2.0]
+        assert all(s in spans and s[2] < 2 for s in kept) and len(kept) == len(set(kept))
+        assert not any(meets(a, b) for k, a in enumerate(kept) for b in [*kept[k + 1 :], *fixed])
+        assert all(s in kept or any(meets(s, o) and o[2] >= s[2] for o in spans if o != s) or spans.count(s) > 1 for s in spans if s[2] < 2)
+        if spans and not fixed:
+            assert max(spans, key=lambda s: s[2]) in kept
+    assert len(found[900]) == 3000
+
+
 def test_language_id(spark, docs, empty):
     model = language_id.fit(docs)
     rows = {r["doc_id"]: r["f"] for r in docs.select("doc_id", language_id.predict_udf(spark, model)("text").alias("f")).collect()}
