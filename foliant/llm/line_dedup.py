@@ -64,19 +64,19 @@ def bucket(h: Column) -> Column:
 
 
 def rarity(docs: DataFrame) -> Column:
-    """By hash bucket: quarter powers of two of the count of its words, in the top bits of a long."""
+    """By hash bucket: quarter powers of two of the count of its words."""
     each = docs.select(F.explode(F.split(F.translate("spaced", "\n", " "), " ")).alias("word")).where("word <> ''")
     ranks = [0] * BUCKETS
     for b, n in each.groupBy(bucket(F.xxhash64("word")).alias("b")).count().collect():  # at most BUCKETS rows
-        ranks[b] = min(127, int(4 * math.log2(n))) << 56
+        ranks[b] = min(127, int(4 * math.log2(n)))
     # one literal that folds to an array; an array of literals would make every plan as long as the table
-    return F.split(F.lit(",".join(map(str, ranks))), ",").cast("array<bigint>")
+    return F.split(F.lit(",".join(map(str, ranks))), ",").cast("array<bigint>")  # short numbers: they stand in every plan
 
 
 def codes(line: Column, ranks: Column) -> Column:
     """The line's distinct words as sorted numbers, rare ones first: 7 bits of rarity, 56 of hash."""
     hashes = F.array_distinct(F.transform(F.array_remove(F.split(line, " "), ""), lambda w: F.xxhash64(w)))
-    return F.sort_array(F.transform(hashes, lambda h: ranks[bucket(h)].bitwiseOR(F.shiftrightunsigned(h, 8))))
+    return F.sort_array(F.transform(hashes, lambda h: F.shiftleft(ranks[bucket(h)], 56).bitwiseOR(F.shiftrightunsigned(h, 8))))
 
 
 def lines_of(docs: DataFrame) -> DataFrame:
