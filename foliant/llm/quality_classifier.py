@@ -82,6 +82,17 @@ class Features(dict):
         return ids, out[ids]
 
 
+def leading(gram: np.ndarray, rank: int, turns: int = 12) -> tuple[np.ndarray, np.ndarray]:
+    """The largest eigenvalues of a symmetric matrix, falling, with their vectors, by subspace iteration from a fixed start."""
+    n = len(gram)
+    basis = np.linalg.qr(np.random.default_rng(48).standard_normal((n, min(n, 2 * rank))))[0].astype(np.float32)
+    for _ in range(turns):
+        basis = np.linalg.qr(gram @ basis)[0]
+    values, within = np.linalg.eigh((basis.T @ gram @ basis).astype(np.float64))
+    order = np.argsort(-values)[:rank]
+    return values[order], basis @ within[:, order]
+
+
 class Model:
     """Projection to the latent space and the labelled unit vectors in it.
 
@@ -108,8 +119,8 @@ class Model:
         gram = np.zeros((n, n), np.float32)
         for _, dense in chunks():
             gram += dense @ dense.T
-        strength, left = np.linalg.eigh(gram.astype(np.float64)) if n else (np.zeros(0), np.zeros((0, 0)))
-        keep = np.array([i for i in np.argsort(-strength)[:rank] if strength[i] > 1e-6], np.int64)
+        strength, left = leading(gram, rank)
+        keep = np.flatnonzero(strength > 1e-6)
         basis = (left[:, keep] / np.sqrt(strength[keep])).astype(np.float32)
         self.projection = np.zeros((DIMS, len(keep)), np.float32)
         for lo, dense in chunks():
