@@ -11,7 +11,7 @@ input. Steps, all DataFrame functions:
    word of their prefixes, their rarest words (prefix filter).
 3. Star join: a line meets the earliest lines that share one of ``STARS`` MinHash values of its prefix,
    one from each of ``CENTRES`` parts of the corpus, and is compared with the likeliest of them. In a
-   family of many similar lines nearly all are similar to that one, so a family costs as many pairs as it has lines.
+   family of many similar lines nearly all are similar to that one, and step 4 is left with the few that are not.
 4. Lines that are still without an earlier match are posted under all words of their prefixes and meet
    all earlier lines there. Candidates must pass the length filter, the positional filter, which bounds
    the words they can still share by their places in both orders, and a filter on 64 to 256 parity
