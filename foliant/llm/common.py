@@ -43,6 +43,22 @@ def shared_dir(spark: SparkSession) -> str:
     return f"{base.rstrip('/')}/foliant-{uuid.uuid4().hex}"
 
 
+def _located(spark: SparkSession, path: str):
+    found = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return found.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), found
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    """Whether the path exists, in any file system that Spark knows."""
+    system, found = _located(spark, path)
+    return system.exists(found)
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    system, found = _located(spark, path)
+    system.delete(found, True)
+
+
 def stash(df: DataFrame) -> DataFrame:
     """Write ``df`` to the shared folder and read it again: cuts lineage and survives lost executors.
 
