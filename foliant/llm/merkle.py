@@ -11,7 +11,7 @@ block. A block is small whatever the size of its group, and no group or list of
 Places in a group come from sorting by ranges: each task numbers its own rows, and sums of the tasks' counts, a row for
 each task and group, shift them.
 
-Defined cases: null is written as ``-`` and orders first; rows of equal order and digest have interchangeable places; an
+Defined cases: null, as a field or a leaf's digest, is written as ``-`` and orders first; rows of equal order and digest have interchangeable places; an
 empty table has no rows and no root; other columns are carried along, whatever their names.
 """
 
@@ -115,7 +115,7 @@ def manifest(leaves: DataFrame, *, group: str, order: list[str], leaf: str = "le
 
     ``leaves`` are small rows: digests and keys, not texts.
     """
-    inner = leaves.select(F.struct(*leaves.columns).alias("carried"), F.col(group).alias("grp"), *(F.col(c).alias(f"key{i}") for i, c in enumerate(order)), F.col(leaf).alias("digest"))
+    inner = leaves.select(F.struct(*leaves.columns).alias("carried"), F.col(group).alias("grp"), *(F.col(c).alias(f"key{i}") for i, c in enumerate(order)), F.coalesce(F.col(leaf), F.lit("-")).alias("digest"))
     rows = stash(placed(inner, [f"key{i}" for i in range(len(order))] + ["digest"]))
     below = stash(climb(rows, height))
     tops = below.where("pos = 0").select(F.col("grp").alias("key"), F.lit(0).alias("grp"), F.col("root").alias("digest"))

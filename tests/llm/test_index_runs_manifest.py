@@ -243,4 +243,4 @@ def test_merkle_manifest_of_few_rows(spark, docs, tmp_path):
     leaves = docs.withColumns({"leaf": F.sha2("text", 256), "grp": F.lit(1), "pos": F.lit(2)})
     found = merkle.manifest(leaves, group="lang", order=["doc_id"])
     assert found.columns == [*leaves.columns, "subroot", "root", "path"] and found.count() == docs.count()
-    assert found.where(merkle.fold(F.col("leaf"), F.col("path")) != F.col("root")).count() == 0
+    assert found.where(merkle.fold(F.coalesce("leaf", F.lit("-")), F.col("path")) != F.col("root")).count() == 0
