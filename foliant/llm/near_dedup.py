@@ -68,6 +68,7 @@ def matches_for(threshold: int) -> int:
 def shingle_sets(texts: list[bytes | None]) -> list[np.ndarray]:
     """Sorted 64-bit hashes of the distinct shingles of each text."""
     hashes, _, starts = hash_words(texts, fold=True)
+    hashes = hashes[0]
     total = np.zeros(len(hashes), np.uint64)
     for i in range(min(SHINGLE, len(hashes))):
         total[: len(hashes) - i] += hashes[i:] * PLACES[i]
@@ -260,10 +261,9 @@ def classified(docs: DataFrame, doc_id: str, text: str, threshold: int, matches:
     """Per row: doc_id, d (id as number), h (hash of the text), n (size of the set), comp (smallest id of the component)."""
     named = docs.select(F.col(doc_id).alias("doc_id"), id_order(doc_id).alias("d"), F.xxhash64(text).alias("h"), F.col(text).alias("text"))
     sketched = stash(named.select("doc_id", "d", "h", sketch_udf()("text").alias("k")).select("doc_id", "d", "h", "k.*"))
-    # a class is known by its first checksum, its representative by id and text
-    reps = stash(
-        sketched.where("n > 0").groupBy("n", "sum1", "sum2").agg(F.min(F.struct("d", "h")).alias("r"), F.first("signature").alias("signature")).select(F.col("sum1").alias("rep"), "n", "sum1", "sum2", "r.*", "signature")
-    )
+    # a class is a size and two checksums; it gets a number of its own, and its representative is known by id and text
+    classes = sketched.where("n > 0").groupBy("n", "sum1", "sum2").agg(F.min(F.struct("d", "h")).alias("r"), F.first("signature").alias("signature"))
+    reps = stash(classes.select(F.monotonically_increasing_id().alias("rep"), "n", "sum1", "sum2", "r.*", "signature"))
     lists = stash(postings(reps, matches))
     sigs, texts = reps.select("rep", "signature"), named.select("d", "h", "text")
 

@@ -38,7 +38,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from foliant.llm.common import fresh, id_order, stash, table
-from foliant.llm.word_hash import Powers, U, hash_words, mix
+from foliant.llm.word_hash import U, hash_words, mix
 
 WINDOW = 20
 ROUNDS = 2
@@ -46,6 +46,23 @@ ROUNDS = 2
 BATCH = 2 << 20
 
 BASES = (U(0x9E3779B97F4A7C15), U(0xD1B54A32D192ED03))
+
+
+class Powers:
+    """Powers of a base and of its inverse, as far as they were needed."""
+
+    def __init__(self, base: np.uint64, inverse: np.uint64):
+        self.base, self.inverse = base, inverse
+        self.up = self.down = np.zeros(0, U)
+
+    def to(self, n: int) -> tuple[np.ndarray, np.ndarray]:
+        if len(self.up) < n:
+            size = max(n, 1 << 16)
+            self.up = np.cumprod(np.concatenate([[U(1)], np.full(size - 1, self.base)]))
+            self.down = np.cumprod(np.concatenate([[U(1)], np.full(size - 1, self.inverse)]))
+        return self.up[:n], self.down[:n]
+
+
 POWERS = [Powers(b, U(pow(int(b), -1, 2**64))) for b in BASES]
 
 
@@ -53,16 +70,20 @@ class Batch:
     """Word hashes of several documents in one array."""
 
     def __init__(self, texts: list[bytes | None]):
-        self.hashes, self.weights, self.starts = hash_words(texts)
-        self.n = len(self.hashes)
+        hashes, self.weights, self.starts = hash_words(texts)
+        self.hashes, self.n = hashes[0], len(hashes[0])
         self.doc = np.repeat(np.arange(len(texts)), np.diff(self.starts))
         self.powers = [p.to(self.n + 1) for p in POWERS]
-        self.sums = [np.concatenate([[U(0)], np.cumsum(mix(self.hashes + U(i)) * self.powers[i][0][:-1])]) for i in range(2)]
+        self.sums = [np.concatenate([[U(0)], np.cumsum(hashes[i] * self.powers[i][0][:-1])]) for i in range(2)]
         at = np.arange(self.n)
         self.windows = at[at + WINDOW <= self.starts[1:][self.doc]] if self.n else at
 
     def checksum(self, start: np.ndarray, end: np.ndarray, which: int = 0) -> np.ndarray:
-        """Of the words from start to end, wherever they stand."""
+        """Of the words from start to end, wherever they stand. Both halves have their own hashes of words.
+
+        A sum of powers tells apart stretches of segments and windows, fewer than 2 * WINDOW words; only stretches of
+        thousands of words can be made to agree for every base.
+        """
         return mix((self.sums[which][end] - self.sums[which][start]) * self.powers[which][1][start] + (end - start).astype(U))
 
     def symbols(self) -> tuple[np.ndarray, ...]:
@@ -117,7 +138,7 @@ class Batch:
         first = np.flatnonzero(cut)
         count = np.diff(np.concatenate([first, [len(p)]]))
         start = p[first]
-        check = self.checksum(start, start + count - 1 + WINDOW)
+        check = mix(self.checksum(start, start + count - 1 + WINDOW) ^ mix(self.checksum(start, start + count - 1 + WINDOW, 1)))
         own = anchor[first]
         return np.where(own >= 0, name[np.maximum(own, 0)], check), check, start, count
 
@@ -142,8 +163,8 @@ def batches(rows: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, Ba
             yield record.slice(i, j - i), Batch(texts[i:j])
 
 
-def keys(record: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
-    return record["d"].to_numpy(zero_copy_only=False), record["h"].to_numpy(zero_copy_only=False).astype(np.int32)
+def keys(record: pa.RecordBatch, doc: np.ndarray) -> list[pa.Array]:
+    return [record[c].take(pa.array(doc)) for c in ("d", "h")]
 
 
 def segment_rows(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -151,9 +172,8 @@ def segment_rows(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for record, batch in batches(rows):
         anchor, check, start, count = batch.segments()
         doc = batch.doc[start] if len(start) else np.zeros(0, np.int64)
-        d, h = keys(record)
         yield pa.RecordBatch.from_arrays(
-            [pa.array(anchor.view(np.int64)), pa.array(check.view(np.int64)), pa.array(d[doc]), pa.array(h[doc]), pa.array((start - batch.starts[doc]).astype(np.int32)), pa.array(count.astype(np.int32))],
+            [pa.array(anchor.view(np.int64)), pa.array(check.view(np.int64)), *keys(record, doc), pa.array((start - batch.starts[doc]).astype(np.int32)), pa.array(count.astype(np.int32))],
             names=["anchor", "check", "d", "h", "start", "n"],
         )
 
@@ -164,9 +184,8 @@ def window_rows(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at = [np.arange(x["start"], x["start"] + x["n"]) + batch.starts[i] for i, spans in enumerate(record["open"].to_pylist()) for x in spans]
         at = np.concatenate(at) if at else np.zeros(0, np.int64)
         doc = batch.doc[at]
-        d, h = keys(record)
         sums = [pa.array(batch.checksum(at, at + WINDOW, i).view(np.int64)) for i in (0, 1)]
-        yield pa.RecordBatch.from_arrays([*sums, pa.array(d[doc]), pa.array(h[doc]), pa.array((at - batch.starts[doc]).astype(np.int32))], names=["w1", "w2", "d", "h", "start"])
+        yield pa.RecordBatch.from_arrays([*sums, *keys(record, doc), pa.array((at - batch.starts[doc]).astype(np.int32))], names=["w1", "w2", "d", "h", "start"])
 
 
 def repeats(batch: Batch) -> np.ndarray:
@@ -213,14 +232,14 @@ def dedup_passages(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text
     """The ``carry`` columns (default: all) with a struct (n_words, n_removed, kept text) in a new column; returns its name too."""
     out = fresh(docs, out)
     repeated_ids = not docs.groupBy(doc_id).count().where("count > 1").isEmpty()
-    h = F.hash(text) if repeated_ids else F.lit(0)  # tells texts of one id apart
+    h = F.coalesce(F.sha2(F.col(text).cast("binary"), 256), F.lit("")) if repeated_ids else F.lit("")  # tells texts of one id apart
     named = docs.select(id_order(doc_id).alias("d"), h.alias("h"), F.col(text).alias("text")).where(F.col("text").isNotNull())
-    segments = named.mapInArrow(segment_rows, "anchor long, check long, d long, h int, start int, n int")
+    segments = named.mapInArrow(segment_rows, "anchor long, check long, d long, h string, start int, n int")
     anchors = segments.groupBy("anchor").agg(F.min("d").alias("first"), F.max("d").alias("last"), F.min("check").alias("low"), F.max("check").alias("high")).where("first < last").drop("last")
     shared = segments.join(anchors, "anchor").select("d", "h", "start", "n", (F.col("low") < F.col("high")).alias("open"), (F.col("d") > F.col("first")).alias("later")).where("open or later")
     at = F.struct("start", "n")
     marks = stash(shared.groupBy("d", "h").agg(F.collect_list(F.when(~F.col("open"), at)).alias("gone"), F.collect_list(F.when(F.col("open"), at)).alias("open")))
-    windows = named.join(marks.where(F.size("open") > 0).select("d", "h", "open"), ["d", "h"]).select("d", "h", "open", "text").mapInArrow(window_rows, "w1 long, w2 long, d long, h int, start int")
+    windows = named.join(marks.where(F.size("open") > 0).select("d", "h", "open"), ["d", "h"]).select("d", "h", "open", "text").mapInArrow(window_rows, "w1 long, w2 long, d long, h string, start int")
     earliest = windows.groupBy("w1", "w2").agg(F.min("d").alias("first"), F.max("d").alias("last")).where("first < last").drop("last")
     starts = stash(windows.join(earliest, ["w1", "w2"]).where("d > first").groupBy("d", "h").agg(F.collect_list("start").alias("starts")))
     known = marks.select("d", "h", "gone").join(starts, ["d", "h"], "full")

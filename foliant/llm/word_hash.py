@@ -1,20 +1,19 @@
-"""64-bit hashes of all words of several texts at once, as array operations over their bytes.
+"""64-bit hashes of all words of several texts at once.
 
-A word is a maximal run of bytes other than ASCII white space. Its hash is a polynomial of its bytes
-modulo 2**64 with an odd base, taken from one running sum over all texts, then scattered.
+A word is a maximal run of bytes other than ASCII white space. Arrow splits the texts and numbers the distinct words;
+each distinct word is hashed once, by XXH3 with 128 bits. That is no polynomial of the bytes: words get different hashes
+however long and however alike they are.
 """
 
 from __future__ import annotations
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+import xxhash
 
 U = np.uint64
-_random = np.random.default_rng(64)
-BYTE_VALUES = _random.integers(0, 2**64, 256, U)
-WHITE = np.array([b in b" \t\n\r\x0b\x0c" for b in range(256)])
 LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
-BASE = U(0x9E3779B97F4A7C17)
-INVERSE = U(pow(int(BASE), -1, 2**64))
 
 
 def mix(h: np.ndarray) -> np.ndarray:
@@ -24,36 +23,19 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> U(31))
 
 
-class Powers:
-    """Powers of a base and of its inverse, as far as they were needed."""
-
-    def __init__(self, base: np.uint64, inverse: np.uint64):
-        self.base, self.inverse = base, inverse
-        self.up = self.down = np.zeros(0, U)
-
-    def to(self, n: int) -> tuple[np.ndarray, np.ndarray]:
-        if len(self.up) < n:
-            size = max(n, 1 << 16)
-            self.up = np.cumprod(np.concatenate([[U(1)], np.full(size - 1, self.base)]))
-            self.down = np.cumprod(np.concatenate([[U(1)], np.full(size - 1, self.inverse)]))
-        return self.up[:n], self.down[:n]
-
-
-_POWERS = Powers(BASE, INVERSE)
-
-
 def hash_words(texts: list[bytes | None], fold: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Hashes and byte lengths of all words in order, and where each text's words start (one more than texts)."""
-    joined = b" ".join([t or b"" for t in texts])
-    data = np.frombuffer(joined.translate(LOWER) if fold else joined, np.uint8)
-    if not len(data):
-        return np.zeros(0, U), np.zeros(0, np.int64), np.zeros(len(texts) + 1, np.int64)
-    solid = np.concatenate([[False], ~WHITE[data], [False]])
-    change = np.flatnonzero(solid[1:] != solid[:-1])
-    starts, ends = change[::2], change[1::2]
-    up, down = _POWERS.to(len(data) + 1)
-    sums = np.concatenate([[U(0)], np.cumsum(BYTE_VALUES[data] * up[:-1])])
-    lengths = ends - starts
-    hashes = mix((sums[ends] - sums[starts]) * down[starts] + lengths.astype(U))
-    bounds = np.cumsum([0, *[len(t or b"") + 1 for t in texts]])
-    return hashes, lengths, np.searchsorted(starts, bounds)
+    """Two independent hashes (rows) and the byte lengths of all words in order, and where each text's words start (one more than texts)."""
+    raw = [(t.translate(LOWER) if fold else t) if t else b"" for t in texts]
+    split = pc.ascii_split_whitespace(pa.array(raw, pa.large_binary()).view(pa.large_string()))
+    words = split.flatten().view(pa.large_binary())
+    lengths = pc.binary_length(words).to_numpy(zero_copy_only=False).astype(np.int64)
+    real = lengths > 0  # white space at an end of a text leaves an empty word
+    before = np.concatenate([[0], np.cumsum(real)])
+    starts = before[np.concatenate([[0], np.cumsum(pc.list_value_length(split).to_numpy(zero_copy_only=False))]).astype(np.int64)]
+    numbered = words.filter(pa.array(real)).dictionary_encode()
+    distinct = numbered.dictionary
+    ends = np.cumsum(pc.binary_length(distinct).to_numpy(zero_copy_only=False)).tolist()
+    data = distinct.buffers()[2].to_pybytes() if ends else b""
+    digests = b"".join([xxhash.xxh3_128_digest(data[a:b]) for a, b in zip([0, *ends], ends)])
+    table = np.frombuffer(digests, "<u8").reshape(-1, 2)
+    return table[numbered.indices.to_numpy()].T.astype(U), lengths[real], starts
