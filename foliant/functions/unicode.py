@@ -13,7 +13,7 @@ import regex
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from foliant.functions.text import CELL, MARKS, PUNCTUATION, STATUS_SIGNS
+from foliant.functions.text import CELL, MARKS, PUNCTUATION, STATUS_SIGNS, normalize_latin
 
 PICTOGRAPH = regex.compile(r"\p{Extended_Pictographic}")
 INVISIBLE = regex.compile(r"[\p{Cc}\p{Mn}\p{Me}\p{Cs}]")
@@ -81,6 +81,17 @@ def normalize_udf(printable: frozenset[str] = frozenset()):
     return run
 
 
+#: Characters that the native path does not know.
+FOREIGN = f"[^\\x{{0}}-\\x{{FF}}\\x{{2500}}-\\x{{257F}}{CELL}{''.join([*PUNCTUATION, *STATUS_SIGNS])}]"
+
+
+def normalize_routed(text: Column, printable: frozenset[str] = frozenset()) -> Column:
+    """Normalized text of any script: native for texts that it knows all characters of; only the others travel to Python."""
+    foreign = text.rlike(FOREIGN)
+    resolved = normalize_udf(printable).asNondeterministic()  # so that the optimizer does not copy the call into every use of the text
+    return F.when(foreign, resolved(F.when(foreign, text))["text"]).otherwise(normalize_latin(text))
+
+
 def renders_safely(stats: Column) -> Column:
     """At most a twentieth of the visible characters is lost."""
     return F.when(stats["visible"] > 0, 20 * stats["lost"] <= stats["visible"]).otherwise(F.lit(True))

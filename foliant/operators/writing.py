@@ -10,7 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from foliant.functions.text import CELL, DIM_OFF, DIM_ON, SECTION_TAGS, elide_data_urls, normalize_latin, plain_text, strip_thinking
+from foliant.functions.text import CELL, DIM_OFF, DIM_ON, SECTION_TAGS, elide_data_urls, plain_text, strip_thinking
+from foliant.functions.unicode import normalize_routed
 from foliant.operators import archive, layout
 
 FRAME = "struct<data:string,file:string,mime_type:string,cols:int,rows:int,chars:bigint>"
@@ -70,7 +71,7 @@ def shape_for_text(shape: Column, chosen: Column, safe: Column, wide_safe: Colum
     return F.when(~chosen & needs, wide).otherwise(shape)
 
 
-def joined(requests: DataFrame, thinking: bool = True) -> DataFrame:
+def joined(requests: DataFrame, thinking: bool = True, printable: frozenset[str] = frozenset()) -> DataFrame:
     """``requests`` (conv_id, text, summary, previous: archive or null) with ``archive_text``, ``digest`` and ``lost``, the characters lost so far.
 
     The archive text so far is healed of cut data URLs, and of thoughts where they are left out; a summary
@@ -79,12 +80,13 @@ def joined(requests: DataFrame, thinking: bool = True) -> DataFrame:
     old = source_text(F.col("previous.text"), F.col("previous.text_head"), F.col("previous.text_tail"))
     staged = requests.withColumn("old", elide_data_urls(F.coalesce(old, F.lit("")), every=True))
     staged = staged if thinking else staged.withColumn("old", strip_thinking(F.col("old")))
-    staged = staged.withColumn("new", normalize_latin(F.coalesce("text", F.lit(""))))
+    staged = staged.withColumn("new", normalize_routed(F.coalesce("text", F.lit("")), printable)).withColumn("told", normalize_routed(F.coalesce("summary", F.lit("")), printable))
     digest = (F.col("old") == "") & (F.coalesce("summary", F.lit("")) != "")
-    summed = F.concat(F.lit("[Digest of earlier history] "), normalize_latin(F.coalesce("summary", F.lit(""))))
+    summed = F.concat(F.lit("[Digest of earlier history] "), F.col("told"))
     gap = lambda a, b, by: F.concat(a, F.when((a != "") & (b != ""), by).otherwise(""), b)
     whole = F.when(digest, gap(summed, F.col("new"), " [Recent conversation] ")).otherwise(gap(F.col("old"), F.col("new"), CELL))
-    return staged.withColumn("archive_text", elide_data_urls(whole)).withColumn("digest", digest).withColumn("lost", F.coalesce("previous.truncated_chars", F.lit(0)).cast("long")).drop("old", "new")
+    staged = staged.withColumn("archive_text", whole).withColumn("archive_text", elide_data_urls(F.col("archive_text")))
+    return staged.withColumn("digest", digest).withColumn("lost", F.coalesce("previous.truncated_chars", F.lit(0)).cast("long")).drop("old", "new", "told")
 
 
 def open_after(text: Column, was: Column) -> Column:
@@ -94,18 +96,18 @@ def open_after(text: Column, was: Column) -> Column:
     return F.when(has_on & (~has_off | (on > off)), F.lit(True)).when(has_off, F.lit(False)).otherwise(was)
 
 
-def compact(requests: DataFrame, *, high: tuple[int, int], low: tuple[int, int], most: int, shape: str, thinking: bool = True, prefix: str = archive.DIR_PREFIX) -> DataFrame:
+def compact(requests: DataFrame, *, high: tuple[int, int], low: tuple[int, int], most: int, shape: str, thinking: bool = True, prefix: str = archive.DIR_PREFIX, wide: bool = False, printable: frozenset[str] = frozenset()) -> DataFrame:
     """Archives of ``requests`` (conv_id, first_kept, text, summary, previous, files).
 
-    ``high`` and ``low``: columns and rows of the pages of the two tiers; ``most``: the page budget.
+    ``high`` and ``low``: columns and rows of the pages of the two tiers; ``most``: the page budget; ``wide``: whether
+    some characters take two cells; ``printable``: the characters beyond Latin-1 that the font has.
     Returns the archives' columns with ``first_kept``, ``pages`` (tier, text as painted) and ``summary``. A
     request without ``first_kept`` fails the job.
     """
     known = requests.withColumn("first_kept", F.when(F.col("first_kept").isNotNull(), F.col("first_kept")).otherwise(F.raise_error(F.lit("first_kept is missing"))))
-    texts = joined(known, thinking)
-    planned = layout.plan(texts.select("conv_id", F.col("archive_text").alias("text")), high[0] * high[1], low[0] * low[1], most)
+    texts = joined(known, thinking, printable)
+    laid = layout.plan(texts.select("conv_id", "first_kept", "digest", "lost", "files", F.col("archive_text").alias("text")), high[0] * high[1], low[0] * low[1], most, (high[0], low[0]) if wide else None)
     kept = F.concat(F.col("head"), F.array_join(F.transform("pages", lambda p: p["text"]), ""), F.col("tail"))
-    laid = texts.select("conv_id", "first_kept", "digest", "lost", "files").join(planned, "conv_id")
     # the open dim span is carried through the pages in one fold
     step = "struct<open:boolean,out:array<struct<tier:string,text:string>>>"
     start = F.struct(open_after(F.col("head"), F.lit(False)).alias("open"), F.array().cast("array<struct<tier:string,text:string>>").alias("out")).cast(step)

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from foliant.functions import cells, shapes
 from foliant.functions import text as T
 from foliant.operators import archive, blocks, context, files, layout, transcript, writing
-from foliant.session import importable, scratch
+from foliant.session import importable, scratch, shared
 from foliant.sources import frames as frame_files_of
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -438,6 +438,59 @@ def plan_doc(t):
     return layout.plan_two_columns(paged, 9)
 
 
+#: Two thirds of the conversations with ideographs for some letters, half of these with ink marks too; grids of odd widths, so that wide characters meet the last column.
+MADE_WIDE = "CASE conv_id % 3 WHEN 0 THEN text WHEN 1 THEN translate(text, 'ae', '界語') ELSE replace(replace(translate(text, 'ae', '界語'), 'n', chr(14) || 'n'), 't', chr(15) || 't') END"
+FINE, DENSE = (17, 9), (21, 10)
+
+
+def page_starts(text: str, grid: tuple[int, int]) -> str:
+    """SQL of the places where pages of ``grid`` cells start: a fold over the characters."""
+    cols, cap = grid[0], grid[0] * grid[1]
+    none = "CAST([] AS BIGINT[])"
+    state = lambda i, cursor, starts: f"{{'i': CAST({i} AS BIGINT), 'cursor': CAST({cursor} AS BIGINT), 'starts': {starts}}}"
+    width = "CASE WHEN c = '' OR c = chr(14) OR c = chr(15) THEN 0 WHEN c = '界' OR c = '語' THEN 2 ELSE 1 END"
+    pad = f"CASE WHEN x.i = 2 AND a.cursor % {cols} = {cols - 1} THEN 1 ELSE 0 END"
+    return (
+        f"list_reduce(list_prepend({state(0, 0, none)}, list_transform(string_split({text}, ''), lambda c: {state(width, 0, none)})), lambda a, x: "
+        f"CASE WHEN x.i = 0 THEN {state('a.i + 1', 'a.cursor', 'a.starts')} WHEN a.cursor = 0 THEN {state('a.i + 1', 'x.i', '[CAST(1 AS BIGINT)]')} "
+        f"WHEN a.cursor + {pad} + x.i > {cap} THEN {state('a.i + 1', 'x.i', 'list_append(a.starts, a.i + 1)')} ELSE {state('a.i + 1', f'a.cursor + {pad} + x.i', 'a.starts')} END).starts"
+    )
+
+
+def wide_plan(normal: str, most: int) -> str:
+    """SQL that plans ``normal`` (conv_id, text) by cells: t with head, tail, fine, dense, gone and pages."""
+    cap, edge = FINE[0] * FINE[1], min(layout.EDGE_PAGES, max(0, (most - 1) // 2))
+    cut = lambda text, starts: f"list_transform(range(1, len({starts}) + 1), lambda i: substring({text}, {starts}[i], coalesce({starts}[i + 1], length({text}) + 1) - {starts}[i]))"
+    tier = lambda pages, name: f"list_transform({pages}, lambda p: {{'tier': '{name}', 'text': p}})"
+    return f"""normal AS ({normal}),
+e AS (SELECT *, length(text) AS n_chars, CASE WHEN length(text) <= {2 * cap} THEN text ELSE left(text, {cap}) END AS head, CASE WHEN length(text) <= {2 * cap} THEN '' ELSE right(text, {cap}) END AS tail, CASE WHEN length(text) <= {2 * cap} THEN '' ELSE substring(text, {cap + 1}, length(text) - {2 * cap}) END AS middle FROM normal),
+f AS (SELECT *, {page_starts('middle', FINE)} AS fs FROM e),
+o AS (SELECT *, {cut('middle', 'fs')} AS hi, len(fs) AS fine, len(fs) > {most} AS over FROM f),
+m AS (SELECT *, CASE WHEN over THEN substring(middle, fs[{edge + 1}], fs[fine - {edge} + 1] - fs[{edge + 1}]) ELSE '' END AS inner_text FROM o),
+k AS (SELECT *, {page_starts('inner_text', DENSE)} AS ds FROM m),
+l AS (SELECT *, {cut('inner_text', 'ds')} AS lo, len(ds) AS dense, CASE WHEN over THEN greatest(0, len(ds) - {most - 2 * edge}) ELSE 0 END AS gone FROM k),
+t AS (SELECT *, CASE WHEN gone > 0 THEN coalesce(ds[gone + 1] - 1, length(inner_text)) ELSE 0 END AS dropped,
+  CASE WHEN over THEN list_concat(list_concat({tier(f'hi[1:{edge}]', 'high')}, {tier('lo[gone + 1:]', 'low')}), {tier(f'hi[fine - {edge} + 1:]', 'high')}) ELSE {tier('hi', 'high')} END AS pages FROM l)"""
+
+
+def made_wide(text: Column) -> Column:
+    wide = F.translate(text, "ae", "界語")
+    marked = F.replace(F.replace(wide, F.lit("n"), F.lit(T.DIM_ON + "n")), F.lit("t"), F.lit(T.DIM_OFF + "t"))
+    return F.when(F.col("conv_id") % 3 == 0, text).when(F.col("conv_id") % 3 == 1, wide).otherwise(marked)
+
+
+@query(
+    f"WITH {NORMAL.replace('normal AS', 'latin AS')}, {wide_plan(f'SELECT conv_id, {MADE_WIDE} AS text FROM latin', MOST)} "
+    "SELECT conv_id, CAST(i AS BIGINT) AS page_no, CAST(len(pages) AS BIGINT) AS pages, pages[i].tier AS tier, pages[i].text AS text, CAST(dropped AS BIGINT) AS truncated FROM (SELECT *, unnest(range(1, len(pages) + 1)) AS i FROM t)"
+)
+def plan_any_width(t):
+    """Pages of both tiers over texts with ideographs and ink marks."""
+    texts = normal(t).select("conv_id", made_wide(F.col("text")).alias("text"))
+    plans = layout.plan(texts, FINE[0] * FINE[1], DENSE[0] * DENSE[1], MOST, (FINE[0], DENSE[0]))
+    rows = plans.select("conv_id", "truncated", F.size("pages").cast("long").alias("n"), F.posexplode("pages").alias("i", "p"))
+    return rows.select("conv_id", (F.col("i") + 1).cast("long").alias("page_no"), F.col("n").alias("pages"), "p.tier", "p.text", "truncated")
+
+
 # --- Archives ------------------------------------------------------------------------------------------------
 
 DIRS = "'archive-frames-' || CASE doc_id % 4 WHEN 0 THEN '../x' WHEN 1 THEN '' ELSE CAST(doc_id AS VARCHAR) END"
@@ -630,6 +683,19 @@ def archive_write(t):
     return written(t).select("conv_id", "first_kept", F.size("frames").alias("n_frames"), "total_chars", "truncated_chars", "text_head", "text_tail", writing.distinct_cols(F.col("frames")).alias("cols"), header.alias("header"))
 
 
+@query(
+    f"WITH {NORMAL.replace('normal AS', 'latin AS')}, " + wide_plan(f"SELECT conv_id, {BEFORE} || translate({MADE_WIDE}, 'z' || chr(14) || chr(15), 'o') AS text FROM latin", MOST)
+    + " SELECT conv_id, len(pages) AS n_frames, head AS text_head, tail AS text_tail, CAST(n_chars - dropped AS BIGINT) AS total_chars, CAST(dropped + CASE conv_id % 3 WHEN 1 THEN 5 ELSE 0 END AS BIGINT) AS truncated_chars, array_to_string(list_transform(pages, lambda p: p.text), '|') AS painted, "
+    "CASE WHEN len(pages) = 0 THEN '' WHEN over AND dense > gone THEN '17 or 21' ELSE '17' END AS cols FROM t"
+)
+def archive_write_any_script(t):
+    """The write side over texts with ideographs that the font has and letters that fold to Latin ones."""
+    asked = requests(t).withColumn("text", F.translate(F.translate(made_wide(F.col("text")), T.MARKS, ""), "z", "ő"))
+    made = writing.compact(asked, high=FINE, low=DENSE, most=MOST, shape="plain", wide=True, printable=frozenset("界語"))
+    painted = F.array_join(F.transform("pages", lambda p: p["text"]), "|")
+    return made.select("conv_id", F.size("frames").cast("long").alias("n_frames"), "text_head", "text_tail", "total_chars", "truncated_chars", painted.alias("painted"), writing.distinct_cols(F.col("frames")).alias("cols"))
+
+
 SIGNED_FRAMES = (
     ARCHIVES
     + """, v AS (
@@ -753,12 +819,47 @@ def recompact_fold(t):
     return previous.select("conv_id", F.lit(ROUNDS).cast("long").alias("rounds"), "previous.text", F.col("previous.truncated_chars").alias("truncated"))
 
 
-@query()
+@query(refolded())
 def recompact_state(t):
-    """The same rounds as keyed state in Python, the form that the stream uses; texts are folded as they come."""
+    """The same rounds as a stream over files: one trigger a round, the archives so far as state in RocksDB."""
     from foliant.streaming import refold
 
-    return refold.refold(rounds_of(t), HIGH, LOW, MOST)
+    rounds = rounds_of(t).withColumn("text", T.normalize_latin(F.col("text")))
+    spark = rounds.sparkSession
+    root = shared(spark, "refold")
+    everyone = rounds.select("conv_id").distinct()
+    for i in range(ROUNDS):  # a round in which a conversation says nothing counts too
+        everyone.join(rounds.where(F.col("round") == i), "conv_id", "left").select("conv_id", F.lit(i).alias("round"), "text").write.mode("append").parquet(f"{root}/in")
+        refold.follow(spark, spark.readStream.schema("conv_id long, round int, text string").parquet(f"{root}/in"), root, HIGH, LOW, MOST)
+    return refold.latest_states(spark, root)
+
+
+@query(
+    """WITH e AS (SELECT user_id AS conv_id, CAST(CAST(ts AS DATE) - DATE '1970-01-01' AS INTEGER) AS ts, event_id AS seq, event_id % 3 AS batch FROM events WHERE event_id % 5 > 0),
+    last AS (SELECT conv_id, ts, arg_max(seq, batch * 1000000000000 + seq) AS seq FROM e GROUP BY conv_id, ts),
+    refused AS (SELECT user_id AS conv_id, count(*) AS n FROM events WHERE event_id % 5 = 0 GROUP BY user_id)
+    SELECT conv_id, ts, seq, 'archive-frames-' || seq AS frames_dir, ts = max(ts) OVER (PARTITION BY conv_id) AS live, CAST(coalesce(n, 0) AS BIGINT) AS rejected FROM last LEFT JOIN refused USING (conv_id)"""
+)
+def archive_index(t):
+    """The index after a stream of three batches, one of them delivered twice; every fifth archive was changed after signing."""
+    from foliant.streaming.index import ArchiveIndex
+
+    events = t("events")
+    n, spark = F.col("event_id"), events.sparkSession
+    made = events.select(
+        F.col("user_id").alias("conv_id"), F.unix_date(F.to_date("ts")).alias("ts"), n.alias("seq"), F.lit("lead").alias("lead_in"), F.concat(F.lit(archive.DIR_PREFIX), n.cast("string")).alias("frames_dir"),
+        F.array().cast(f"array<{writing.FRAME}>").alias("frames"), n.alias("total_chars"), F.lit(0).cast("long").alias("truncated_chars"), F.col("event_type").alias("text"), F.lit("").alias("text_head"), F.lit("").alias("text_tail"), F.lit("").alias("mac"),
+    )
+    valid = archive.validate(made)
+    signed = valid.withColumn("mac", archive.hmac_sha256(archive.canonical(valid.drop("ts", "seq")), KEY)).withColumn("total_chars", F.when(F.col("seq") % 5 == 0, F.col("total_chars") + 1).otherwise(F.col("total_chars")))
+    root = shared(spark, "index")
+    index = ArchiveIndex(spark, f"{root}/entries", KEY)
+    for i in range(3):
+        signed.where(F.col("seq") % 3 == i).write.mode("append").parquet(f"{root}/in")
+        index.follow(spark.readStream.schema(signed.schema).parquet(f"{root}/in"), f"{root}/checkpoint").awaitTermination()
+    index.upsert(signed.where(F.col("seq") % 3 == 1), 1)  # as after a restart
+    live = index.live().select("frames_dir", F.lit(True).alias("live"))
+    return index.entries().join(live, "frames_dir", "left").join(index.rejected(), "conv_id").select("conv_id", "ts", "seq", "frames_dir", F.coalesce("live", F.lit(False)).alias("live"), "rejected")
 
 
 @query(f"WITH {PAGES} SELECT conv_id, CAST(page_no AS BIGINT) AS page_no, CAST((1 + ceil(least(length(text), 160) / 16)) * 16 AS INTEGER) AS height, CAST(least(length(text), 160) AS BIGINT) AS chars, true AS named FROM pages")

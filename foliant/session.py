@@ -34,3 +34,25 @@ def scratch(spark: SparkSession, name: str) -> str:
             raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         base = tempfile.mkdtemp(prefix="foliant-")
     return f"{base.removeprefix('file://').rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+def _located(spark: SparkSession, path: str):
+    found = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return found.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), found
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    """Whether the path exists, in any file system that Spark knows."""
+    system, found = _located(spark, path)
+    return system.exists(found)
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    system, found = _located(spark, path)
+    system.delete(found, True)
+
+
+def shared(spark: SparkSession, name: str) -> str:
+    """Like ``scratch``, as a path that Spark's readers and writers take (with its scheme)."""
+    base = spark.conf.get("spark.checkpoint.dir", None) or ""
+    return scratch(spark, name) if "://" not in base or base.startswith("file://") else f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"

@@ -1,9 +1,12 @@
 """Repeated archiving as keyed state.
 
-Each conversation's state is its archive text so far and how much it lost. A new transcript is put
-behind the old text, laid out under the page budget, and what the layout keeps is the next state, so
-loss adds up over rounds. ``refold_stream`` is the structured streaming form, ``refold`` the fold of an
-ordered batch; both use ``fold``.
+Each conversation's state is its archive text so far and how much it lost. A new round's text is put behind the old
+text, laid out under the page budget, and what the layout keeps is the next state, so loss adds up over rounds.
+``refold_stream`` keeps the state of a stream in RocksDB, of which a task holds the conversations at hand only;
+``refold`` is the fold of an ordered batch. Both use ``fold``, the layout's arithmetic on one text.
+
+Defined cases: a null text counts as a round and adds nothing; rounds of one trigger are taken in order, those of a later
+trigger behind all earlier ones; a conversation without rounds in a trigger gives no row in it.
 """
 
 from __future__ import annotations
@@ -11,15 +14,16 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from foliant.functions.text import CELL
 from foliant.operators.layout import EDGE_PAGES
 
 OUT = "conv_id long, rounds long, text string, truncated long"
 STATE = "text string, truncated long, rounds long"
+PROVIDER = ("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
 
 
 def keep(text: str, high: int, low: int, most: int) -> tuple[str, int]:
@@ -55,15 +59,48 @@ def refold(rounds: DataFrame, high: int, low: int, most: int) -> DataFrame:
     return rounds.select("conv_id", "round", "text").groupBy("conv_id").applyInPandas(run, OUT)
 
 
+class Refold(StatefulProcessor):
+    """Folds the rounds that a trigger brings to a conversation into its state."""
+
+    def __init__(self, high: int, low: int, most: int):
+        self.page = (high, low, most)
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.archive = handle.getValueState("archive", STATE)
+
+    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues: object) -> Iterator[pd.DataFrame]:
+        text, truncated, n = self.archive.get() if self.archive.exists() else ("", 0, 0)
+        arrived = pd.concat(list(rows)).sort_values("round")
+        for new in arrived["text"]:
+            text, truncated = fold(text, truncated, new or "", *self.page)
+        self.archive.update((text, truncated, n + len(arrived)))
+        yield pd.DataFrame([(key[0], n + len(arrived), text, truncated)], columns=["conv_id", "rounds", "text", "truncated"])
+
+    def close(self) -> None:
+        pass
+
+
 def refold_stream(rounds: DataFrame, high: int, low: int, most: int) -> DataFrame:
     """The same over a stream: a row per conversation for each trigger in which it got rounds."""
+    return rounds.select("conv_id", "round", "text").groupBy(F.col("conv_id")).transformWithStateInPandas(Refold(high, low, most), OUT, "Update", "None")
+
+
+def follow(spark: SparkSession, rounds: DataFrame, root: str, high: int, low: int, most: int) -> None:
+    """Run the stream up to what it holds now; each trigger writes its rows to ``root/states``, a trigger again in place."""
+
+    def commit(states: DataFrame, number: int) -> None:
+        states.write.mode("overwrite").parquet(f"{root}/states/batch={number}")
+
+    before = spark.conf.get(PROVIDER[0])
+    spark.conf.set(*PROVIDER)
+    try:
+        folded = refold_stream(rounds, high, low, most)
+        folded.writeStream.outputMode("update").foreachBatch(commit).option("checkpointLocation", f"{root}/checkpoint").trigger(availableNow=True).start().awaitTermination()
+    finally:
+        spark.conf.set(PROVIDER[0], before)
 
-    def run(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        text, truncated, n = state.get if state.exists else ("", 0, 0)
-        rows = pd.concat(list(batches)).sort_values("round")
-        for new in rows["text"]:
-            text, truncated = fold(text, truncated, new or "", high, low, most)
-        state.update((text, truncated, n + len(rows)))
-        yield pd.DataFrame([(key[0], n + len(rows), text, truncated)], columns=["conv_id", "rounds", "text", "truncated"])
 
-    return rounds.select("conv_id", "round", "text").groupBy(F.col("conv_id")).applyInPandasWithState(run, OUT, STATE, "update", GroupStateTimeout.NoTimeout)
+def latest_states(spark: SparkSession, root: str) -> DataFrame:
+    """(conv_id, rounds, text, truncated) after all triggers."""
+    states = spark.read.option("basePath", f"{root}/states").parquet(f"{root}/states")
+    return states.groupBy("conv_id").agg(F.max_by(F.struct("rounds", "text", "truncated"), "rounds").alias("s")).select("conv_id", "s.*")
