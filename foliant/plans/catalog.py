@@ -601,6 +601,68 @@ def rebuild_blocks(t):
     return archive.blocks(made, 3000)
 
 
+ASKED_BYTES, ESTIMATE = 24_000, 9_000
+MIXED = f"""fr AS (
+  SELECT doc_id // 12 AS conv_id, doc_id % 12 AS pos, doc_id * 7 % 12 AS kind, to_base64(encode(coalesce(text, '') || 'a')) AS file_data, coalesce(text, '') || 'a' AS own_data, row_number() OVER (PARTITION BY doc_id // 12 ORDER BY doc_id DESC) AS k FROM documents),
+cost AS (SELECT *, CASE WHEN kind < 4 THEN length(own_data) ELSE {ESTIMATE} END AS cost, CASE WHEN kind < 4 THEN own_data WHEN kind < 9 THEN file_data END AS data FROM fr),
+slots AS (
+  WITH RECURSIVE f(conv_id, k, used, state) AS (
+    SELECT conv_id, 1, CASE WHEN cost > {ASKED_BYTES} THEN 0 ELSE coalesce(length(data), 0) END, CASE WHEN cost > {ASKED_BYTES} THEN 'omitted' WHEN data IS NULL THEN 'unavailable' ELSE 'kept' END FROM cost WHERE k = 1
+    UNION ALL
+    SELECT f.conv_id, f.k + 1, CASE WHEN f.used + x.cost > {ASKED_BYTES} THEN f.used ELSE f.used + coalesce(length(x.data), 0) END, CASE WHEN f.used + x.cost > {ASKED_BYTES} THEN 'omitted' WHEN x.data IS NULL THEN 'unavailable' ELSE 'kept' END FROM f JOIN cost x ON x.conv_id = f.conv_id AND x.k = f.k + 1
+  ) SELECT x.conv_id, x.pos, f.state, x.cost, x.data FROM f JOIN cost x USING (conv_id, k)
+)"""
+SLOT_BYTES = "CASE state WHEN 'omitted' THEN cost WHEN 'kept' THEN length(data) ELSE 0 END"
+
+
+def mixed_archives(t) -> DataFrame:
+    """A dozen documents as the frames of an archive: some hold their data, some refer to files, some of which are not there. The files are written."""
+    n, body = F.col("doc_id"), F.concat(F.coalesce("text", F.lit("")), F.lit("a"))
+    docs = t("documents").select(F.floor(n / 12).alias("conv_id"), (n % 12).alias("pos"), (n * 7 % 12).alias("kind"), body.alias("body"), F.concat(F.lit(archive.DIR_PREFIX), F.floor(n / 12).cast("string")).alias("frames_dir"))
+    root = scratch(docs.sparkSession, "mixed")
+    stored = docs.where("kind between 4 and 8").select("frames_dir", F.col("body").cast("binary").alias("png"))
+    frame_files_of.write(stored, root).write.format("noop").mode("overwrite").save()
+    frame = F.struct("pos", F.when(F.col("kind") < 4, F.col("body")).alias("data"), F.when(F.col("kind") >= 4, archive.file_name(F.col("body").cast("binary"))).alias("file"))
+    gathered = docs.groupBy("conv_id", "frames_dir").agg(F.array_sort(F.collect_list(frame)).alias("frames"))
+    archives = gathered.select("conv_id", "frames_dir", "frames", F.lit("head").alias("text_head"), F.lit("tail").alias("text_tail"), F.lit(0).alias("truncated_chars"))
+    return frame_files_of.with_slots(archives, root, ASKED_BYTES, ESTIMATE)
+
+
+@query(f"WITH {MIXED} SELECT conv_id, pos, state, CAST({SLOT_BYTES} AS BIGINT) AS bytes, CASE WHEN state = 'kept' THEN sha256(data) END AS sha FROM slots")
+def frame_slots(t):
+    """Admission by an estimate, with actual sizes of the files that were opened."""
+    rows = mixed_archives(t).select("conv_id", F.explode(F.zip_with("frames", "slots", lambda f, s: F.struct(f["pos"].alias("pos"), s.alias("s")))).alias("x"))
+    return rows.select("conv_id", "x.pos", "x.s.state", "x.s.bytes", F.sha2(F.col("x.s.data").cast("binary"), 256).alias("sha"))
+
+
+GONE_NOTE = "'-------------- pages left out here' || chr(10) || n || ' page' || CASE n WHEN 1 THEN '' ELSE 's' END || ' of the archive (' || " + SIZE.format("size") + " || ' of base64) did not fit this request; the text around the pages and the others are here.' || chr(10) || '--------------'"
+
+
+@query(
+    f"""WITH {MIXED},
+g AS (SELECT *, coalesce(sum(CASE WHEN state = 'kept' THEN 1 ELSE 0 END) OVER (PARTITION BY conv_id ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS grp FROM slots),
+r AS (SELECT conv_id, grp, count(*) FILTER (WHERE state = 'unavailable') AS u, count(*) FILTER (WHERE state = 'omitted') AS n, CAST(coalesce(sum(cost) FILTER (WHERE state = 'omitted'), 0) AS BIGINT) AS size, max(data) FILTER (WHERE state = 'kept') AS data,
+  coalesce(arg_max(state, pos) FILTER (WHERE state <> 'kept') = 'unavailable', false) AS ends_missing, bool_or(state = 'kept') AS shown FROM g GROUP BY conv_id, grp),
+body AS (
+  SELECT conv_id, grp, 1 AS part, 'text' AS type, '-------------- one page of the archive is missing here (no file) --------------' AS text, NULL AS data FROM (SELECT *, unnest(range(u - CASE WHEN ends_missing AND shown THEN 1 ELSE 0 END)) AS i FROM r)
+  UNION ALL SELECT conv_id, grp, 2, 'text', {GONE_NOTE}, NULL FROM r WHERE n > 0
+  UNION ALL SELECT conv_id, grp, 3, 'text', '-------------- one page of the archive is missing here (no file) --------------', NULL FROM r WHERE ends_missing AND shown
+  UNION ALL SELECT conv_id, grp, 4, 'image', NULL, data FROM r WHERE shown),
+pics AS (SELECT conv_id, bool_or(shown) AS images, bool_or(u + n > 0) AS gaps FROM r GROUP BY conv_id),
+listed AS (
+  SELECT conv_id, -1 AS grp, 0 AS part, 'text' AS type, '<archived-history>' || chr(10) || 'head' || CASE WHEN images THEN chr(10) || '-------------- pages follow' || chr(10) ELSE '' END AS text, NULL AS data FROM pics
+  UNION ALL SELECT * FROM body),
+lined AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY grp, part) - 1 AS pos, count(*) OVER (PARTITION BY conv_id) - 1 AS final FROM listed),
+ends AS (SELECT conv_id, CASE WHEN images THEN '-------------- pages end' || chr(10) WHEN gaps THEN chr(10) || '-------------- pages left out above' || chr(10) ELSE '' END || 'tail' || chr(10) || '</archived-history>' AS ending FROM pics)
+SELECT conv_id, CAST(pos AS BIGINT) AS pos, type, text || CASE WHEN pos = final THEN ending ELSE '' END AS text, sha256(data) AS sha FROM lined JOIN ends USING (conv_id)
+UNION ALL SELECT conv_id, CAST(pos + 1 AS BIGINT), 'text', ending, NULL FROM lined JOIN ends USING (conv_id) WHERE pos = final AND type = 'image'"""
+)
+def rebuild_mixed(t):
+    """Blocks of archives whose frames are partly kept, partly too large and partly without their file."""
+    made = archive.blocks(mixed_archives(t), ASKED_BYTES)
+    return made.select("conv_id", "pos", "type", "text", F.sha2(F.col("data").cast("binary"), 256).alias("sha"))
+
+
 @query("SELECT DISTINCT ch, unicode(ch) BETWEEN 32 AND 126 OR unicode(ch) BETWEEN 160 AND 255 AS printable FROM (SELECT unnest(string_split(coalesce(text, ''), '')) AS ch FROM documents) WHERE ch <> ''")
 def font_coverage(t):
     """Distinct characters of the documents against the coverage of a Latin-1 font (semi-join as a flag)."""
