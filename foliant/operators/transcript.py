@@ -67,6 +67,20 @@ def shown_results(results: DataFrame, dim: bool = True) -> DataFrame:
     return clean.withColumn("result", F.concat(F.lit("<out>\n" + DIM_ON * dim), body, F.lit(DIM_OFF * dim + "\n</out>")))
 
 
+def arguments(text: Column) -> Column:
+    """Arguments of a call, a JSON object, as an array of (k, v_json) in the order of the text.
+
+    Each value is written as JSON again: nested values keep the order of their keys, white space goes. The value's
+    variant type tells a text from what only looks like it. Text that is no object has no arguments.
+    """
+    raw, typed = F.from_json(text, "map<string,string>"), F.from_json(text, "map<string,variant>")
+    kinds = F.map_values(typed)
+    quoted = lambda v: F.regexp_extract(F.to_json(F.array(v)), r"(?s)\A\[(.*)\]\z", 1)
+    written = lambda e, i: F.when(e["value"].isNull(), "null").when(F.schema_of_variant(kinds[i]) == "STRING", quoted(e["value"])).otherwise(e["value"])
+    shown = F.transform(F.map_entries(raw), lambda e, i: F.struct(e["key"].alias("k"), written(e, i).alias("v_json")))
+    return F.coalesce(shown, F.array().cast("array<struct<k:string,v_json:string>>"))
+
+
 def call_line(name: Column, args: Column) -> Column:
     """A call as ``name(key=value, ...)``; ``args``: array of (k, v_json) in order."""
     clean = F.transform(args, lambda a: F.struct(a["k"].alias("k"), elide_data_urls(a["v_json"]).alias("v")))

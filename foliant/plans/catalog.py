@@ -663,13 +663,89 @@ def rebuild_mixed(t):
     return made.select("conv_id", "pos", "type", "text", F.sha2(F.col("data").cast("binary"), 256).alias("sha"))
 
 
-@query("SELECT DISTINCT ch, unicode(ch) BETWEEN 32 AND 126 OR unicode(ch) BETWEEN 160 AND 255 AS printable FROM (SELECT unnest(string_split(coalesce(text, ''), '')) AS ch FROM documents) WHERE ch <> ''")
+def made_fonts(t) -> DataFrame:
+    """Glyphs of two fonts, written as hex files from the characters of the documents and parsed: one of every third code point, one of every seventh behind it."""
+    from foliant.sources import fonts
+
+    chars = t("documents").select(F.explode(F.array_distinct(F.split(F.coalesce("text", F.lit("")), ""))).alias("ch")).where("ch <> ''").select(F.ascii("ch").alias("cp")).distinct()
+    spark, root, made = chars.sparkSession, shared(chars.sparkSession, "fonts"), None
+    for font, every in (("own", 3), ("behind", 7)):
+        chars.where(F.col("cp") % every == 0).select(F.format_string("%04X:%016X", F.col("cp"), F.col("cp").cast("long"))).write.text(f"{root}/{font}")
+        glyphs = fonts.read_hex(spark, f"{root}/{font}", font)
+        made = glyphs if made is None else made.unionByName(glyphs)
+    return fonts.with_fallback(fonts.coverage(made), "own", "behind")
+
+
+CHARACTERS = "SELECT unnest(string_split(coalesce(text, ''), '')) AS ch FROM documents"
+
+
+@query(f"SELECT DISTINCT ch, unicode(ch) % 3 = 0 OR unicode(ch) % 7 = 0 AS printable FROM ({CHARACTERS}) WHERE ch <> ''")
 def font_coverage(t):
-    """Distinct characters of the documents against the coverage of a Latin-1 font (semi-join as a flag)."""
+    """Distinct characters of the documents against bitmaps of two parsed fonts, the second behind the first."""
+    from foliant.sources import fonts
+
     chars = t("documents").select(F.explode(F.array_distinct(F.split(F.coalesce("text", F.lit("")), ""))).alias("ch")).where("ch <> ''").distinct()
-    covered = of_spark(t).range(32, 256).where("id < 127 or id >= 160").select(F.col("id").alias("cp"))
-    found = chars.join(F.broadcast(covered), F.ascii("ch") == F.col("cp"), "left")
-    return found.select("ch", F.col("cp").isNotNull().alias("printable"))
+    return fonts.printable(chars, made_fonts(t))
+
+
+@query(
+    f"SELECT d.doc_id, CAST(count(ch) FILTER (WHERE ch <> '' AND ch <> ' ') AS BIGINT) AS visible, CAST(count(ch) FILTER (WHERE ch <> '' AND ch <> ' ' AND unicode(ch) % 3 > 0 AND unicode(ch) % 7 > 0) AS BIGINT) AS lost FROM documents d LEFT JOIN ({CHARACTERS.replace('SELECT', 'SELECT doc_id,')}) c USING (doc_id) GROUP BY d.doc_id"
+)
+def font_losses(t):
+    """What of each document no font prints."""
+    from foliant.sources import fonts
+
+    return fonts.text_stats(t("documents").select("doc_id", "text"), made_fonts(t)).drop("text")
+
+
+ARGS_TEXT = "'{\"z\": \"say \\\"' || event_type || '\\\"\", \"a\" : {\"y\": 1, \"b\": [true, null, \"x\"]}, \"num\":\"7\", \"none\": null, \"props\": ' || coalesce(props, '0') || ', \"long\": \"' || repeat(event_type, 200) || '\"}'"
+LONG_ARG = "'\"' || repeat(event_type, 200) || '\"'"
+ARG_LINE = f"""'z="say \\"' || event_type || '\\"", a={{"y":1,"b":[true,null,"x"]}}, num="7", none=null, props=' || replace(coalesce(props, '0'), ': ', ':') || ', long=' || left({LONG_ARG}, 300) || ' […' || (length({LONG_ARG}) - 500) || 'ch elided…] ' || right({LONG_ARG}, 200)"""
+
+
+@query(f"SELECT event_id, 'look(' || {ARG_LINE} || ')' AS text FROM events")
+def call_arguments(t):
+    """Nested arguments in the order they were given, each cut to its cap."""
+    said = F.concat(
+        F.lit('{"z": "say \\"'), "event_type", F.lit('\\"", "a" : {"y": 1, "b": [true, null, "x"]}, "num":"7", "none": null, "props": '), F.coalesce("props", F.lit("0")), F.lit(', "long": "'), F.repeat("event_type", F.lit(200)), F.lit('"}')
+    )
+    args = t("events").select("event_id", said.alias("said")).withColumn("args", transcript.arguments(F.col("said")))
+    return args.select("event_id", transcript.call_line(F.lit("look"), F.col("args")).alias("text"))
+
+
+TREE = """tree AS (
+  SELECT conv_id, id, CASE WHEN k > 4 AND id % 3 = 1 THEN lag(id, 2) OVER w WHEN k > 4 AND id % 3 = 2 THEN lag(id, 3) OVER w ELSE lag(id) OVER w END AS parent_id, id % 9 = 0 AS stops FROM (
+    SELECT user_id AS conv_id, event_id AS id, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS k FROM events) WINDOW w AS (PARTITION BY conv_id ORDER BY k)),
+leaves AS (SELECT conv_id, id AS leaf FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY id DESC) AS back FROM tree) WHERE back <= 5)"""
+
+
+@query(
+    f"""WITH RECURSIVE {TREE},
+walk AS (
+  SELECT l.conv_id, l.leaf, t.id, t.parent_id, t.stops FROM leaves l JOIN tree t ON t.conv_id = l.conv_id AND t.id = l.leaf
+  UNION ALL
+  SELECT w.conv_id, w.leaf, t.id, t.parent_id, t.stops FROM walk w JOIN tree t ON t.conv_id = w.conv_id AND t.id = w.parent_id WHERE NOT w.stops)
+SELECT l.conv_id, l.leaf, w.id, w.id % 5 > 0 AS trusted, CASE WHEN w.id % 5 > 0 THEN w.id END AS total_chars, 'archive-frames-' || w.id AS frames_dir FROM leaves l LEFT JOIN (SELECT * FROM walk WHERE stops) w USING (conv_id, leaf)"""
+)
+def branch_archive(t):
+    """The first compaction above the last five entries of each conversation, in trees made of the events; every fifth archive was changed after signing."""
+    from foliant.operators import branches
+
+    events = t("events")
+    by = Window.partitionBy("conv_id").orderBy("id")
+    entries = events.select(F.col("user_id").alias("conv_id"), F.col("event_id").alias("id"), "event_type")
+    k = F.row_number().over(by)
+    parent = F.when((k > 4) & (F.col("id") % 3 == 1), F.lag("id", 2).over(by)).when((k > 4) & (F.col("id") % 3 == 2), F.lag("id", 3).over(by)).otherwise(F.lag("id").over(by))
+    tree = entries.withColumns({"parent_id": parent, "type": F.when(F.col("id") % 9 == 0, "compaction").otherwise("message")})
+    leaves = tree.withColumn("back", F.row_number().over(by.orderBy(F.col("id").desc()))).where("back <= 5").select("conv_id", F.col("id").alias("leaf"))
+    n = F.col("id")
+    made = tree.select(
+        "conv_id", "id", "parent_id", "type", F.lit("lead").alias("lead_in"), F.concat(F.lit(archive.DIR_PREFIX), n.cast("string")).alias("frames_dir"), F.array().cast(f"array<{writing.FRAME}>").alias("frames"),
+        n.alias("total_chars"), F.lit(0).cast("long").alias("truncated_chars"), F.col("event_type").alias("text"), F.lit("").alias("text_head"), F.lit("").alias("text_tail"), F.lit("").alias("mac"),
+    )
+    valid = archive.validate(made)
+    signed = valid.withColumn("mac", archive.hmac_sha256(archive.canonical(valid.drop("id", "parent_id", "type")), KEY)).withColumn("total_chars", F.when(n % 5 == 0, n + 1).otherwise(F.col("total_chars")))
+    return branches.previous_archives(signed, leaves, KEY).select("conv_id", "leaf", "id", "trusted", "total_chars", "frames_dir")
 
 
 @query("SELECT n_nationkey, coalesce(CASE WHEN n_nationkey % 2 = 0 THEN 'doc-8on16-bw' END, 'auto') AS shape, CASE WHEN n_nationkey - 3 > 0 THEN least(n_nationkey - 3, 80) END AS max_frames FROM nation")

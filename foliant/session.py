@@ -7,7 +7,7 @@ import tempfile
 import uuid
 from pathlib import Path
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 #: The folder that holds the package.
 HOME = str(Path(__file__).resolve().parent.parent)
@@ -56,3 +56,10 @@ def shared(spark: SparkSession, name: str) -> str:
     """Like ``scratch``, as a path that Spark's readers and writers take (with its scheme)."""
     base = spark.conf.get("spark.checkpoint.dir", None) or ""
     return scratch(spark, name) if "://" not in base or base.startswith("file://") else f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+def settled(df: DataFrame) -> DataFrame:
+    """``df`` written to the shared folder and read again: cuts lineage and survives lost executors."""
+    path, schema = shared(df.sparkSession, "settled"), df.schema
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(schema).parquet(path)

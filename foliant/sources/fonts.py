@@ -61,3 +61,37 @@ def read_bdf(spark: SparkSession, path: str, font: str) -> DataFrame:
             yield pd.DataFrame(glyphs, columns=["font", "cp", "w", "h", "xoff", "yoff", "rows"])
 
     return spark.read.text(path, wholetext=True).mapInPandas(parse, FIELDS)
+
+
+def coverage(glyphs: DataFrame) -> DataFrame:
+    """(font, bucket, bitmap) of the code points of each font: 32,768 to a bitmap, so a font is a few rows however many glyphs it has."""
+    place = F.col("cp").cast("long") + 1  # buckets of bitmap functions start at one
+    return glyphs.where("cp >= 0").groupBy("font", F.bitmap_bucket_number(place).alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(place)).alias("bitmap"))
+
+
+def with_fallback(covered: DataFrame, font: str, fallback: str) -> DataFrame:
+    """(bucket, bitmap) of what a font or the one behind it prints."""
+    return covered.where(F.col("font").isin(font, fallback)).groupBy("bucket").agg(F.bitmap_or_agg("bitmap").alias("bitmap"))
+
+
+def printable(characters: DataFrame, covered: DataFrame) -> DataFrame:
+    """``characters`` (ch) with ``printable``: whether a bitmap of ``covered`` (bucket, bitmap) has its code point."""
+    place = F.ascii("ch").cast("long") + 1
+    bit = F.bitmap_bit_position(place)
+    byte = F.conv(F.hex(F.substring("bitmap", (bit / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("long")
+    found = characters.withColumn("bucket", F.bitmap_bucket_number(place)).join(covered, "bucket", "left")
+    return found.withColumn("printable", F.coalesce(F.getbit(byte, bit % 8) == 1, F.lit(False))).drop("bucket", "bitmap")
+
+
+def text_stats(texts: DataFrame, covered: DataFrame, text: str = "text") -> DataFrame:
+    """``texts`` with ``visible`` and ``lost``: how many characters other than spaces they have, and how many of them no font prints.
+
+    Distinct characters of all texts are looked up once; a text then needs only its own lost ones.
+    """
+    row = texts.withColumn("chars_", F.array_except(F.array_distinct(F.split(F.coalesce(F.col(text), F.lit("")), "")), F.array(F.lit(""), F.lit(" "))))
+    seen = row.select(F.explode("chars_").alias("ch")).distinct()
+    gone = printable(seen, covered).where("not printable").agg(F.collect_set("ch").alias("gone_"))  # bounded by the number of code points
+    counted = row.crossJoin(F.broadcast(gone)).withColumn("own_", F.array_join(F.array_intersect("chars_", "gone_"), ""))
+    solid = F.translate(F.coalesce(F.col(text), F.lit("")), " ", "")
+    left = F.call_function("translate", solid, F.col("own_"), F.lit(""))
+    return counted.withColumns({"visible": F.length(solid).cast("long"), "lost": (F.length(solid) - F.length(left)).cast("long")}).drop("chars_", "gone_", "own_")

@@ -129,12 +129,11 @@ def test_fold_by_batch_and_stream_agree(spark, tmp_path):
     schema = "conv_id long, round long, text string"
     data = spark.createDataFrame(rows, schema)
     batch = {r["conv_id"]: (r["text"], r["truncated"]) for r in refold.refold(data, 160, 220, 11).collect()}
-    data.coalesce(1).write.parquet(str(tmp_path / "in"))
-    stream = refold.refold_stream(spark.readStream.schema(schema).parquet(str(tmp_path / "in")), 160, 220, 11)
-    query = stream.writeStream.format("memory").queryName("folded").outputMode("update").option("checkpointLocation", str(tmp_path / "state")).start()
-    query.processAllAvailable()
-    query.stop()
-    assert {r["conv_id"]: (r["text"], r["truncated"]) for r in spark.table("folded").collect()} == batch
+    for r in range(3):  # a trigger a round
+        data.where(F.col("round") == r).write.mode("append").parquet(str(tmp_path / "in"))
+        refold.follow(spark, spark.readStream.schema(schema).parquet(str(tmp_path / "in")), str(tmp_path), 160, 220, 11)
+    assert {r["conv_id"]: (r["text"], r["truncated"]) for r in refold.latest_states(spark, str(tmp_path)).collect()} == batch
+    assert {r["rounds"] for r in refold.latest_states(spark, str(tmp_path)).collect()} == {3}
 
 
 def test_normalize_any_script(spark):
