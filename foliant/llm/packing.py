@@ -14,6 +14,8 @@ there are:
 4. the small lengths go, longest first, into the sequences with the smallest rest that fits, and open
    new sequences when none does.
 
+Where step 4 alone, for all lengths, needs fewer sequences, that plan is taken instead.
+
 The plan is a list of runs: "documents of length L with ranks a..b go to sequences s, s+1, ... at
 offset o". Ranks of equal lengths are dealt by windows over (length, salt); the histogram gives a length
 one salt for each ``WINDOW_ROWS`` of its pieces, so a very frequent length is spread over many tasks.
@@ -80,7 +82,8 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        #: Texts that hold one of the vocabulary's own tokens, which may span words, are encoded whole.
+        self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.young: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
         self.marks: dict[str, bytes] = {}
@@ -117,7 +120,7 @@ class Encoder:
         """The ids of every text, each followed by the end id."""
         end, values = array("I", [END_ID]).tobytes(), texts.to_pylist()
         out = [end] * len(values)
-        whole = [i for i, t in enumerate(values) if t and beside_space(t)]
+        whole = [i for i, t in enumerate(values) if t and (beside_space(t) or any(own in t for own in self.added))]
         for i, ids in zip(whole, self.raw([values[i] for i in whole])):
             out[i] = ids + end
         odd = set(whole)
@@ -255,6 +258,15 @@ def plan(hist: dict[int, int], capacity: int = CAPACITY, small: int = SMALL, gro
     return runs
 
 
+def sequences(runs: list[tuple[int, int, int, int, int]]) -> int:
+    return max((first + n for _, _, n, first, _ in runs), default=0)
+
+
+def best_plan(hist: dict[int, int], capacity: int = CAPACITY, small: int = SMALL, groups: int = GROUPS) -> list[tuple[int, int, int, int, int]]:
+    """The plan by groups, or the one that best-fits all lengths as small ones where that needs fewer sequences: rounding up can cost more than configurations gain."""
+    return min(plan(hist, capacity, small, groups), plan(hist, capacity, capacity, groups), key=sequences)
+
+
 def place_udf(spark: SparkSession, runs: list[tuple[int, int, int, int, int]]):
     """length, rank -> sequence, offset. The plan has few thousand runs, bounded by the capacity."""
     by_length: dict[int, list[tuple[int, int, int]]] = defaultdict(list)
@@ -296,8 +308,8 @@ def pack(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", tokeniz
     )
     part = pieces.where(F.col("length") < capacity)
     hist = {r["length"]: r["count"] for r in part.groupBy("length").count().collect()}  # at most `capacity` rows
-    runs = plan(hist, capacity, small, groups)
-    used = max((first + n for _, _, n, first, _ in runs), default=0)
+    runs = best_plan(hist, capacity, small, groups)
+    used = sequences(runs)
     at = place_udf(spark, runs)(F.col("length"), F.col("rank"))
     columns = ["doc_id", "piece", "start", "length", "ids_crc32"]
     placed = ranked(part, hist, "doc_id", "piece", "start", "ids_crc32").withColumn("_at", at).select(*columns, F.col("_at")["sequence_id"].alias("sequence_id"), F.col("_at")["offset"].alias("offset"))
