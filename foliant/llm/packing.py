@@ -50,7 +50,7 @@ GROUPS = 128
 WINDOW_ROWS = 100_000
 END_ID = 0
 #: Remembered words of a Python worker, in each of two generations.
-CACHE = 600_000
+CACHE = 250_000
 
 #: White space other than the space and the line feed; texts that have any are encoded whole.
 RARE_SPACE = re.compile(r"[^\S \n]")
