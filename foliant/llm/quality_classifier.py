@@ -39,7 +39,7 @@ CHUNK = 1 << 10
 THRESHOLD = 0.3
 FOLDS, HELD_OUT = 5, 0
 #: Words whose features a Python worker remembers.
-CACHE = 500_000
+CACHE = 250_000
 
 #: Maps bytes to classes: capitals, small and non-ASCII letters, digits; other bytes stay.
 SHAPE = bytes(65 if 65 <= b <= 90 else 97 if 97 <= b <= 122 or b >= 128 else 48 if 48 <= b <= 57 else b for b in range(256))
