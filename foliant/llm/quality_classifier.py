@@ -188,9 +188,10 @@ def score_udf(spark: SparkSession, model: Model, neighbours: int):
         if key not in _STATE:
             _STATE.clear()
             _STATE[key] = Features()
-        raw, out = texts.cast(pa.binary()).to_pylist(), []
-        for at in range(0, len(raw), BLOCK):
-            out.append(sent.value.scores([_STATE[key].of(x) for x in raw[at : at + BLOCK]], neighbours))
+        out = []
+        for at in range(0, len(texts), BLOCK):
+            raw = texts.slice(at, BLOCK).cast(pa.binary()).to_pylist()
+            out.append(sent.value.scores([_STATE[key].of(x) for x in raw], neighbours))
         return pa.array(np.concatenate(out) if out else [], pa.float64())
 
     return score
