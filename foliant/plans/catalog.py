@@ -15,6 +15,7 @@ from foliant.functions import cells, shapes
 from foliant.functions import text as T
 from foliant.operators import archive, blocks, context, files, layout, transcript, writing
 from foliant.session import importable, scratch, shared
+from foliant.sources import frame_store
 from foliant.sources import frames as frame_files_of
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -621,7 +622,7 @@ def mixed_archives(t) -> DataFrame:
     docs = t("documents").select(F.floor(n / 12).alias("conv_id"), (n % 12).alias("pos"), (n * 7 % 12).alias("kind"), body.alias("body"), F.concat(F.lit(archive.DIR_PREFIX), F.floor(n / 12).cast("string")).alias("frames_dir"))
     root = scratch(docs.sparkSession, "mixed")
     stored = docs.where("kind between 4 and 8").select("frames_dir", F.col("body").cast("binary").alias("png"))
-    frame_files_of.write(stored, root).write.format("noop").mode("overwrite").save()
+    frame_store.save(stored, root)
     frame = F.struct("pos", F.when(F.col("kind") < 4, F.col("body")).alias("data"), F.when(F.col("kind") >= 4, archive.file_name(F.col("body").cast("binary"))).alias("file"))
     gathered = docs.groupBy("conv_id", "frames_dir").agg(F.array_sort(F.collect_list(frame)).alias("frames"))
     archives = gathered.select("conv_id", "frames_dir", "frames", F.lit("head").alias("text_head"), F.lit("tail").alias("text_tail"), F.lit(0).alias("truncated_chars"))
@@ -879,7 +880,7 @@ def frame_files(t):
     folder = F.concat(F.lit(archive.DIR_PREFIX), (n % 5).cast("string"))
     docs = t("documents").select(n.alias("conv_id"), F.lit(0).alias("pos"), folder.alias("frames_dir"), body.alias("png"))
     root = scratch(docs.sparkSession, "frames")
-    frame_files_of.write(docs.where("conv_id % 4 > 0"), root).write.format("noop").mode("overwrite").save()
+    frame_store.save(docs.where("conv_id % 4 > 0"), root)
     file = F.when(F.col("conv_id") % 4 == 0, F.concat(F.sha2(F.concat(F.lit(b"gone"), F.col("png")), 256), F.lit(".png"))).otherwise(archive.file_name(F.col("png")))
     asked = docs.select("conv_id", "pos", "frames_dir", file.alias("file"), F.when(F.col("conv_id") % 4 == 1, "own").alias("data"))
     return frame_files_of.resolved(asked, frame_files_of.read(docs.sparkSession, root)).select("conv_id", "data")
