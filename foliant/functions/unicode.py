@@ -95,3 +95,8 @@ def normalize_routed(text: Column, printable: frozenset[str] = frozenset()) -> C
 def renders_safely(stats: Column) -> Column:
     """At most a twentieth of the visible characters is lost."""
     return F.when(stats["visible"] > 0, 20 * stats["lost"] <= stats["visible"]).otherwise(F.lit(True))
+
+
+def lost_share(stats: Column) -> Column:
+    """The share of the visible characters that is lost; 0 where nothing is visible."""
+    return F.when(stats["visible"] > 0, stats["lost"] / stats["visible"]).otherwise(F.lit(0.0))

@@ -7,6 +7,9 @@ import math
 from dataclasses import dataclass, fields
 from pathlib import Path
 
+from pyspark.sql import Column
+from pyspark.sql import functions as F
+
 MOST_FRAMES, MOST_BYTES = 80, 3_000_000
 OFF_WORDS = {"0", "false", "off"}
 
@@ -47,7 +50,7 @@ def resolve(layers: list[dict], environment: dict[str, str], known_shapes: set[s
         value = merged.get(f.name)
         if f.type == "bool" and isinstance(value, bool):
             setattr(out, f.name, value)
-    if merged.get("shape") in known_shapes | {"auto"}:
+    if isinstance(merged.get("shape"), str) and merged["shape"] in known_shapes | {"auto"}:
         out.shape = merged["shape"]
     out.max_frames = bounded(merged.get("max_frames"), MOST_FRAMES)
     out.max_frame_bytes = bounded(merged.get("max_frame_bytes"), MOST_BYTES)
@@ -59,3 +62,31 @@ def resolve(layers: list[dict], environment: dict[str, str], known_shapes: set[s
     lead = digits[: len(digits) - len(digits.lstrip("0123456789"))]
     out.max_frames = bounded(int(lead), MOST_FRAMES) or out.max_frames if lead else out.max_frames
     return out
+
+
+def overlay(layers: list[Column], known_shapes: set[str]) -> Column:
+    """The options of each row's layers (JSON texts, nearer ones later) as a struct, by the rules of ``resolve`` without an environment.
+
+    An absent or broken layer, one that is not an object, or one that names a setting twice is empty; a value of a wrong type hides those of
+    farther layers and is then ignored.
+    """
+    parsed = [F.try_parse_json(layer) for layer in reversed(layers)]
+
+    def value(name: str) -> tuple[Column, Column]:
+        found = F.coalesce(*[F.try_variant_get(layer, f"$.{name}", "variant") for layer in parsed])
+        return found, F.schema_of_variant(found)
+
+    def flag(name: str, default: bool) -> Column:
+        found, kind = value(name)
+        return F.when(kind == "BOOLEAN", F.try_variant_get(found, "$", "boolean")).otherwise(F.lit(default)).alias(name)
+
+    def count(name: str, ceiling: int) -> Column:
+        found, kind = value(name)
+        number = F.when(kind.rlike("^(?:BIGINT|DECIMAL|DOUBLE|FLOAT)"), F.try_variant_get(found, "$", "double"))
+        return F.when((number > 0) & (number < float("inf")), F.least(F.floor(number), F.lit(ceiling)).cast("long")).alias(name)
+
+    named, kind = value("shape")
+    shape = F.when(kind == "STRING", F.try_variant_get(named, "$", "string"))
+    flags = [flag(f.name, f.default) for f in fields(Options) if f.type == "bool"]
+    chosen = F.when(shape.isin(sorted(known_shapes | {"auto"})), shape).otherwise(F.lit("auto")).alias("shape")
+    return F.struct(*flags, chosen, count("max_frames", MOST_FRAMES), count("max_frame_bytes", MOST_BYTES))

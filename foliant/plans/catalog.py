@@ -180,14 +180,17 @@ def base64_frames(t):
     return t("documents").select("doc_id", data.alias("data"), (F.unbase64(data) == F.coalesce("text", F.lit("")).cast("binary")).alias("same"))
 
 
-@query("SELECT doc_id, CAST(0 AS DOUBLE) AS ratio, true AS is_safe, CAST(length(regexp_replace(coalesce(text, ''), '[█\\x0e\\x0f]', '', 'g')) AS BIGINT) AS n FROM documents")
+@query(
+    "SELECT doc_id, doc_id % 40 / visible AS ratio, 20 * (doc_id % 40) <= visible AS is_safe, visible AS n FROM (SELECT doc_id, CAST(length(replace('cafe' || repeat('?', doc_id % 40) || ' ' || trim(regexp_replace(regexp_replace(coalesce(text, '') || ' end', '\\s*\\n\\s*', '█', 'g'), '\\s+', ' ', 'g'), ' █'), '█', '')) AS BIGINT) AS visible FROM documents)"
+)
 def renderability(t):
-    """Share of characters that would print as ``?``: none for Latin-1 texts."""
-    body = F.coalesce("text", F.lit(""))
-    lost = F.regexp_count(body, F.lit(r"[^\x00-\x{FF}]")).cast("double")
-    graphics = F.length(F.regexp_replace(body, "[█\u000e\u000f]", "")).cast("long")
-    ratio = F.when(graphics > 0, lost / graphics).otherwise(0.0)
-    return t("documents").select("doc_id", ratio.alias("ratio"), (ratio <= 0.05).alias("is_safe"), graphics.alias("n"))
+    """Share of characters that would print as ``?``, over texts behind up to 39 ideographs that no font has."""
+    from foliant.functions import unicode
+
+    lost = F.expr("repeat('日', cast(doc_id % 40 as int))")
+    body = F.concat(F.lit("cafe"), lost, F.lit(" "), F.ltrim(F.regexp_replace(F.coalesce("text", F.lit("")), r"\A\s+", "")), F.lit(" end"))
+    found = t("documents").select("doc_id", unicode.normalize_udf()(body).alias("n"))
+    return found.select("doc_id", unicode.lost_share(F.col("n")).alias("ratio"), unicode.renders_safely(F.col("n")).alias("is_safe"), F.col("n.visible").alias("n"))
 
 
 IDEOGRAPHS = "CAST(CASE doc_id % 3 WHEN 0 THEN length(coalesce(text, '')) // 8 + 3 WHEN 1 THEN length(coalesce(text, '')) // 20 ELSE 0 END AS BIGINT)"
@@ -749,12 +752,20 @@ def branch_archive(t):
     return branches.previous_archives(signed, leaves, KEY).select("conv_id", "leaf", "id", "trusted", "total_chars", "frames_dir")
 
 
-@query("SELECT n_nationkey, coalesce(CASE WHEN n_nationkey % 2 = 0 THEN 'doc-8on16-bw' END, 'auto') AS shape, CASE WHEN n_nationkey - 3 > 0 THEN least(n_nationkey - 3, 80) END AS max_frames FROM nation")
+@query(
+    """SELECT c_custkey, k % 5 <> 0 AS enabled, CASE WHEN k % 5 = 1 OR k % 7 = 0 THEN 'auto' ELSE 'doc-8on16-bw' END AS shape,
+CASE WHEN k % 5 = 0 THEN 7 WHEN k % 5 = 1 THEN NULL WHEN k - 3 > 0 THEN least(k - 3, 80) END AS max_frames
+FROM (SELECT c_custkey, c_custkey % 100 AS k FROM customer)"""
+)
 def settings_overlay(t):
-    """Two layers of settings: the nearer one wins; counts are bounded, others are absent."""
-    near = F.when(F.col("n_nationkey") % 2 == 0, "doc-8on16-bw")
-    asked = F.col("n_nationkey") - 3
-    return t("nation").select("n_nationkey", F.coalesce(near, F.lit("auto")).alias("shape"), F.when(asked > 0, F.least(asked, F.lit(80))).alias("max_frames"))
+    """Two layers of settings a customer, as JSON: the nearer one wins, values of a wrong type are ignored, counts are bounded; every fifth near layer is broken, one is no object."""
+    from foliant import options
+
+    k = F.col("c_custkey") % 100
+    far = F.format_string('{"shape": "%s", "max_frames": %d, "enabled": true}', F.when(k % 7 == 0, "unknown").otherwise("doc-8on16-bw"), k - 3)
+    near = F.when(k % 5 == 0, '{"max_frames": 7.9, "enabled": false}').when(k % 5 == 1, '{"max_frames": "many", "shape": 5}').when(k % 5 == 2, "[1]").when(k % 5 == 3, '{"enabled": fal')
+    found = t("customer").select("c_custkey", options.overlay([far, near], {"doc-8on16-bw"}).alias("o"))
+    return found.select("c_custkey", "o.enabled", "o.shape", "o.max_frames")
 
 
 # --- Writing and reading archives -------------------------------------------------------------------------------
