@@ -7,7 +7,7 @@ calibrated on held-out labelled examples, selects the spans to add.
 
 All of it is DataFrame functions. The trees are trained by Spark's own boosting on ``EXAMPLES`` labelled
 examples, each put together from a context, a form and random digits or names; thresholds are
-calibrated on contexts and forms that training never sees. The trees are then written as CASE expressions over
+calibrated on contexts that training never sees, and on further forms. The trees are then written as CASE expressions over
 the features, so that scoring happens inside the row: no shuffle, no Python, and a text's spans never
 leave its row. Matches are located by splitting a text at the same pattern that extracts them. Patterns
 are linear in the text (possessive or bounded repetition), also for very long runs.
