@@ -5,14 +5,16 @@ marks) and how varied the words are. From a bounded sample of labelled documents
 each label at most, by hash) the driver computes inverse document frequencies and a truncated
 singular value decomposition. The labelled vectors, ``2 * per_label`` rows of ``rank`` numbers, are
 broadcast; every document is projected and meets all of them in exact blocked cosine products, and
-its ``neighbours`` nearest vote with their similarities. The sample holds both labels alike, so a
-score is a share of votes, not a prior.
+its ``neighbours`` nearest vote with their similarities. A share of votes is no probability: it hangs on
+how many samples each label has. So every labelled vector is also scored by its neighbours but itself, and
+the share that parts the labels best, both counted alike, becomes the score ``threshold``; scores below and above
+are stretched evenly, which keeps their order.
 
 Scoring is one narrow pass over whole texts: no shuffle of documents, and memory bounded by a block.
 
 Defined cases: a null or empty text has no features and scores the labels' mean; labels without a
 document, null labels and null ids are not learned from; with only one label known every document
-scores it, with none 0.5; equal similarities go to the earlier vector; repeated rows are scored one
+scores it, with none 0.5, and shares stay as they are; equal similarities go to the earlier vector; repeated rows are scored one
 by one; other columns are kept as they are.
 """
 
@@ -127,22 +129,44 @@ class Model:
             self.projection[lo : lo + CHUNK] = idf[lo : lo + CHUNK, None] * (dense.T @ basis)
         latent = [self.projection[ids[i:j]].T @ weights[i:j] for i, j in zip(starts[:-1], starts[1:])]
         self.vectors = unit(np.array(latent, np.float32).reshape(n, len(keep)))
+        #: The share of votes that becomes the score ``at``.
+        self.cut = self.at = 0.5
 
-    def scores(self, found: list[tuple[np.ndarray, np.ndarray]], neighbours: int) -> np.ndarray:
-        out = np.full(len(found), self.base)
-        if not len(self.labels) or not self.vectors.shape[1]:
-            return out
-        docs = unit(np.array([self.projection[i].T @ w.astype(np.float32) for i, w in found], np.float32))
+    def votes(self, docs: np.ndarray, neighbours: int, own: np.ndarray | None = None) -> np.ndarray:
+        """Shares of votes for label 1 among the nearest samples of unit vectors; ``own``: for each a sample that has no vote."""
         # rounded, so that products of blocks of other shapes tie alike
         cosine = np.round(docs @ self.vectors.T, 5)
         k = min(neighbours, len(self.labels))
+        if own is not None:
+            cosine[np.arange(len(docs)), own] = -2
+            k = min(k, len(self.labels) - 1)
         least = -np.partition(-cosine, k - 1, axis=1)[:, k - 1 : k]
         near, tied = cosine > least, cosine == least
         near |= tied & (np.cumsum(tied, axis=1) <= k - near.sum(axis=1, keepdims=True))
         weight = np.where(near, np.maximum(cosine, 0) + 1e-9, 0).astype(np.float64)
+        return np.clip((weight @ self.labels) / weight.sum(axis=1), 0.0, 1.0)
+
+    def calibrate(self, neighbours: int, at: float) -> None:
+        """Find the share of votes that parts the labels best; of shares that part them alike the middle of the widest gap."""
+        positive = self.labels > 0
+        if positive.all() or not positive.any() or not self.vectors.shape[1]:
+            return
+        shares = np.concatenate([self.votes(self.vectors[i : i + BLOCK], neighbours, np.arange(i, min(i + BLOCK, len(positive)))) for i in range(0, len(positive), BLOCK)])
+        values = np.concatenate([[0.0], np.unique(shares), [1.0]])
+        wrong = lambda cut: (shares[positive] < cut).mean() + (shares[~positive] >= cut).mean()
+        best = min(zip(values[:-1], values[1:]), key=lambda gap: (round(wrong(sum(gap) / 2), 9), gap[0] - gap[1]))
+        self.cut, self.at = float(np.clip(sum(best) / 2, 1e-3, 1 - 1e-3)), at
+
+    def scores(self, found: list[tuple[np.ndarray, np.ndarray]], neighbours: int) -> np.ndarray:
+        out = np.full(len(found), self.base)
+        if not len(self.labels) or not self.vectors.shape[1]:
+            return out
+        docs = unit(np.array([self.projection[i].T @ w.astype(np.float32) for i, w in found], np.float32))
         empty = (docs == 0).all(axis=1)
-        out[~empty] = ((weight @ self.labels) / weight.sum(axis=1))[~empty]
-        return np.clip(out, 0.0, 1.0)
+        share = self.votes(docs, neighbours)
+        score = np.where(share < self.cut, self.at * share / self.cut, self.at + (1 - self.at) * (share - self.cut) / (1 - self.cut))
+        out[~empty] = score[~empty]
+        return out
 
 
 def unit(rows: np.ndarray) -> np.ndarray:
@@ -159,8 +183,8 @@ def features_udf():
     return features
 
 
-def fit(docs: DataFrame, labels: DataFrame, *, doc_id: str = "doc_id", text: str = "text", label: str = "quality", where: Column | None = None, per_label: int = PER_LABEL, rank: int = RANK) -> Model:
-    """Learn from the labels that ``where`` (over their id, default: all) allows."""
+def fit(docs: DataFrame, labels: DataFrame, *, doc_id: str = "doc_id", text: str = "text", label: str = "quality", where: Column | None = None, per_label: int = PER_LABEL, rank: int = RANK, neighbours: int = NEIGHBOURS, threshold: float = THRESHOLD) -> Model:
+    """Learn from the labels that ``where`` (over their id, default: all) allows; ``threshold`` becomes the score that parts them."""
     known = labels.where(F.col(label).isin(0, 1) & F.col(doc_id).isNotNull()).select(F.col(doc_id).alias("doc_id"), F.col(label).cast("int").alias("label"))
     known = known.where(where) if where is not None else known
     counts = dict(known.groupBy("label").count().collect())  # two rows
@@ -174,7 +198,9 @@ def fit(docs: DataFrame, labels: DataFrame, *, doc_id: str = "doc_id", text: str
     found = found.toArrow().sort_by([("doc_id", "ascending"), ("label", "ascending")])
     flat = lambda c: pc.list_flatten(found[c].combine_chunks()).to_numpy(zero_copy_only=False)
     starts = np.cumsum([0, *pc.list_value_length(found["ids"]).to_pylist()])
-    return Model(flat("ids").astype(np.int64), flat("weights"), starts, found["label"].to_numpy(), rank)
+    model = Model(flat("ids").astype(np.int64), flat("weights"), starts, found["label"].to_numpy(), rank)
+    model.calibrate(neighbours, threshold)
+    return model
 
 
 _STATE: dict[str, Features] = {}
