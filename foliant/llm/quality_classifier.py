@@ -194,7 +194,8 @@ def fit(docs: DataFrame, labels: DataFrame, *, doc_id: str = "doc_id", text: str
         share = F.when(F.col("label") == value, F.lit(1e6 * per_label / n)).otherwise(share)
     chosen = known.where(hashed < share).dropDuplicates()  # about 2 x per_label rows
     texts = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).join(F.broadcast(chosen), "doc_id").where(F.col("text").isNotNull())
-    found = texts.select("doc_id", "label", features_udf()("text").alias("f")).select("doc_id", "label", "f.ids", "f.weights").where(F.size("ids") > 0)
+    features = features_udf().asNondeterministic()  # so that the filter behind it does not go below the join, to all documents
+    found = texts.select("doc_id", "label", features("text").alias("f")).select("doc_id", "label", "f.ids", "f.weights").where(F.size("ids") > 0)
     found = found.toArrow().sort_by([("doc_id", "ascending"), ("label", "ascending")])
     flat = lambda c: pc.list_flatten(found[c].combine_chunks()).to_numpy(zero_copy_only=False)
     starts = np.cumsum([0, *pc.list_value_length(found["ids"]).to_pylist()])
