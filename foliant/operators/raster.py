@@ -13,11 +13,13 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import BinaryType, IntegerType, LongType, StructField, StructType
 
 from foliant.functions.cells import WIDE
 from foliant.functions.text import CELL, DIM_OFF, DIM_ON
+from foliant.session import importable
 from foliant.sources import png
 
 # Ink colours.
@@ -26,6 +28,8 @@ BLACK, DIM, BAND = (0, 0, 0), (128, 128, 128), (255, 247, 194)
 LARGEST = 16_384
 #: Least coverage of a resampled pixel that is painted, and cells between two columns.
 FAINT, GUTTER = 0.02, 2
+#: Pages whose images a task holds at a time.
+BLOCK = 64
 
 Glyphs = dict[int, tuple[int, int, int, int, list[int]]]
 Ink = tuple[int, int, int]
@@ -197,6 +201,27 @@ def page_udf(spark: SparkSession, glyphs: Glyphs, sheet: Sheet):
     return page
 
 
+def painted(pages: DataFrame, glyphs: Glyphs, sheets: dict[str, Sheet]) -> DataFrame:
+    """``pages`` (sheet: a key of ``sheets``, text, banner and other columns) with png, height and chars in place of text and banner.
+
+    Images leave in blocks of ``BLOCK`` pages, so a task holds few of them at a time.
+    """
+    sent = importable(pages.sparkSession).sparkContext.broadcast((glyphs, sheets))
+    kept = [f for f in pages.schema if f.name not in ("text", "banner")]
+    schema = StructType([*kept, StructField("png", BinaryType()), StructField("height", IntegerType()), StructField("chars", LongType())])
+
+    def paint_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found, looks = sent.value
+        painters = {name: Painter(sheet, found) for name, sheet in looks.items()}
+        for batch in batches:
+            for part in (batch.slice(at, BLOCK) for at in range(0, len(batch), BLOCK)):
+                made = [painters[s].page(text or "", banner or "") for s, text, banner in zip(*(part[c].to_pylist() for c in ("sheet", "text", "banner")))]
+                new = [pa.array([png.encode(c) for c, _ in made], pa.binary()), pa.array([c.shape[0] for c, _ in made], pa.int32()), pa.array([n for _, n in made], pa.int64())]
+                yield pa.RecordBatch.from_arrays([*(part[f.name] for f in kept), *new], names=schema.names)
+
+    return pages.mapInArrow(paint_blocks, schema)
+
+
 def test_glyphs() -> Glyphs:
     """A small made-up 8x8 font: every Latin-1 character shows the bits of its code."""
     return {cp: (8, 8, 0, -1, [0, cp, cp, 0, ~cp & 0xFF, cp, cp, 0]) for cp in range(32, 256)}

@@ -930,8 +930,8 @@ ROUNDS = 3
 EDGE = min(layout.EDGE_PAGES, max(0, (MOST - 1) // 2))
 
 
-def refolded() -> str:
-    """SQL of the rounds, each of which lays out what the one before it kept with the round's text behind it."""
+def refolded(then: str = f"SELECT conv_id, CAST({ROUNDS} AS BIGINT) AS rounds, text, lost AS truncated FROM k{ROUNDS}") -> str:
+    """SQL of the rounds, each of which lays out what the one before it kept with the round's text behind it; ``then`` asks for what is left."""
     said = """said AS (SELECT conv_id, turn, turn % {n} AS round, role, translate(text, chr(14) || chr(15), '') AS text FROM conversations WHERE (role = 'user' AND text <> '') OR (role = 'assistant' AND regexp_matches(translate(text, chr(14) || chr(15), ''), '\\S'))),
 texts AS (SELECT conv_id, round, trim(regexp_replace(regexp_replace(string_agg(text, ' ' ORDER BY turn), '\\s*\\n\\s*', '█', 'g'), '\\s+', ' ', 'g'), ' █') AS text FROM said GROUP BY conv_id, round),
 k0 AS (SELECT DISTINCT conv_id, '' AS text, CAST(0 AS BIGINT) AS lost FROM said)""".format(n=ROUNDS)
@@ -945,7 +945,7 @@ m{i} AS (SELECT *, CASE WHEN over THEN substring(middle, edge * {HIGH} + 1, leng
 g{i} AS (SELECT *, CASE WHEN over THEN greatest(0, CAST(ceil(length(inner_text) / {LOW}) AS BIGINT) - ({MOST} - 2 * edge)) ELSE 0 END AS gone FROM m{i}),
 k{i + 1} AS (SELECT conv_id, lost + CAST(gone * {LOW} AS BIGINT) AS lost, CASE WHEN over THEN left(text, {HIGH} + edge * {HIGH}) || substring(inner_text, gone * {LOW} + 1) || substring(middle, (fine - edge) * {HIGH} + 1) || right(text, {HIGH}) ELSE text END AS text FROM g{i})"""
         steps.append(fold)
-    return "WITH " + ", ".join(steps) + f" SELECT conv_id, CAST({ROUNDS} AS BIGINT) AS rounds, text, lost AS truncated FROM k{ROUNDS}"
+    return "WITH " + ", ".join(steps) + " " + then
 
 
 def rounds_of(t) -> DataFrame:
@@ -969,6 +969,39 @@ def recompact_fold(t):
     return previous.select("conv_id", F.lit(ROUNDS).cast("long").alias("rounds"), "previous.text", F.col("previous.truncated_chars").alias("truncated"))
 
 
+LAST_PAGES = f"CASE WHEN over THEN 2 * edge + CAST(ceil(length(inner_text) / {LOW}) AS BIGINT) - gone ELSE fine END"
+
+
+@query(
+    refolded(
+        f"SELECT conv_id, CASE WHEN conv_id % 2 = 0 THEN 'plain' ELSE 'dimmed' END AS look, k.text, k.lost AS truncated, {LAST_PAGES} AS n_frames, {LAST_PAGES} AS stored, CAST(greatest(0, length(k.text) - {2 * HIGH}) AS BIGINT) AS painted, CAST({ROUNDS - 1} AS BIGINT) AS batch "
+        f"FROM k{ROUNDS} k JOIN g{ROUNDS - 1} g USING (conv_id) WHERE k.text <> ''"
+    )
+)
+def archive_rounds(t):
+    """The whole write path, three rounds of it: layout, images of two looks in the store, signed entries in the index, each round behind the trusted archive of the one before."""
+    from foliant.operators import raster, rounds
+    from foliant.streaming.index import ArchiveIndex
+
+    turns = rounds_of(t)
+    spark, ids = turns.sparkSession, turns.select("conv_id").distinct()
+    looks = [rounds.Look(name, raster.Sheet(11, 16, 176, ink=ink), raster.Sheet(8, 16, 176, ink=ink), dim) for name, ink, dim in (("plain", "bw", False), ("dimmed", "sent", True))]
+    root, index = scratch(spark, "frames"), ArchiveIndex(spark, shared(spark, "index"), KEY)
+    for i in range(ROUNDS):
+        asked = ids.join(turns.where(F.col("round") == i).select("conv_id", "text"), "conv_id", "left")
+        none = F.lit(None).cast("string")
+        asked = asked.select("conv_id", F.lit("entry").alias("first_kept"), "text", none.alias("summary"), none.alias("files"), F.when(F.col("conv_id") % 2 == 0, "plain").otherwise("dimmed").alias("look"))
+        rounds.archive_round(asked, looks, raster.test_glyphs(), index, root, batch=i, ts=i, most=MOST)
+    live = index.live()
+    files = live.select("conv_id", "frames_dir", F.explode("frames.file").alias("file")).join(frame_files_of.read(spark, root).select("frames_dir", "file"), ["frames_dir", "file"])
+    stored = files.groupBy("conv_id").agg(F.count_distinct("file").alias("stored"))
+    made = live.join(stored, "conv_id", "left")
+    drawn = F.aggregate("frames", F.lit(0).cast("long"), lambda n, f: n + f["chars"])
+    return made.select(
+        "conv_id", F.regexp_extract("lead_in", r"\((\w+)\)", 1).alias("look"), "text", F.col("truncated_chars").alias("truncated"), F.size("frames").cast("long").alias("n_frames"), F.coalesce("stored", F.lit(0)).alias("stored"), drawn.alias("painted"), "batch"
+    )
+
+
 @query(refolded())
 def recompact_state(t):
     """The same rounds as a stream over files: one trigger a round, the archives so far as state in RocksDB."""

@@ -50,15 +50,20 @@ class ArchiveIndex:
         """All valid entries of all batches, with the number of their ``batch``."""
         return self.spark.read.option("basePath", self.root).parquet(self.root).withColumn("batch", F.col("batch").cast("long"))
 
-    def entries(self) -> DataFrame:
-        """The trusted entries, one for each conversation and time."""
+    def started(self) -> bool:
+        """Whether there is a first batch."""
+        return exists(self.spark, self.root)
+
+    def entries(self, before: int | None = None) -> DataFrame:
+        """The trusted entries, one for each conversation and time; those of batches ``before`` a number only, if given."""
         rows = self.written().where("trusted")
+        rows = rows if before is None else rows.where(F.col("batch") < before)
         last = rows.groupBy("conv_id", "ts").agg(F.max_by(F.struct(*[c for c in rows.columns if c not in ("conv_id", "ts", "trusted")]), F.struct("batch", "seq")).alias("e"))
         return last.select("conv_id", "ts", "e.*")
 
-    def live(self) -> DataFrame:
+    def live(self, before: int | None = None) -> DataFrame:
         """The newest entry of each conversation: the only one whose frames are read again."""
-        return archive.latest(self.entries())
+        return archive.latest(self.entries(before))
 
     def rejected(self) -> DataFrame:
         """(conv_id, rejected): how many entries were not trusted."""
