@@ -255,33 +255,10 @@ def url_scheme_filter(t):
 
 # --- Shapes -------------------------------------------------------------------------------------------------
 
-SHAPES = "shapes(variant, font, cell_w, cell_h, columns, repeat, frame_size) AS (VALUES " + ", ".join(f"('{c[0]}', '{c[1]}', {c[2]}, {c[3]}, {c[7]}, {c[8]}, {c[9]})" for c in shapes.CATALOG) + ")"
-GRID = (
-    SHAPES
-    + """, grid AS (SELECT *, columns * grid_cols * grid_rows AS capacity FROM (SELECT *, CASE WHEN columns = 2 THEN (frame_size // cell_w - 3) // 2 ELSE frame_size // cell_w END AS grid_cols,
-  greatest(1, CAST(floor((frame_size - cell_h) / cell_h / repeat) AS BIGINT)) AS grid_rows FROM shapes))"""
-)
-
-
-def of_spark(t) -> SparkSession:
-    return t("region").sparkSession
-
-
-@query(f"WITH {GRID} SELECT variant, CAST(grid_cols AS BIGINT) AS grid_cols, CAST(grid_rows AS BIGINT) AS grid_rows, CAST(capacity AS BIGINT) AS capacity FROM grid")
-def shape_geometry(t):
-    return shapes.grid(shapes.catalog(of_spark(t))).select("variant", "grid_cols", "grid_rows", "capacity")
-
-
-@query(
-    f"WITH {SHAPES} SELECT variant, f.fam AS family, CAST(CASE f.fam WHEN 'google' THEN 1120 WHEN 'openai' THEN ceil(1.2 * least(ceil(frame_size / 32) ** 2, 10000)) ELSE ceil(1.05 * least(ceil(frame_size / 28) ** 2, 4784)) END AS BIGINT) AS tokens "
-    "FROM shapes, (VALUES ('anthropic'), ('google'), ('openai'), ('unknown')) f(fam)"
-)
-def shape_pricing(t):
-    fams = F.explode(F.array(*[F.lit(f) for f in ("anthropic", "google", "openai", "unknown")]))
-    priced = shapes.catalog(of_spark(t)).withColumn("family", fams)
-    return priced.select("variant", "family", shapes.frame_tokens(F.col("family"), F.col("frame_size")).alias("tokens"))
-
-
+SHAPES = (
+    "shapes(variant, font, cell_w, cell_h, ink, dim, columns, repeat, frame_size) AS (VALUES "
+    + ", ".join(f"('{c[0]}', '{c[1]}', {c[2]}, {c[3]}, '{c[5]}', {str(c[6]).lower()}, {c[7]}, {c[8]}, {c[9]})" for c in shapes.CATALOG) + ")"
+)
 NAMES = ["claude-fable", "claude-opus-4-7", "claude-opus-4-20250514", "claude-opus-5", "claude-3-sonnet", "gemini-3-pro", "gpt-5", "kimi-k2", "glm-4.6", "llama"]
 APIS = ["anthropic-messages", "bedrock-x", "google-ai", "openai-chat", "azure-openai-y", "other"]
 READERS = (
@@ -303,12 +280,44 @@ def resolve_shape(t):
     return shapes.for_reader(readers(t)).select("c_custkey", "family", "variant", "frame_size")
 
 
+OWN_SHAPE = "CASE WHEN c_custkey % 11 = 0 THEN '8x13-bw' END AS forced"
+CHOSEN_SHAPE = "CASE WHEN c_custkey % 3 = 0 THEN ['" + "', '".join(c[0] for c in shapes.CATALOG) + f"'][c_custkey // 3 % {len(shapes.CATALOG)} + 1] END AS forced"
+SHAPED = (
+    f"{READERS.replace(OWN_SHAPE, CHOSEN_SHAPE)}, {SHAPES}"
+    """, shaped AS (SELECT r.c_custkey, r.family, s.* REPLACE (CASE WHEN r.edge > 0 THEN r.edge ELSE s.frame_size END AS frame_size) FROM ruled r JOIN shapes s USING (variant)),
+grid AS (SELECT *, columns * grid_cols * grid_rows AS capacity FROM (SELECT *, CASE WHEN columns = 2 THEN (frame_size // cell_w - 3) // 2 ELSE frame_size // cell_w END AS grid_cols,
+  greatest(1, CAST(floor((frame_size - cell_h) / cell_h / repeat) AS BIGINT)) AS grid_rows FROM shaped)),
+priced AS (SELECT *, CAST(CASE family WHEN 'google' THEN 1120 WHEN 'openai' THEN ceil(1.2 * least(ceil(frame_size / 32) ** 2, 10000)) ELSE ceil(1.05 * least(ceil(frame_size / 28) ** 2, 4784)) END AS BIGINT) AS tokens FROM shaped)"""
+)
+
+
+def shaped(t) -> DataFrame:
+    """The shapes of all readers; every third has chosen one of the catalog."""
+    chosen = F.array(*[F.lit(c[0]) for c in shapes.CATALOG])[(F.floor(F.col("c_custkey") / 3) % len(shapes.CATALOG)).cast("int")]
+    return shapes.for_reader(readers(t).withColumn("forced", F.when(F.col("c_custkey") % 3 == 0, chosen)))
+
+
+@query(f"WITH {SHAPED} SELECT c_custkey, variant, CAST(grid_cols AS BIGINT) AS grid_cols, CAST(grid_rows AS BIGINT) AS grid_rows, CAST(capacity AS BIGINT) AS capacity FROM grid")
+def shape_geometry(t):
+    """Columns, rows and characters of the pages each reader gets."""
+    return shapes.grid(shaped(t)).select("c_custkey", "variant", "grid_cols", "grid_rows", "capacity")
+
+
+@query(
+    f"WITH {SHAPED} SELECT c_custkey, tokens, font || ' ' || cell_w || 'x' || cell_h || ' ' || CASE WHEN columns = 2 THEN 'two-column' WHEN repeat > 1 THEN 'repeat x' || repeat ELSE 'grid' END || ' @' || frame_size || 'px, ' || ink || CASE WHEN dim THEN '+dim' ELSE '' END || ' ink, ~' || format('{{:,}}', tokens) || ' tok/frame' AS about FROM priced"
+)
+def shape_pricing(t):
+    """What a page costs each reader, and the line that describes its shape."""
+    return shaped(t).select("c_custkey", shapes.frame_tokens(F.col("family"), F.col("frame_size")).alias("tokens"), shapes.describe(F.col("family")).alias("about"))
+
+
 @query(
-    f"WITH {GRID}, d AS (SELECT *, (frame_size // 8) * ((frame_size - 16) // 16) AS other FROM grid) "
-    "SELECT variant, CASE WHEN columns = 1 AND font <> 'silver' AND other > capacity THEN '8on16-bw' ELSE variant END AS dense_variant FROM d"
+    f"WITH {SHAPED}, d AS (SELECT *, (frame_size // 8) * ((frame_size - 16) // 16) AS other FROM grid) "
+    "SELECT c_custkey, variant, CASE WHEN columns = 1 AND font <> 'silver' AND other > capacity THEN '8on16-bw' ELSE variant END AS dense_variant FROM d"
 )
 def dense_companion(t):
-    return shapes.with_dense(shapes.grid(shapes.catalog(of_spark(t)))).select("variant", "dense_variant")
+    """The denser shape for the middle of each reader's archives."""
+    return shapes.with_dense(shaped(t)).select("c_custkey", "variant", "dense_variant")
 
 
 # --- Cells, pages, plans ------------------------------------------------------------------------------------
