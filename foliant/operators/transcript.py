@@ -6,6 +6,8 @@ one group: that is the size of the result. Within it only (turn, text) pairs are
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -17,6 +19,15 @@ def is_blank(text: Column) -> Column:
     return ~text.rlike(f"[^{SPACES}]")
 
 
+def in_slices(*slices: DataFrame) -> DataFrame:
+    """Slices of the same conversations as one table, each behind the one before: ``turn`` becomes (slice, turn), which sorts.
+
+    Slices number their own turns, so equal turns of two slices are two messages. Columns that a slice lacks are null.
+    """
+    marked = [s.withColumn("turn", F.struct(F.lit(i).alias("slice"), F.col("turn").cast("long").alias("turn"))) for i, s in enumerate(slices)]
+    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), marked)
+
+
 def said(messages: DataFrame) -> DataFrame:
     """User and assistant messages that say something, without ink marks. A user's text need only be non-empty as given."""
     clean = strip_marks(F.col("text"))
