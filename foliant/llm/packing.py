@@ -50,7 +50,7 @@ GROUPS = 128
 WINDOW_ROWS = 100_000
 END_ID = 0
 #: Remembered words of a Python worker, in each of two generations.
-CACHE = 250_000
+CACHE = 320_000
 
 #: White space other than the space and the line feed; texts that have any are encoded whole.
 RARE_SPACE = re.compile(r"[^\S \n]")
@@ -141,7 +141,8 @@ class Encoder:
         starts = np.cumsum(lengths) - lengths
         each = lengths[which]
         ends = np.cumsum(each)
-        flat = tokens[np.arange(ends[-1]) + np.repeat(starts[which] - (ends - each), each)]
+        narrow = np.int32 if ends[-1] < 2**31 else np.int64
+        flat = tokens[np.arange(ends[-1], dtype=narrow) + np.repeat((starts[which] - (ends - each)).astype(narrow), each)]
         bounds = np.concatenate([[0], ends])[offsets]
         for i, a, b in zip(plain, bounds.tolist(), bounds[1:].tolist()):
             out[i] = flat[a:b].tobytes() + end
