@@ -640,13 +640,18 @@ SLOT_BYTES = "CASE state WHEN 'omitted' THEN cost WHEN 'kept' THEN length(data)
 
 
 def mixed_archives(t) -> DataFrame:
-    """A dozen documents as the frames of an archive: some hold their data, some refer to files, some of which are not there. The files are written."""
+    """A dozen documents as the frames of an archive: some hold their data, some refer to files, some of which are not there. The files are written.
+
+    A file that is not there has the name of bytes that no text has, so that an equal text of the archive is not taken for it.
+    """
     n, body = F.col("doc_id"), F.concat(F.coalesce("text", F.lit("")), F.lit("a"))
     docs = t("documents").select(F.floor(n / 12).alias("conv_id"), (n % 12).alias("pos"), (n * 7 % 12).alias("kind"), body.alias("body"), F.concat(F.lit(archive.DIR_PREFIX), F.floor(n / 12).cast("string")).alias("frames_dir"))
     root = scratch(docs.sparkSession, "mixed")
     stored = docs.where("kind between 4 and 8").select("frames_dir", F.col("body").cast("binary").alias("png"))
     frame_store.save(stored, root)
-    frame = F.struct("pos", F.when(F.col("kind") < 4, F.col("body")).alias("data"), F.when(F.col("kind") >= 4, archive.file_name(F.col("body").cast("binary"))).alias("file"))
+    png = F.col("body").cast("binary")
+    named = F.when(F.col("kind") >= 9, F.concat(F.lit(b"\xff"), png)).when(F.col("kind") >= 4, png)
+    frame = F.struct("pos", F.when(F.col("kind") < 4, F.col("body")).alias("data"), archive.file_name(named).alias("file"))
     gathered = docs.groupBy("conv_id", "frames_dir").agg(F.array_sort(F.collect_list(frame)).alias("frames"))
     archives = gathered.select("conv_id", "frames_dir", "frames", F.lit("head").alias("text_head"), F.lit("tail").alias("text_tail"), F.lit(0).alias("truncated_chars"))
     return frame_files_of.with_slots(archives, root, ASKED_BYTES, ESTIMATE)
