@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 from foliant.functions.text import dim_stopwords
 from foliant.operators import archive, layout, raster, writing
-from foliant.session import settled
+from foliant.session import settled, spread
 from foliant.sources import frame_store
 from foliant.streaming.index import ArchiveIndex
 
@@ -48,7 +48,7 @@ def laid_out(requests: DataFrame, looks: list[Look], batch: int, most: int, **op
     """``requests`` (writing.compact's columns and look) as archives that still lack images, one plan a look."""
     known = F.col("look").isin([x.name for x in looks])
     checked = requests.withColumn("look", F.when(known, F.col("look")).otherwise(F.raise_error(F.concat(F.lit("unknown look: "), F.coalesce("look", F.lit("null"))))))
-    checked = settled(checked)  # so that an unknown look fails here and filters read it from a table
+    checked = settled(spread(checked, "conv_id"))  # so that an unknown look fails here and filters read it from a table
     made = [
         writing.compact(checked.where(F.col("look") == x.name).drop("look"), high=(x.high.cols, x.high.rows), low=(x.low.cols, x.low.rows), most=most, shape=x.name, **options).withColumn("look", F.lit(x.name))
         for x in looks
@@ -63,7 +63,7 @@ def images(made: DataFrame, looks: list[Look], glyphs: raster.Glyphs) -> DataFra
     dimmed = F.when(F.col("look").isin([x.name for x in looks if x.dim]), dim_stopwords(text)).otherwise(text)
     shown = pages.select("conv_id", "frames_dir", "pos", F.concat_ws("/", "look", "page.tier").alias("sheet"), dimmed.alias("text"), layout.banner(F.col("pos") + 1, F.col("n")).alias("banner"))
     sheets = {f"{x.name}/{tier}": sheet for x in looks for tier, sheet in (("high", x.high), ("low", x.low))}
-    return raster.painted(shown, glyphs, sheets).drop("sheet").withColumn("file", archive.file_name(F.col("png")))
+    return raster.painted(spread(shown, "conv_id", "pos"), glyphs, sheets).drop("sheet").withColumn("file", archive.file_name(F.col("png")))
 
 
 def with_files(made: DataFrame, painted: DataFrame) -> DataFrame:

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from foliant.functions import cells, shapes
 from foliant.functions import text as T
 from foliant.operators import archive, blocks, context, files, layout, transcript, writing
-from foliant.session import importable, scratch, shared
+from foliant.session import importable, scratch, shared, spread
 from foliant.sources import frame_store
 from foliant.sources import frames as frame_files_of
 
@@ -1039,7 +1039,7 @@ def archive_rounds(t):
         asked = asked.select("conv_id", F.lit("entry").alias("first_kept"), "text", none.alias("summary"), none.alias("files"), F.when(F.col("conv_id") % 2 == 0, "plain").otherwise("dimmed").alias("look"))
         rounds.archive_round(asked, looks, raster.test_glyphs(), index, root, batch=i, ts=i, most=MOST)
     live = index.live()
-    files = live.select("conv_id", "frames_dir", F.explode("frames.file").alias("file")).join(frame_files_of.read(spark, root).select("frames_dir", "file"), ["frames_dir", "file"])
+    files = frame_files_of.present(spread(live.select("conv_id", "frames_dir", F.explode("frames.file").alias("file")), "conv_id", "file"), root)
     stored = files.groupBy("conv_id").agg(F.count_distinct("file").alias("stored"))
     made = live.join(stored, "conv_id", "left")
     drawn = F.aggregate("frames", F.lit(0).cast("long"), lambda n, f: n + f["chars"])

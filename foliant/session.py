@@ -63,3 +63,9 @@ def settled(df: DataFrame) -> DataFrame:
     path, schema = shared(df.sparkSession, "settled"), df.schema
     df.write.parquet(path)
     return df.sparkSession.read.schema(schema).parquet(path)
+
+
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """``df`` dealt out to at least four tasks a core, by ``keys`` or in turn: for rows of few bytes and much work, which Spark would pack into few tasks."""
+    spark = df.sparkSession
+    return df.repartition(max(int(spark.conf.get("spark.sql.shuffle.partitions")), 4 * spark.sparkContext.defaultParallelism), *keys)

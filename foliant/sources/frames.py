@@ -66,6 +66,32 @@ def read(spark: SparkSession, root: str) -> DataFrame:
     return named.where(archive.is_dir_name(F.col("frames_dir")) & archive.is_file_name(F.col("file")) & (archive.file_name(F.col("content")) == F.col("file")))
 
 
+def content(system: FileSystem, base: str, folder: str | None, name: str) -> bytes | None:
+    """The bytes of a frame's file; None where it is missing or does not match its name."""
+    try:
+        with system.open_input_stream(f"{base}/{folder}/{name}") as f:
+            png = f.read()
+    except FileNotFoundError:
+        return None
+    return png if hashlib.sha256(png).hexdigest() + ".png" == name else None
+
+
+def present(frames: DataFrame, root: str) -> DataFrame:
+    """The rows of ``frames`` (frames_dir, file and other columns) whose file is there and matches its name.
+
+    Each file is opened by the task that holds its row, so that neither folders are listed nor other files read.
+    """
+    importable(frames.sparkSession)
+
+    @F.arrow_udf("boolean")
+    def there(folders: pa.Array, names: pa.Array) -> pa.Array:
+        system, base = located(root)
+        return pa.array([content(system, base, folder, name) is not None for folder, name in zip(folders.to_pylist(), names.to_pylist())], pa.bool_())
+
+    named = frames.where(archive.is_dir_name(F.col("frames_dir")) & archive.is_file_name(F.col("file")))
+    return named.where(there.asNondeterministic()("frames_dir", "file"))  # so that the names are checked before
+
+
 def resolved(frames: DataFrame, stored: DataFrame) -> DataFrame:
     """Frames (conv_id, frames_dir, pos, file, data) with the data of their files where they hold none; null data: unavailable."""
     found = frames.join(stored, ["frames_dir", "file"], "left")
@@ -80,13 +106,9 @@ def slots_udf(root: str, most: int, estimate: int):
     def walk(frames: pa.Array, folders: pa.Array) -> pa.Array:
         system, base = located(root)
 
-        def content(folder: str | None, name: str) -> str | None:
-            try:
-                with system.open_input_stream(f"{base}/{folder}/{name}") as f:
-                    png = f.read()
-            except FileNotFoundError:
-                return None
-            return base64.b64encode(png).decode() if hashlib.sha256(png).hexdigest() + ".png" == name else None
+        def shown(folder: str | None, name: str) -> str | None:
+            png = content(system, base, folder, name)
+            return None if png is None else base64.b64encode(png).decode()
 
         rows = []
         for some, folder in zip(frames.to_pylist(), folders.to_pylist()):
@@ -97,7 +119,7 @@ def slots_udf(root: str, most: int, estimate: int):
                 if used + cost > most:
                     slots.append({"state": archive.OMITTED, "bytes": cost, "data": None})
                     continue
-                data = data or (content(folder, frame["file"]) if frame["file"] else None)
+                data = data or (shown(folder, frame["file"]) if frame["file"] else None)
                 used += len(data or "")
                 slots.append({"state": archive.KEPT if data else archive.UNAVAILABLE, "bytes": len(data or ""), "data": data})
             rows.append(None if some is None else slots[::-1])

@@ -15,13 +15,16 @@ archive is never removed.
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
+from pyarrow.fs import FileType
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from foliant.operators import archive
-from foliant.session import exists, remove
+from foliant.session import exists, importable, remove, spread
+from foliant.sources.frames import located
 
 
 class ArchiveIndex:
@@ -75,13 +78,21 @@ class ArchiveIndex:
         return mine.join(self.live().select("frames_dir"), "frames_dir", "left_anti")
 
     def collect_garbage(self, frames: str) -> int:
-        """Remove the superseded folders below ``frames``; returns how many there were. Names stream through the driver one by one."""
-        gone = 0
-        for (name,) in self.superseded().where(archive.is_dir_name(F.col("frames_dir"))).toLocalIterator():
-            if exists(self.spark, f"{frames}/{name}"):
-                remove(self.spark, f"{frames}/{name}")
-                gone += 1
-        return gone
+        """Remove the superseded folders below ``frames``, each by the task that holds its name; returns how many there were."""
+        importable(self.spark)
+
+        def drop(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            system, base = located(frames)
+            for batch in batches:
+                gone = 0
+                for name in batch["frames_dir"].to_pylist():
+                    if system.get_file_info(f"{base}/{name}").type == FileType.Directory:
+                        system.delete_dir(f"{base}/{name}")
+                        gone += 1
+                yield pa.RecordBatch.from_arrays([pa.array([gone], pa.int64())], names=["gone"])
+
+        names = self.superseded().where(archive.is_dir_name(F.col("frames_dir")))
+        return spread(names, "frames_dir").mapInArrow(drop, "gone long").agg(F.coalesce(F.sum("gone"), F.lit(0))).first()[0]
 
     def merge_batches(self, upto: int) -> None:
         """Rewrite the batches up to a number as that batch, so that readers list few folders: superseded and older versions go."""
