@@ -1099,7 +1099,7 @@ def raster_pages(t):
     pages = layout.pages_of(planned(t, MOST))
     spark = pages.sparkSession
     shown = pages.select("conv_id", "page_no", layout.banner(F.col("page_no"), F.col("pages")).alias("banner"), "text")
-    painted = shown.select("conv_id", "page_no", raster.page_udf(spark, raster.test_glyphs(), raster.Sheet(11, 16, 176))("text", "banner").alias("p"))
+    painted = spread(shown, "conv_id", "page_no").select("conv_id", "page_no", raster.page_udf(spark, raster.test_glyphs(), raster.Sheet(11, 16, 176))("text", "banner").alias("p"))
     return painted.select("conv_id", "page_no", "p.height", "p.chars", archive.is_file_name(archive.file_name(F.col("p.png"))).alias("named"))
 
 
