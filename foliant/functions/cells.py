@@ -7,11 +7,15 @@ are paginated by substring; the others go through an Arrow function of one fold
 from __future__ import annotations
 
 import re
+from bisect import bisect_right
+from functools import lru_cache
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from foliant.functions.batches import in_blocks
 from foliant.functions.text import DIM_OFF, DIM_ON, MARKS
 
 # Inclusive code point ranges of two-cell characters.
@@ -52,23 +56,53 @@ def _width(ch: str, wide_cells: bool) -> int:
     return 2 if wide_cells and any(a <= ord(ch) <= b for a, b in WIDE) else 1
 
 
+@lru_cache(2)
+def widths(wide_cells: bool) -> np.ndarray:
+    """Cells by code point."""
+    table = np.ones(0x110000, np.uint8)
+    table[[ord(m) for m in MARKS]] = 0
+    for a, b in WIDE if wide_cells else []:
+        table[a : b + 1] = 2
+    return table
+
+
+#: Characters that do not take one cell.
+MARKED = re.compile(f"[{MARKS}]")
+UNEVEN = re.compile(f"[{MARKS}{''.join(f'{chr(a)}-{chr(b)}' for a, b in WIDE)}]")
+
+
+def reach(ends: memoryview, start: int, cells: int) -> int:
+    """How far so many cells go from ``start``, with the marks behind them."""
+    near = min(len(ends), start + cells + 2)
+    stop = near if ends[near - 1] > ends[start] + cells else len(ends)
+    return bisect_right(ends, ends[start] + cells, start, stop) - 1
+
+
 def cut_pages(text: str, capacity: int, cols: int, wide_cells: bool) -> list[str]:
-    """Pages of a text; a wide character never straddles a row, marks stay on the page before."""
-    pages, page, cursor = [], [], 0
-    for ch in text:
-        width = _width(ch, wide_cells)
-        if not width:
-            page.append(ch)
-            continue
-        pad = 1 if width == 2 and cols >= 2 and cursor % cols == cols - 1 else 0
-        if cursor and cursor + pad + width > capacity:
-            pages.append(page)
-            page, cursor, pad = [], 0, 0
-        page.append(ch)
-        cursor += pad + width
-    if cursor:
-        pages.append(page)
-    return ["".join(p) for p in pages]
+    """Pages of a text; a wide character never straddles a row, marks stay on the page before.
+
+    ``ends`` counts the cells before each character, so a row, or a page without wide characters, is one step.
+    """
+    if not (UNEVEN if wide_cells else MARKED).search(text):
+        step = max(1, capacity)
+        return [text[i : i + step] for i in range(0, len(text), step)]
+    cells = widths(wide_cells)[np.frombuffer(text.encode("utf-32-le"), np.uint32)]
+    ends, wide = (memoryview(np.concatenate([[0], np.cumsum(c, dtype=np.int64)])) for c in (cells, cells == 2))
+    rows, rest = divmod(capacity, cols) if cols >= 2 else (0, capacity)
+    pages, start, n = [], 0, len(text)
+    while ends[n] > ends[start]:
+        stop = reach(ends, start, capacity)
+        if wide[stop] > wide[start] or (stop < n and ends[stop] - ends[start] < capacity):
+            stop = start
+            for _ in range(rows):
+                stop = reach(ends, stop, cols)
+            stop = reach(ends, stop, rest)
+        if ends[stop] == ends[start]:  # a page takes a character even where that is wider
+            first = bisect_right(ends, ends[start], start)
+            stop = reach(ends, start, ends[first] - ends[start])
+        pages.append(text[start:stop])
+        start = stop
+    return pages
 
 
 #: Words whose characters take one cell each.
@@ -103,8 +137,11 @@ def pages_udf(wide_cells: bool = True):
 
     @F.arrow_udf("array<string>")
     def pages(texts: pa.Array, capacities: pa.Array, cols: pa.Array) -> pa.Array:
-        found = [None if t is None else cut_pages(t, int(n), int(c), wide_cells) for t, n, c in zip(texts.to_pylist(), capacities.to_pylist(), cols.to_pylist())]
-        return pa.array(found, pa.list_(pa.string()))
+        def block(*part: pa.Array) -> pa.Array:
+            found = [None if t is None else cut_pages(t, int(n), int(c), wide_cells) for t, n, c in zip(*[p.to_pylist() for p in part])]
+            return pa.array(found, pa.list_(pa.string()))
+
+        return in_blocks(block, texts, capacities, cols)
 
     return pages
 
@@ -112,7 +149,7 @@ def pages_udf(wide_cells: bool = True):
 def lines_udf(width: int, wide_cells: bool = True):
     @F.arrow_udf("array<string>")
     def lines(texts: pa.Array) -> pa.Array:
-        return pa.array([None if t is None else wrap_lines(t, width, wide_cells) for t in texts.to_pylist()], pa.list_(pa.string()))
+        return in_blocks(lambda part: pa.array([None if t is None else wrap_lines(t, width, wide_cells) for t in part.to_pylist()], pa.list_(pa.string())), texts)
 
     return lines
 

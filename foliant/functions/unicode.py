@@ -125,7 +125,7 @@ FOREIGN = f"[^\\x{{0}}-\\x{{FF}}\\x{{2500}}-\\x{{257F}}{CELL}{''.join([*PUNCTUAT
 
 def normalize_routed(text: Column, printable: frozenset[str] = frozenset()) -> Column:
     """Normalized text of any script: native for texts that it knows all characters of; only the others travel to Python."""
-    foreign = text.rlike(FOREIGN)
+    foreign = text.rlike(r"[\x{100}-\x{10FFFF}]") & text.rlike(FOREIGN)
     resolved = normalize_udf(printable).asNondeterministic()  # so that the optimizer does not copy the call into every use of the text
     return F.when(foreign, resolved(F.when(foreign, text))["text"]).otherwise(normalize_latin(text))
 
