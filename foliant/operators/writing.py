@@ -80,7 +80,8 @@ def joined(requests: DataFrame, thinking: bool = True, printable: frozenset[str]
     old = source_text(F.col("previous.text"), F.col("previous.text_head"), F.col("previous.text_tail"))
     staged = requests.withColumn("old", elide_data_urls(F.coalesce(old, F.lit("")), every=True))
     staged = staged if thinking else staged.withColumn("old", strip_thinking(F.col("old")))
-    staged = staged.withColumn("new", normalize_routed(F.coalesce("text", F.lit("")), printable)).withColumn("told", normalize_routed(F.coalesce("summary", F.lit("")), printable))
+    normal = {name: normalize_routed(F.coalesce(source, F.lit("")), printable) for name, source in (("new", "text"), ("told", "summary"))}
+    staged = staged.withColumns(normal)  # in one step, so that one Python worker of a task does both
     digest = (F.col("old") == "") & (F.coalesce("summary", F.lit("")) != "")
     summed = F.concat(F.lit("[Digest of earlier history] "), F.col("told"))
     gap = lambda a, b, by: F.concat(a, F.when((a != "") & (b != ""), by).otherwise(""), b)
