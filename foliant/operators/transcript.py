@@ -85,10 +85,11 @@ def arguments(text: Column) -> Column:
     variant type tells a text from what only looks like it. Text that is no object has no arguments.
     """
     raw, typed = F.from_json(text, "map<string,string>"), F.from_json(text, "map<string,variant>")
-    kinds = F.map_values(typed)
-    quoted = lambda v: F.regexp_extract(F.to_json(F.array(v)), r"(?s)\A\[(.*)\]\z", 1)
-    written = lambda e, i: F.when(e["value"].isNull(), "null").when(F.schema_of_variant(kinds[i]) == "STRING", quoted(e["value"])).otherwise(e["value"])
-    shown = F.transform(F.map_entries(raw), lambda e, i: F.struct(e["key"].alias("k"), written(e, i).alias("v_json")))
+    quoted = lambda v: F.btrim(F.to_json(F.array(v)), F.lit("[]"))  # noqa: E731 - a JSON text has quotes at both ends
+    written = lambda v, kind: F.when(v.isNull(), "null").when(F.schema_of_variant(kind) == "STRING", quoted(v)).otherwise(v)
+    # side by side, because what a lambda names from outside is computed anew for each element
+    pairs = F.arrays_zip(F.map_entries(raw).alias("e"), F.map_values(typed).alias("kind"))
+    shown = F.transform(pairs, lambda p: F.struct(p["e"]["key"].alias("k"), written(p["e"]["value"], p["kind"]).alias("v_json")))
     return F.coalesce(shown, F.array().cast("array<struct<k:string,v_json:string>>"))
 
 
@@ -96,7 +97,9 @@ def call_line(name: Column, args: Column) -> Column:
     """A call as ``name(key=value, ...)``; ``args``: array of (k, v_json) in order."""
     clean = F.transform(args, lambda a: F.struct(a["k"].alias("k"), elide_data_urls(a["v_json"]).alias("v")))
     shown = F.transform(clean, lambda a: F.concat(a["k"], F.lit("="), truncate_middle(a["v"], ARG_CHARS, HEAD_SHARE)))
-    return F.concat(name, F.lit("("), truncate_middle(F.array_join(shown, ", "), CALL_CHARS, HEAD_SHARE), F.lit(")"))
+    # an array of one line, so that it is computed once
+    line = F.transform(F.array(F.array_join(shown, ", ")), lambda s: truncate_middle(s, CALL_CHARS, HEAD_SHARE))[0]
+    return F.concat(name, F.lit("("), line, F.lit(")"))
 
 
 def calls_with_results(calls: DataFrame, results: DataFrame) -> DataFrame:

@@ -738,7 +738,7 @@ def call_arguments(t):
     said = F.concat(
         F.lit('{"z": "say \\"'), "event_type", F.lit('\\"", "a" : {"y": 1, "b": [true, null, "x"]}, "num":"7", "none": null, "props": '), F.coalesce("props", F.lit("0")), F.lit(', "long": "'), F.repeat("event_type", F.lit(200)), F.lit('"}')
     )
-    args = t("events").select("event_id", said.alias("said")).withColumn("args", transcript.arguments(F.col("said")))
+    args = spread(t("events").select("event_id", "event_type", "props")).select("event_id", said.alias("said")).withColumn("args", transcript.arguments(F.col("said")))
     return args.select("event_id", transcript.call_line(F.lit("look"), F.col("args")).alias("text"))
 
 
