@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from foliant.functions import cells, shapes
 from foliant.functions import text as T
 from foliant.operators import archive, blocks, context, files, layout, transcript, writing
-from foliant.session import importable, scratch, shared, spread
+from foliant.session import importable, scratch, settled, shared, spread
 from foliant.sources import frame_store
 from foliant.sources import frames as frame_files_of
 
@@ -1053,7 +1053,7 @@ def recompact_state(t):
     """The same rounds as a stream over files: one trigger a round, the archives so far as state in RocksDB."""
     from foliant.streaming import refold
 
-    rounds = rounds_of(t).withColumn("text", T.normalize_latin(F.col("text")))
+    rounds = settled(rounds_of(t).withColumn("text", T.normalize_latin(F.col("text"))))  # once for all triggers
     spark = rounds.sparkSession
     root = shared(spark, "refold")
     everyone = rounds.select("conv_id").distinct()

@@ -14,7 +14,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
@@ -68,13 +68,13 @@ class Refold(StatefulProcessor):
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.archive = handle.getValueState("archive", STATE)
 
-    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues: object) -> Iterator[pd.DataFrame]:
-        text, truncated, n = self.archive.get() if self.archive.exists() else ("", 0, 0)
-        arrived = pd.concat(list(rows)).sort_values("round")
-        for new in arrived["text"]:
+    def handleInputRows(self, key: tuple, rows: Iterator[Row], timerValues: object) -> Iterator[Row]:
+        text, truncated, n = self.archive.get() or ("", 0, 0)
+        arrived = sorted(((r["round"], r["text"]) for r in rows), key=lambda r: r[0])
+        for _, new in arrived:
             text, truncated = fold(text, truncated, new or "", *self.page)
         self.archive.update((text, truncated, n + len(arrived)))
-        yield pd.DataFrame([(key[0], n + len(arrived), text, truncated)], columns=["conv_id", "rounds", "text", "truncated"])
+        yield Row(conv_id=key[0], rounds=n + len(arrived), text=text, truncated=truncated)
 
     def close(self) -> None:
         pass
@@ -82,7 +82,7 @@ class Refold(StatefulProcessor):
 
 def refold_stream(rounds: DataFrame, high: int, low: int, most: int) -> DataFrame:
     """The same over a stream: a row per conversation for each trigger in which it got rounds."""
-    return rounds.select("conv_id", "round", "text").groupBy(F.col("conv_id")).transformWithStateInPandas(Refold(high, low, most), OUT, "Update", "None")
+    return rounds.select("conv_id", "round", "text").groupBy(F.col("conv_id")).transformWithState(Refold(high, low, most), OUT, "Update", "None")
 
 
 def follow(spark: SparkSession, rounds: DataFrame, root: str, high: int, low: int, most: int) -> None:
