@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -59,13 +61,13 @@ def remove(spark: SparkSession, path: str) -> None:
     system.delete(found, True)
 
 
-def stash(df: DataFrame) -> DataFrame:
+def stash(df: DataFrame, path: str | None = None) -> DataFrame:
     """Write ``df`` to the shared folder and read it again: cuts lineage and survives lost executors.
 
     The shuffle files of the write go when it is done.
     """
     spark = importable(df.sparkSession)
-    path, schema, before = shared_dir(spark), df.schema, spark.conf.get(CLEANUP)
+    path, schema, before = path or shared_dir(spark), df.schema, spark.conf.get(CLEANUP)
     spark.conf.set(CLEANUP, "true")
     try:
         df.write.parquet(path)
@@ -74,6 +76,16 @@ def stash(df: DataFrame) -> DataFrame:
     return spark.read.schema(schema).parquet(path)
 
 
+@contextmanager
+def stashed(df: DataFrame) -> Iterator[DataFrame]:
+    """A stash of ``df`` that goes with the end of the block; what is made of it must be written by then."""
+    path = shared_dir(importable(df.sparkSession))
+    try:
+        yield stash(df, path)
+    finally:
+        remove(df.sparkSession, path)
+
+
 def id_order(col: str | Column) -> Column:
     """The id as a number that is never null."""
     return F.coalesce(F.col(col) if isinstance(col, str) else col, F.lit(LOWEST_ID))

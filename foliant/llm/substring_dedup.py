@@ -37,7 +37,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from foliant.llm.common import fresh, id_order, stash, table
+from foliant.llm.common import fresh, id_order, stash, stashed, table
 from foliant.llm.word_hash import U, hash_words, mix
 
 WINDOW = 20
@@ -235,13 +235,16 @@ def dedup_passages(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text
     h = F.coalesce(F.sha2(F.col(text).cast("binary"), 256), F.lit("")) if repeated_ids else F.lit("")  # tells texts of one id apart
     named = docs.select(id_order(doc_id).alias("d"), h.alias("h"), F.col(text).alias("text")).where(F.col("text").isNotNull())
     segments = named.mapInArrow(segment_rows, "anchor long, check long, d long, h string, start int, n int")
-    anchors = segments.groupBy("anchor").agg(F.min("d").alias("first"), F.max("d").alias("last"), F.min("check").alias("low"), F.max("check").alias("high")).where("first < last").drop("last")
-    shared = segments.join(anchors, "anchor").select("d", "h", "start", "n", (F.col("low") < F.col("high")).alias("open"), (F.col("d") > F.col("first")).alias("later")).where("open or later")
     at = F.struct("start", "n")
-    marks = stash(shared.groupBy("d", "h").agg(F.collect_list(F.when(~F.col("open"), at)).alias("gone"), F.collect_list(F.when(F.col("open"), at)).alias("open")))
+    # segments and windows are read twice, so they are written once instead of being parsed from the texts twice
+    with stashed(segments) as segments:
+        anchors = segments.groupBy("anchor").agg(F.min("d").alias("first"), F.max("d").alias("last"), F.min("check").alias("low"), F.max("check").alias("high")).where("first < last").drop("last")
+        shared = segments.join(anchors, "anchor").select("d", "h", "start", "n", (F.col("low") < F.col("high")).alias("open"), (F.col("d") > F.col("first")).alias("later")).where("open or later")
+        marks = stash(shared.groupBy("d", "h").agg(F.collect_list(F.when(~F.col("open"), at)).alias("gone"), F.collect_list(F.when(F.col("open"), at)).alias("open")))
     windows = named.join(marks.where(F.size("open") > 0).select("d", "h", "open"), ["d", "h"]).select("d", "h", "open", "text").mapInArrow(window_rows, "w1 long, w2 long, d long, h string, start int")
-    earliest = windows.groupBy("w1", "w2").agg(F.min("d").alias("first"), F.max("d").alias("last")).where("first < last").drop("last")
-    starts = stash(windows.join(earliest, ["w1", "w2"]).where("d > first").groupBy("d", "h").agg(F.collect_list("start").alias("starts")))
+    with stashed(windows) as windows:
+        earliest = windows.groupBy("w1", "w2").agg(F.min("d").alias("first"), F.max("d").alias("last")).where("first < last").drop("last")
+        starts = stash(windows.join(earliest, ["w1", "w2"]).where("d > first").groupBy("d", "h").agg(F.collect_list("start").alias("starts")))
     known = marks.select("d", "h", "gone").join(starts, ["d", "h"], "full")
     rows = docs.select(F.struct(*(carry or docs.columns)).alias("row"), id_order(doc_id).alias("d"), h.alias("h"), F.col(text).alias("text"))
     joined = rows.join(known, ["d", "h"], "left")
