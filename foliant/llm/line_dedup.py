@@ -45,8 +45,9 @@ BUCKETS = 1 << 16
 #: MinHash values of a prefix under which a line meets an earlier one.
 STARS = 3
 CENTRES = 8
-#: Lines of so many words have two, and four, times 64 parity bits.
-LONG, LONGER = 40, 112
+#: Lines of so many words have two, and four, times 64 parity bits: below, unlike lines still differ in far more bits
+#: than similar ones may, and each further 64 bits are another walk over the words.
+LONG, LONGER = 72, 200
 BITS = ["b0", "b1", "b2", "b3"]
 #: Bits of the Bloom filter of candidate lines: so many a line, up to a bound of 8 MB.
 BITS_PER_LINE, MAX_BITS = 16, 1 << 26
@@ -65,7 +66,8 @@ def bucket(h: Column) -> Column:
 
 def rarity(docs: DataFrame) -> Column:
     """By hash bucket: quarter powers of two of the count of its words."""
-    each = docs.select(F.explode(F.split(F.translate("spaced", "\n", " "), " ")).alias("word")).where("word <> ''")
+    one_line = F.replace("spaced", F.lit("\n"), F.lit(" "))  # translate would look up every character
+    each = docs.select(F.explode(F.split(one_line, " ")).alias("word")).where("word <> ''")
     ranks = [0] * BUCKETS
     for b, n in each.groupBy(bucket(F.xxhash64("word")).alias("b")).count().collect():  # at most BUCKETS rows
         ranks[b] = min(127, int(4 * math.log2(n)))
