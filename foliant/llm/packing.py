@@ -34,6 +34,7 @@ import zlib
 from array import array
 from bisect import bisect_right
 from collections import defaultdict
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -51,6 +52,8 @@ WINDOW_ROWS = 100_000
 END_ID = 0
 #: Remembered words of a Python worker, in each of two generations.
 CACHE = 320_000
+#: Texts encoded at once, in bytes: each distinct word of a batch is looked up once, so few large batches cost less.
+BATCH_BYTES = 8 << 20
 
 #: White space other than the space and the line feed; texts that have any are encoded whole.
 RARE_SPACE = re.compile(r"[^\S \n]")
@@ -157,6 +160,15 @@ def cut(ids: bytes, capacity: int) -> list[tuple[int, int, int, int]]:
     return [(i, a, b - a, zlib.crc32(ids[4 * a : 4 * b])) for i, (a, b) in enumerate(zip(bounds, bounds[1:]))]
 
 
+def batches(texts: pa.Array) -> Iterator[pa.Array]:
+    """``texts`` in slices of ``BATCH_BYTES``, and one text more, at most."""
+    sizes = pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+    number = (np.cumsum(sizes) - sizes) // BATCH_BYTES
+    bounds = [0, *(np.flatnonzero(np.diff(number)) + 1).tolist(), len(texts)]
+    for a, b in zip(bounds, bounds[1:]):
+        yield texts[a:b]
+
+
 def pieces_udf(path: str, capacity: int):
     kind = pa.list_(pa.struct([("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64())]))
 
@@ -165,8 +177,8 @@ def pieces_udf(path: str, capacity: int):
         if path not in _ENCODERS:
             _ENCODERS[path] = Encoder(path)
         out = []
-        for at in range(0, len(texts), 1000):
-            out += [[dict(zip(("piece", "start", "length", "ids_crc32"), p)) for p in cut(ids, capacity)] for ids in _ENCODERS[path].encode(texts[at : at + 1000])]
+        for batch in batches(texts):
+            out += [[dict(zip(("piece", "start", "length", "ids_crc32"), p)) for p in cut(ids, capacity)] for ids in _ENCODERS[path].encode(batch)]
         return pa.array(out, kind)
 
     return pieces

@@ -48,3 +48,14 @@ def test_own_tokens_of_the_vocabulary():
     for text, ids in zip(texts, found):
         assert list(np.frombuffer(ids, "<u4")) == [*encoder.tokenizer.encode(text, add_special_tokens=False).ids, packing.END_ID]
     assert encoder.tokenizer.encode("a <|endoftext|> b", add_special_tokens=False).ids == [64, 220, 50256, 275]
+
+
+def test_batches_are_bounded_by_bytes_not_rows(monkeypatch):
+    import pyarrow as pa
+
+    monkeypatch.setattr(packing, "BATCH_BYTES", 60_000)
+    short = pa.array(["plain words here"] * 3000 + [None, ""])  # 48 kB: one batch, so each word is looked up once
+    assert [len(b) for b in packing.batches(short)] == [3002]
+    long = pa.array(["x" * 50_000] * 7)
+    assert max(len(b) for b in packing.batches(long)) <= 2
+    assert pa.concat_arrays(list(packing.batches(long))).equals(long) and sum(map(len, packing.batches(pa.array([], pa.string())))) == 0
