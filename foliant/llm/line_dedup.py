@@ -21,8 +21,8 @@ input. Steps, all DataFrame functions:
    are not shuffled for it.
 6. Documents keep the representatives without an earlier match, and blank lines.
 
-Very frequent words come last in the order and so are hardly posted; a hot posting list meets in a
-join that adaptive execution splits.
+Very frequent words come last in the order and so are hardly posted. Within a posting list lines meet by
+bands of sizes; the bands of one list are joined in the task that has the list.
 
 Defined cases: a null text stays null; lines without words stay; documents left without lines become
 an empty text and stay; rows with equal id and text are one document (all keep the same lines), rows
@@ -33,6 +33,8 @@ are kept as they are, whatever their names.
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
+from contextlib import contextmanager
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -52,6 +54,8 @@ BITS = ["b0", "b1", "b2", "b3"]
 #: Bits of the Bloom filter of candidate lines: so many a line, up to a bound of 8 MB.
 BITS_PER_LINE, MAX_BITS = 16, 1 << 26
 AT = ["d", "h", "ln"]
+#: Whether both sides of a join must be dealt by all of its keys.
+ALL_KEYS = "spark.sql.requireAllClusterKeysForCoPartition"
 
 
 def spaced(text: Column) -> Column:
@@ -91,15 +95,15 @@ def one_bit(place: Column) -> Column:
 
 
 def parities(codes: Column, n: Column) -> list[Column]:
-    """64 bits, each the parity of the number of words that hash to it; of long lines once for each part of the words.
+    """64 bits, each the parity of the number of words that hash to it; of long lines the same of some parts of the words.
 
-    Two sets differ in no fewer words than bits.
+    Two sets differ in no fewer words than bits. The first part needs no walk of its own: ``differ`` takes the others from the whole.
     """
     parts = F.when(n < LONG, 0).when(n < LONGER, 1).otherwise(3)
     zero = F.lit(0).cast("long")
     of = lambda i: F.aggregate(codes, zero, lambda acc, c: acc.bitwiseXOR(F.call_function("shiftleft", (F.shiftright(c, 6).bitwiseAND(parts) == i).cast("long"), c.bitwiseAND(F.lit(63)).cast("int"))))
-    plain = F.aggregate(codes, zero, lambda acc, c: acc.bitwiseXOR(one_bit(c)))
-    return [F.when(parts == 0, plain).otherwise(of(0)), *[F.when(parts >= i, of(i)).otherwise(zero) for i in range(1, len(BITS))]]
+    whole = F.aggregate(codes, zero, lambda acc, c: acc.bitwiseXOR(one_bit(c)))
+    return [whole, *[F.when(parts >= i, of(i)).otherwise(zero) for i in range(1, len(BITS))]]
 
 
 def representatives(docs: DataFrame, ranks: Column, threshold: float) -> DataFrame:
@@ -123,9 +127,9 @@ def sided(lines: DataFrame, side: str, *same: str) -> DataFrame:
     return lines.select(*[F.col(c) if c in same else F.col(c).alias(c + side) for c in lines.columns])
 
 
-def is_later() -> Column:
+def is_later(x: str = "x", y: str = "y") -> Column:
     """Whether x comes after y."""
-    d, h, ln = ((F.col(c + "x"), F.col(c + "y")) for c in AT)
+    d, h, ln = ((F.col(c + x), F.col(c + y)) for c in AT)
     return (d[0] > d[1]) | ((d[0] == d[1]) & ((h[0] > h[1]) | ((h[0] == h[1]) & (ln[0] > ln[1]))))
 
 
@@ -134,28 +138,34 @@ def least_overlap(nx: Column, ny: Column, threshold: float) -> Column:
     return F.ceil(threshold / (1 + threshold) * (nx + ny) - 1e-9)
 
 
-def differ(nx: Column, ny: Column) -> Column:
+def differ(nx: Column, ny: Column, x: str = "x", y: str = "y") -> Column:
     """Words at least in which x and y differ, from the parity bits that both have."""
-    both = {b: F.col(b + "x").bitwiseXOR(F.col(b + "y")) for b in BITS}
-    least = F.least(nx, ny)
-    four = sum((F.bit_count(x) for x in both.values()), F.lit(0))
-    two = F.bit_count(both["b0"].bitwiseXOR(both["b2"])) + F.bit_count(both["b1"].bitwiseXOR(both["b3"]))
-    return F.when(least < LONG, F.bit_count(reduce(Column.bitwiseXOR, both.values()))).when(least < LONGER, two).otherwise(four)
+    whole, *rest = [F.col(b + x).bitwiseXOR(F.col(b + y)) for b in BITS]
+    least, odd = F.least(nx, ny), rest[0].bitwiseXOR(rest[2])
+    four = sum((F.bit_count(z) for z in rest), F.bit_count(reduce(Column.bitwiseXOR, rest, whole)))
+    two = F.bit_count(whole.bitwiseXOR(odd)) + F.bit_count(odd)
+    return F.when(least < LONG, F.bit_count(whole)).when(least < LONGER, two).otherwise(four)
+
+
+def near_enough(x: str, y: str, threshold: float) -> Column:
+    """Parity filter of the lines x and y."""
+    nx, ny = F.col("n" + x), F.col("n" + y)
+    return differ(nx, ny, x, y) <= nx + ny - 2 * least_overlap(nx, ny, threshold)
 
 
 def may_be_similar(nx: Column, ny: Column, threshold: float) -> Column:
     """Length and parity filters of the lines x and y."""
-    return (F.least(nx, ny) >= threshold * F.greatest(nx, ny) - 1e-9) & (differ(nx, ny) <= nx + ny - 2 * least_overlap(nx, ny, threshold))
+    return (F.least(nx, ny) >= threshold * F.greatest(nx, ny) - 1e-9) & near_enough("x", "y", threshold)
 
 
 def star_pairs(reps: DataFrame, threshold: float) -> DataFrame:
     """Lines x, each with the likeliest y of the earliest lines that share a MinHash value of the prefix."""
     value = lambda i: F.array_min(F.transform("prefix", lambda c: F.xxhash64(c, F.lit(i))))
-    own = reps.select(*AT, "n", *BITS, F.explode(F.array(*[value(i) for i in range(STARS)])).alias("key"))
-    part = F.pmod(F.xxhash64(*AT), F.lit(CENTRES))
-    firsts = [F.min(F.when(part == i, F.struct(*AT, "n", *BITS))).alias(f"y{i}") for i in range(CENTRES)]
-    first = own.groupBy("key").agg(F.count("*").alias("many"), *firsts).where("many > 1").select("key", *[f"y{i}" for i in range(CENTRES)])
-    met = sided(own, "x", "key").join(first, "key").select("*", F.explode(F.array_compact(F.array(*[f"y{i}" for i in range(CENTRES)]))).alias("y"))
+    # both sides of the join are made of this one exchange, so no condition is on one side alone
+    own = reps.where("prefix is not null and n is not null").select(*AT, "n", *BITS, F.explode(F.array(*[value(i) for i in range(STARS)])).alias("key")).repartition("key")
+    part = F.pmod(F.xxhash64(*AT), F.lit(CENTRES)).alias("part")
+    first = own.groupBy("key", part).agg(F.min(F.struct(*AT, "n", *BITS)).alias("y")).select("key", "y")
+    met = sided(own, "x", "key").join(first, "key")
     met = met.select(*[c + "x" for c in (*AT, "n", *BITS)], *[F.col(f"y.{c}").alias(c + "y") for c in (*AT, "n", *BITS)])
     x, y = ([c + side for c in AT] for side in "xy")
     nx, ny = F.col("nx"), F.col("ny")
@@ -166,17 +176,25 @@ def star_pairs(reps: DataFrame, threshold: float) -> DataFrame:
 def prefix_pairs(reps: DataFrame, threshold: float) -> DataFrame:
     """Open lines x (``open`` 1) with all earlier lines y that share a word of their prefixes and pass the filters.
 
-    Of a pair the smaller set needs a shorter prefix only, because it must share more of its words. Both
-    sides of the join are one exchange, so no condition is on one side alone.
+    Of a pair the smaller set (p) needs a shorter prefix only, because it must share more of its words, and the larger
+    one (q) is of the same band of sizes or the next. Both sides of the join are made of one exchange, by words, so the
+    bands are dealt behind it and no condition is on one side alone.
     """
-    posted = reps.select(*AT, "n", "open", *BITS, F.posexplode("prefix").alias("i", "code"))
-    met = sided(posted, "x", "code").join(sided(posted, "y", "code"), "code")
-    nx, ny, ix, iy = (F.col(c) for c in ("nx", "ny", "ix", "iy"))
-    short = lambda n: n - F.ceil(2 * threshold / (1 + threshold) * n - 1e-9) + 1
-    open_x = 2 * F.col("openx") + F.col("openy") > 1
-    within = F.when(nx <= ny, ix < short(nx)).otherwise(iy < short(ny))
-    reachable = F.least(nx - ix, ny - iy) >= least_overlap(nx, ny, threshold)
-    return met.where(is_later() & open_x & within & reachable & may_be_similar(nx, ny, threshold)).select(*[c + s for s in "xy" for c in AT]).distinct()
+    posted = reps.where("prefix is not null and n is not null").select(*AT, "n", "open", *BITS, F.posexplode("prefix").alias("i", "code")).repartition("code")
+    n = F.col("n")
+    # a little wider than the ratio of similar sizes, so that rounding leaves no pair two bands apart
+    band = F.coalesce(F.floor(F.log(n) / (-math.log(threshold) * (1 + 1e-6) if threshold < 1 else 1)).cast("int"), F.lit(-1))
+    short = F.col("i") < n - F.ceil(2 * threshold / (1 + threshold) * n - 1e-9) + 1
+    near = F.explode(F.array(F.when(short, band), F.when(short, band + 1))).alias("band")
+    met = sided(posted.select("*", near), "p", "code", "band").join(sided(posted.withColumn("band", band), "q", "code", "band"), ["code", "band"])
+    np_, nq, ip, iq = (F.col(c) for c in ("np", "nq", "ip", "iq"))
+    sizes = (np_ <= nq) & (np_ >= threshold * nq - 1e-9)
+    p_later, q_later = is_later("p", "q"), is_later("q", "p")
+    open_later = (p_later & (F.col("openp") == 1)) | (q_later & (F.col("openq") == 1))
+    reachable = F.least(np_ - ip, nq - iq) >= least_overlap(np_, nq, threshold)
+    found = met.where(sizes & reachable & open_later & near_enough("p", "q", threshold))
+    ordered = [F.when(p_later, F.col(c + s)).otherwise(F.col(c + t)).alias(c + side) for side, s, t in (("x", "p", "q"), ("y", "q", "p")) for c in AT]
+    return found.select(*ordered).distinct()
 
 
 def maybe_among(asked: DataFrame) -> Column:
@@ -201,12 +219,24 @@ def verified(docs: DataFrame, pairs: DataFrame, ranks: Column, threshold: float)
     return stash(both.where(similar).select(*[F.col(c + "x").alias(c) for c in AT]).distinct())
 
 
+@contextmanager
+def dealt_by_words(spark: SparkSession) -> Iterator[None]:
+    """Rows dealt by one key of a join are not dealt again by all of its keys."""
+    before = spark.conf.get(ALL_KEYS)
+    spark.conf.set(ALL_KEYS, "false")
+    try:
+        yield
+    finally:
+        spark.conf.set(ALL_KEYS, before)
+
+
 def matched(docs: DataFrame, reps: DataFrame, ranks: Column, threshold: float) -> DataFrame:
     """(d, h, ln) of representatives with an earlier line that is similar."""
     joins = reps.where(F.col("prefix").isNotNull())
     stars = verified(docs, star_pairs(joins, threshold), ranks, threshold)
     marked = joins.join(stars.withColumn("gone", F.lit(True)), AT, "left").withColumn("open", F.when(F.col("gone").isNull(), 1).otherwise(0)).drop("gone")
-    return stars.unionByName(verified(docs, prefix_pairs(marked, threshold), ranks, threshold))
+    with dealt_by_words(docs.sparkSession):
+        return stars.unionByName(verified(docs, prefix_pairs(marked, threshold), ranks, threshold))
 
 
 def dedup_lines(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", threshold: float = THRESHOLD) -> DataFrame:
