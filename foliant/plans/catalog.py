@@ -940,7 +940,7 @@ def frame_files(t):
     frame_store.save(docs.where("conv_id % 4 > 0"), root)
     file = F.when(F.col("conv_id") % 4 == 0, F.concat(F.sha2(F.concat(F.lit(b"gone"), F.col("png")), 256), F.lit(".png"))).otherwise(archive.file_name(F.col("png")))
     asked = docs.select("conv_id", "pos", "frames_dir", file.alias("file"), F.when(F.col("conv_id") % 4 == 1, "own").alias("data"))
-    return frame_files_of.resolved(asked, frame_files_of.read(docs.sparkSession, root)).select("conv_id", "data")
+    return frame_files_of.resolved(asked, root).select("conv_id", "data")
 
 
 LAST = "last AS (SELECT conv_id, max(turn) AS turn FROM conversations GROUP BY conv_id), m AS (SELECT c.conv_id, c.turn AS ts, c.text, l.turn IS NOT NULL AND c.conv_id % 5 > 0 AS hit, c.conv_id % 2 = 0 AS vision, c.conv_id % 3 AS kind FROM conversations c LEFT JOIN last l USING (conv_id, turn))"

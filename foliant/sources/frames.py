@@ -17,7 +17,9 @@ import pyarrow as pa
 from pyarrow.fs import FileSelector, FileSystem, FileType
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import BinaryType, StructField, StructType
 
+from foliant.functions.batches import BLOCK
 from foliant.operators import archive
 from foliant.session import importable
 
@@ -59,7 +61,10 @@ def externalized(archives: DataFrame) -> DataFrame:
 
 
 def read(spark: SparkSession, root: str) -> DataFrame:
-    """(frames_dir, file, content) of the files whose bytes hash to their name, in folders of archives."""
+    """(frames_dir, file, content) of the files whose bytes hash to their name, in folders of archives.
+
+    Spark lists all files in the driver and leaves out empty ones; ``resolved`` opens those that rows name.
+    """
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.png").load(root)
     parts = F.split("path", "/")
     named = files.select(F.element_at(parts, -2).alias("frames_dir"), F.element_at(parts, -1).alias("file"), "content")
@@ -92,9 +97,28 @@ def present(frames: DataFrame, root: str) -> DataFrame:
     return named.where(there.asNondeterministic()("frames_dir", "file"))  # so that the names are checked before
 
 
-def resolved(frames: DataFrame, stored: DataFrame) -> DataFrame:
-    """Frames (conv_id, frames_dir, pos, file, data) with the data of their files where they hold none; null data: unavailable."""
-    found = frames.join(stored, ["frames_dir", "file"], "left")
+def resolved(frames: DataFrame, root: str) -> DataFrame:
+    """Frames (conv_id, frames_dir, pos, file, data) with the data of their files where they hold none; null data: unavailable.
+
+    Each file is opened by the task that holds its row, so that the driver lists no folders and contents are not shuffled.
+    """
+    importable(frames.sparkSession)
+    filed = (F.coalesce("data", F.lit("")) == "") & archive.is_dir_name(F.col("frames_dir")) & archive.is_file_name(F.col("file"))
+    asked, columns = frames.withColumn("asked", F.when(filed, F.col("file"))), frames.columns
+
+    def opened(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        system, base = located(root)
+        for batch in batches:
+            rows, pngs, size = batch.select(columns), [], 0
+            for i, (folder, name) in enumerate(zip(batch["frames_dir"].to_pylist(), batch["asked"].to_pylist()), 1):
+                pngs.append(None if name is None else content(system, base, folder, name))
+                size += len(pngs[-1] or b"")
+                if size >= BLOCK or i == len(rows):
+                    part = rows.slice(i - len(pngs), len(pngs))
+                    yield part.append_column("content", pa.array(pngs, pa.binary()))
+                    pngs, size = [], 0
+
+    found = asked.mapInArrow(opened, StructType([*frames.schema.fields, StructField("content", BinaryType())]))
     data = F.regexp_replace(F.base64("content"), r"[\r\n]", "")
     return found.withColumn("data", F.when(F.coalesce("data", F.lit("")) != "", F.col("data")).otherwise(data)).drop("content")
 
