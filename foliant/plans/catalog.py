@@ -932,14 +932,17 @@ def archive_source(t):
     "SELECT doc_id AS conv_id, CASE doc_id % 4 WHEN 0 THEN NULL WHEN 1 THEN 'own' ELSE to_base64(encode(coalesce(text, ''))) END AS data FROM documents"
 )
 def frame_files(t):
-    """Frames written as files named by their content, then read again: every fourth refers to a file that is not there, others hold their data themselves."""
-    n, body = F.col("doc_id"), F.coalesce("text", F.lit("")).cast("binary")
-    folder = F.concat(F.lit(archive.DIR_PREFIX), (n % 5).cast("string"))
-    docs = t("documents").select(n.alias("conv_id"), F.lit(0).alias("pos"), folder.alias("frames_dir"), body.alias("png"))
+    """Frames written as files named by their content, then read again: every fourth refers to a file that is not there, others hold their data themselves.
+
+    A text of no bytes is a file too. A file that is not there has the name of bytes that no text has.
+    """
+    n, body, png = F.col("doc_id"), F.coalesce("text", F.lit("")).cast("binary"), F.col("png")
+    folder = F.concat(F.lit(archive.DIR_PREFIX), F.coalesce(F.pmod(n, F.lit(5)), F.lit(0)).cast("string"))
+    docs = t("documents").select(n.alias("conv_id"), F.lit(0).alias("pos"), F.coalesce(n % 4, F.lit(-1)).alias("kind"), folder.alias("frames_dir"), body.alias("png"))
     root = scratch(docs.sparkSession, "frames")
-    frame_store.save(docs.where("conv_id % 4 > 0"), root)
-    file = F.when(F.col("conv_id") % 4 == 0, F.concat(F.sha2(F.concat(F.lit(b"gone"), F.col("png")), 256), F.lit(".png"))).otherwise(archive.file_name(F.col("png")))
-    asked = docs.select("conv_id", "pos", "frames_dir", file.alias("file"), F.when(F.col("conv_id") % 4 == 1, "own").alias("data"))
+    frame_store.save(docs.where("kind <> 0"), root, empty=True)
+    file = archive.file_name(F.when(F.col("kind") == 0, F.concat(F.lit(b"\xff"), png)).otherwise(png))
+    asked = docs.select("conv_id", "pos", "frames_dir", file.alias("file"), F.when(F.col("kind") == 1, "own").alias("data"))
     return frame_files_of.resolved(asked, root).select("conv_id", "data")
 
 
